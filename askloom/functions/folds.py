@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_STATE = "struct<done:array<string>,buf:array<string>,size:bigint>"
+
+def let(value: Column, body) -> Column:
+    """``body`` over a value computed once; an expression used twice would be evaluated twice."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _start() -> Column:
@@ -65,5 +68,9 @@ def merge_tiny(blocks: Column, tiny: int = 100, limit: int = 1500, sep: str = "\
             )
         )
 
-    merged = F.aggregate(blocks, _start(), step, lambda acc: _flush(acc, sep))
-    return F.when(F.size(blocks) <= 1, blocks).otherwise(merged)
+    return let(
+        blocks,
+        lambda all_: F.when(F.size(all_) <= 1, all_).otherwise(
+            F.aggregate(all_, _start(), step, lambda acc: _flush(acc, sep))
+        ),
+    )

@@ -406,6 +406,7 @@ def retrieve(
             "question",
             F.when(F.col("use_expansion"), Q.expand(F.col("question"))).otherwise(F.col("question")),
         )
+    qs = settle(qs)
     # 8 is the largest strategy k, so one candidate width serves every question.
     widest = max(k, max(s[0] for s in K.STRATEGIES.values()))
     # The hits of a stage are a few rows per question and feed several branches: settle them.
@@ -424,7 +425,7 @@ def retrieve(
     cols = ["query_id", *CHILD_KEY, "score", "vector_score", "bm25_score"]
     both = scored.select(*cols).unionByName(rescued.select(*cols))
     info = chunks.select(*CHILD_KEY, "child_content", "split_group_id")
-    both = backfill_parents(both.join(info, CHILD_KEY), parents)
+    both = settle(backfill_parents(both.join(info, CHILD_KEY), parents))
     wide = F.when(F.col("intent") == "fact", F.greatest("k", F.lit(15))).otherwise(
         F.greatest("k", F.lit(10))
     )

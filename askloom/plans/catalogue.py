@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from askloom.plans import retrieval_queries  # noqa: F401
+from askloom.plans import corpus_queries, retrieval_queries  # noqa: F401
 from askloom.plans.registry import ORACLES, QUERIES  # noqa: F401

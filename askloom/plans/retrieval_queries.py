@@ -341,7 +341,7 @@ _HYBRID = dict(
       FROM hrank WHERE rank <= least(20, n)""",
     hybrid="""
       SELECT query_id, document_id, parent_id, child_id,
-             round(score, 4) AS vector_score, round(greatest(coalesce(fb, 0), coalesce(pb, 0)), 4) AS bm25_score,
+             round(score + 1e-9, 4) AS vector_score, round(greatest(coalesce(fb, 0), coalesce(pb, 0)), 4) AS bm25_score,
              round((1 - wb) * score + wb * greatest(coalesce(fb, 0), coalesce(pb, 0))
                    + CASE WHEN coalesce(pb, 0) > 0.3 THEN pb * 0.6 ELSE 0 END, 4) AS score
       FROM vec_hits JOIN wts USING (query_id) LEFT JOIN full_ USING (query_id, document_id, parent_id)
