@@ -16,17 +16,21 @@ from askloom.operators.lexical import top_k
 QUESTION_BLOCK = 1024
 
 
-def _packed_questions(questions: DataFrame, vec: str, block: int) -> tuple[DataFrame, DataFrame]:
+def _packed_questions(questions: DataFrame, vec: str, block: int, at: str | None) -> tuple[DataFrame, DataFrame]:
     """Questions in blocks of about ``block`` rows, and the number of blocks."""
     n = questions.agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).alias("n"))
     packed = (
         questions.where(F.size(vec) > 0)
         .select(
             F.pmod(F.xxhash64("query_id"), n.scalar()).alias("block"), "query_id",
-            F.col(vec).alias("v"),
+            F.col(vec).alias("v"), (F.col(at) if at else F.lit(0)).cast("bigint").alias("at"),
         )
         .groupBy("block")
-        .agg(F.collect_list("query_id").alias("qids"), F.flatten(F.collect_list("v")).alias("qmat"))
+        .agg(F.collect_list(F.struct("query_id", "at", "v")).alias("q"))
+        .select(
+            "block", F.col("q.query_id").alias("qids"), F.col("q.at").alias("qat"),
+            F.flatten("q.v").alias("qmat"),
+        )
     )
     return packed, n
 
@@ -64,6 +68,7 @@ def _unit_rows(flat: np.ndarray, dim: int) -> np.ndarray:
 def vector_scores_topk(
     questions: DataFrame, chunks: DataFrame, k: int, keys: list[str],
     qvec: str = "qvec", vec: str = "embedding", block: int = QUESTION_BLOCK,
+    window: tuple[str, str, int] | None = None, minimum: float | None = None,
 ) -> DataFrame:
     """(query_id, keys, score, rank): exact cosine top-k, ties by key, scores to 6 decimals.
 
@@ -71,12 +76,15 @@ def vector_scores_topk(
     matrix product and leaves at most k rows per question behind, so the shuffle carries
     k rows per (batch, question) and no pair table is ever built. Question blocks have a bounded
     size; Spark broadcasts them when they are small and shuffles by block when they are not.
+
+    ``window`` = (question time, key time, length) keeps vectors with time < question time < time
+    + length; ``minimum`` drops lower scores.
     """
-    packed, n = _packed_questions(questions, qvec, block)
+    packed, n = _packed_questions(questions, qvec, block, window[0] if window else None)
     tiles = _pack_chunks(chunks, keys, vec).withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("bigint"), n.scalar() - 1))
     )
-    joined = tiles.join(packed, "block").select("qids", "qmat", "ids", "cmat", "dim")
+    joined = tiles.join(packed, "block").select("qids", "qat", "qmat", "ids", "cmat", "dim")
     qtype = questions.schema["query_id"].dataType.simpleString()
     fields = ",".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in keys)
 
@@ -95,12 +103,18 @@ def vector_scores_topk(
                 tie = np.empty(len(order), dtype=np.int64)
                 tie[order] = np.arange(len(order))
                 sims = np.round(q @ c.T, 6) + 0.0
+                if window:
+                    at = ids.field(window[1]).to_numpy(zero_copy_only=False)
+                    asked = b.column("qat")[r].values.to_numpy(zero_copy_only=False)
                 for i in range(len(sims)):
                     s = sims[i]
-                    cand = np.arange(len(s))
-                    if len(s) > k:
-                        kth = np.partition(s, len(s) - k)[len(s) - k]
-                        cand = np.flatnonzero(s >= kth)
+                    ok = np.ones(len(s), dtype=bool) if minimum is None else s >= minimum
+                    if window:
+                        ok &= (at < asked[i]) & (asked[i] < at + window[2])
+                    cand = np.flatnonzero(ok)
+                    if len(cand) > k:
+                        kth = np.partition(s[cand], len(cand) - k)[len(cand) - k]
+                        cand = cand[s[cand] >= kth]
                     best = cand[np.lexsort((tie[cand], -s[cand]))][:k]
                     take = pa.array(best)
                     yield pa.RecordBatch.from_arrays(
