@@ -243,7 +243,7 @@ def _(spark, d):
     return H.managed_history(messages(spark, d)).select("session_id", "turn", "role")
 
 
-@query("message_rows", """SELECT conv_id, turn, to_json({'input_tokens': length(text) // 3, 'output_tokens': length(text) // 2}) AS token_usage, to_json([role]) AS sources FROM conversations""")
+@query("message_rows", """SELECT conv_id, turn, to_json({'input_tokens': length(text) // 3, 'output_tokens': length(text) // 2})::VARCHAR AS token_usage, to_json([role])::VARCHAR AS sources FROM conversations""")
 def _(spark, d):
     m = conversations(spark, d).select(
         "conv_id", "turn",
@@ -286,7 +286,7 @@ def _(spark, d):
     return CA.reuse_similar(asked, stored, 0.3).select("ask_id", "entry_id", "similarity")
 
 
-@query("semantic_cache_newest", """SELECT md5(props) AS content_key, max(ts)::VARCHAR AS last_stored, arg_max(event_id, ts) AS entry_id FROM events GROUP BY props ORDER BY min(ts) DESC, content_key LIMIT 50""")
+@query("semantic_cache_newest", """SELECT md5(props) AS content_key, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_stored, arg_max(event_id, ts) AS entry_id FROM events GROUP BY props ORDER BY min(ts) DESC, content_key LIMIT 50""")
 def _(spark, d):
     e = I.table(spark, d, "events").select(F.col("event_id").alias("entry_id"), X.content_key(F.col("props")).alias("content_key"), F.col("ts").alias("stored_at"))
     return CA.newest_entries(e, 50).select("content_key", F.date_format("last_stored", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_stored"), "entry_id")
@@ -384,7 +384,9 @@ def _(spark, d):
 
 _SQ = "lower(regexp_replace({0}, '\\s+', '', 'g'))"
 _FRAG = dict(fr="""SELECT query_id, 'k' AS kind, unnest(kw) AS fragment FROM gold UNION ALL SELECT query_id, 'c', question FROM gold""",
-   fd=f"SELECT query_id, kind, fragment, EXISTS (SELECT 1 FROM documents d WHERE contains({_SQ.format('d.text')}, {_SQ.format('fragment')})) AS found FROM fr")
+   ds=f"SELECT DISTINCT {_SQ.format('text')} AS t FROM documents", fs=f"SELECT DISTINCT fragment, {_SQ.format('fragment')} AS f FROM fr",
+   hit="SELECT DISTINCT fragment FROM fs JOIN ds ON contains(t, f)",
+   fd="SELECT query_id, kind, fragment, fragment IN (SELECT fragment FROM hit) AS found FROM fr")
 
 
 @query("golden_vs_corpus", I.with_parts(**_GOLD, **_FRAG) + "SELECT query_id, count(*) FILTER (kind = 'k') AS keywords, count(*) FILTER (kind = 'k' AND found) AS keyword_hits, count(*) FILTER (kind = 'c' AND found) AS content_hits FROM fd GROUP BY query_id")
@@ -424,9 +426,9 @@ _QA = dict(
       list_filter(list_distinct({I.TOK.format('q.text')}), lambda t: length(t) >= 6) AS kw, CASE a.conv_id % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty,
       length(a.text) % 400 / 10.0::DOUBLE AS latency, a.conv_id % 3 AS cc, a.turn % 2 AS sc
       FROM conversations a JOIN conversations q ON q.conv_id = a.conv_id AND q.turn + 1 = a.turn AND q.role = 'user' JOIN cx ON cx.conv_id = a.conv_id WHERE a.role = 'assistant'""",
-    gr=f"""SELECT answer_id, list_distinct({I.TOK.format('answer')}) AS at, list_distinct({I.TOK.format('context')}) AS ct FROM qa""",
+    gr=f"""SELECT answer_id, list_distinct({I.TOK.format('answer')}) AS atk, list_distinct({I.TOK.format('context')}) AS ctk FROM qa""",
 )
-_GR = "CASE WHEN len(at) > 0 THEN len(list_intersect(at, ct)) / len(at) ELSE 0 END::DOUBLE"
+_GR = "CASE WHEN len(atk) > 0 THEN len(list_intersect(atk, ctk)) / len(atk) ELSE 0 END::DOUBLE"
 
 
 @query("groundedness", I.with_parts(**_QA) + f"SELECT answer_id, round({_GR}, 6) AS grounded FROM gr")
