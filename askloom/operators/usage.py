@@ -206,8 +206,11 @@ def login_decisions(attempts: DataFrame, users: DataFrame, login_enabled: bool =
     ).select(*attempts.columns, "outcome")
 
 
-def moderate_users(decisions: DataFrame, users: DataFrame) -> DataFrame:
-    """Users after decisions (user_id, action, max_questions, max_uploads, ban_until), with reject reasons."""
+def moderate_users(decisions: DataFrame, users: DataFrame, carry: list[str] = []) -> DataFrame:
+    """User state after each decision, with reject reasons.
+
+    Decisions are (user_id, action, new_max_questions, new_max_uploads, new_ban_until) and ``carry``.
+    """
     rows = decisions.join(users, "user_id", "left")
     act, role = F.col("action"), F.col("role")
     reason = (
@@ -219,7 +222,7 @@ def moderate_users(decisions: DataFrame, users: DataFrame) -> DataFrame:
     ok = reason.isNull()
     uploads = F.when(role == "student", F.lit(0)).otherwise(F.coalesce("new_max_uploads", "max_uploads_per_day"))
     return rows.select(
-        "user_id", "action", reason.alias("reject_reason"),
+        *carry, "user_id", "action", reason.alias("reject_reason"),
         F.when(ok & (act == "limit"), F.coalesce("new_max_questions", "max_questions_per_day")).otherwise(F.col("max_questions_per_day")).alias("max_questions_per_day"),
         F.when(ok & (act == "limit"), uploads).otherwise(F.col("max_uploads_per_day")).alias("max_uploads_per_day"),
         F.when(ok & (act == "ban"), F.col("new_ban_until")).when(ok & (act == "unban"), F.lit(None)).otherwise(F.col("ban_until")).alias("ban_until"),
@@ -291,7 +294,7 @@ def model_invariants(models: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------ reviews
-def review(decisions: DataFrame, documents: DataFrame) -> DataFrame:
+def review(decisions: DataFrame, documents: DataFrame, carry: list[str] = []) -> DataFrame:
     """Outcome of each decision (document_id, action, reason) and the document state after it."""
     rows = decisions.join(documents.select("document_id", "review_status", "status"), "document_id", "left")
     error = (
@@ -302,7 +305,7 @@ def review(decisions: DataFrame, documents: DataFrame) -> DataFrame:
     )
     ok = error.isNull()
     return rows.select(
-        "document_id", "action", error.alias("error"), ok.alias("success"),
+        *carry, "document_id", "action", error.alias("error"), ok.alias("success"),
         F.when(ok & (F.col("action") == "approve"), "approved").when(ok, "rejected").otherwise(F.col("review_status")).alias("review_status"),
         F.when(ok & (F.col("action") == "approve"), "processing").when(ok, "failed").otherwise(F.col("status")).alias("status"),
     )
