@@ -118,8 +118,9 @@ def prompts(questions: DataFrame, contexts: DataFrame, history: DataFrame, model
     ``history`` is (query_id, turn, role, content); contexts carry rank, source, score, content.
     """
     summary = F.col("role").isin("summary", "system")
-    recent = Window.partitionBy("query_id", summary).orderBy(F.desc("turn"))
-    hist = history.withColumn("_s", summary).withColumn("_r", F.row_number().over(recent)).where("_s or _r <= 6")
+    recent = Window.partitionBy("query_id").orderBy(F.desc("turn"))
+    last_six = history.where(~summary).withColumn("_r", F.row_number().over(recent)).where("_r <= 6").drop("_r")
+    hist = last_six.unionByName(history.where(summary)).withColumn("_s", summary)
     ordered = lambda cond, text: F.array_join(
         F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("turn", text.alias("t"))))), lambda s: s["t"]), "\n"
     )

@@ -2,45 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askloom import constants as K
 from askloom.functions import text as X
 from askloom.operators import vectors as VS
+from askloom.operators.answers import cacheable
+from askloom.operators.runs import running
+
+
+def _micros(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp"))
 
 
 def reuse_exact(asked: DataFrame, stored: DataFrame, ttl_s: int = K.TTL_ANSWER_S, text: str = "question") -> DataFrame:
     """For each asked question the newest stored entry with the same text that has not expired.
 
-    ``asked`` is (ask_id, question, asked_at), ``stored`` (entry_id, question, stored_at). The
-    log of one hot text is bucketed by time before joining: an entry can only serve asks in its
-    own or the next bucket of one TTL, so a popular text does not meet its whole history.
+    ``asked`` is (ask_id, question, asked_at), ``stored`` (entry_id, question, stored_at). An as-of join
+    without pairs: both logs in one time line per text, the latest entry carried forward in blocks
+    of one TTL, so a hot text stays linear and spreads over tasks.
     """
-    bucket = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / ttl_s)
-    a = asked.withColumns({"_k": X.content_key(F.col(text)), "_b": bucket("asked_at")})
-    s = stored.select("entry_id", "stored_at", X.content_key(F.col(text)).alias("_k"), bucket("stored_at").alias("_b0"))
-    s = s.withColumn("_b", F.explode(F.array(F.col("_b0"), F.col("_b0") + 1))).drop("_b0")
-    fresh = (F.col("stored_at") <= F.col("asked_at")) & (
-        F.col("asked_at") < F.col("stored_at") + F.make_interval(secs=F.lit(ttl_s))
+    key = X.content_key(F.col(text)).alias("_k")
+    a = asked.select(key, _micros("asked_at").alias("_us"), F.lit(1).alias("_kind"), "ask_id", F.lit(None).cast(stored.schema["entry_id"].dataType).alias("_e"))
+    s = stored.select(key, _micros("stored_at").alias("_us"), F.lit(0).alias("_kind"), F.lit(None).cast(asked.schema["ask_id"].dataType).alias("ask_id"), F.col("entry_id").alias("_e"))
+    entry = F.when(F.col("_kind") == 0, F.struct("_us", "_e"))
+    line = running(
+        a.unionByName(s), ["_k"], "_us", {"_last": ("max", entry)}, block=ttl_s * 1_000_000, ties=["_kind"]
     )
-    best = a.join(s, ["_k", "_b"]).where(fresh).groupBy("ask_id").agg(
-        F.max_by("entry_id", F.struct("stored_at", "entry_id")).alias("entry_id")
-    )
-    return asked.join(best, "ask_id", "left").withColumn("hit", F.col("entry_id").isNotNull())
+    fresh = F.col("_us") < F.col("_last._us") + ttl_s * 1_000_000
+    found = line.where("_kind = 1").select("ask_id", F.when(fresh, F.col("_last._e")).alias("entry_id"))
+    return asked.join(found, "ask_id").withColumn("hit", F.col("entry_id").isNotNull())
 
 
 def latest_before(
     log: DataFrame, key: str, at: str, ident: str, ttl_s: int = K.TTL_ANSWER_S
 ) -> DataFrame:
-    """Self-reuse of a log: the previous ask of the same key, if it is younger than the TTL.
-
-    The newest earlier entry is the previous row of the key, so one window answers it.
-    """
-    w = Window.partitionBy(key).orderBy(at, ident)
-    prev = log.withColumns({"_p": F.lag(at).over(w), "_id": F.lag(ident).over(w)})
-    ok = F.col("_p").isNotNull() & (F.col(at) < F.col("_p") + F.make_interval(secs=F.lit(ttl_s)))
-    return prev.withColumn("entry_id", F.when(ok, F.col("_id"))).drop("_p", "_id")
+    """Self-reuse of a log: the previous ask of the same key, if it is younger than the TTL."""
+    rows = log.withColumn("_us", _micros(at))
+    prev = running(
+        rows, [key], "_us", {"_p": ("max", F.struct("_us", ident))}, include_current=False,
+        block=ttl_s * 1_000_000, ties=[ident],
+    )
+    ok = F.col("_us") < F.col("_p._us") + ttl_s * 1_000_000
+    return prev.withColumn("entry_id", F.when(ok, F.col(f"_p.{ident}"))).drop("_p", "_us")
 
 
 def reuse_similar(
@@ -53,10 +60,9 @@ def reuse_similar(
     by block with the time window applied inside, so only the best row per question leaves a
     block.
     """
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     best = VS.vector_scores_topk(
-        asked.select(F.col("ask_id").alias("query_id"), micros("asked_at").alias("at"), F.col(vec).alias("qvec")),
-        stored.select("entry_id", micros("stored_at").alias("stored_us"), F.col(vec).alias("embedding")),
+        asked.select(F.col("ask_id").alias("query_id"), _micros("asked_at").alias("at"), F.col(vec).alias("qvec")),
+        stored.select("entry_id", _micros("stored_at").alias("stored_us"), F.col(vec).alias("embedding")),
         1, ["stored_us", "entry_id"], window=("at", "stored_us", ttl_s * 1_000_000), minimum=threshold,
     )
     return asked.join(
@@ -76,8 +82,6 @@ def newest_entries(entries: DataFrame, cap: int = K.SEMANTIC_CACHE_SIZE) -> Data
 
 
 def storable(answers: DataFrame) -> DataFrame:
-    from askloom.operators.answers import cacheable
-
     return answers.where((F.col("confidence") == "高") & cacheable(F.col("answer")))
 
 
@@ -89,7 +93,5 @@ def purge(entries: DataFrame, now: Column, cap: int) -> DataFrame:
 
 def invalidate(entries: DataFrame, pattern: str, key: str = "key") -> DataFrame:
     """Entries whose key does not match a glob such as ``search:*``."""
-    import re
-
     regex = "^" + ".*".join(re.escape(p) for p in pattern.split("*")).replace(r"\?", ".") + "$"
     return entries.where(~F.col(key).rlike("(?s)" + regex))

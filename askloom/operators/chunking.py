@@ -348,9 +348,10 @@ def merge_small_sections(sections: DataFrame, minimum: int = K.SECTION_MIN_CHARS
         ).otherwise(acc["out"])
         return F.aggregate(arr, start, step, done)
 
-    # n sections settle within log2(n)+1 rounds; rounds on a settled array change nothing. The
-    # outer fold repeats the round as often as the array is long in the worst case.
-    settled = F.aggregate(F.sequence(F.lit(1), F.size("a")), F.col("a"), lambda acc, _: one_round(acc))
+    # Every round halves each run of small sections, so log2(n) + 2 rounds always settle; rounds on
+    # a settled array change nothing.
+    rounds = F.ceil(F.log2(F.size("a").cast("double"))).cast("int") + 2
+    settled = F.aggregate(F.sequence(F.lit(1), rounds), F.col("a"), lambda acc, _: one_round(acc))
     return rows.select("doc_id", F.posexplode(settled).alias("section_no", "s")).select(
         "doc_id", F.col("section_no").cast("bigint").alias("section_no"), "s.*"
     )
@@ -456,6 +457,13 @@ def fixed_parts(paras: DataFrame, size: int = 500) -> DataFrame:
     return paras.withColumn("part_no", (F.floor(F.col("para_no") / size) + 1).cast("bigint"))
 
 
+def file_index(files: DataFrame, group: str, pos: str) -> DataFrame:
+    """Adds each file's position (from 0) among the files of its group, by ``pos``."""
+    return running(
+        files, [group], pos, {"file_index": ("sum", F.lit(1).cast("bigint"))}
+    ).withColumn("file_index", F.col("file_index") - 1)
+
+
 def split_group_from_name(docs: DataFrame) -> DataFrame:
     """Fills an empty split group from names like ``<base>_part<number>``."""
     base = F.regexp_extract("filename", r"^(.+)_part\d+", 1)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from askloom import constants as K
 from askloom.functions import text as X
+from askloom.operators.sizes import broadcast_if
+
+BROADCAST_TERMS = 1_000_000
 
 
 def tokenized(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -68,12 +71,12 @@ def bm25_scores(
 ) -> DataFrame:
     """(query_id, keys, score) of every text sharing a term with the question, 4 decimals.
 
-    Only postings of question terms leave the scan. Question terms and document frequencies are
-    small next to the postings; no side is forced to be broadcast, adaptive execution decides
-    from measured sizes.
+    Only postings of question terms leave the scan. The terms are counted first: up to a bound they
+    are broadcast, so postings stay where they are; beyond it the joins shuffle on the term.
     """
     terms = question_terms(questions, question)
-    vocabulary = terms.select("term").distinct()
+    n_terms = questions.agg(F.coalesce(F.sum(F.size(X.tokens(F.col(question)))), F.lit(0))).first()[0]
+    vocabulary = broadcast_if(terms.select("term").distinct(), n_terms, BROADCAST_TERMS)
     stats = corpus_stats(docs, keys, text)
     n_docs = stats.select("n_docs").scalar()
     avg_dl = stats.select("avg_dl").scalar()
@@ -82,7 +85,7 @@ def bm25_scores(
     )
     return (
         postings(docs, keys, text, vocabulary)
-        .join(weights, "term")
+        .join(broadcast_if(weights, n_terms, BROADCAST_TERMS), "term")
         .groupBy("query_id", *keys)
         .agg(F.sum(F.col("w") * term_weight(F.col("tf"), F.col("dl"), avg_dl)).alias("s"))
         .select("query_id", *keys, F.round("s", 4).alias("score"))

@@ -26,10 +26,12 @@ def _combine(kind: str, a: Column, b: Column) -> Column:
 def running(
     df: DataFrame, group: list[str], pos: str, values: dict[str, tuple[str, Column]],
     include_current: bool = True, descending: bool = False, block: int = 4096,
+    ties: list[str] | None = None,
 ) -> DataFrame:
     """Adds, for each name, the running ``sum``/``max``/``min`` of a column in position order.
 
-    ``pos`` is an integer position, at most one row each. ``max`` and ``min`` also work on structs
+    ``pos`` is an integer position (or a time in microseconds, with ``block`` a span of time); rows
+    that share a position follow the ``ties`` columns. ``max`` and ``min`` also work on structs
     led by the position, which carries the last or first value forward; nulls are passed over.
     """
     order = F.desc if descending else F.asc
@@ -44,7 +46,7 @@ def running(
         *group, "_b",
         *[_AGG[kind](f"_t_{n}").over(by_block).alias(f"_c_{n}") for n, (kind, _) in values.items()],
     )
-    inside = Window.partitionBy(*group, "_b").orderBy(order(pos)).rowsBetween(
+    inside = Window.partitionBy(*group, "_b").orderBy(order(pos), *(ties or [])).rowsBetween(
         Window.unboundedPreceding, 0 if include_current else -1
     )
     for n, (kind, _) in values.items():

@@ -12,17 +12,17 @@ from pyspark.sql import functions as F
 
 from askloom.functions import vector as V
 from askloom.operators.lexical import top_k
+from askloom.operators.sizes import broadcast_if
 
 QUESTION_BLOCK = 1024
 
 
-def _packed_questions(questions: DataFrame, vec: str, block: int, at: str | None) -> tuple[DataFrame, DataFrame]:
-    """Questions in blocks of about ``block`` rows, and the number of blocks."""
-    n = questions.agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).alias("n"))
-    packed = (
+def _packed_questions(questions: DataFrame, vec: str, blocks: int, at: str | None) -> DataFrame:
+    """Questions spread over ``blocks`` rows of packed vectors."""
+    return (
         questions.where(F.size(vec) > 0)
         .select(
-            F.pmod(F.xxhash64("query_id"), n.scalar()).alias("block"), "query_id",
+            F.pmod(F.xxhash64("query_id"), F.lit(blocks).cast("bigint")).alias("block"), "query_id",
             F.col(vec).alias("v"), (F.col(at) if at else F.lit(0)).cast("bigint").alias("at"),
         )
         .groupBy("block")
@@ -32,7 +32,6 @@ def _packed_questions(questions: DataFrame, vec: str, block: int, at: str | None
             F.flatten("q.v").alias("qmat"),
         )
     )
-    return packed, n
 
 
 def _pack_chunks(chunks: DataFrame, keys: list[str], vec: str) -> DataFrame:
@@ -75,14 +74,18 @@ def vector_scores_topk(
     A block nested loop: each batch of vectors meets each block of questions once, is scored by one
     matrix product and leaves at most k rows per question behind, so the shuffle carries
     k rows per (batch, question) and no pair table is ever built. Question blocks have a bounded
-    size; Spark broadcasts them when they are small and shuffles by block when they are not.
+    size; they are broadcast when the counted questions are few and shuffled by block when not.
 
     ``window`` = (question time, key time, length) keeps vectors with time < question time < time
     + length; ``minimum`` drops lower scores.
     """
-    packed, n = _packed_questions(questions, qvec, block, window[0] if window else None)
+    n_questions = questions.count()
+    blocks = max(1, -(-n_questions // block))
+    packed = broadcast_if(
+        _packed_questions(questions, qvec, blocks, window[0] if window else None), n_questions
+    )
     tiles = _pack_chunks(chunks, keys, vec).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), n.scalar() - 1))
+        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
     )
     joined = tiles.join(packed, "block").select("qids", "qat", "qmat", "ids", "cmat", "dim")
     qtype = questions.schema["query_id"].dataType.simpleString()

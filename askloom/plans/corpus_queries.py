@@ -589,11 +589,8 @@ WITH f AS (SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER
 SELECT source, doc_id AS document_id, idx AS file_index, 's' || idx || '_p0' AS parent_id FROM f""")
 def _(spark, d):
     """Files of one source in parallel: parent ids carry the file's position in its source."""
-    from pyspark.sql import Window
-
-    x = docs(spark, d).where(~X.is_blank(F.col("text")))
-    idx = (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("bigint")
-    return x.withColumn("file_index", idx).select(
+    x = docs(spark, d).where(~X.is_blank(F.col("text"))).drop("text")
+    return C.file_index(x, "source", "doc_id").select(
         "source", "document_id", "file_index",
         F.concat(F.lit("s"), F.col("file_index").cast("string"), F.lit("_p0")).alias("parent_id"),
     )

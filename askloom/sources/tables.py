@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from askloom import constants as K
 from askloom import schemas as S
 from askloom.functions import text as X
+from askloom.operators.runs import running
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -159,12 +160,11 @@ def page_batches(pages: DataFrame, size: int = 5) -> DataFrame:
     Input (doc_id, page_no, text). Page positions come from a per-document count of non-blank
     pages; batches are bounded, so no group grows with the document.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy("page_no")
+    rows = running(
+        pages.where(~X.is_blank(F.col("text"))), ["doc_id"], "page_no", {"_n": ("sum", F.lit(1))}
+    )
     return (
-        pages.where(~X.is_blank(F.col("text")))
-        .withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / size))
+        rows.withColumn("batch_no", F.floor((F.col("_n") - 1) / size))
         .groupBy("doc_id", "batch_no")
         .agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
         .select("doc_id", "batch_no", F.array_join(F.col("p.text"), "\n\n").alias("text"))
