@@ -235,7 +235,10 @@ def html_escape(text: Column) -> Column:
 
 
 def has_xss(text: Column) -> Column:
-    return F.coalesce(text.rlike("(?is)" + any_of(K.XSS_PATTERNS)), F.lit(False))
+    # every pattern needs one of these characters, which plain prose rarely has
+    return F.coalesce(
+        text.rlike("[<:=(@]") & text.rlike("(?is)" + any_of(K.XSS_PATTERNS)), F.lit(False)
+    )
 
 
 def sanitize_filename(name: Column) -> Column:

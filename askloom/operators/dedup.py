@@ -64,9 +64,11 @@ def keep_first(
     grams = X.shingles(F.coalesce(F.col(text), F.lit("")))
     rows = df.select(*group, pos, grams.alias("_g")).where(F.size("_g") > 0).select(
         *group, pos,
-        F.md5(F.array_join(F.array_sort("_g"), "\u0001")).alias("_set"),
+        F.md5(F.array_join(F.sort_array("_g"), "\u0001")).alias("_set"),
         _signatures(threshold)(F.transform("_g", lambda g: F.xxhash64(g))).alias("_sigs"),
     )
+    # three branches read the signatures; they are far smaller than the texts, so write them once
+    rows = settle(rows)
     # equal sets first: everything but the first of them drops, whatever happens to the first
     firsts = rows.groupBy(*group, "_set").agg(
         F.min(pos).alias(pos), F.min_by("_sigs", pos).alias("_sigs"), F.count("*").alias("_n")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +15,9 @@ from askloom.functions import text as X
 from askloom.operators.sizes import broadcast_if
 
 BROADCAST_TERMS = 1_000_000
+QUESTION_BLOCK = 512
+TILE_ROWS = 4096
+TILE_TOKENS = 1_000_000
 
 
 def tokenized(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -65,38 +73,128 @@ def top_k(scored: DataFrame, k, by: list, group: str = "query_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
-def bm25_scores(
-    questions: DataFrame, docs: DataFrame, keys: list[str],
+def _pack_tokens(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Tiles of rows with their tokens end to end; at most TILE_ROWS rows and about TILE_TOKENS tokens."""
+    rows = docs.select(*keys, X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("toks"))
+    fields = ",".join(f"{k}:{docs.schema[k].dataType.simpleString()}" for k in keys)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column("toks")
+            sizes = np.diff(col.offsets.to_numpy())
+            ends = np.cumsum(sizes)
+            start = 0
+            while start < b.num_rows:
+                base = ends[start - 1] if start else 0
+                stop = int(np.searchsorted(ends, base + TILE_TOKENS, side="right"))
+                stop = min(max(stop, start + 1), start + TILE_ROWS, b.num_rows)
+                part = b.slice(start, stop - start)
+                toks = part.column("toks").flatten()
+                ids = pa.StructArray.from_arrays([part.column(k) for k in keys], names=keys)
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                yield pa.RecordBatch.from_arrays(
+                    [one(ids), one(pa.array(sizes[start:stop], pa.int32())), one(toks)], names=["ids", "dl", "toks"]
+                )
+                start = stop
+
+    return rows.mapInArrow(pack, f"ids array<struct<{fields}>>, dl array<int>, toks array<string>")
+
+
+def bm25_search(
+    questions: DataFrame, docs: DataFrame, k: int, keys: list[str],
     text: str = "text", question: str = "question",
 ) -> DataFrame:
-    """(query_id, keys, score) of every text sharing a term with the question, 4 decimals.
+    """(query_id, keys, score, rank): BM25 top-k per question, scores to 4 decimals, ties by key.
 
-    Only postings of question terms leave the scan. The terms are counted first: up to a bound they
-    are broadcast, so postings stay where they are; beyond it the joins shuffle on the term.
+    Document frequencies of question terms are combined map-side. Then each tile of texts meets each
+    block of questions once and leaves at most k rows per question behind: a table of scored
+    (question, text) pairs is never shuffled. Question blocks are broadcast when the counted
+    terms are few; beyond that the join shuffles by block.
     """
     terms = question_terms(questions, question)
-    n_terms = questions.agg(F.coalesce(F.sum(F.size(X.tokens(F.col(question)))), F.lit(0))).first()[0]
+    counted = questions.agg(
+        F.count("*"), F.coalesce(F.sum(F.size(X.tokens(F.col(question)))), F.lit(0))
+    ).first()
+    n_questions, n_terms = counted
+    blocks = max(1, -(-n_questions // QUESTION_BLOCK))
     vocabulary = broadcast_if(terms.select("term").distinct(), n_terms, BROADCAST_TERMS)
     stats = corpus_stats(docs, keys, text)
-    n_docs = stats.select("n_docs").scalar()
-    avg_dl = stats.select("avg_dl").scalar()
-    weights = terms.join(document_frequency(docs, keys, text, vocabulary), "term").select(
-        "query_id", "term", (F.col("qtf") * idf(n_docs, F.col("df"))).alias("w")
+    n_docs, avg_dl = stats.select("n_docs").scalar(), stats.select("avg_dl").scalar()
+    packed = (
+        terms.join(document_frequency(docs, keys, text, vocabulary), "term")
+        .select(
+            F.pmod(F.xxhash64("query_id"), F.lit(blocks).cast("bigint")).alias("block"), "term",
+            F.struct("query_id", (F.col("qtf") * idf(n_docs, F.col("df"))).alias("w")).alias("q"),
+        )
+        .groupBy("block", "term").agg(F.collect_list("q").alias("q"))
+        .groupBy("block").agg(F.collect_list(F.struct("term", "q")).alias("terms"))
+        .withColumn("avg_dl", avg_dl)
     )
-    return (
-        postings(docs, keys, text, vocabulary)
-        .join(broadcast_if(weights, n_terms, BROADCAST_TERMS), "term")
-        .groupBy("query_id", *keys)
-        .agg(F.sum(F.col("w") * term_weight(F.col("tf"), F.col("dl"), avg_dl)).alias("s"))
-        .select("query_id", *keys, F.round("s", 4).alias("score"))
-        .where(F.col("score") > 0)
+    tiles = _pack_tokens(docs, keys, text).withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    )
+    joined = tiles.join(broadcast_if(packed, n_terms, BROADCAST_TERMS), "block").select(
+        "terms", "avg_dl", "ids", "dl", "toks"
     )
+    qtype = questions.schema["query_id"].dataType.simpleString()
+    fields = ",".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keys)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                terms_, ids = b.column("terms")[r].values, b.column("ids")[r].values
+                dl = b.column("dl")[r].values.to_numpy().astype(np.float64)
+                tid = pc.index_in(b.column("toks")[r].values, value_set=terms_.field("term"))
+                tid = pc.fill_null(tid, -1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(dl)), dl.astype(np.int64))
+                seen = tid >= 0
+                pair, tf = np.unique(tid[seen].astype(np.int64) * len(dl) + row[seen], return_counts=True)
+                which, at = pair // len(dl), pair % len(dl)
+                part = term_weight(tf, dl[at], b.column("avg_dl")[r].as_py())
+                lists = terms_.field("q")
+                off, q = lists.offsets.to_numpy(), lists.values
+                qids, qix = np.unique(q.field("query_id").to_numpy(zero_copy_only=False), return_inverse=True)
+                w = q.field("w").to_numpy()
+                sums = np.zeros((len(qids), len(dl)))
+                cuts = np.flatnonzero(np.diff(which, prepend=-1))
+                for lo, hi in zip(cuts, np.append(cuts[1:], len(which))):
+                    t = which[lo]
+                    mine = slice(off[t] - off[0], off[t + 1] - off[0])
+                    sums[np.ix_(qix[mine], at[lo:hi])] += np.outer(w[mine], part[lo:hi])
+                sums = np.round(sums, 4)
+                yield from best_rows(qids, sums, sums > 0, ids, keys, k, q.field("query_id").type)
+
+    scored = joined.mapInArrow(score, f"query_id {qtype}, {fields}, score double")
+    return top_k(scored, k, [F.desc("score"), *keys])
 
 
-def bm25_search(questions, docs, k, keys, text="text", question="question") -> DataFrame:
-    """BM25 top-k per question, ties by key."""
-    scored = bm25_scores(questions, docs, keys, text, question)
-    return top_k(scored, k, [F.desc("score"), *keys])
+def best_rows(qids, scores, allowed, ids, keys, k, qtype) -> Iterator[pa.RecordBatch]:
+    """The k best allowed columns of each score row as (query_id, keys, score) batches, ties by key."""
+    key_cols = [ids.field(name) for name in keys]
+    order = pc.sort_indices(
+        pa.table(key_cols, names=keys), sort_keys=[(name, "ascending") for name in keys]
+    ).to_numpy()
+    tie = np.empty(len(order), dtype=np.int64)
+    tie[order] = np.arange(len(order))
+    who, picks = [], []
+    for i in range(len(qids)):
+        cand = np.flatnonzero(allowed[i])
+        s = scores[i][cand]
+        if len(cand) > k:
+            kth = np.partition(s, len(cand) - k)[len(cand) - k]
+            cand = cand[s >= kth]
+        best = cand[np.lexsort((tie[cand], -scores[i][cand]))][:k]
+        who.append(np.full(len(best), i))
+        picks.append(best)
+    who, picks = np.concatenate(who), np.concatenate(picks)
+    take = pa.array(picks)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.asarray(qids)[who], qtype), *[col.take(take) for col in key_cols],
+            pa.array(scores[who, picks], pa.float64()),
+        ],
+        names=["query_id", *keys, "score"],
+    )
 
 
 def bm25_within(

@@ -6,12 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from askloom.functions import vector as V
-from askloom.operators.lexical import top_k
+from askloom.operators.lexical import best_rows, top_k
 from askloom.operators.sizes import broadcast_if
 
 QUESTION_BLOCK = 1024
@@ -98,36 +97,14 @@ def vector_scores_topk(
                 q = _unit_rows(b.column("qmat")[r].values.to_numpy(zero_copy_only=False), dim)
                 c = _unit_rows(b.column("cmat")[r].values.to_numpy(zero_copy_only=False), dim)
                 qids, ids = b.column("qids")[r].values, b.column("ids")[r].values
-                key_cols = [ids.field(name) for name in keys]
-                # rank of every row in key order, to break ties the same way everywhere
-                order = pc.sort_indices(
-                    pa.table(key_cols, names=keys), sort_keys=[(name, "ascending") for name in keys]
-                ).to_numpy()
-                tie = np.empty(len(order), dtype=np.int64)
-                tie[order] = np.arange(len(order))
                 sims = np.round(q @ c.T, 6) + 0.0
+                ok = np.ones(sims.shape, dtype=bool) if minimum is None else sims >= minimum
                 if window:
                     at = ids.field(window[1]).to_numpy(zero_copy_only=False)
-                    asked = b.column("qat")[r].values.to_numpy(zero_copy_only=False)
-                for i in range(len(sims)):
-                    s = sims[i]
-                    ok = np.ones(len(s), dtype=bool) if minimum is None else s >= minimum
-                    if window:
-                        ok &= (at < asked[i]) & (asked[i] < at + window[2])
-                    cand = np.flatnonzero(ok)
-                    if len(cand) > k:
-                        kth = np.partition(s[cand], len(cand) - k)[len(cand) - k]
-                        cand = cand[s[cand] >= kth]
-                    best = cand[np.lexsort((tie[cand], -s[cand]))][:k]
-                    take = pa.array(best)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([qids[i].as_py()] * len(best), qids.type),
-                            *[col.take(take) for col in key_cols],
-                            pa.array(s[best], pa.float64()),
-                        ],
-                        names=["query_id", *keys, "score"],
-                    )
+                    asked = b.column("qat")[r].values.to_numpy(zero_copy_only=False)[:, None]
+                    ok &= (at < asked) & (asked < at + window[2])
+                names = qids.to_numpy(zero_copy_only=False)
+                yield from best_rows(names, sims, ok, ids, keys, k, qids.type)
 
     scored = joined.mapInArrow(score, f"query_id {qtype}, {fields}, score double")
     return top_k(scored, k, [F.desc("score"), *keys])

@@ -449,7 +449,7 @@ _XSS = "(?is)" + "|".join(f"(?:{p})" for p in K.XSS_PATTERNS).replace("'", "''")
 @query("xss_detection", f"SELECT page_id, regexp_matches(html, '{_XSS}') AS xss FROM pages UNION ALL SELECT -doc_id - 1, regexp_matches(text, '{_XSS}') FROM documents")
 def _(spark, d):
     p = t(spark, d, "pages").select("page_id", X.has_xss(F.col("html")).alias("xss"))
-    return p.unionByName(t(spark, d, "documents").select((-F.col("doc_id") - 1).alias("page_id"), X.has_xss(F.col("text")).alias("xss")))
+    return p.unionByName(I.documents(spark, d).select((-F.col("doc_id") - 1).alias("page_id"), X.has_xss(F.col("text")).alias("xss")))
 
 
 @query("html_escape", "SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS escaped_key FROM pages")
@@ -496,7 +496,7 @@ _FIELDS = """f AS (SELECT doc_id, source, regexp_extract(text, '[^ \\n]+@[^ \\n]
 
 def fields(spark, d):
     """E-mail-like and phone-like strings of each text with its attributes."""
-    return t(spark, d, "documents").select(
+    return I.documents(spark, d).select(
         "doc_id", "source", "text", F.regexp_extract("text", r"[^ \n]+@[^ \n]+", 0).alias("email"), F.regexp_extract("text", "[0-9]{7,}", 0).alias("phone"),
         F.when(F.col("doc_id") % 9 == 0, "x").otherwise(F.col("n_chars").cast("string")).alias("size"), "lang", F.left("text", F.lit(5)).alias("pw"),
     )
