@@ -159,7 +159,10 @@ def prompts(questions: DataFrame, contexts: DataFrame, history: DataFrame, model
 
 # ------------------------------------------------------------------------------ verification
 def context_coverage(answer: Column, context: Column) -> Column:
-    """Share of distinct answer three-token phrases (4 characters and more) found in the context."""
+    """Share of distinct answer three-word phrases (4 characters and more) found in the context.
+
+    CJK text has no word breaks: there every run of five characters is a phrase.
+    """
     words = F.filter(
         F.split(F.regexp_replace(F.lower(answer), r"(?U)([一-鿿])", " $1 "), r"(?U)\s+"), lambda w: F.length(w) > 0
     )
@@ -168,7 +171,8 @@ def context_coverage(answer: Column, context: Column) -> Column:
             F.sequence(F.lit(1), F.greatest(F.size(ws) - 2, F.lit(1))),
             lambda i: F.when(F.size(ws) >= 3, F.array_join(F.slice(ws, i, 3), "")),
         )
-        phrases = F.array_distinct(F.filter(grams, lambda g: F.length(g) >= 4))
+        cjk = F.regexp_extract_all(F.lower(answer), F.lit("(?=([一-鿿]{5}))"), F.lit(1))
+        phrases = F.array_distinct(F.concat(F.filter(grams, lambda g: F.length(g) >= 4), cjk))
         hit = F.filter(phrases, lambda g: F.lower(context).contains(g))
         return F.when(F.size(phrases) > 0, F.size(hit) / F.size(phrases)).otherwise(0.0)
 

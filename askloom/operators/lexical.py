@@ -142,19 +142,20 @@ def bm25_search(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                terms_, ids = b.column("terms")[r].values, b.column("ids")[r].values
+                term, lists = b.column("terms")[r].values.flatten()  # flatten respects slices
+                ids = b.column("ids")[r].values
                 dl = b.column("dl")[r].values.to_numpy().astype(np.float64)
-                tid = pc.index_in(b.column("toks")[r].values, value_set=terms_.field("term"))
+                tid = pc.index_in(b.column("toks")[r].values, value_set=term)
                 tid = pc.fill_null(tid, -1).to_numpy(zero_copy_only=False)
                 row = np.repeat(np.arange(len(dl)), dl.astype(np.int64))
                 seen = tid >= 0
                 pair, tf = np.unique(tid[seen].astype(np.int64) * len(dl) + row[seen], return_counts=True)
                 which, at = pair // len(dl), pair % len(dl)
                 part = term_weight(tf, dl[at], b.column("avg_dl")[r].as_py())
-                lists = terms_.field("q")
-                off, q = lists.offsets.to_numpy(), lists.values
-                qids, qix = np.unique(q.field("query_id").to_numpy(zero_copy_only=False), return_inverse=True)
-                w = q.field("w").to_numpy()
+                off = lists.offsets.to_numpy()
+                asked, w = lists.flatten().flatten()
+                qids, qix = np.unique(asked.to_numpy(zero_copy_only=False), return_inverse=True)
+                w = w.to_numpy()
                 sums = np.zeros((len(qids), len(dl)))
                 cuts = np.flatnonzero(np.diff(which, prepend=-1))
                 for lo, hi in zip(cuts, np.append(cuts[1:], len(which))):
@@ -162,7 +163,7 @@ def bm25_search(
                     mine = slice(off[t] - off[0], off[t + 1] - off[0])
                     sums[np.ix_(qix[mine], at[lo:hi])] += np.outer(w[mine], part[lo:hi])
                 sums = np.round(sums, 4)
-                yield from best_rows(qids, sums, sums > 0, ids, keys, k, q.field("query_id").type)
+                yield from best_rows(qids, sums, sums > 0, ids, keys, k, asked.type)
 
     scored = joined.mapInArrow(score, f"query_id {qtype}, {fields}, score double")
     return top_k(scored, k, [F.desc("score"), *keys])
@@ -170,7 +171,7 @@ def bm25_search(
 
 def best_rows(qids, scores, allowed, ids, keys, k, qtype) -> Iterator[pa.RecordBatch]:
     """The k best allowed columns of each score row as (query_id, keys, score) batches, ties by key."""
-    key_cols = [ids.field(name) for name in keys]
+    key_cols = ids.flatten()
     order = pc.sort_indices(
         pa.table(key_cols, names=keys), sort_keys=[(name, "ascending") for name in keys]
     ).to_numpy()

@@ -100,7 +100,7 @@ def vector_scores_topk(
                 sims = np.round(q @ c.T, 6) + 0.0
                 ok = np.ones(sims.shape, dtype=bool) if minimum is None else sims >= minimum
                 if window:
-                    at = ids.field(window[1]).to_numpy(zero_copy_only=False)
+                    at = ids.flatten()[keys.index(window[1])].to_numpy(zero_copy_only=False)
                     asked = b.column("qat")[r].values.to_numpy(zero_copy_only=False)[:, None]
                     ok &= (at < asked) & (asked < at + window[2])
                 names = qids.to_numpy(zero_copy_only=False)
