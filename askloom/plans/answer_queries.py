@@ -224,16 +224,16 @@ def _(spark, d):
     return H.recent_turns(messages(spark, d), 4).select("session_id", "turn", "role")
 
 
-@query("managed_history", f"""WITH {_MSG}, {_NEED}, {_FIT}, {_RECENT}, sm AS (SELECT DISTINCT session_id FROM msg WHERE session_id % 2 = 0),
+@query("managed_history", f"""WITH {_MSG}, {_NEED}, {_FIT}, {_RECENT}, sm AS (SELECT DISTINCT session_id FROM msg WHERE role = 'summary'),
 nn AS (SELECT session_id FROM rec GROUP BY session_id HAVING count(*) >= 2)
 SELECT session_id, turn, role FROM msg JOIN need USING (session_id) WHERE NOT compress
 UNION ALL SELECT session_id, -1, 'system' FROM need JOIN sm USING (session_id) WHERE compress
 UNION ALL SELECT session_id, turn, role FROM fit JOIN need USING (session_id) WHERE compress AND session_id NOT IN (SELECT session_id FROM sm)
 UNION ALL SELECT session_id, turn, role FROM rec JOIN need USING (session_id) JOIN nn USING (session_id) WHERE compress AND r <= 2""")
 def _(spark, d):
-    """Every second session has a stored summary."""
+    """Sessions with a summary turn have a stored summary."""
     m = messages(spark, d)
-    summaries = m.where("session_id % 2 = 0").select("session_id").distinct().withColumn("content", F.lit("summary"))
+    summaries = m.where("role = 'summary'").select("session_id").distinct().withColumn("content", F.lit("summary"))
     return H.managed_history(m, summaries).select("session_id", "turn", "role")
 
 

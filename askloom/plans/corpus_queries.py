@@ -661,16 +661,17 @@ def _(spark, d):
 
 # ------------------------------------------------------------------------------ embedding bookkeeping
 def _cache(spark, d):
-    """Vectors stored for two models: of every third and every fifth document."""
-    x = I.documents(spark, d)
-    a = x.where("doc_id % 3 = 0").select(F.lit("m1").alias("model"), F.lit(64).alias("dim"), F.md5("text").alias("content_key"))
-    b = x.where("doc_id % 5 = 0").select(F.lit("m2").alias("model"), F.lit(64).alias("dim"), F.md5("text").alias("content_key"))
-    return a.unionByName(b).distinct()
+    """Stored vectors: model m1 has the documents of ``embeddings``, model m2 those of ``labels``."""
+    x = I.documents(spark, d).select("doc_id", F.md5("text").alias("content_key"))
+    of = lambda name, key, model: x.join(
+        I.table(spark, d, name).select(F.col(key).alias("doc_id")), "doc_id", "left_semi"
+    ).select(F.lit(model).alias("model"), F.lit(64).alias("dim"), "content_key")
+    return of("embeddings", "vec_id", "m1").unionByName(of("labels", "doc_id", "m2")).distinct()
 
 
 @query("embedding_backlog", """
 SELECT md5(text) AS content_key, any_value(length(text)) AS chars FROM documents WHERE regexp_matches(text, '\\S')
-GROUP BY text HAVING md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0)""")
+GROUP BY text HAVING md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))""")
 def _(spark, d):
     return E.backlog(I.documents(spark, d), _cache(spark, d), "m1", 64).select("content_key", long(F.length("text")).alias("chars"))
 

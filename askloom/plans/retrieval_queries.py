@@ -450,9 +450,9 @@ SELECT query_id, document_id, parent_id, rerank_score, rank FROM (
 def _(spark, d):
     hits = R.backfill_parents(vector_hits(spark, d), I.parents(spark, d))
     # stands for the stored reply of a rerank model, which skips every fourth position
-    scores = hits.where("rank % 4 <> 0").select(
+    scores = hits.select(
         "query_id", F.col("rank").alias("position"),
-        F.round((F.length("content") % 97) / 97.0, 6).alias("rerank_score"),
+        F.when(F.col("rank") % 4 != 0, F.round((F.length("content") % 97) / 97.0, 6)).alias("rerank_score"),
     )
     return R.apply_external_scores(hits, scores, 5).select(
         "query_id", "document_id", "parent_id", "rerank_score", "rank"
