@@ -134,21 +134,14 @@ def expand_split_groups(
         .join(slots, "query_id")
         .join(question_vectors, "query_id")
     )
-    cand = wanted.join(chunks, "split_group_id").join(
-        hits.select("query_id", "document_id").distinct(), ["query_id", "document_id"], "left_anti"
-    )
-    scored = cand.select(
-        "query_id", "split_group_id", "slots", *CHILD_KEY, "child_content",
-        V.cosine(F.col("qvec"), F.col("embedding")).alias("score"),
-    )
-    in_group = Window.partitionBy("query_id", "split_group_id").orderBy(F.desc("score"), *CHILD_KEY)
-    cut = scored.withColumn("_r", F.row_number().over(in_group)).where(F.col("_r") <= F.col("slots"))
+    # never more than ten free slots, by the formula above
+    cut = VS.search_groups(wanted, chunks, hits, 10, CHILD_KEY).withColumnRenamed("rank", "_r")
+    cut = cut.join(slots, "query_id").where(F.col("_r") <= F.col("slots"))
     parent = Window.partitionBy("query_id", "split_group_id", *KEY).orderBy("_r")
     best = cut.withColumn("_p", F.row_number().over(parent)).where("_p = 1")
     used = Window.partitionBy("query_id").orderBy("split_group_id", "_r")
-    return best.withColumn("_u", F.row_number().over(used)).where(
-        F.col("_u") <= F.col("slots")
-    ).drop("_r", "_p", "_u", "slots")
+    chosen = best.withColumn("_u", F.row_number().over(used)).where(F.col("_u") <= F.col("slots"))
+    return chosen.drop("_r", "_p", "_u", "slots").join(chunks.select(*CHILD_KEY, "child_content"), CHILD_KEY)
 
 
 def merge_hits(originals: DataFrame, extra: DataFrame, k: Column | None = None, discount: float = 1.0):

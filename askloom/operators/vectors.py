@@ -6,28 +6,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from askloom.functions import vector as V
 from askloom.operators.lexical import best_rows, top_k
 from askloom.operators.sizes import broadcast_if
 
 QUESTION_BLOCK = 1024
 
 
-def _packed_questions(questions: DataFrame, vec: str, blocks: int, at: str | None) -> DataFrame:
+def _packed_questions(
+    questions: DataFrame, vec: str, blocks: int, at: str | None, group: str | None, without: str | None
+) -> DataFrame:
     """Questions spread over ``blocks`` rows of packed vectors."""
     return (
         questions.where(F.size(vec) > 0)
         .select(
             F.pmod(F.xxhash64("query_id"), F.lit(blocks).cast("bigint")).alias("block"), "query_id",
             F.col(vec).alias("v"), (F.col(at) if at else F.lit(0)).cast("bigint").alias("at"),
+            (F.col(group) if group else F.lit("")).alias("grp"),
+            (F.col(without) if without else F.array()).cast("array<bigint>").alias("out"),
         )
         .groupBy("block")
-        .agg(F.collect_list(F.struct("query_id", "at", "v")).alias("q"))
+        .agg(F.collect_list(F.struct("query_id", "at", "v", "grp", "out")).alias("q"))
         .select(
             "block", F.col("q.query_id").alias("qids"), F.col("q.at").alias("qat"),
+            F.col("q.grp").alias("qgrp"), F.col("q.out").alias("qout"),
             F.flatten("q.v").alias("qmat"),
         )
     )
@@ -67,6 +72,7 @@ def vector_scores_topk(
     questions: DataFrame, chunks: DataFrame, k: int, keys: list[str],
     qvec: str = "qvec", vec: str = "embedding", block: int = QUESTION_BLOCK,
     window: tuple[str, str, int] | None = None, minimum: float | None = None,
+    within: tuple[str, str] | None = None, exclude: tuple[str, str] | None = None,
 ) -> DataFrame:
     """(query_id, keys, score, rank): exact cosine top-k, ties by key, scores to 6 decimals.
 
@@ -76,17 +82,22 @@ def vector_scores_topk(
     size; they are broadcast when the counted questions are few and shuffled by block when not.
 
     ``window`` = (question time, key time, length) keeps vectors with time < question time < time
-    + length; ``minimum`` drops lower scores.
+    + length; ``minimum`` drops lower scores. ``within`` = (question column, key) keeps vectors of the
+    question's own group, ``exclude`` = (question array column, key) drops listed ids.
     """
     n_questions = questions.count()
     blocks = max(1, -(-n_questions // block))
     packed = broadcast_if(
-        _packed_questions(questions, qvec, blocks, window[0] if window else None), n_questions
+        _packed_questions(
+            questions, qvec, blocks, window[0] if window else None,
+            within[0] if within else None, exclude[0] if exclude else None,
+        ),
+        n_questions,
     )
     tiles = _pack_chunks(chunks, keys, vec).withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
     )
-    joined = tiles.join(packed, "block").select("qids", "qat", "qmat", "ids", "cmat", "dim")
+    joined = tiles.join(packed, "block").select("qids", "qat", "qgrp", "qout", "qmat", "ids", "cmat", "dim")
     qtype = questions.schema["query_id"].dataType.simpleString()
     fields = ",".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in keys)
 
@@ -103,6 +114,16 @@ def vector_scores_topk(
                     at = ids.flatten()[keys.index(window[1])].to_numpy(zero_copy_only=False)
                     asked = b.column("qat")[r].values.to_numpy(zero_copy_only=False)[:, None]
                     ok &= (at < asked) & (asked < at + window[2])
+                if within:
+                    own = ids.flatten()[keys.index(within[1])]
+                    groups = b.column("qgrp")[r].as_py()
+                    member = {
+                        g: pc.fill_null(pc.equal(own, g), False).to_numpy(zero_copy_only=False) for g in set(groups)
+                    }
+                    ok &= np.stack([member[g] for g in groups])
+                if exclude:
+                    key = ids.flatten()[keys.index(exclude[1])].to_numpy(zero_copy_only=False)
+                    ok &= np.stack([~np.isin(key, out) for out in b.column("qout")[r].as_py()])
                 names = qids.to_numpy(zero_copy_only=False)
                 yield from best_rows(names, sims, ok, ids, keys, k, qids.type)
 
@@ -123,19 +144,25 @@ def best_child_per_parent(hits: DataFrame) -> DataFrame:
 
 
 def search_groups(
-    wanted: DataFrame, chunks: DataFrame, hit_documents: DataFrame, k, keys: list[str],
-    qvec: str = "qvec", vec: str = "embedding",
+    wanted: DataFrame, chunks: DataFrame, hit_documents: DataFrame, k: int, keys: list[str],
+    qvec: str = "qvec", vec: str = "embedding", dim: int | None = None,
 ) -> DataFrame:
     """Top-k per (question, group) inside given split groups, leaving out documents already hit.
 
-    ``wanted`` is (query_id, split_group_id, qvec); without ``qvec`` every score is 0 and the
-    first rows by key are returned.
+    ``wanted`` is (query_id, split_group_id, qvec); without ``qvec`` (then give ``dim``) every score is 0
+    and the first rows by key are returned. Groups can be large, so they are scored tile by tile
+    like the whole corpus; a question's rows of a group are never listed.
     """
-    cand = wanted.join(chunks, "split_group_id").join(
-        hit_documents.select("query_id", "document_id").distinct(),
-        ["query_id", "document_id"], "left_anti",
+    out = hit_documents.groupBy("query_id").agg(F.collect_set("document_id").alias("_out"))
+    vector = F.col(qvec) if qvec in wanted.columns else F.array_repeat(F.lit(0.0), dim).cast("array<float>")
+    asked = wanted.join(out, "query_id", "left").select(
+        F.concat_ws("\u0001", "query_id", "split_group_id").alias("_q"), "query_id", "split_group_id",
+        vector.alias("qvec"), F.coalesce("_out", F.array().cast("array<bigint>")).alias("_out"),
+    )
+    found = vector_scores_topk(
+        asked.select(F.col("_q").alias("query_id"), "split_group_id", "qvec", "_out"), chunks, k,
+        [*keys, "split_group_id"], vec=vec, within=("split_group_id", "split_group_id"), exclude=("_out", "document_id"),
+    )
+    return found.withColumnRenamed("query_id", "_q").join(asked.select("_q", "query_id"), "_q").select(
+        "query_id", "split_group_id", *keys, "score", "rank"
     )
-    score = V.cosine(F.col(qvec), F.col(vec)) if qvec in wanted.columns else F.lit(0.0)
-    out = cand.select("query_id", "split_group_id", *keys, score.alias("score"))
-    w = Window.partitionBy("query_id", "split_group_id").orderBy(F.desc("score"), *keys)
-    return out.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)

@@ -169,7 +169,7 @@ WHERE rank <= 3""")
 def _(spark, d):
     _, emb, hits = group_question_vectors(spark, d)
     wanted = hits.select("query_id", "split_group_id").distinct()
-    return VS.search_groups(wanted, emb, hits, 3, ["document_id"])
+    return VS.search_groups(wanted, emb, hits, 3, ["document_id"], dim=64)
 
 
 # ------------------------------------------------------------------------------ fusion
