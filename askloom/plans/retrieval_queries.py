@@ -18,15 +18,11 @@ CK = R.CHILD_KEY
 
 def vector_hits(spark, d, k=15):
     """Best 15 children of every question, one per parent, with text and group."""
-    chunks = I.children(I_spark(spark), d, embedded=True)
+    chunks = I.children(spark, d, embedded=True)
     qv = I.questions(spark, d).select("query_id", V.hashed_embedding(F.col("question")).alias("qvec"))
     return VS.best_child_per_parent(VS.vector_scores_topk(qv, chunks, k, CK))
 
 
-def I_spark(spark):
-    return spark
-
-
 # ------------------------------------------------------------------------------ lexical
 @query("tokenize_documents", f"""
 SELECT doc_id, term, count(*) AS tf FROM
