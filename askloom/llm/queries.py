@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.llm import revisits, url_filters
+from askloom.llm import labelled, lev_toxicity, revisits, subword_quality, superminhash, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +142,36 @@ def op10_url_filters(spark, d):
     """Every page's URL under four rules; without a rule the verdict is ``allow``."""
     rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
     return url_filters.judge_urls(table(spark, d, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+# ------------------------------------------------------------------------------ 9 near-duplicates
+@query("op9_superminhash")
+def op9_superminhash(spark, d):
+    """Every document with its shingle count, component and whether it stays."""
+    return superminhash.near_duplicates(table(spark, d, "documents"))
+
+
+# ------------------------------------------------------------------------------ 4 quality, 5 toxicity
+QUALITY_FROM = 0.3
+TOXIC_FROM = 0.5
+
+
+def _judged(scores: DataFrame, least: float) -> DataFrame:
+    return scores.select(
+        "doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= least).cast("int").alias("predicted"),
+    )
+
+
+@query("op4_subword_quality")
+def op4_subword_quality(spark, d):
+    """Quality score of every document."""
+    docs = table(spark, d, "documents")
+    return _judged(subword_quality.score(docs, subword_quality.train(docs, table(spark, d, "labels"))), QUALITY_FROM)
+
+
+@query("op5_lev_toxicity")
+def op5_lev_toxicity(spark, d):
+    """Toxicity score of every document."""
+    docs = table(spark, d, "documents")
+    return _judged(lev_toxicity.score(docs, lev_toxicity.train(docs, table(spark, d, "labels"))), TOXIC_FROM)
