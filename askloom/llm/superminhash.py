@@ -210,7 +210,7 @@ def _small_pairs(members: DataFrame) -> DataFrame:
 
 def _pivot_pairs(hot: DataFrame, round_: int) -> DataFrame:
     """Each member of a large bucket with that round's pivot, where both are still in different components."""
-    rank = F.struct(F.xxhash64("id", F.lit(round_)) if round_ else F.col("id"), F.col("id"), F.col("component"))
+    rank = F.struct((F.xxhash64("id", F.lit(round_)) if round_ else F.col("id")).alias("rank"), "id", "component")
     pivots = stored(hot.groupBy("key").agg(F.min(rank).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.component").alias("of")), "pivots")
     return (
         hot.join(pivots, "key").where("component <> of")
