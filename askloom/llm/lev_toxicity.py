@@ -13,9 +13,11 @@ are each scored; an empty table gives no rows; only id and text are read.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ from askloom.llm import textbytes as B
 SAMPLE_ROWS = 20000  # labelled documents the fit may see, both classes together
 TERMS = 20000  # most terms of a lexicon
 LEAST_DOCUMENTS = 4  # toxic documents a term must occur in
+LEAST_WEIGHT = 1.3  # cautious log odds from which a word is a term
+LEAST_GAIN = 10.0  # log likelihood a term must win over chance; chance terms of 10 000 words stay rare
 CAUTION = 1.64  # standard errors taken off a term's log odds
 WINDOW = 24  # words of one context window
 QUOTED = 0.25  # share of a hit's weight that counts inside a quotation
@@ -79,17 +83,20 @@ class Lexicon:
     def __init__(self, terms: dict[str, float], known: frozenset[str], discount: float):
         self.terms, self.known, self.discount = terms, known, discount
         self.root: dict = {}
-        self.ends: set[str] = set()
+        self.parts: dict[str, set[tuple[int, int]]] = {}
         for t in sorted(terms):
             node = self.root
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = t
-            if edits(len(t)):
-                # within few edits of a term, a word keeps one of its (edits + 1) equal parts in place
-                cuts = [len(t) * i // (edits(len(t)) + 1) for i in range(edits(len(t)) + 2)]
-                self.ends.update(t[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
-        self.sizes = sorted({len(e) for e in self.ends})
+            if k := edits(len(t)):
+                # within k edits of a term, a word keeps one of the term's k + 1 parts, moved by k at most
+                cuts = [len(t) * i // (k + 1) for i in range(k + 2)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    for moved in range(max(a - k, 0), a + k + 1):
+                        for n in range(len(t) - k, len(t) + k + 1):
+                            self.parts.setdefault(t[a:b], set()).add((moved, n))
+        self.sizes = sorted({len(p) for p in self.parts})
         self.cache: dict[str, float] = {}
 
     def near(self, word: str) -> list[tuple[int, str]]:
@@ -107,7 +114,13 @@ class Lexicon:
         return sorted(found)
 
     def _may_be_near(self, word: str) -> bool:
-        return any(word[i : i + n] in self.ends for n in self.sizes for i in range(len(word) - n + 1))
+        """Whether a part of some term of fitting length stands in the word where it should."""
+        parts, m = self.parts, len(word)
+        for n in self.sizes:
+            for i in range(m - n + 1):
+                if (found := parts.get(word[i : i + n])) and (i, m) in found:
+                    return True
+        return False
 
     def weight(self, word: str) -> float:
         """A term's weight, a misspelled term's share of it, or 0."""
@@ -127,36 +140,53 @@ class Lexicon:
         return w
 
 
-def evidence(text: str, lexicon: Lexicon) -> float:
-    """Weight of the strongest window of a text, quoted hits counting little."""
-    words = _WORD.findall(text.lower())
-    cache, weight = lexicon.cache, lexicon.weight
-    if not any([cache[w] if w in cache else weight(w) for w in words]):
-        return 0.0
-    hits, at, inside, report, unit = [], 0, False, -REPORTING - 1, {}
+def evidence(text: str, lexicon: Lexicon) -> tuple[float, float, float]:
+    """Weight of a text's strongest window, weight of its other terms, and log of its words.
+
+    Each term counts once in a window; hits inside a quotation or right after a reporting word count
+    ``QUOTED`` of their weight.
+    """
+    hits, at, inside, report, held = [], 0, False, -REPORTING - 1, {}
     for part in _PART.findall(text.lower()):
         if part in OPENING or part in CLOSING:
             inside = not inside if part == '"' else part in OPENING and not inside
             continue
         if part in REPORTS:
             report = at
-        if w := weight(part):
-            quoted = inside or (at - report <= REPORTING)
-            hits.append((at, w * (QUOTED if quoted else 1.0), part))
+        if w := lexicon.weight(part):
+            hits.append((at, w * (QUOTED if inside or at - report <= REPORTING else 1.0), part))
         at += 1
     best, lo, total = 0.0, 0, 0.0
     for i, (_, w, term) in enumerate(hits):
-        n = unit[term] = unit.get(term, 0) + 1
-        total += w if n == 1 else 0.0
+        held[term] = held.get(term, 0) + 1
+        total += w if held[term] == 1 else 0.0
         while hits[i][0] - hits[lo][0] > WINDOW:
             gone = hits[lo]
-            unit[gone[2]] -= 1
-            if not unit[gone[2]]:
+            held[gone[2]] -= 1
+            if not held[gone[2]]:
                 total -= gone[1]
             lo += 1
         best = max(best, total)
     spread = sum({t: w for _, w, t in hits}.values())
-    return best + 0.5 * max(spread - best, 0.0)
+    return best, max(spread - best, 0.0), math.log1p(at)
+
+
+def evidences(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
+    """Evidence of each text. Distinct tokens are asked first; only texts with a hit are read in context."""
+    data, off = B.utf8(column)
+    starts, ends, first = B.words(data, off)
+    codes, hashes = pd.factorize(B.span_hashes(data, starts, ends))
+    at = np.zeros(len(hashes), np.int64)
+    at[codes[::-1]] = np.arange(len(codes))[::-1]
+    raw, weight = data.tobytes(), lexicon.weight
+    hit = np.array([any([weight(w) for w in _WORD.findall(raw[starts[i] : ends[i]].decode("utf-8", "replace").lower())]) for i in at], bool)
+    hits = np.concatenate(([0], np.cumsum(hit[codes] if len(codes) else np.zeros(0, bool))))
+    words = np.diff(first)
+    out = np.zeros((len(off) - 1, 3))
+    out[:, 2] = np.log1p(words)
+    for i in np.flatnonzero(hits[first[1:]] > hits[first[:-1]]):
+        out[i] = evidence(column[int(i)].as_py(), lexicon)
+    return out
 
 
 def _term_counts(sample: DataFrame) -> DataFrame:
@@ -177,21 +207,25 @@ def _term_counts(sample: DataFrame) -> DataFrame:
     )
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = SAMPLE_ROWS) -> tuple[dict[str, float], frozenset[str], float, tuple[float, float]]:
-    """Term weights, clean words near terms, the share a misspelling keeps, and the score's slope and offset.
+def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = SAMPLE_ROWS) -> tuple[dict[str, float], frozenset[str], float, np.ndarray]:
+    """Term weights, clean words near terms, the share a misspelling keeps, and the score's weights.
 
     Term counts are made by Spark over the bounded sample; what reaches the driver is at most
-    ``TERMS`` terms, the sample's clean words near them, and one number per sampled document.
+    ``TERMS`` terms, the sample's clean words near them, and three numbers per sampled document.
     """
     chosen = labelled.sample(docs, labels, target, rows).select("text", "label")
     sizes = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
-        return {}, frozenset(), 0.5, (1.0, -3.0)
+        return {}, frozenset(), 0.5, PRIOR
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0))
     sure = odds - CAUTION * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    share, both = n1 / (n1 + n0), F.col("toxic") + F.col("clean")
+    gain = F.col("toxic") * F.log(F.col("toxic") / (both * share)) + F.when(
+        F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - share)))
+    ).otherwise(0.0)
     counts = _term_counts(chosen)
-    best = counts.where((F.col("toxic") >= LEAST_DOCUMENTS) & (sure > 0.25) & (F.col("toxic") > 4 * F.col("clean") * n1 / n0))
+    best = counts.where((F.col("toxic") >= LEAST_DOCUMENTS) & (sure > LEAST_WEIGHT) & (gain > LEAST_GAIN) & (F.col("toxic") > 4 * F.col("clean") * n1 / n0))
     terms = {r["term"]: r["w"] for r in best.select("term", sure.alias("w")).orderBy(F.desc("w"), "term").limit(TERMS).collect()}
     lexicon = Lexicon(terms, frozenset(), 0.5)
 
@@ -211,38 +245,52 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
     def told(batches):
         for whole in batches:
             for b in B.slices(whole, "text"):
-                e = [evidence(x, lexicon) for x in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(e, pa.float64())], names=["label", "e"])
+                e = evidences(b.column("text"), lexicon)
+                yield pa.RecordBatch.from_arrays([b.column("label"), *[pa.array(c) for c in e.T]], names=["label", "x", "y", "z"])
+
+    seen = chosen.mapInArrow(told, "label int, x double, y double, z double").toPandas()
+    seen = seen.sort_values(list(seen.columns))
+    return terms, known, discount, calibrated(seen[["x", "y", "z"]].to_numpy(), seen["label"].to_numpy(float))
+
+
+PRIOR = np.array([1.5, 0.5, -0.1, -3.0])  # evidence weights and offset the fit is drawn towards
+
 
-    seen = chosen.mapInArrow(told, "label int, e double").toPandas().sort_values(["label", "e"])
-    return terms, known, discount, _calibrated(seen["e"].to_numpy(), seen["label"].to_numpy(float), n1, n0)
+def calibrated(x: np.ndarray, y: np.ndarray, pull: float = 4.0, steps: int = 30) -> np.ndarray:
+    """Logistic weights of the evidence and an offset, classes weighing alike, by Newton steps."""
+    x = np.column_stack((x, np.ones(len(x))))
+    share = np.where(y == 1, len(y) / (2 * max(y.sum(), 1)), len(y) / (2 * max((1 - y).sum(), 1)))
 
+    def loss(w):
+        z = x @ w
+        return (share * (np.logaddexp(0, z) - y * z)).sum() + pull / 2 * ((w - PRIOR) ** 2).sum()
 
-def _calibrated(e: np.ndarray, y: np.ndarray, n1: int, n0: int) -> tuple[float, float]:
-    """Slope and offset of a logistic curve over the evidence, drawn towards (2, -3), classes balanced."""
-    a, b = 2.0, -3.0
-    weight = np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * n0))
-    for _ in range(500):
-        p = 1 / (1 + np.exp(-np.clip(a * e + b, -50, 50)))
-        g = weight * (p - y)
-        a -= 0.2 * ((g * e).mean() / max(1.0, float((e**2).mean())) + 0.002 * (a - 2.0))
-        b -= 0.2 * (g.mean() + 0.002 * (b + 3.0))
-    return float(max(a, 0.05)), float(b)
+    w = PRIOR.copy()
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (share * (p - y)) + pull * (w - PRIOR)
+        curve = (x * (share * p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
+    return w
 
 
-def score(docs: DataFrame, model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, columns of ``keep``, score) of every document, in one narrow pass over whole texts."""
+def score(docs: DataFrame, model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), out: str = "score") -> DataFrame:
+    """(key, columns of ``keep``, ``out``) of every document, in one narrow pass over whole texts."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TERMS
     names = list(dict.fromkeys([key, *keep]))
+    read = text if text in names else "_text"
 
     def run(batches):
-        terms, known, discount, (a, b) = held.value
+        terms, known, discount, fitted = held.value
         lexicon = Lexicon(terms, known, discount)
         for whole in batches:
-            for batch in B.slices(whole, "_text"):
-                e = np.array([evidence(t, lexicon) if t else 0.0 for t in batch.column("_text").to_pylist()])
-                yield B.with_columns(batch, names, score=pa.array(1 / (1 + np.exp(-np.clip(a * e + b, -60, 60)))))
+            for batch in B.slices(whole, read):
+                z = evidences(batch.column(read), lexicon) @ fitted[:3] + fitted[3]
+                yield B.with_columns(batch, names, **{out: pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))})
 
-    rows = docs.select(*names, F.col(text).alias("_text"))
+    rows = docs.select(*names, *([] if text in names else [F.col(text).alias("_text")]))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
-    return rows.mapInArrow(run, f"{kinds}, score double")
+    return rows.mapInArrow(run, f"{kinds}, `{out}` double")

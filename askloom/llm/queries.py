@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.llm import labelled, lev_toxicity, revisits, subword_quality, superminhash, url_filters
+from askloom.llm import byte_bpe, labelled, lev_toxicity, packing, revisits, subword_quality, superminhash, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -175,3 +176,30 @@ def op5_lev_toxicity(spark, d):
     """Toxicity score of every document."""
     docs = table(spark, d, "documents")
     return _judged(lev_toxicity.score(docs, lev_toxicity.train(docs, table(spark, d, "labels"))), TOXIC_FROM)
+
+
+# ------------------------------------------------------------------------------ 7 byte-level BPE, 8 packing
+END_ID = 0
+
+
+@query("op7_byte_bpe")
+def op7_byte_bpe(spark, d):
+    """Digests of every document's ids and of the bytes they decode to."""
+    tokens = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    told = byte_bpe.decode(byte_bpe.encode(table(spark, d, "documents"), tokens), tokens)
+    return told.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark, d):
+    """Pieces of every document with their places in sequences of 2048 tokens."""
+    return packed_documents(table(spark, d, "documents"))
+
+
+def packed_documents(docs: DataFrame) -> DataFrame:
+    tokens = byte_bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(byte_bpe.encode(docs, tokens, offsets=False, last=END_ID))

@@ -145,16 +145,17 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
     return (table @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, columns of ``keep``, score) of every document, in one narrow pass over whole texts."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), out: str = "score") -> DataFrame:
+    """(key, columns of ``keep``, ``out``) of every document, in one narrow pass over whole texts."""
     logits, bias = model
     held = docs.sparkSession.sparkContext.broadcast(logits)  # BUCKETS numbers of 4 bytes
     names = list(dict.fromkeys([key, *keep]))
+    read = text if text in names else "_text"
 
     def run(batches):
         for whole in batches:
-            for batch in B.slices(whole, "_text"):
-                data, off = B.utf8(batch.column("_text"))
+            for batch in B.slices(whole, read):
+                data, off = B.utf8(batch.column(read))
                 first, codes, tokens, again = distinct_tokens(data, off)
                 z = np.zeros(len(off) - 1)
                 if tokens:
@@ -165,8 +166,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id",
                     n = count[first[1:]] - count[first[:-1]]
                     z = (each[first[1:]] - each[first[:-1]]) / np.maximum(n, 1)
                 p = 1 / (1 + np.exp(-np.clip(z + bias, -60, 60)))
-                yield B.with_columns(batch, names, score=pa.array(p))
+                yield B.with_columns(batch, names, **{out: pa.array(p)})
 
-    rows = docs.select(*names, F.col(text).alias("_text"))
+    rows = docs.select(*names, *([] if text in names else [F.col(text).alias("_text")]))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
-    return rows.mapInArrow(run, f"{kinds}, score double")
+    return rows.mapInArrow(run, f"{kinds}, `{out}` double")
