@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.llm import byte_bpe, labelled, lev_toxicity, packing, revisits, subword_quality, superminhash, url_filters
+from askloom.llm import byte_bpe, labelled, lev_toxicity, packing, permutation_index, revisits, subword_quality, superminhash, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -203,3 +203,15 @@ def op8_best_fit_packing(spark, d):
 def packed_documents(docs: DataFrame) -> DataFrame:
     tokens = byte_bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(byte_bpe.encode(docs, tokens, offsets=False, last=END_ID))
+
+
+# ------------------------------------------------------------------------------ 3 nearest neighbours
+QUERY_EVERY = 50
+NEIGHBOURS = 5
+
+
+@query("op3_permutation_index")
+def op3_permutation_index(spark, d):
+    """The nearest found of every vector whose id is divisible by 50."""
+    vectors = table(spark, d, "embeddings")
+    return permutation_index.nearest(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0), NEIGHBOURS)
