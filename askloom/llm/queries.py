@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.llm import byte_bpe, labelled, lev_toxicity, packing, permutation_index, revisits, subword_quality, superminhash, url_filters
+from askloom.llm import (
+    byte_bpe, host_paths, labelled, lev_toxicity, packing, permutation_index, revisits, subword_quality, superminhash, url_filters,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -215,3 +217,10 @@ def op3_permutation_index(spark, d):
     """The nearest found of every vector whose id is divisible by 50."""
     vectors = table(spark, d, "embeddings")
     return permutation_index.nearest(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0), NEIGHBOURS)
+
+
+# ------------------------------------------------------------------------------ 6 main text
+@query("op6_host_paths")
+def op6_host_paths(spark, d):
+    """Main text of every page."""
+    return host_paths.extract(table(spark, d, "pages")).withColumn("n_chars", F.length("text").cast("long"))
