@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by alternating stars.
+"""Connected components of a table of links: union-find inside tasks, alternating stars between them.
 
 Every pass is two grouped minima and joins over the links alone; nothing is gathered on the driver
 but two numbers that tell whether the links still change.
@@ -6,6 +6,7 @@ but two numbers that tell whether the links still change.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +24,29 @@ def _both(links: DataFrame) -> DataFrame:
     return links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def _forest(batches):
+    """Union-find over one task's links: each node with the smallest node it reaches there."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root.setdefault(up, up)
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    pairs = [(x, r) for x in root if (r := find(x)) != x]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"]
+    )
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (a, b); the component is its smallest node."""
-    now = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    now = stored(links.where("a <> b").select("a", "b").mapInArrow(_forest, "a long, b long").distinct(), "links")
     seen = None
     while True:
         told = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askloom.llm import (
-    byte_bpe, host_paths, labelled, lev_toxicity, packing, permutation_index, revisits, subword_quality, superminhash, url_filters,
+    byte_bpe, host_paths, labelled, lev_toxicity, order_minhash, packing, permutation_index, revisits, subword_quality,
+    superminhash, url_filters,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +225,10 @@ def op3_permutation_index(spark, d):
 def op6_host_paths(spark, d):
     """Main text of every page."""
     return host_paths.extract(table(spark, d, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+# ------------------------------------------------------------------------------ 1 Order MinHash
+@query("op1_order_minhash")
+def op1_order_minhash(spark, d):
+    """Fingerprints of every document and of its edited text, with their likeness."""
+    return order_minhash.fingerprint_edits(table(spark, d, "documents"))

@@ -28,7 +28,9 @@ from askloom.operators.sizes import broadcast_if
 WIDTH = 5
 SLOTS = 128
 BANDS = 32  # of four slots: a pair at 0.75 shares none with probability 5e-6
-ALL_PAIRS = 24  # larger buckets are linked through pivots, round by round
+ALL_PAIRS = 24  # larger buckets are linked through two members first
+BLOCK = 2048  # members of a large bucket compared at once
+BEST = 8  # partners a stray may have in one block
 LEAST = 0.5  # estimated likeness under which a pair at 0.75 is out of reach (over 6 sigma)
 IDS_BROADCAST = 1_000_000  # 8 bytes each
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -165,18 +167,18 @@ def shingle_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, shingles binary")
 
 
-def _likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in at least ``LEAST`` of their positions."""
+def _marks(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SLOTS)
+
+
+def _likely(pairs: DataFrame) -> DataFrame:
+    """(a, b) of pairs (a, b, ma, mb) whose signatures agree in at least ``LEAST`` of their positions."""
 
     def run(batches):
         for b in batches:
-            x = np.frombuffer(b"".join(b.column("ma").to_pylist()), np.uint8).reshape(-1, SLOTS)
-            y = np.frombuffer(b"".join(b.column("mb").to_pylist()), np.uint8).reshape(-1, SLOTS)
-            yield b.filter(pa.array((x == y).mean(axis=1) >= LEAST)).select(["a", "b"])
+            yield b.filter(pa.array((_marks(b.column("ma")) == _marks(b.column("mb"))).mean(axis=1) >= LEAST)).select(["a", "b"])
 
-    left = marks.select(F.col("id").alias("a"), F.col("marks").alias("ma"))
-    right = marks.select(F.col("id").alias("b"), F.col("marks").alias("mb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -198,46 +200,89 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _small_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of the buckets of at most ``ALL_PAIRS`` members; their lists are bounded."""
-    listed = members.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    pair = F.flatten(
-        F.transform(
-            "ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))
-        )
+    """Likely pairs of the buckets of at most ``ALL_PAIRS`` members; their lists are bounded."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for m in batch.column("m").to_pylist():
+                ids = np.array([x["id"] for x in m])
+                marks = np.frombuffer(b"".join(x["marks"] for x in m), np.uint8).reshape(-1, SLOTS)
+                i, j = np.triu_indices(len(ids), 1)
+                near = (marks[i] == marks[j]).mean(axis=1) >= LEAST
+                found.append(np.column_stack((ids[i[near]], ids[j[near]])))
+            pairs = np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    listed = members.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.collect_list(F.struct("id", "marks")).alias("m"))
+    return listed.select("m").mapInArrow(run, "a long, b long")
+
+
+def _pivot_pairs(members: DataFrame) -> DataFrame:
+    """Likely pairs of each member of a large bucket with the bucket's smallest id and one other."""
+    hot = members.where(F.col("n") > ALL_PAIRS)
+    pivots = hot.groupBy("key").agg(
+        F.min(F.struct("id", "marks")).alias("p"),
+        F.min(F.struct(F.xxhash64("id", "key").alias("rank"), "id", "marks")).alias("q"),
+    )
+    met = hot.join(stored(pivots, "pivots"), "key")
+    return _likely(
+        met.select("id", "marks", F.explode(F.array(F.struct("p.id", "p.marks"), F.struct("q.id", "q.marks"))).alias("o"))
+        .where(F.col("id") != F.col("o.id"))
+        .select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"), F.col("marks").alias("ma"), F.col("o.marks").alias("mb"))
     )
-    return listed.select(F.explode(pair).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _pivot_pairs(hot: DataFrame, round_: int) -> DataFrame:
-    """Each member of a large bucket with that round's pivot, where both are still in different components."""
-    rank = F.struct((F.xxhash64("id", F.lit(round_)) if round_ else F.col("id")).alias("rank"), "id", "component")
-    pivots = stored(hot.groupBy("key").agg(F.min(rank).alias("p")).select("key", F.col("p.id").alias("pivot"), F.col("p.component").alias("of")), "pivots")
-    return (
-        hot.join(pivots, "key").where("component <> of")
-        .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+def _stray_pairs(members: DataFrame, groups: DataFrame) -> DataFrame | None:
+    """Likely pairs between a large bucket's components, where it still holds several.
+
+    Members outside the bucket's largest component are its strays. Each block of members meets the
+    strays in one vectorised comparison and gives each stray's ``BEST`` likeliest partners of other
+    components; both sides are salted into blocks, so no group grows with the bucket.
+    """
+    told = stored(
+        members.where(F.col("n") > ALL_PAIRS).join(groups.withColumnRenamed("node", "id"), "id", "left")
+        .select("key", "n", "id", "marks", F.coalesce("component", "id").alias("component")),
+        "told",
+    )
+    parts = told.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    whole = parts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"))
+    mixed = stored(whole.where("top.m < all").select("key", F.col("top.component").alias("main"), (F.col("all") - F.col("top.m")).alias("strays")), "mixed")
+    if mixed.isEmpty():
+        return None
+    held = told.join(mixed, "key")
+    across, down = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("strays") / BLOCK)
+    left = held.select(
+        "key", F.pmod(F.xxhash64("id"), across).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), down - 1)).alias("y"), "id", "marks", "component"
+    )
+    right = held.where("component <> main").select(
+        "key", F.explode(F.sequence(F.lit(0).cast("long"), across - 1)).alias("x"), F.pmod(F.xxhash64("id"), down).alias("y"), "id", "marks", "component"
     )
 
+    def run(group, strays):
+        pairs = []
+        if len(group) and len(strays):
+            u, ids, of = _marks(group.column("marks")), np.asarray(group.column("id")), np.asarray(group.column("component"))
+            for x, m, c in zip(strays.column("id").to_pylist(), _marks(strays.column("marks")), strays.column("component").to_pylist(), strict=True):
+                near = (u == m).mean(axis=1)
+                near[of == c] = 0
+                best = np.argsort(-near, kind="stable")[:BEST]
+                pairs += [(min(x, int(ids[i])), max(x, int(ids[i]))) for i in best if near[i] >= LEAST]
+        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-def _labelled(hot: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members with their present component, in buckets that still hold more than one."""
-    told = hot.select("key", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component")
-    )
-    told = stored(told, "told")
-    mixed = told.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    return stored(told.join(stored(mixed.select("key"), "mixed"), "key"), "hot")
+    by = ["key", "x", "y"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of ``docs``.
 
     Copies are grouped by their sets' 128-bit sums before any comparison. Buckets of up to
-    ``ALL_PAIRS`` classes are compared in full. A larger bucket, which is nearly always one group of
-    near copies, is linked through a pivot per round: members already in the pivot's component need
-    no comparison, and rounds go on (at most ``rounds``) while they find links. What is then still
-    apart is cut finer by pairs of bands and compared in full inside those.
+    ``ALL_PAIRS`` classes are compared in full. A larger bucket, nearly always one group of near
+    copies, is first linked through two of its members; what that leaves in other components is
+    then compared with the whole bucket, block by block.
     """
-    spark = docs.sparkSession
     prints = stored(fingerprints(docs, key, text), "prints")
     same = ["set_a", "set_b", "n_shingles"]
     classes = stored(
@@ -247,45 +292,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ro
     )
     keys = classes.select("id", F.explode("bands").alias("key"))
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(keys.join(sizes, "key"), "members")
-    ids = members.select("id").distinct()
-    ids = stored(ids, "ids")
-    marks = stored(classes.select("id", "marks").join(broadcast_if(ids, n_ids := ids.count(), IDS_BROADCAST), "id", "left_semi"), "marks")
-    sets = stored(
-        shingle_sets(docs.join(broadcast_if(ids.withColumnRenamed("id", key), n_ids, IDS_BROADCAST), key, "left_semi"), key, text)
-        .dropDuplicates(["id"]),
-        "sets",
-    )
+    members = stored(keys.join(sizes, "key").join(classes.select("id", "marks"), "id"), "members")
+    ids = stored(members.select("id").distinct(), "ids")
+    wanted = broadcast_if(ids.withColumnRenamed("id", key), ids.count(), IDS_BROADCAST)
+    sets = stored(shingle_sets(docs.join(wanted, key, "left_semi"), key, text).dropDuplicates(["id"]), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return stored(_confirmed(_likely(pairs, marks), sets), "confirmed")
+        return stored(_confirmed(pairs.distinct(), sets), "confirmed")
 
-    links = linked(_small_pairs(members))
-    hot = members.where(F.col("n") > ALL_PAIRS)
+    links = linked(_small_pairs(members).unionByName(_pivot_pairs(members)))
     groups = components(links)
-    hot = _labelled(hot, groups)
-    for r in range(rounds):
-        if hot.isEmpty():
-            break
-        more = linked(_pivot_pairs(hot, r))
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        groups = components(links)
-        hot = _labelled(hot, groups)
-    if not hot.isEmpty():
-        finer = (
-            hot.join(classes.select("id", "bands"), "id")
-            .select("id", "key", "component", F.explode("bands").alias("band"))
-            .select("id", "component", F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"))
-            .distinct()
-        )
-        finer = stored(finer, "finer")
-        many = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        finer = stored(finer.join(stored(many.where("lo < hi").select("key", "n"), "many"), "key"), "members")
-        more = linked(_small_pairs(finer).unionByName(_pivot_pairs(finer.where(F.col("n") > ALL_PAIRS), rounds)).distinct())
-        links = links.unionByName(more)
-        groups = components(links)
+    more = _stray_pairs(members, groups)
+    if more is not None:
+        more = linked(more)
+        if not more.isEmpty():
+            groups = components(links.unionByName(more))
     named = stored(
         classes.select(*same, "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
         .select(*same, F.coalesce("component", "id").alias("component_id")),
