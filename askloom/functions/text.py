@@ -188,7 +188,7 @@ def is_list_item(line: Column) -> Column:
 
 def looks_like_toc(text: Column) -> Column:
     hits = F.filter(
-        F.transform(F.slice(_lines(strip(text)), 1, 20), strip),
+        F.transform(_lines(strip(text)), strip),
         lambda l: l.rlike(r"[.·•]{3,}|\.{2,}\s*\d+$|^.{2,30}\s+\d{1,4}$"),
     )
     return F.size(hits) >= 3
@@ -196,7 +196,7 @@ def looks_like_toc(text: Column) -> Column:
 
 def looks_like_references(text: Column) -> Column:
     hits = F.filter(
-        F.transform(F.slice(_lines(strip(text)), 1, 15), strip),
+        F.transform(_lines(strip(text)), strip),
         lambda l: l.rlike(r"^\[\d+\]") | (l.rlike(r"^\d+\.\s") & (F.length(l) > 20)),
     )
     return F.size(hits) >= 3

@@ -41,7 +41,7 @@ def merge_group_contexts(contexts: DataFrame) -> DataFrame:
     )
     out = merged.withColumn(
         "child_content",
-        F.when(F.col("source_count") > 1, F.left("content", F.lit(500))).otherwise(F.col("child_content")),
+        F.when(F.col("source_count") > 1, F.col("content")).otherwise(F.col("child_content")),
     ).drop("_key")
     return rerank_rows(out, [F.desc("score"), "rank"])
 

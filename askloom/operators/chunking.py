@@ -212,11 +212,9 @@ def distinct_parents(chunks: DataFrame) -> DataFrame:
 def split_large_text(
     docs: DataFrame, text: str = "text", limit: int = K.SECTION_MAX_CHARS, target: int = K.SECTION_TARGET_CHARS
 ) -> DataFrame:
-    """Texts above ``limit`` as parts of whole paragraphs of about ``target`` characters."""
-    big = docs.where(F.length(text) > limit)
-    return big.select(
-        "document_id", F.posexplode(folds.pack(F.split(text, "\n\n"), target)).alias("n", "part")
-    ).select("document_id", (F.col("n") + 1).cast("bigint").alias("part_no"), "part")
+    """Texts above ``limit`` as parts of whole paragraphs of about ``target`` characters; others are part 1."""
+    parts = F.when(F.length(text) > limit, folds.pack(F.split(text, "\n\n"), target)).otherwise(F.array(text))
+    return docs.select("document_id", F.posexplode(parts).alias("n", "part")).select("document_id", (F.col("n") + 1).cast("bigint").alias("part_no"), "part")
 
 
 def split_by_lines(docs: DataFrame, text: str = "text", target: int = K.SECTION_TARGET_CHARS) -> DataFrame:
@@ -279,23 +277,21 @@ def section_bounds(entries: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def section_chars(sections: DataFrame, pages: DataFrame) -> DataFrame:
-    """Estimated characters: mean of the first three pages times the number of pages.
+    """Characters of each section's pages.
 
-    Each section asks for its sample pages by number, so the join is an equi-join.
+    Running sums over a document's pages give every range as a difference of two page look-ups, so a
+    section asks for two pages however long it is.
     """
-    sample = sections.withColumn(
-        "page_no",
-        F.explode(F.sequence("start_page", F.least(F.col("start_page") + 2, F.col("end_page")))),
+    sums = running(
+        pages.select("doc_id", "page_no", F.length("text").cast("bigint").alias("_len")), ["doc_id"], "page_no",
+        {"_upto": ("sum", F.col("_len"))},
     )
-    est = (
-        sample.join(pages.select("doc_id", "page_no", F.length("text").alias("_len")), ["doc_id", "page_no"])
-        .groupBy("doc_id", "entry_no")
-        .agg(F.avg("_len").alias("_avg"))
+    ends = sums.select("doc_id", F.col("page_no").alias("end_page"), "_upto")
+    starts = sums.select("doc_id", F.col("page_no").alias("start_page"), (F.col("_upto") - F.col("_len")).alias("_before"))
+    return (
+        sections.join(ends, ["doc_id", "end_page"], "left").join(starts, ["doc_id", "start_page"], "left")
+        .select(*sections.columns, F.coalesce(F.col("_upto") - F.col("_before"), F.lit(0)).cast("bigint").alias("chars"))
     )
-    return sections.join(est, ["doc_id", "entry_no"], "left").withColumn(
-        "chars",
-        F.floor(F.coalesce("_avg", F.lit(0.0)) * (F.col("end_page") - F.col("start_page") + 1)).cast("bigint"),
-    ).drop("_avg")
 
 
 _SEC = "struct<number:bigint,title:string,category:string,start_page:bigint,end_page:bigint,chars:bigint>"
@@ -380,11 +376,11 @@ def split_large_sections(
     )
 
 
-def fallback_ranges(pages: DataFrame, target: int = K.SECTION_TARGET_CHARS, sample: int = 10, max_pages: int = 20):
-    """Equal page ranges from the mean size of the first pages (0-based, end exclusive)."""
+def fallback_ranges(pages: DataFrame, target: int = K.SECTION_TARGET_CHARS, max_pages: int = 20):
+    """Equal page ranges from the mean size of a document's pages (0-based, end exclusive)."""
     per_doc = pages.groupBy("doc_id").agg(
         F.count("*").alias("total_pages"),
-        F.avg(F.when(F.col("page_no") < sample, F.length("text"))).alias("_avg"),
+        F.avg(F.length("text")).alias("_avg"),
     )
     avg = F.coalesce(F.nullif("_avg", F.lit(0.0)), F.lit(1000.0))
     per = F.least(F.lit(max_pages), F.greatest(F.lit(1), F.floor(F.lit(target) / avg)))
@@ -434,13 +430,13 @@ def pair_small_sections(sections: DataFrame, minimum: int = K.SECTION_MIN_CHARS)
     )
 
 
-def split_large_heading_sections(sections: DataFrame, limit: int = K.SECTION_MAX_CHARS, target: int = K.SECTION_TARGET_CHARS, max_parts: int = 3):
-    """Large sections in parts of at least 10 paragraphs; more than three parts leave it whole."""
+def split_large_heading_sections(sections: DataFrame, limit: int = K.SECTION_MAX_CHARS, target: int = K.SECTION_TARGET_CHARS):
+    """Every section above the limit in parts of at least 10 paragraphs."""
     paras = F.col("end_page") - F.col("start_page") + 1
     avg = F.coalesce(F.nullif(F.col("chars") / paras, F.lit(0.0)), F.lit(100.0))
     per = F.greatest(F.lit(10), F.floor(F.lit(target) / avg))
     parts = F.ceil(paras / per)
-    cut = (F.col("chars") > limit) & (parts <= max_parts)
+    cut = F.col("chars") > limit
     rows = sections.withColumns({"_per": per, "_avg": avg, "_cut": cut, "_parts": F.when(cut, parts).otherwise(1)})
     rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_parts").cast("int") - 1)))
     first = F.when(F.col("_cut"), F.col("start_page") + F.col("_j") * F.col("_per")).otherwise(F.col("start_page"))

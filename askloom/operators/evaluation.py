@@ -19,7 +19,7 @@ def relevance(golden: DataFrame, hits: DataFrame, text: str = "text") -> DataFra
         "matched",
         F.array_union(
             found(F.col("expected_keywords")),
-            F.transform(found(F.col("expected_content")), lambda c: F.left(c, F.lit(40))),
+            found(F.col("expected_content")),
         ),
     ).withColumn("relevant", F.size("matched") > 0)
 
@@ -36,9 +36,7 @@ def question_metrics(golden: DataFrame, judged: DataFrame) -> DataFrame:
     m = F.coalesce("_m", F.array().cast("array<string>"))
     rel = F.coalesce("relevant_count", F.lit(0))
     needed = F.greatest(F.lit(2), F.floor(expected * 0.5))
-    wanted = F.concat(
-        F.col("expected_keywords"), F.transform("expected_content", lambda c: F.left(c, F.lit(40)))
-    )
+    wanted = F.concat("expected_keywords", "expected_content")
     return golden.join(agg, "query_id", "left").select(
         "query_id", "difficulty", "category",
         F.coalesce("retrieved", F.lit(0)).cast("bigint").alias("retrieved"),

@@ -37,15 +37,15 @@ def newest_that_fit(messages: DataFrame, budget: int = K.HISTORY_BUDGET) -> Data
     return rows.where(F.col("_sum") <= budget).drop("_sum")
 
 
-def load_history(messages: DataFrame, budget: int = K.HISTORY_LOAD_BUDGET, rows: int = K.HISTORY_LOAD_ROWS, summary_role: str = "summary") -> DataFrame:
-    """The first 200 messages, from the last summary on, as many as fit from the front."""
-    w = Window.partitionBy("session_id").orderBy("turn")
-    first = with_tokens(messages).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= rows)
-    last = Window.partitionBy("session_id")
-    mark = F.max(F.when(F.col("role") == summary_role, F.col("turn"))).over(last)
-    start = first.withColumn("_m", mark).where(F.col("_m").isNull() | (F.col("turn") >= F.col("_m")))
-    total = F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return start.withColumn("_sum", total).where(F.col("_sum") <= budget).drop("_n", "_m", "_sum")
+def load_history(messages: DataFrame, budget: int = K.HISTORY_LOAD_BUDGET, summary_role: str = "summary") -> DataFrame:
+    """The messages of a session from its last summary on, as many as fit the budget from the front.
+
+    The summary's turn is a grouped maximum and the sum runs in blocks, so long sessions spread.
+    """
+    mark = messages.where(F.col("role") == summary_role).groupBy("session_id").agg(F.max("turn").alias("_m"))
+    start = with_tokens(messages).join(mark, "session_id", "left").where(F.col("_m").isNull() | (F.col("turn") >= F.col("_m"))).drop("_m")
+    rows = running(start, ["session_id"], "turn", {"_sum": ("sum", F.col("tokens"))})
+    return rows.where(F.col("_sum") <= budget).drop("_sum")
 
 
 def recent_turns(messages: DataFrame, n: int = 4) -> DataFrame:

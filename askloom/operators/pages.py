@@ -114,16 +114,14 @@ def paragraph_fold(paras: DataFrame) -> DataFrame:
     return paras.select("doc_id", F.aggregate(items, start, step)["keep"].alias("keep"))
 
 
-def document_route(pages: DataFrame, sample: int = 5) -> DataFrame:
-    """editable / mixed / scanned by the share of scanned-looking pages among the first valid ones."""
-    w = Window.partitionBy("doc_id").orderBy("page_no")
-    first = pages.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= sample)
+def document_route(pages: DataFrame) -> DataFrame:
+    """editable / mixed / scanned by the share of scanned-looking pages among all pages."""
     s = X.strip(F.coalesce("text", F.lit("")))
     n, q = F.length(s), X.quality_score(s)
     editable = (n > 100) & (q >= 0.15)
     scanned = ~editable & ((n < 10) | (q < 0.08))
     return (
-        first.groupBy("doc_id")
+        pages.groupBy("doc_id")
         .agg(F.avg(editable.cast("int")).alias("editable_ratio"), F.avg(scanned.cast("int")).alias("scanned_ratio"))
         .withColumn(
             "route",

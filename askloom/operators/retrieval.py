@@ -225,20 +225,22 @@ def hybrid_scores(
     ).drop("wb", "full_bm25", "parent_bm25", "rank")
 
 
-def keyword_rescue(questions: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """At most one parent per question that strong single terms find and the hits lack.
+def keyword_rescue(
+    questions: DataFrame, hits: DataFrame, chunks: DataFrame, terms_used: int = 5, hits_per_term: int = 2, parents_added: int = 1
+) -> DataFrame:
+    """Parents, ``parents_added`` per question, that strong single terms find and the hits lack.
 
-    The first five terms (length two and more) each bring their BM25 top 2. A parent's score adds
+    The first ``terms_used`` terms (length two and more) each bring their BM25 top ``hits_per_term``. A parent's score adds
     0.7 per normalized match, +0.25 from the second match on, capped at 1.5, in term order.
     """
     terms = questions.select(
         "query_id", "question", "intent",
-        F.posexplode(F.slice(X.tokens(F.col("question"), ()), 1, 5)).alias("pos", "term"),
+        F.posexplode(F.slice(X.tokens(F.col("question"), ()), 1, terms_used)).alias("pos", "term"),
     )
     single = terms.select(
         F.col("term").alias("query_id"), F.col("term").alias("question")
     ).distinct()
-    found = L.bm25_search(single, chunks, 2, CHILD_KEY, "child_content").withColumnRenamed(
+    found = L.bm25_search(single, chunks, hits_per_term, CHILD_KEY, "child_content").withColumnRenamed(
         "query_id", "term"
     )
     top = F.max("score").over(Window.partitionBy("term"))
@@ -259,7 +261,7 @@ def keyword_rescue(questions: DataFrame, hits: DataFrame, chunks: DataFrame) ->
     )
     strong = steps.select("query_id", *KEY, "child_id", F.round(score, 9).alias("kw")).where("kw >= 0.6")
     missing = strong.join(hits.select("query_id", *KEY), ["query_id", *KEY], "left_anti")
-    best = L.top_k(missing, 1, [F.desc("kw"), *KEY]).drop("rank")
+    best = L.top_k(missing, parents_added, [F.desc("kw"), *KEY]).drop("rank")
     q = questions.select(
         "query_id", lexical_weight(F.col("intent"), F.col("question")).alias("wb")
     )

@@ -212,7 +212,7 @@ def _(spark, d):
     return H.newest_that_fit(messages(spark, d)).select("session_id", "turn", "role")
 
 
-@query("history_load", f"""WITH {_MSG}, f AS (SELECT * FROM msg QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn) <= 200),
+@query("history_load", f"""WITH {_MSG}, f AS (SELECT * FROM msg),
 s AS (SELECT *, max(turn) FILTER (role = 'summary') OVER (PARTITION BY session_id) AS m FROM f),
 t AS (SELECT *, sum(tokens) OVER (PARTITION BY session_id ORDER BY turn) AS tot FROM s WHERE m IS NULL OR turn >= m) SELECT session_id, turn, role FROM t WHERE tot <= 3000""")
 def _(spark, d):
@@ -325,7 +325,7 @@ _GOLD = dict(gold=f"""SELECT item_id AS query_id, text AS question, list_filter(
    CASE item_id % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty, 'c' || (item_id % 4) AS category FROM benchmark""")
 _JUDGE = dict(
     top5="SELECT query_id, document_id, rank, lower(parent_content) AS t FROM bm25_ranked JOIN parents USING (document_id, parent_id) WHERE rank <= 5",
-    jd="""SELECT t.query_id, rank, list_distinct(list_concat(list_filter(kw, lambda k: contains(t, lower(k))), CASE WHEN contains(t, lower(question)) THEN [left(question, 40)] ELSE []::VARCHAR[] END)) AS m
+    jd="""SELECT t.query_id, rank, list_distinct(list_concat(list_filter(kw, lambda k: contains(t, lower(k))), CASE WHEN contains(t, lower(question)) THEN [question] ELSE []::VARCHAR[] END)) AS m
       FROM top5 t JOIN gold USING (query_id)""",
     ag="""SELECT query_id, count(*) AS retrieved, count(*) FILTER (len(m) > 0) AS relevant_count, min(rank) FILTER (len(m) > 0) AS f, len(list_distinct(flatten(list(m)))) AS mm FROM jd GROUP BY query_id""",
     met="""SELECT query_id, difficulty, category, coalesce(retrieved, 0) AS retrieved, coalesce(relevant_count, 0) AS relevant_count,

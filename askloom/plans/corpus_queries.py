@@ -205,8 +205,8 @@ def _kw(words) -> str:
     return "(" + " OR ".join(f"contains(lower(s), '{w.lower()}')" for w in words) + ")"
 
 
-_TOCLIKE = r"len(list_filter(list_transform(string_split(s, chr(10))[1:20], lambda z: trim(z)), lambda z: regexp_matches(z, '[.·•]{3,}|\.{2,}\s*\d+$|^.{2,30}\s+\d{1,4}$'))) >= 3"
-_REFLIKE = r"len(list_filter(list_transform(string_split(s, chr(10))[1:15], lambda z: trim(z)), lambda z: regexp_matches(z, '^\[\d+\]') OR (regexp_matches(z, '^\d+\.\s') AND length(z) > 20))) >= 3"
+_TOCLIKE = r"len(list_filter(list_transform(string_split(s, chr(10)), lambda z: trim(z)), lambda z: regexp_matches(z, '[.·•]{3,}|\.{2,}\s*\d+$|^.{2,30}\s+\d{1,4}$'))) >= 3"
+_REFLIKE = r"len(list_filter(list_transform(string_split(s, chr(10)), lambda z: trim(z)), lambda z: regexp_matches(z, '^\[\d+\]') OR (regexp_matches(z, '^\d+\.\s') AND length(z) > 20))) >= 3"
 
 
 @query("page_classes", f"""
@@ -252,7 +252,7 @@ _QS = r"""CASE WHEN n < 10 THEN 0.0 WHEN (len(regexp_extract_all(s, '[0-9]')) +
 
 
 @query("document_route", f"""
-WITH {_PAGE}, f AS (SELECT *, length(s) AS n FROM pg QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_no) <= 5),
+WITH {_PAGE}, f AS (SELECT *, length(s) AS n FROM pg),
 q AS (SELECT doc_id, n > 100 AND {_QS} >= 0.15 AS ed, n < 10 OR {_QS} < 0.08 AS sc FROM f),
 a AS (SELECT doc_id, avg(ed::INT) AS e, avg((NOT ed AND sc)::INT) AS s FROM q GROUP BY doc_id)
 SELECT doc_id, round(e, 6) AS editable_ratio, round(s, 6) AS scanned_ratio,
@@ -322,12 +322,12 @@ def _(spark, d):
     return I.lines(spark, d).groupBy(long(X.heading_level(F.col("line"))).alias("level")).agg(F.count("*").alias("lines"))
 
 
-# Markdown-like view of the corpus: every fifth line of a text becomes a heading, so that heading
-# blocks, clauses and packing meet real structure.
+# Markdown-like view of the corpus: a heading line is put before every fifth line of a text, so that
+# heading blocks, clauses and packing meet real structure.
 def structured(df):
     marked = F.transform(
         F.split("text", "\n"),
-        lambda l, i: F.when(i % 5 == 2, F.concat(F.lit("## "), F.left(l, F.lit(40))))
+        lambda l, i: F.when(i % 5 == 2, F.concat(F.lit("## Part "), i.cast("string"), F.lit("\n"), l))
         .when(i % 7 == 3, F.concat(F.lit("("), (i % 9 + 1).cast("string"), F.lit(") "), l))
         .when(i % 11 == 5, F.concat(l, F.lit("\n")))
         .otherwise(l),
@@ -335,7 +335,7 @@ def structured(df):
     return df.withColumn("text", F.array_join(marked, "\n"))
 
 
-_STRUCT = """st AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CASE WHEN (i - 1) % 5 = 2 THEN '## ' || left(l, 40)
+_STRUCT = """st AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CASE WHEN (i - 1) % 5 = 2 THEN '## Part ' || (i - 1) || chr(10) || l
    WHEN (i - 1) % 7 = 3 THEN '(' || ((i - 1) % 9 + 1) || ') ' || l WHEN (i - 1) % 11 = 5 THEN l || chr(10) ELSE l END), chr(10)) AS text FROM documents)"""
 _LINES = "ln AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM st)"
 
@@ -374,10 +374,10 @@ def _(spark, d):
     return _exploded(structured(docs(spark, d)), C.pack_paragraphs(F.col("text")), "parent_no")
 
 
-@query("oversized_blocks", f"WITH {_STRUCT}, {_LINES}, pr AS (SELECT doc_id, {_PARS('text')} AS u FROM ln WHERE length(text) > 3000) " + _rows(_pack("u", 1500), "part_no", "pr"))
+@query("oversized_blocks", f"WITH {_STRUCT}, {_LINES}, pr AS (SELECT doc_id, {_PARS('text')} AS u, text FROM ln) " + _rows("CASE WHEN length(text) > 3000 THEN " + _pack("u", 1500) + " ELSE [text] END", "part_no", "pr"))
 def _(spark, d):
-    x = structured(docs(spark, d)).where(F.length("text") > 2 * K.PARENT_CHARS)
-    return _exploded(x, C.pack_paragraphs(F.col("text")), "part_no")
+    big = F.length("text") > 2 * K.PARENT_CHARS
+    return _exploded(structured(docs(spark, d)), F.when(big, C.pack_paragraphs(F.col("text"))).otherwise(F.array("text")), "part_no")
 
 
 _TINY = """list_reduce(list_transform(bl, lambda u: {'done': []::VARCHAR[], 'buf': [u]}), lambda a, b:
@@ -453,7 +453,7 @@ def _(spark, d):
 
 
 # ------------------------------------------------------------------------------ file splitting
-@query("split_large_text", f"WITH {_STRUCT}, pr AS (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS u FROM st WHERE length(text) > 4000) " + _rows(_pack("u", 1000), "part", "pr").replace("i - 1 AS part", "i AS part_no"))
+@query("split_large_text", f"WITH {_STRUCT}, pr AS (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS u, text FROM st) " + _rows("CASE WHEN length(text) > 4000 THEN " + _pack("u", 1000) + " ELSE [text] END", "part", "pr").replace("i - 1 AS part", "i AS part_no"))
 def _(spark, d):
     return C.split_large_text(structured(docs(spark, d)), limit=4000, target=1000).select(
         F.col("document_id").alias("doc_id"), "part_no", F.md5("part").alias("content_key"), long(F.length("part")).alias("chars")
@@ -471,16 +471,16 @@ def _(spark, d):
 # Contents pages of the corpus: every document lists its lines as numbered entries.
 def toc_lines(spark, d):
     l = I.lines(spark, d)
-    head = F.left(F.regexp_replace("line", "[^a-zA-Z ]", ""), F.lit(15))
-    entry = F.when(F.col("line_no") % 4 == 0, head).otherwise(
+    head = F.regexp_replace("line", "[^a-zA-Z ]", "")
+    entry = F.when(F.col("line_no") % 4 == 0, F.concat(F.lit("Part "), F.col("line_no").cast("string"))).otherwise(
         F.concat((F.col("line_no") % 99 + 1).cast("string"), F.lit(" "), head, F.lit(" ... "), (F.col("line_no") * 2 + 1).cast("string"))
     )
     return l.select("doc_id", "line_no", entry.alias("line"))
 
 
 _TOC = r"""
-l AS (SELECT doc_id, i - 1 AS line_no, left(regexp_replace(ls[i], '[^a-zA-Z ]', '', 'g'), 15) AS h FROM (SELECT doc_id, string_split(text, chr(10)) ls FROM documents), unnest(range(1, len(ls) + 1)) u(i)),
-t AS (SELECT doc_id, line_no, trim(CASE WHEN line_no % 4 = 0 THEN h ELSE (line_no % 99 + 1) || ' ' || h || ' ... ' || (line_no * 2 + 1) END) AS s FROM l),
+l AS (SELECT doc_id, i - 1 AS line_no, regexp_replace(ls[i], '[^a-zA-Z ]', '', 'g') AS h FROM (SELECT doc_id, string_split(text, chr(10)) ls FROM documents), unnest(range(1, len(ls) + 1)) u(i)),
+t AS (SELECT doc_id, line_no, trim(CASE WHEN line_no % 4 = 0 THEN 'Part ' || line_no ELSE (line_no % 99 + 1) || ' ' || h || ' ... ' || (line_no * 2 + 1) END) AS s FROM l),
 e AS (SELECT *, regexp_matches(s, '^(\d{1,2})[\.、]?\s+(.+)\s+(\d{1,3})$') AS m FROM t WHERE length(s) > 0),
 c AS (SELECT *, last_value(CASE WHEN NOT m AND NOT regexp_matches(s, '^\d') AND length(s) < 20 THEN s END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS cat FROM e),
 toc AS (SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS entry_no,
@@ -491,8 +491,8 @@ pg AS (SELECT doc_id, i - 1 AS page_no, ls[i] AS text, len(ls) AS total FROM (SE
 tot AS (SELECT doc_id, max(total) AS total_pages FROM pg GROUP BY doc_id),
 b0 AS (SELECT toc.*, total_pages, greatest(0, least(page_in_toc - 1, total_pages - 1)) AS start_page, lead(page_in_toc) OVER (PARTITION BY doc_id ORDER BY entry_no) AS nx FROM toc JOIN tot USING (doc_id)),
 bounds AS (SELECT * EXCLUDE (nx), greatest(start_page, least(coalesce(nx - 2, total_pages - 1), total_pages - 1)) AS end_page FROM b0),
-est AS (SELECT b.doc_id, entry_no, avg(length(text)) AS a FROM bounds b JOIN pg p ON p.doc_id = b.doc_id AND p.page_no BETWEEN start_page AND least(start_page + 2, end_page) GROUP BY ALL),
-sec AS (SELECT b.*, floor(coalesce(a, 0) * (end_page - start_page + 1))::BIGINT AS chars FROM bounds b LEFT JOIN est USING (doc_id, entry_no))
+est AS (SELECT b.doc_id, entry_no, sum(length(text)) AS a FROM bounds b JOIN pg p ON p.doc_id = b.doc_id AND p.page_no BETWEEN start_page AND end_page GROUP BY ALL),
+sec AS (SELECT b.*, coalesce(a, 0)::BIGINT AS chars FROM bounds b LEFT JOIN est USING (doc_id, entry_no))
 """
 
 
@@ -538,7 +538,7 @@ def _(spark, d):
 
 @query("fallback_page_ranges", """
 WITH pg AS (SELECT doc_id, i - 1 AS page_no, ls[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) ls FROM documents), unnest(range(1, len(ls) + 1)) u(i)),
-a AS (SELECT doc_id, count(*) AS n, coalesce(nullif(avg(length(text)) FILTER (page_no < 10), 0), 1000) AS av FROM pg GROUP BY doc_id),
+a AS (SELECT doc_id, count(*) AS n, coalesce(nullif(avg(length(text)), 0), 1000) AS av FROM pg GROUP BY doc_id),
 b AS (SELECT *, least(20, greatest(1, floor(2000 / av)))::BIGINT AS per FROM a)
 SELECT doc_id, j + 1 AS part_no, j * per AS start_page, least((j + 1) * per, n) AS end_page FROM b, unnest(range(0, ceil(n / per)::BIGINT)) u(j)""")
 def _(spark, d):
@@ -568,7 +568,7 @@ def _(spark, d):
 
 
 @query("split_large_heading_sections", f"""WITH {_PARA}, z AS (SELECT *, end_page - start_page + 1 AS n, greatest(10, floor(100 / coalesce(nullif(chars / (end_page - start_page + 1), 0), 100)))::BIGINT AS per FROM hs),
-y AS (SELECT *, chars > 400 AND ceil(n / per) <= 3 AS cut, ceil(n / per)::BIGINT AS parts FROM z)
+y AS (SELECT *, chars > 400 AS cut, ceil(n / per)::BIGINT AS parts FROM z)
 SELECT doc_id, entry_no, j + 1 AS part_no, CASE WHEN cut THEN start_page + j * per ELSE start_page END AS start_page,
   CASE WHEN cut THEN least(start_page + (j + 1) * per - 1, end_page) ELSE end_page END AS end_page FROM y, unnest(range(0, CASE WHEN cut THEN parts ELSE 1 END)) u(j)""")
 def _(spark, d):
@@ -734,7 +734,7 @@ def _stored_chunks(spark, d):
 
 
 @query("child_vector_rows", """
-SELECT 'doc' || doc_id || '_p0_c0' AS id, doc_id AS document_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS split_group_id, length(left(text, 4000)) AS chars
+SELECT 'doc' || doc_id || '_p0_c0' AS id, doc_id AS document_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS split_group_id, length(text) AS chars
 FROM documents JOIN embeddings ON vec_id = doc_id""")
 def _(spark, d):
     good, _ = S.child_rows(*_stored_chunks(spark, d), dim=64)

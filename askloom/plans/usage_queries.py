@@ -491,14 +491,14 @@ def _(spark, d):
     return t(spark, d, "documents").select("doc_id", m.alias("m")).select("doc_id", F.md5(F.col("m")["body"]).alias("body_key"), F.md5(F.col("m")["source"]).alias("source_key"))
 
 
-_FIELDS = """f AS (SELECT doc_id, source, regexp_extract(text, '[^ \\n]+@[^ \\n]+', 0) AS email, regexp_extract(text, '[0-9]{7,}', 0) AS phone, CASE WHEN doc_id % 9 = 0 THEN 'x' ELSE n_chars::VARCHAR END AS size, lang, left(text, 5) AS pw FROM documents)"""
+_FIELDS = """f AS (SELECT doc_id, source, regexp_extract(text, '[^ \\n]+@[^ \\n]+', 0) AS email, regexp_extract(text, '[0-9]{7,}', 0) AS phone, CASE WHEN doc_id % 9 = 0 THEN 'x' ELSE n_chars::VARCHAR END AS size, lang, n_chars || lang AS pw FROM documents)"""
 
 
 def fields(spark, d):
     """E-mail-like and phone-like strings of each text with its attributes."""
     return I.documents(spark, d).select(
         "doc_id", "source", "text", F.regexp_extract("text", r"[^ \n]+@[^ \n]+", 0).alias("email"), F.regexp_extract("text", "[0-9]{7,}", 0).alias("phone"),
-        F.when(F.col("doc_id") % 9 == 0, "x").otherwise(F.col("n_chars").cast("string")).alias("size"), "lang", F.left("text", F.lit(5)).alias("pw"),
+        F.when(F.col("doc_id") % 9 == 0, "x").otherwise(F.col("n_chars").cast("string")).alias("size"), "lang", F.concat(F.col("n_chars").cast("string"), "lang").alias("pw"),
     )
 
 
@@ -513,7 +513,7 @@ _ERR = f"""{_FIELDS}, e0 AS (SELECT f.doc_id, f.source, d.text, email, phone, si
  e AS (SELECT doc_id, source, list_filter([CASE WHEN NOT regexp_matches(text, '\\S') THEN 'text:required' WHEN length(text) < 20 THEN 'text:min_length_20' WHEN regexp_matches(text, '{_XSS}') THEN 'text:xss' END,
    CASE WHEN email <> '' AND NOT regexp_matches(email, '{K.EMAIL_PATTERN}') THEN 'email:email' END, CASE WHEN phone <> '' AND NOT regexp_matches(phone, '{K.PHONE_PATTERN}') THEN 'phone:phone' END,
    CASE WHEN try_cast(size AS DOUBLE) IS NULL OR NOT try_cast(size AS DOUBLE) BETWEEN 1 AND 5000 THEN 'size:range' END, CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN 'lang:choices' END,
-   CASE WHEN NOT regexp_matches(source, '^[a-zA-Z0-9_]+$') THEN 'source:alphanumeric' END, 'pw:password'], lambda z: z IS NOT NULL) AS errors FROM e0)"""
+   CASE WHEN NOT regexp_matches(source, '^[a-zA-Z0-9_]+$') THEN 'source:alphanumeric' END, CASE WHEN length(pw) < 6 THEN 'pw:password' END], lambda z: z IS NOT NULL) AS errors FROM e0)"""
 
 
 @query("validation_errors", f"WITH {_ERR} SELECT source, error, count(*) AS rows FROM (SELECT source, unnest(errors) AS error FROM e) GROUP BY ALL")

@@ -126,12 +126,11 @@ def message_rows(messages: DataFrame) -> DataFrame:
 def child_rows(chunks: DataFrame, embeddings: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) child-vector rows of chunks joined with their embeddings.
 
-    Stored text is cut to the column width of the vector table; the group id defaults to ''.
+    Texts are stored whole; the group id defaults to ''.
     """
     rows = chunks.join(embeddings, ["document_id", "child_id"], "left").select(
         F.concat(F.lit("doc"), F.col("document_id"), F.lit("_"), F.col("child_id")).alias("id"),
-        "document_id", "parent_id", "child_id",
-        F.left(F.col("child_content"), F.lit(K.CHILD_STORE_CHARS)).alias("child_content"),
+        "document_id", "parent_id", "child_id", "child_content",
         F.coalesce(F.col("split_group_id"), F.lit("")).alias("split_group_id"),
         "embedding",
         F.when(F.col("embedding").isNull() | (F.size("embedding") == 0), "no vector")
