@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
 
 def get_spark(app: str = "askloom", master: str | None = None, **conf: str) -> SparkSession:
     """Session with adaptive execution and UTC; cluster settings win over these defaults."""
@@ -22,18 +26,40 @@ def get_spark(app: str = "askloom", master: str | None = None, **conf: str) -> S
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, so that their Python workers import it from any folder."""
+    context = spark.sparkContext
+    if getattr(context, "_askloom_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "askloom.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(PACKAGE):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(PACKAGE)))
+    context.addPyFile(path)
+    context._askloom_shipped = True
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where the cluster names none (tests, a laptop) is a local folder chosen.
+    Where the cluster names none, a local folder is chosen only if driver and executors are one
+    process; elsewhere executors could not share it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
