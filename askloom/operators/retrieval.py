@@ -82,31 +82,40 @@ def diversify(hits: DataFrame, per_group: int = 2) -> DataFrame:
     return rerank_rows(marked, order).drop("_g", "_in", "_lo", "_hi", "_first")
 
 
+def within(rows: DataFrame, widths: DataFrame | None, factor: int = 1) -> DataFrame:
+    """Ranked rows up to ``factor`` times each question's own width; without widths all rows."""
+    if widths is None:
+        return rows
+    return rows.join(widths, "query_id").where(F.col("rank") <= F.col("width") * factor).drop("width")
+
+
 def multi_path(
-    questions: DataFrame, chunks: DataFrame, k, embed=V.hashed_embedding, diversity_order: bool = False
+    questions: DataFrame, chunks: DataFrame, k, embed=V.hashed_embedding, diversity_order: bool = False,
+    widths: DataFrame | None = None,
 ) -> DataFrame:
     """Three paths (vector, expanded vector, BM25), fused, diversified, cut to k.
 
     ``questions`` is (query_id, question); ``chunks`` carries CHILD_KEY, child_content,
-    split_group_id and embedding.
+    split_group_id and embedding. ``widths`` (query_id, width), none above k, narrows every path and
+    the fusion to a question's own width.
     """
     wide = max(k, K.MIN_CANDIDATES)
     qs = questions.select(
         "query_id", "question", Q.expand(F.col("question")).alias("expanded")
     )
-    vec = VS.best_child_per_parent(
+    vec = VS.best_child_per_parent(within(
         VS.vector_scores_topk(
             qs.select("query_id", embed(F.col("question")).alias("qvec")), chunks, wide, CHILD_KEY
-        )
-    )
+        ), widths
+    ))
     changed = qs.where(F.col("expanded") != F.col("question"))
-    vec2 = VS.best_child_per_parent(
+    vec2 = VS.best_child_per_parent(within(
         VS.vector_scores_topk(
             changed.select("query_id", embed(F.col("expanded")).alias("qvec")), chunks, wide, CHILD_KEY
-        )
-    )
-    lex = L.bm25_search(qs, chunks, wide, CHILD_KEY, "child_content")
-    fused = rrf([vec, vec2, lex], wide)
+        ), widths
+    ))
+    lex = within(L.bm25_search(qs, chunks, wide, CHILD_KEY, "child_content"), widths)
+    fused = within(rrf([vec, vec2, lex], wide), widths)
     info = chunks.select(*CHILD_KEY, "child_content", "split_group_id")
     fused = fused.join(info, CHILD_KEY)
     diverse = diversify(fused)
@@ -185,26 +194,27 @@ def normalized_by_parent(ranked: DataFrame, name: str) -> DataFrame:
 
 
 def hybrid_scores(
-    questions: DataFrame, hits: DataFrame, chunks: DataFrame, top_k: int
+    questions: DataFrame, hits: DataFrame, chunks: DataFrame, top_k: int, widths: DataFrame | None = None
 ) -> DataFrame:
     """vector, lexical and combined score of every hit.
 
     ``questions`` is (query_id, question, intent); ``hits`` carries content/parent_content/score.
+    ``widths`` (query_id, width), none above ``top_k``, takes its place question by question.
     """
     full = normalized_by_parent(
-        L.bm25_search(questions, chunks, top_k * 3, CHILD_KEY, "child_content"), "full_bm25"
+        within(L.bm25_search(questions, chunks, top_k * 3, CHILD_KEY, "child_content"), widths, 3), "full_bm25"
     )
     texts = hits.select(
         "query_id", *KEY,
         F.coalesce(F.nullif("content", F.lit("")), "parent_content", F.lit("")).alias("text"),
     )
     sizes = texts.where(~X.is_blank(F.col("text"))).groupBy("query_id").count()
-    within = (
-        L.bm25_within(questions, texts, 2 * top_k, KEY)
+    inside = (
+        within(L.bm25_within(questions, texts, 2 * top_k, KEY), widths, 2)
         .join(sizes, "query_id")
         .where(F.col("rank") <= F.col("count"))
     )
-    parent = normalized_by_parent(within, "parent_bm25")
+    parent = normalized_by_parent(inside, "parent_bm25")
     q = questions.select(
         "query_id", lexical_weight(F.col("intent"), F.col("question")).alias("wb")
     )
@@ -385,46 +395,64 @@ def with_source_names(hits: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------ driver
+MULTI_PATH_FROM = 5  # results from which on a question is searched along three paths
+
+
+def _texts(hits: DataFrame, parents: DataFrame) -> DataFrame:
+    """Parent texts; the child's own where the parent is unknown."""
+    return backfill_parents(hits, parents).withColumn("content", F.coalesce("content", "child_content"))
+
+
 def retrieve(
     questions: DataFrame, chunks: DataFrame, parents: DataFrame, documents: DataFrame, k: int = 5,
     embed=V.hashed_embedding, expansion: bool = True, use_quality: bool = True, role: str | None = None,
 ) -> DataFrame:
     """Contexts for every question: recall, expansion, hybrid score, rerank, filters, final cut.
 
-    Small talk is answered before retrieval (``direct_answer``); rows passed in here are searched.
+    Small talk is answered without retrieval and has no contexts. From five results on a question is
+    searched along three paths, each as wide as three times its own k and 20 at least; below five
+    along the vector path alone, four times its k wide and 30 at least. A hit whose parent is unknown
+    shows its child's text.
 
     ``questions`` is (query_id, question). The result keeps max(strategy k, k) rows per question.
     """
-    qs = Q.classify(questions).withColumn("k", F.greatest("strategy_top_k", F.lit(k)))
+    qs = settle(Q.classify(questions)).where(~F.col("direct_answer")).withColumn("k", F.greatest("strategy_top_k", F.lit(k)))
     if expansion:
         qs = qs.withColumn(
             "question",
             F.when(F.col("use_expansion"), Q.expand(F.col("question"))).otherwise(F.col("question")),
         )
     qs = settle(qs)
-    # 8 is the largest strategy k, so one candidate width serves every question.
     widest = max(k, max(s[0] for s in K.STRATEGIES.values()))
-    # The hits of a stage are a few rows per question and feed several branches: settle them.
-    hits = multi_path(qs, chunks, max(widest * 3, 20), embed)
-    hits = settle(
-        hits.join(qs.select("query_id", "k"), "query_id").where(
-            F.col("rank") <= F.greatest(F.col("k") * 3, F.lit(20))
-        )
+    many = F.col("k") >= MULTI_PATH_FROM
+    widths = qs.select(
+        "query_id",
+        F.when(many, F.greatest(F.col("k") * 3, F.lit(20))).otherwise(F.greatest(F.col("k") * 4, F.lit(30))).alias("width"), many.alias("_many"),
     )
+    # The hits of a stage are a few rows per question and feed several branches: settle them.
+    hits = multi_path(
+        qs.where(many), chunks, max(widest * 3, 20), embed, widths=widths.where("_many").drop("_many")
+    )
+    if k < MULTI_PATH_FROM:
+        vectors = qs.where(~many).select("query_id", embed(F.col("question")).alias("qvec"))
+        alone = within(VS.vector_scores_topk(vectors, chunks, max(4 * MULTI_PATH_FROM, 30), CHILD_KEY), widths.drop("_many"))
+        alone = VS.best_child_per_parent(alone).join(chunks.select(*CHILD_KEY, "child_content", "split_group_id"), CHILD_KEY)
+        hits = hits.select(*[c for c in hits.columns if c in alone.columns]).unionByName(alone, allowMissingColumns=True)
+    hits = settle(hits.join(qs.select("query_id", "k"), "query_id"))
     vecs = qs.select("query_id", embed(F.col("question")).alias("qvec"))
     extra = expand_split_groups(hits, chunks, vecs, F.col("k"))
     hits = settle(merge_hits(hits.drop("k"), extra))
-    hits = backfill_parents(hits, parents)
-    scored = hybrid_scores(qs, hits, chunks, max(widest, 15))
+    hits = _texts(hits, parents)
+    wide = F.when(F.col("intent") == "fact", F.greatest("k", F.lit(15))).otherwise(
+        F.greatest("k", F.lit(10))
+    )
+    limits = settle(qs.select("query_id", "k", wide.alias("wide")))
+    scored = hybrid_scores(qs, hits, chunks, max(widest, 15), limits.select("query_id", F.col("wide").alias("width")))
     rescued = keyword_rescue(qs, hits, chunks)
     cols = ["query_id", *CHILD_KEY, "score", "vector_score", "bm25_score"]
     both = scored.select(*cols).unionByName(rescued.select(*cols))
     info = chunks.select(*CHILD_KEY, "child_content", "split_group_id")
-    both = settle(backfill_parents(both.join(info, CHILD_KEY), parents))
-    wide = F.when(F.col("intent") == "fact", F.greatest("k", F.lit(15))).otherwise(
-        F.greatest("k", F.lit(10))
-    )
-    limits = qs.select("query_id", "k", wide.alias("wide"))
+    both = settle(_texts(both.join(info, CHILD_KEY), parents))
     ranked = heuristic_rerank(qs, both.join(limits, "query_id"), F.col("wide"))
     if use_quality:
         ranked = quality_filter(ranked)

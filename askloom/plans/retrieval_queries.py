@@ -535,8 +535,8 @@ def _(spark, d):
 
 @query("evaluation_retrieval")
 def _(spark, d):
-    """Evaluation variant: no question expansion, no role filter."""
+    """Evaluation variant: no question expansion, what a teacher may read."""
     return R.retrieve(
         I.questions(spark, d), I.children(spark, d, True), I.parents(spark, d),
-        I.document_info(spark, d), 5, expansion=False,
+        I.document_info(spark, d), 5, expansion=False, role="teacher",
     ).drop("content", "child_content")
