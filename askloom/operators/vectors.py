@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,27 +13,20 @@ from askloom.operators.lexical import best_rows, top_k
 from askloom.operators.sizes import broadcast_if
 
 QUESTION_BLOCK = 1024
+GROUP_ROWS = 8192  # vectors of a split group scored at once
 
 
-def _packed_questions(
-    questions: DataFrame, vec: str, blocks: int, at: str | None, group: str | None, without: str | None
-) -> DataFrame:
+def _packed_questions(questions: DataFrame, vec: str, blocks: int, at: str | None) -> DataFrame:
     """Questions spread over ``blocks`` rows of packed vectors."""
     return (
         questions.where(F.size(vec) > 0)
         .select(
             F.pmod(F.xxhash64("query_id"), F.lit(blocks).cast("bigint")).alias("block"), "query_id",
             F.col(vec).alias("v"), (F.col(at) if at else F.lit(0)).cast("bigint").alias("at"),
-            (F.col(group) if group else F.lit("")).alias("grp"),
-            (F.col(without) if without else F.array()).cast("array<bigint>").alias("out"),
         )
         .groupBy("block")
-        .agg(F.collect_list(F.struct("query_id", "at", "v", "grp", "out")).alias("q"))
-        .select(
-            "block", F.col("q.query_id").alias("qids"), F.col("q.at").alias("qat"),
-            F.col("q.grp").alias("qgrp"), F.col("q.out").alias("qout"),
-            F.flatten("q.v").alias("qmat"),
-        )
+        .agg(F.collect_list(F.struct("query_id", "at", "v")).alias("q"))
+        .select("block", F.col("q.query_id").alias("qids"), F.col("q.at").alias("qat"), F.flatten("q.v").alias("qmat"))
     )
 
 
@@ -72,7 +64,6 @@ def vector_scores_topk(
     questions: DataFrame, chunks: DataFrame, k: int, keys: list[str],
     qvec: str = "qvec", vec: str = "embedding", block: int = QUESTION_BLOCK,
     window: tuple[str, str, int] | None = None, minimum: float | None = None,
-    within: tuple[str, str] | None = None, exclude: tuple[str, str] | None = None,
 ) -> DataFrame:
     """(query_id, keys, score, rank): exact cosine top-k, ties by key, scores to 6 decimals.
 
@@ -82,22 +73,17 @@ def vector_scores_topk(
     size; they are broadcast when the counted questions are few and shuffled by block when not.
 
     ``window`` = (question time, key time, length) keeps vectors with time < question time < time
-    + length; ``minimum`` drops lower scores. ``within`` = (question column, key) keeps vectors of the
-    question's own group, ``exclude`` = (question array column, key) drops listed ids.
+    + length; ``minimum`` drops lower scores.
     """
     n_questions = questions.count()
     blocks = max(1, -(-n_questions // block))
     packed = broadcast_if(
-        _packed_questions(
-            questions, qvec, blocks, window[0] if window else None,
-            within[0] if within else None, exclude[0] if exclude else None,
-        ),
-        n_questions,
+        _packed_questions(questions, qvec, blocks, window[0] if window else None), n_questions,
     )
     tiles = _pack_chunks(chunks, keys, vec).withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
     )
-    joined = tiles.join(packed, "block").select("qids", "qat", "qgrp", "qout", "qmat", "ids", "cmat", "dim")
+    joined = tiles.join(packed, "block").select("qids", "qat", "qmat", "ids", "cmat", "dim")
     qtype = questions.schema["query_id"].dataType.simpleString()
     fields = ",".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in keys)
 
@@ -114,16 +100,6 @@ def vector_scores_topk(
                     at = ids.flatten()[keys.index(window[1])].to_numpy(zero_copy_only=False)
                     asked = b.column("qat")[r].values.to_numpy(zero_copy_only=False)[:, None]
                     ok &= (at < asked) & (asked < at + window[2])
-                if within:
-                    own = ids.flatten()[keys.index(within[1])]
-                    groups = b.column("qgrp")[r].as_py()
-                    member = {
-                        g: pc.fill_null(pc.equal(own, g), False).to_numpy(zero_copy_only=False) for g in set(groups)
-                    }
-                    ok &= np.stack([member[g] for g in groups])
-                if exclude:
-                    key = ids.flatten()[keys.index(exclude[1])].to_numpy(zero_copy_only=False)
-                    ok &= np.stack([~np.isin(key, out) for out in b.column("qout")[r].as_py()])
                 names = qids.to_numpy(zero_copy_only=False)
                 yield from best_rows(names, sims, ok, ids, keys, k, qids.type)
 
@@ -145,24 +121,74 @@ def best_child_per_parent(hits: DataFrame) -> DataFrame:
 
 def search_groups(
     wanted: DataFrame, chunks: DataFrame, hit_documents: DataFrame, k: int, keys: list[str],
-    qvec: str = "qvec", vec: str = "embedding", dim: int | None = None,
+    qvec: str = "qvec", vec: str = "embedding",
 ) -> DataFrame:
     """Top-k per (question, group) inside given split groups, leaving out documents already hit.
 
-    ``wanted`` is (query_id, split_group_id, qvec); without ``qvec`` (then give ``dim``) every score is 0
-    and the first rows by key are returned. Groups can be large, so they are scored tile by tile
-    like the whole corpus; a question's rows of a group are never listed.
+    ``wanted`` is (query_id, split_group_id, qvec); without ``qvec`` every score is 0 and the first rows
+    by key are returned. Vectors meet only the questions that want their own group: both sides are
+    dealt by group, large groups and groups wanted by very many questions in several parts.
     """
     out = hit_documents.groupBy("query_id").agg(F.collect_set("document_id").alias("_out"))
-    vector = F.col(qvec) if qvec in wanted.columns else F.array_repeat(F.lit(0.0), dim).cast("array<float>")
-    asked = wanted.join(out, "query_id", "left").select(
-        F.concat_ws("\u0001", "query_id", "split_group_id").alias("_q"), "query_id", "split_group_id",
-        vector.alias("qvec"), F.coalesce("_out", F.array().cast("array<bigint>")).alias("_out"),
+    asked = wanted.join(out, "query_id", "left").withColumn("_out", F.coalesce("_out", F.array().cast("array<bigint>")))
+    scored = (
+        _scored_groups(asked, chunks, k, keys, qvec, vec) if qvec in wanted.columns else _first_of_groups(asked, chunks, k, keys)
+    )
+    both = F.concat_ws("\u0001", "query_id", "split_group_id")
+    return top_k(scored.withColumn("_q", both), k, [F.desc("score"), *keys], "_q").drop("_q")
+
+
+def _first_of_groups(asked: DataFrame, chunks: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """The first rows of each wanted group in key order, without any vector arithmetic.
+
+    A question skips at most as many documents as it has hits, so of each group only the first
+    k + that many documents, and of those the first k rows, can be needed; both limits are cut before
+    the shuffle.
+    """
+    most = asked.agg(F.max(F.size("_out")).alias("n")).first()["n"] or 0
+    by_document = Window.partitionBy("split_group_id").orderBy("document_id")
+    by_key = Window.partitionBy("split_group_id", "document_id").orderBy(*keys)
+    rows = chunks.select("split_group_id", *keys).withColumn("_d", F.dense_rank().over(by_document)).where(F.col("_d") <= k + most)
+    rows = rows.withColumn("_r", F.row_number().over(by_key)).where(F.col("_r") <= k).drop("_d", "_r")
+    met = asked.select("query_id", "split_group_id", "_out").join(rows, "split_group_id")
+    return met.where(~F.array_contains("_out", F.col("document_id"))).select(
+        "query_id", "split_group_id", *keys, F.lit(0.0).alias("score")
     )
-    found = vector_scores_topk(
-        asked.select(F.col("_q").alias("query_id"), "split_group_id", "qvec", "_out"), chunks, k,
-        [*keys, "split_group_id"], vec=vec, within=("split_group_id", "split_group_id"), exclude=("_out", "document_id"),
+
+
+def _scored_groups(asked: DataFrame, chunks: DataFrame, k: int, keys: list[str], qvec: str, vec: str) -> DataFrame:
+    """The k best rows of each part of each wanted group, one matrix product per part."""
+    sides = asked.groupBy("split_group_id").agg(F.ceil(F.count("*") / QUESTION_BLOCK).alias("_sides"))
+    inside = chunks.where(F.size(vec) > 0).select("split_group_id", *keys, F.col(vec).cast("array<float>").alias("_v"))
+    parts = inside.groupBy("split_group_id").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("_parts")).join(sides, "split_group_id")
+    left = inside.join(parts, "split_group_id").select(
+        "split_group_id", F.pmod(F.xxhash64(*keys), F.col("_parts")).alias("_part"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_sides") - 1)).alias("_side"), *keys, "_v",
     )
-    return found.withColumnRenamed("query_id", "_q").join(asked.select("_q", "query_id"), "_q").select(
-        "query_id", "split_group_id", *keys, "score", "rank"
+    right = asked.where(F.size(qvec) > 0).join(parts, "split_group_id").select(
+        "split_group_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)).alias("_part"),
+        F.pmod(F.xxhash64("query_id"), F.col("_sides")).alias("_side"), "query_id", F.col(qvec).cast("array<float>").alias("_qv"), "_out",
     )
+    qtype = asked.schema["query_id"].dataType.simpleString()
+    fields = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in keys)
+
+    def score(rows: pa.Table, questions: pa.Table) -> pa.Table:
+        rows, questions = rows.combine_chunks(), questions.combine_chunks()
+        if not len(rows) or not len(questions):
+            names = ["query_id", "split_group_id", *keys]
+            kinds = [questions.schema.field("query_id").type, rows.schema.field("split_group_id").type, *[rows.schema.field(c).type for c in keys]]
+            return pa.table([pa.array([], t) for t in [*kinds, pa.float64()]], names=[*names, "score"])
+        first = rows.column("_v")[0].values
+        q = _unit_rows(np.concatenate([np.asarray(x.values) for x in questions.column("_qv")]), len(first))
+        c = _unit_rows(np.concatenate([np.asarray(x.values) for x in rows.column("_v")]), len(first))
+        sims = np.round(q @ c.T, 6) + 0.0
+        documents = np.asarray(rows.column("document_id"))
+        ok = np.stack([~np.isin(documents, out) for out in questions.column("_out").to_pylist()])
+        ids = pa.StructArray.from_arrays([rows.column(x).combine_chunks() for x in keys], names=keys)
+        names = questions.column("query_id")
+        best = pa.Table.from_batches(best_rows(names.to_numpy(), sims, ok, ids, keys, k, names.type))
+        group = pa.array([rows.column("split_group_id")[0].as_py()] * len(best), rows.schema.field("split_group_id").type)
+        return best.add_column(1, "split_group_id", group)
+
+    by = ["split_group_id", "_part", "_side"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(score, f"query_id {qtype}, split_group_id string, {fields}, score double")
