@@ -11,6 +11,7 @@ from askloom.functions import vector as V
 from askloom.operators.chunking import chunk_documents
 from askloom.operators.usage import count_questions, merge_counters
 from askloom.session import scratch_path
+from askloom.sources.tables import parent_rows
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
@@ -32,6 +33,13 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _version(spark: SparkSession, folder: str, name: str, number: int, schema: str) -> DataFrame:
+    """The table a batch wrote; empty before the first batch, an error if a later one is missing."""
+    if number < 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/{name}={number}")
+
+
 COUNTERS = "content string, count bigint, created_at timestamp, updated_at timestamp"
 
 
@@ -44,7 +52,7 @@ def maintain_question_counts(asked: DataFrame, folder: str, checkpoint: str):
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = _read(spark, f"{folder}/version={batch_id - 1}", COUNTERS)
+        old = _version(spark, folder, "version", batch_id - 1, COUNTERS)
         merge_counters(old, count_questions(batch)).write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
 
     return asked.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -58,6 +66,7 @@ def latest_version(spark: SparkSession, folder: str) -> DataFrame:
 
 
 STATUS = "document_id bigint, status string, attempts int, chunks bigint"
+QUEUE = "document_id bigint, text string, split_group_id string, attempts int"
 
 
 def ingest_batch(
@@ -66,33 +75,41 @@ def ingest_batch(
 ) -> None:
     """Chunk, embed and publish the documents of one micro-batch under its id.
 
-    Input (document_id, text, review_status, split_group_id). Completed documents and those failed
-    for good are skipped. Vectors, parents and statuses of a batch are written under one batch
-    id, so a replay overwrites them and half a batch is never visible together.
+    Input (document_id, text, review_status, split_group_id). Documents that fail wait in a stored
+    queue, one version per batch, and are tried again with the next batch until ``max_attempts``;
+    completed documents and those failed for good are skipped. Chunks, parents, statuses and queue
+    of a batch are written under its id, so a replay overwrites them and half a batch is never
+    visible together. Parent texts are stored once, apart from their children.
     """
     spark = batch.sparkSession
-    status = _read(spark, f"{folder}/status", STATUS + ", batch bigint").where(F.col("batch") != batch_id)
-    latest = status.groupBy("document_id").agg(F.max_by(F.struct("status", "attempts"), "batch").alias("s"))
-    docs = (
-        batch.where("review_status = 'approved'").dropDuplicates(["document_id"])
-        .join(latest.select("document_id", "s.*"), "document_id", "left")
-        .where(~F.coalesce(F.col("status").isin("completed", "failed"), F.lit(False)))
-        .withColumn("attempts", (F.coalesce("attempts", F.lit(0)) + 1).cast("int"))
-        .drop("status")
+    queue = _version(spark, f"{folder}/queue", "batch", batch_id - 1, QUEUE)
+    status = _read(spark, f"{folder}/status", STATUS + ", batch bigint").where(F.col("batch") < batch_id)
+    over = status.where(F.col("status").isin("completed", "failed")).select("document_id")
+    arrived = (
+        batch.where("review_status = 'approved'").select("document_id", "text", "split_group_id").dropDuplicates(["document_id"])
+        .join(over, "document_id", "left_anti")
+        .join(queue.select("document_id", "attempts"), "document_id", "left")
     )
-    chunks = chunk_documents(docs.select("document_id", F.col("text")), dedup=dedup)
+    waiting = queue.join(arrived.select("document_id"), "document_id", "left_anti")
+    docs = arrived.unionByName(waiting).withColumn("attempts", (F.coalesce("attempts", F.lit(0)) + 1).cast("int"))
+    chunks = chunk_documents(docs.select("document_id", "text"), dedup=dedup)
     groups = docs.select("document_id", F.coalesce("split_group_id", F.lit("")).alias("split_group_id"))
     rows = chunks.join(groups, "document_id").withColumn("embedding", embed(F.col("child_content")))
-    rows = rows.where(F.size("embedding") == dim)
     part = f"batch={batch_id}"
-    rows.write.mode("overwrite").parquet(f"{folder}/chunks/{part}")
+    rows.where(F.size("embedding") == dim).drop("parent_content").write.mode("overwrite").parquet(f"{folder}/chunks/{part}")
     done = spark.read.parquet(f"{folder}/chunks/{part}")
     counts = done.groupBy("document_id").agg(F.count("*").alias("chunks"))
-    docs.join(counts, "document_id", "left").select(
-        "document_id",
-        F.when(F.col("chunks") > 0, "completed").when(F.col("attempts") >= max_attempts, "failed").otherwise("pending").alias("status"),
-        "attempts", F.coalesce("chunks", F.lit(0)).cast("bigint").alias("chunks"),
-    ).write.mode("overwrite").parquet(f"{folder}/status/{part}")
+    parent_rows(rows.join(counts.select("document_id"), "document_id", "left_semi")).write.mode("overwrite").parquet(f"{folder}/parents/{part}")
+    judged = docs.join(counts, "document_id", "left").withColumn(
+        "status",
+        F.when(F.col("chunks") > 0, "completed").when(F.col("attempts") >= max_attempts, "failed").otherwise("pending"),
+    )
+    judged.where("status = 'pending'").select("document_id", "text", "split_group_id", "attempts").write.mode("overwrite").parquet(
+        f"{folder}/queue/{part}"
+    )
+    judged.select("document_id", "status", "attempts", F.coalesce("chunks", F.lit(0)).cast("bigint").alias("chunks")).write.mode(
+        "overwrite"
+    ).parquet(f"{folder}/status/{part}")
 
 
 def ingest(documents: DataFrame, folder: str, checkpoint: str, **options):

@@ -110,3 +110,24 @@ def test_rebuild_switches_only_when_complete(spark):
     ok = M.rebuild(docs, whole, vec, 2, scratch_path(spark, "rb"), "v2").first()
     bad = M.rebuild(docs, lambda x: x.where("document_id = 1"), vec, 2, scratch_path(spark, "rb"), "v3").first()
     assert ok["active_version"] == "v2" and bad["active_version"] is None and bad["failed"] == 1
+
+
+def test_ingestion_tries_again(spark, tmp_path):
+    """A document that fails twice and then works ends completed with three attempts; one that never works fails."""
+    from pyspark.sql import functions as F
+
+    from askloom.streaming import jobs as J
+
+    docs = spark.createDataFrame([(1, "a text of some length. " * 9, "approved", ""), (2, " ", "approved", "")], "document_id long, text string, review_status string, split_group_id string")
+    good = lambda c: F.array_repeat(F.lit(1.0), 64)
+    bad = lambda c: F.array_repeat(F.lit(1.0), 3)
+    empty = docs.limit(0)
+    for number, (batch, embed) in enumerate([(docs, bad), (empty, bad), (empty, good), (empty, good)]):
+        J.ingest_batch(batch, number, str(tmp_path), embed=embed)
+        J.ingest_batch(batch, number, str(tmp_path), embed=embed)  # a replay changes nothing
+    got = {r.document_id: (r.status, r.attempts) for r in J.document_status(spark, str(tmp_path)).collect()}
+    assert got == {1: ("completed", 3), 2: ("failed", 3)}
+    assert spark.read.parquet(f"{tmp_path}/parents").count() >= 1
+    assert "parent_content" not in spark.read.parquet(f"{tmp_path}/chunks").columns
+    with pytest.raises(Exception, match="queue"):
+        J.ingest_batch(docs, 9, str(tmp_path), embed=good)
