@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from askloom.llm import labelled
 from askloom.llm import textbytes as B
+from askloom.llm.components import stored
 
-SAMPLE_ROWS = 20000  # labelled documents the fit may see, both classes together
+SAMPLE_ROWS = 8000  # labelled documents the fit may see, both classes together
 TERMS = 20000  # most terms of a lexicon
 LEAST_DOCUMENTS = 4  # toxic documents a term must occur in
 LEAST_WEIGHT = 1.3  # cautious log odds from which a word is a term
@@ -34,7 +35,8 @@ CAUTION = 1.64  # standard errors taken off a term's log odds
 WINDOW = 24  # words of one context window
 QUOTED = 0.25  # share of a hit's weight that counts inside a quotation
 REPORTING = 6  # words before a hit in which a reporting word makes it a quotation, if quotes follow
-CACHE = 400_000  # words a worker remembers
+CACHE = 300_000  # words a worker remembers
+STEPS = 300_000  # transitions of the automaton a worker remembers
 
 # Quotation marks and words that report speech.
 OPENING = "\"“„«‹"
@@ -50,77 +52,84 @@ def edits(n: int) -> int:
     return 0 if n < 5 else 1 if n < 12 else 2
 
 
-class Automaton:
-    """Levenshtein automaton of one word: a state holds, for each reachable prefix, the edits spent."""
-
-    def __init__(self, word: str, k: int):
-        self.word, self.k = word, k
-
-    def start(self):
-        return tuple((i, i) for i in range(min(self.k, len(self.word)) + 1))
-
-    def step(self, state, letter: str):
-        after: dict[int, int] = {}
-        for i, e in state:
-            if i < len(self.word) and self.word[i] == letter:
-                after[i + 1] = min(after.get(i + 1, e), e)
-            if e < self.k:
-                after[i] = min(after.get(i, e + 1), e + 1)
-                if i < len(self.word):
-                    after[i + 1] = min(after.get(i + 1, e + 1), e + 1)
-        for i in range(len(self.word)):  # letters of the word left out
-            if i in after and after[i] < self.k:
-                after[i + 1] = min(after.get(i + 1, self.k + 1), after[i] + 1)
-        return tuple(sorted(after.items()))
-
-    def spent(self, state) -> int | None:
-        return next((e for i, e in state if i == len(self.word) and e <= self.k), None)
-
-
 class Lexicon:
-    """A trie of weighted terms, asked with whole words; remembers its answers up to a bound."""
+    """Weighted terms in a trie, walked by a Levenshtein automaton.
+
+    A state of the automaton is the set of trie nodes that the letters read so far can have reached,
+    each with the fewest edits spent; a node is given up once no term below it allows as many. States
+    are made when first reached and remembered, so most words cost one look-up a letter and stop at
+    the first letter after which no term is near.
+    """
 
     def __init__(self, terms: dict[str, float], known: frozenset[str], discount: float):
         self.terms, self.known, self.discount = terms, known, discount
-        self.root: dict = {}
-        self.parts: dict[str, set[tuple[int, int]]] = {}
+        self.children: list[dict[str, int]] = [{}]
+        self.term: list[str | None] = [None]
+        self.allowed = [0]  # most edits of a term at or below each node
         for t in sorted(terms):
-            node = self.root
+            node, k = 0, edits(len(t))
+            self.allowed[0] = max(self.allowed[0], k)
             for c in t:
-                node = node.setdefault(c, {})
-            node[""] = t
-            if k := edits(len(t)):
-                # within k edits of a term, a word keeps one of the term's k + 1 parts, moved by k at most
-                cuts = [len(t) * i // (k + 1) for i in range(k + 2)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    for moved in range(max(a - k, 0), a + k + 1):
-                        for n in range(len(t) - k, len(t) + k + 1):
-                            self.parts.setdefault(t[a:b], set()).add((moved, n))
-        self.sizes = sorted({len(p) for p in self.parts})
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.term.append(None)
+                    self.allowed.append(0)
+                node = self.children[node][c]
+                self.allowed[node] = max(self.allowed[node], k)
+            self.term[node] = t
+        self._forget()
         self.cache: dict[str, float] = {}
 
+    def _forget(self) -> None:
+        self.steps: dict[tuple[int, str], int] = {}
+        self.numbers: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.start = self._state({0: 0})
+
+    def _state(self, reached: dict[int, int]) -> int:
+        """Number of a state, closed under letters of a term that the word leaves out; -1 if empty."""
+        todo = list(reached)
+        while todo:
+            node = todo.pop()
+            e = reached[node] + 1
+            for child in self.children[node].values():
+                if e <= self.allowed[child] and e < reached.get(child, e + 1):
+                    reached[child] = e
+                    todo.append(child)
+        state = tuple(sorted(reached.items()))
+        if not state:
+            return -1
+        if state not in self.numbers:
+            self.numbers[state] = len(self.states)
+            self.states.append(state)
+        return self.numbers[state]
+
+    def _step(self, number: int, letter: str) -> int:
+        after: dict[int, int] = {}
+
+        def reach(node, e):
+            if e <= self.allowed[node] and e < after.get(node, e + 1):
+                after[node] = e
+
+        for node, e in self.states[number]:
+            reach(node, e + 1)  # a letter too many
+            for c, child in self.children[node].items():
+                reach(child, e if c == letter else e + 1)
+        found = self.steps[(number, letter)] = self._state(after)
+        return found
+
     def near(self, word: str) -> list[tuple[int, str]]:
         """(edits, term) of the terms that the word may be a misspelling of."""
-        found = []
-        auto = Automaton(word, 2 if len(word) >= 11 else 1)
-        stack = [(self.root, auto.start())]
-        while stack:
-            node, state = stack.pop()
-            if (t := node.get("")) is not None and (e := auto.spent(state)) is not None and e <= edits(len(t)):
-                found.append((e, t))
-            for c, child in node.items():
-                if c and (after := auto.step(state, c)):
-                    stack.append((child, after))
-        return sorted(found)
-
-    def _may_be_near(self, word: str) -> bool:
-        """Whether a part of some term of fitting length stands in the word where it should."""
-        parts, m = self.parts, len(word)
-        for n in self.sizes:
-            for i in range(m - n + 1):
-                if (found := parts.get(word[i : i + n])) and (i, m) in found:
-                    return True
-        return False
+        if len(self.steps) > STEPS:
+            self._forget()
+        state, steps = self.start, self.steps
+        for c in word:
+            after = steps.get((state, c))
+            state = self._step(state, c) if after is None else after
+            if state < 0:
+                return []
+        return sorted((e, t) for node, e in self.states[state] if (t := self.term[node]) is not None and e <= edits(len(t)))
 
     def weight(self, word: str) -> float:
         """A term's weight, a misspelled term's share of it, or 0."""
@@ -129,11 +138,9 @@ class Lexicon:
             w = self.terms.get(word)
             if w is None:
                 w = 0.0
-                if len(word) >= 4 and word not in self.known and self._may_be_near(word):
-                    found = self.near(word)
-                    if found:
-                        least = found[0][0]
-                        w = max(self.terms[t] for e, t in found if e == least) * self.discount**least
+                if len(word) >= 4 and word not in self.known and (found := self.near(word)):
+                    least = found[0][0]
+                    w = max(self.terms[t] for e, t in found if e == least) * self.discount**least
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             self.cache[word] = w
@@ -213,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
     Term counts are made by Spark over the bounded sample; what reaches the driver is at most
     ``TERMS`` terms, the sample's clean words near them, and three numbers per sampled document.
     """
-    chosen = labelled.sample(docs, labels, target, rows).select("text", "label")
+    chosen = stored(labelled.sample(docs, labels, target, rows).select("text", "label"), "sample")
     sizes = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
