@@ -250,12 +250,13 @@ def _stray_pairs(members: DataFrame, groups: DataFrame) -> DataFrame | None:
     mixed = stored(whole.where("top.m < all").select("key", F.col("top.component").alias("main"), (F.col("all") - F.col("top.m")).alias("strays")), "mixed")
     if mixed.isEmpty():
         return None
-    held = told.join(mixed, "key")
+    held = stored(told.join(mixed, "key"), "held")
+    apart = stored(held.where("component <> main"), "strays")
     across, down = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("strays") / BLOCK)
     left = held.select(
         "key", F.pmod(F.xxhash64("id"), across).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), down - 1)).alias("y"), "id", "marks", "component"
     )
-    right = held.where("component <> main").select(
+    right = apart.select(
         "key", F.explode(F.sequence(F.lit(0).cast("long"), across - 1)).alias("x"), F.pmod(F.xxhash64("id"), down).alias("y"), "id", "marks", "component"
     )
 

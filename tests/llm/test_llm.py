@@ -333,9 +333,13 @@ def brute_components(rows):
     return {k: (len(sets[k]), find(k)) for k in sets}
 
 
-def test_superminhash(spark):
+@pytest.mark.parametrize("all_pairs", [24, 2])
+def test_superminhash(spark, monkeypatch, all_pairs):
+    """With a small limit nearly every bucket takes the way of large ones: pivots, then strays."""
+    from askloom.llm import superminhash
     from askloom.llm.superminhash import near_duplicates
 
+    monkeypatch.setattr(superminhash, "ALL_PAIRS", all_pairs)
     rng = random.Random(8)
     rows = [(1, None), (2, ""), (3, " "), (4, "One two"), (5, "one  TWO"), (6, "one two three")]
     for g in range(12):  # groups of near copies, and chains in which only neighbours are alike
