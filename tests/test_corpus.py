@@ -168,3 +168,42 @@ def test_files_with_encodings(spark, tmp_path):
 def test_split_groups_from_names(spark):
     df = spark.createDataFrame([("a_part01.pdf", ""), ("a_part2.pdf", None), ("b.pdf", ""), ("c_part1.pdf", "set")], "filename string, split_group_id string")
     assert [r[1] for r in C.split_group_from_name(df).collect()] == ["a", "a", "", "set"]
+
+
+def test_templated_lines_take_a_constant_number_of_jobs(spark):
+    """Lines of one template that are no duplicates of each other: the work does not go round by round."""
+    from askloom.operators import dedup as D
+
+    def jobs(n):
+        lines = [(1, i, f"Invoice number {i * 7919 % 100000:05d} total paid") for i in range(n)]
+        before = spark.sparkContext.statusTracker()
+        spark.sparkContext.setJobGroup(f"templated-{n}", "count jobs")
+        kept = D.keep_first(spark.createDataFrame(lines, "doc_id long, line_no int, line string"), ["doc_id"], "line_no", "line")
+        assert kept.count() == n
+        found = len(before.getJobIdsForGroup(f"templated-{n}"))
+        spark.sparkContext.setJobGroup("rest", "")
+        return found
+
+    assert jobs(3000) <= jobs(300) + 10
+
+
+def test_keep_first_follows_chains(spark):
+    """A is like B, B is like C, A is unlike C: B drops, and C stays because B is not kept."""
+    from askloom.operators import dedup as D
+
+    base = "abcdefghijklmnopqrstuvwxyz0123456789" * 2
+    a, b, c = base, base[:-3] + "XYZ", base[:-6] + "PQRXYZ"
+    rows = [(1, 0, a), (1, 1, b), (1, 2, c)] + [(2, i, base + "tail %d" % (i // 200)) for i in range(200)]
+    kept = D.keep_first(spark.createDataFrame(rows, "doc_id long, line_no int, line string"), ["doc_id"], "line_no", "line", 0.9)
+    got = sorted((r.doc_id, r.line_no) for r in kept.collect())
+    def grams(t):
+        return {t[i : i + 3] for i in range(len(t) - 2)}
+
+    want = []
+    for doc in (1, 2):
+        held = []
+        for d, n, t in rows:
+            if d == doc and not any(len(grams(t) & g) / len(grams(t) | g) >= 0.9 for g in held):
+                held.append(grams(t))
+                want.append((d, n))
+    assert got == want
