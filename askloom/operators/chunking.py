@@ -224,19 +224,12 @@ def split_by_lines(docs: DataFrame, text: str = "text", target: int = K.SECTION_
     ).select("document_id", (F.col("n") + 1).cast("bigint").alias("part_no"), "part")
 
 
-TOC_FORMATS = [
-    r"^(\d{1,2})[\.、]?\s+(.+)\s+(\d{1,3})$",
-    r"^([一二三四五六七八九十]+)[、\.]\s*(.+)\s+(\d{1,3})$",
-    r"^(第[一二三四五六七八九十\d]+[章节篇部分])\s*(.+)\s+(\d{1,3})$",
-]
-
-
 def toc_entries(lines: DataFrame) -> DataFrame:
     """Contents entries of (doc_id, line_no, line): number, title, page and the category above."""
     s = X.strip(F.col("line"))
-    which = F.coalesce(*[F.when(s.rlike(p), i) for i, p in enumerate(TOC_FORMATS)])
+    which = F.coalesce(*[F.when(s.rlike(p), i) for i, p in enumerate(K.TOC_FORMATS)])
     part = lambda g: F.coalesce(
-        *[F.when(F.col("_w") == i, F.regexp_extract("_s", p, g)) for i, p in enumerate(TOC_FORMATS)]
+        *[F.when(F.col("_w") == i, F.regexp_extract("_s", p, g)) for i, p in enumerate(K.TOC_FORMATS)]
     )
     label = (
         ~s.rlike(r"^\d") & ~s.contains("目录") & ~s.contains(" 录") & (F.length(s) < 20)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,16 +41,20 @@ def check_vectors(vectors: DataFrame, dim: int) -> DataFrame:
     )
 
 
-def request_batches(backlog_rows: DataFrame, size: int = 10, partitions: int | None = None) -> DataFrame:
-    """Requests of ``size`` texts for an external caller, batched inside each partition.
+def request_batches(backlog_rows: DataFrame, size: int = 10) -> DataFrame:
+    """(keys, texts): requests of at most ``size`` texts for an external caller.
 
-    Batch numbers need no global order, so no row leaves its partition.
+    Each task cuts its own rows into requests as they pass; no row leaves its partition.
     """
-    rows = backlog_rows.withColumn("_id", F.monotonically_increasing_id())
-    part, local = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
-    return rows.groupBy(part.alias("part"), F.floor(local / size).alias("batch_no")).agg(
-        F.collect_list("content_key").alias("keys"), F.collect_list("text").alias("texts")
-    )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            off = pa.array([*range(0, b.num_rows, size), b.num_rows], pa.int32())
+            lists = [pa.ListArray.from_arrays(off, b.column(c)) for c in ("content_key", "text")]
+            yield pa.RecordBatch.from_arrays(lists, names=["keys", "texts"])
+
+    rows = backlog_rows.select("content_key", "text")
+    return rows.mapInArrow(cut, "keys array<string>, texts array<string>")
 
 
 def numbered_batches(rows: DataFrame, order: str, size: int = 10) -> DataFrame:

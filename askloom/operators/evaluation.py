@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askloom import constants as K
@@ -162,15 +162,20 @@ def generation_summary(flags: DataFrame) -> DataFrame:
 def run_gates(scores: DataFrame) -> DataFrame:
     """Run-level gates: mean groundedness, micro keyword accuracy, mean and p99 latency.
 
-    p99 is the value at position floor(0.99 n) of the ascending latencies. Latencies are counted
-    by value first, so the ordered pass runs over distinct values, not rows.
+    p99 is the value at position floor(0.99 n) of the ascending latencies. Latencies are counted by
+    tenths of a second first, so one pass over those few counts finds the tenth that holds the
+    position, and only its own values are ordered.
     """
-    from pyspark.sql import Window
-
-    total = scores.where("latency > 0").agg(F.count("*").alias("n")).select("n").scalar()
-    counts = scores.where("latency > 0").groupBy(F.round("latency", 3).alias("latency")).agg(F.count("*").alias("c"))
-    cum = counts.withColumn("_cum", F.sum("c").over(Window.orderBy("latency")))
-    p99 = cum.where(F.col("_cum") > F.floor(total * 0.99)).agg(F.min("latency").alias("p")).select("p").scalar()
+    late = scores.where("latency > 0").select("latency", F.floor(F.col("latency") * 10).alias("_tenth"))
+    counts = late.groupBy("_tenth").agg(F.count("*").alias("c"))
+    cum = counts.withColumn("_cum", F.sum("c").over(Window.orderBy("_tenth")))
+    place = F.floor(F.sum("c").over(Window.partitionBy()) * 0.99)
+    held = cum.withColumn("_place", place).where(F.col("_cum") > F.col("_place")).agg(
+        F.min(F.struct("_tenth", (F.col("_place") - F.col("_cum") + F.col("c")).alias("_at"))).alias("h")
+    ).select("h.*")
+    inside = late.join(F.broadcast(held), "_tenth").groupBy("latency", "_at").agg(F.count("*").alias("c"))  # held is one row
+    upto = inside.withColumn("_cum", F.sum("c").over(Window.orderBy("latency")))
+    p99 = upto.where(F.col("_cum") > F.col("_at")).agg(F.min("latency").alias("p")).select("p").scalar()
     base = scores.agg(
         F.round(F.avg("grounded"), 6).alias("avg_grounded"), F.round(F.avg("latency"), 6).alias("avg_latency"),
         F.round(F.sum("keyword_hits") / F.sum("keyword_total"), 6).alias("keyword_accuracy"),

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from askloom import constants as K
 from askloom.functions import text as X
 from askloom.operators.runs import running
 
@@ -302,10 +303,10 @@ def review(decisions: DataFrame, documents: DataFrame, carry: list[str] = []) ->
     """Outcome of each decision (document_id, action, reason) and the document state after it."""
     rows = decisions.join(documents.select("document_id", "review_status", "status"), "document_id", "left")
     error = (
-        F.when(F.col("review_status").isNull(), "文档不存在")
-        .when(F.col("review_status") != "pending", "该文档已经审核过了")
-        .when((F.col("action") == "reject") & (F.coalesce("reason", F.lit("")) == ""), "驳回时必须填写理由")
-        .when(~F.col("action").isin("approve", "reject"), "无效的操作")
+        F.when(F.col("review_status").isNull(), K.REVIEW_UNKNOWN)
+        .when(F.col("review_status") != "pending", K.REVIEW_DONE)
+        .when((F.col("action") == "reject") & (F.coalesce("reason", F.lit("")) == ""), K.REVIEW_REASON_MISSING)
+        .when(~F.col("action").isin("approve", "reject"), K.REVIEW_BAD_ACTION)
     )
     ok = error.isNull()
     return rows.select(

@@ -701,10 +701,14 @@ def _(spark, d):
     return E.check_vectors(e, 64).groupBy(F.coalesce("problem", F.lit("ok")).alias("problem")).agg(F.count("*").alias("rows"))
 
 
-@query("embedding_request_batches", "SELECT doc_id // 10 AS batch_no, count(*) AS texts, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
-def _(spark, d):
-    return E.numbered_batches(I.documents(spark, d), "doc_id").groupBy("batch_no").agg(
-        F.count("*").alias("texts"), F.sum(F.length("text")).alias("chars")
+@query("embedding_request_batches", """
+SELECT md5(text) AS content_key, count(*) AS texts, sum(length(text))::BIGINT AS chars, true AS within_ten FROM documents GROUP BY text""")
+def _(spark, d):
+    """Requests of at most ten texts; every text is in one, whatever the partitions are."""
+    rows = I.documents(spark, d).select(F.md5("text").alias("content_key"), "text")
+    asked = E.request_batches(rows).select(F.size("keys").alias("n"), F.explode(F.arrays_zip("keys", "texts")).alias("r"))
+    return asked.groupBy(F.col("r.keys").alias("content_key")).agg(
+        F.count("*").alias("texts"), F.sum(F.length("r.texts")).alias("chars"), (F.max("n") <= 10).alias("within_ten")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +30,12 @@ def rate_limit(
         if state.hasTimedOut:
             state.remove()
             return
-        times = list(state.get[0]) if state.exists else []
+        times = deque(state.get[0] if state.exists else ())
         rows = pd.concat(list(batches)).sort_values(["us", "request_id"])
         accepted, retry = [], []
-        for now in rows["us"]:
-            times = [t for t in times if now - t < window_us]
+        for now in rows["us"].tolist():
+            while times and now - times[0] >= window_us:
+                times.popleft()
             if len(times) >= limit:
                 accepted.append(False)
                 retry.append(int((window_us - (now - times[0])) / 1_000_000))
@@ -41,7 +43,7 @@ def rate_limit(
                 times.append(now)
                 accepted.append(True)
                 retry.append(None)
-        state.update((times,))
+        state.update((list(times),))
         last_ms = int(rows["us"].iloc[-1]) // 1000
         state.setTimeoutTimestamp(max(last_ms + window_s * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(
