@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from askloom.llm import textbytes as B
 
-CACHE = 300_000  # pieces a worker remembers
+CACHE = 150_000  # pieces a worker remembers
+SLICE_TEXT = 1 << 20  # bytes of text encoded at once
+SLICE_IDS = 1 << 17  # ids decoded at once
 WIDEST = 48  # bytes of a piece merged in the matrix; longer ones are merged alone
 NONE = np.int32(2**31 - 1)
 
@@ -364,7 +366,7 @@ def encode(docs: DataFrame, tokens: dict[bytes, int], key: str = "doc_id", text:
     def run(batches):
         merges = _merges(held)
         for whole in batches:
-            for batch in B.slices(whole, "text"):
+            for batch in B.slices(whole, "text", SLICE_TEXT):
                 ids, at, sizes = encode_slice(batch, "text", merges)
                 n = len(at) - 1
                 if last is not None:
@@ -391,21 +393,22 @@ def decode(encoded: DataFrame, tokens: dict[bytes, int], key: str = "doc_id") ->
 
     def run(batches):
         merges = _merges(held)
-        for b in batches:
-            ids = b.column("ids")
-            flat = np.asarray(ids.flatten()).astype(np.int64)
-            ends = np.asarray(b.column("ends").flatten()).astype(np.int64)
-            per = np.diff(np.asarray(ids.offsets))
-            at = np.concatenate(([0], np.cumsum(per)))
-            last = np.where(per > 0, ends[np.maximum(at[1:] - 1, 0)] if len(ends) else 0, 0)
-            base = np.concatenate(([0], np.cumsum(last)))
-            data = np.zeros(int(base[-1]), np.uint8)
-            sizes = merges.lengths[flat]
-            data[ranges(ends - sizes + np.repeat(base[:-1], per), sizes)] = merges.decode(flat)
-            raw = pa.Array.from_buffers(
-                pa.binary(), len(per), [None, pa.py_buffer(base.astype(np.int32)), pa.py_buffer(data)]
-            )
-            yield pa.RecordBatch.from_arrays([b.column("key"), ids, raw], names=["key", "ids", "bytes"])
+        for whole in batches:
+            for b in B.list_slices(whole, "ids", SLICE_IDS):
+                ids = b.column("ids")
+                flat = np.asarray(ids.flatten())
+                ends = np.asarray(b.column("ends").flatten()).astype(np.int64)
+                per = np.diff(np.asarray(ids.offsets))
+                at = np.concatenate(([0], np.cumsum(per)))
+                last = np.where(per > 0, ends[np.maximum(at[1:] - 1, 0)] if len(ends) else 0, 0)
+                base = np.concatenate(([0], np.cumsum(last)))
+                data = np.zeros(int(base[-1]), np.uint8)
+                sizes = merges.lengths[flat]
+                data[ranges(ends - sizes + np.repeat(base[:-1], per), sizes)] = merges.decode(flat)
+                raw = pa.Array.from_buffers(
+                    pa.binary(), len(per), [None, pa.py_buffer(base.astype(np.int32)), pa.py_buffer(data)]
+                )
+                yield pa.RecordBatch.from_arrays([b.column("key"), ids, raw], names=["key", "ids", "bytes"])
 
     kind = encoded.schema[key].dataType.simpleString()
     got = encoded.select(F.col(key).alias("key"), "ids", "ends").mapInArrow(run, f"key {kind}, ids array<int>, bytes binary")

@@ -49,7 +49,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     """Row slices of a batch whose texts hold at most ``limit`` bytes, or one row."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    yield from _cut(batch, pc.binary_length(batch.column(column)), limit)
+
+
+def list_slices(batch: pa.RecordBatch, column: str, limit: int):
+    """Row slices of a batch whose lists hold at most ``limit`` values, or one row."""
+    yield from _cut(batch, pc.list_value_length(batch.column(column)), limit)
+
+
+def _cut(batch: pa.RecordBatch, lengths: pa.Array, limit: int):
+    sizes = np.asarray(pc.fill_null(lengths, 0), dtype=np.int64)
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:
