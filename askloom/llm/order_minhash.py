@@ -153,7 +153,8 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     are shuffled once, on their id; the second join reads the same exchange, and what moves besides
     are beginnings of at most a third of a text, and fingerprints.
     """
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # both joins read exactly these two columns, so the exchange of the texts is made once
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ids = stored(rows.groupBy("id").agg(F.max(F.char_length("text")).cast("long").alias("n")), "ids")
     order = stored(next_ids(ids), "order")
     asked = order.select(F.col("next").alias("id"), F.col("id").alias("asker"), F.floor(F.col("n") / 3).alias("need"))
@@ -164,9 +165,9 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("start", F.lit(1), third))
-    made = rows.join(starts, "id").select("key", "id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    made = rows.join(starts, "id").select("id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     made = stored(
-        made.select("key", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        made.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                     order_min_hash(F.col("text")).alias("f"), order_min_hash(F.col("edited")).alias("g")),
         "fingerprints",
     )
@@ -174,7 +175,7 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
         F.col("asker").alias("id"), "h"
     )
     return made.join(following, "id").select(
-        F.col("key").alias(key), "n_chars", "edited_sha256", text_form(F.col("f")).alias("fingerprint"),
+        F.when(F.col("id") != _NO_ID, F.col("id")).cast(docs.schema[key].dataType).alias(key), "n_chars", "edited_sha256", text_form(F.col("f")).alias("fingerprint"),
         text_form(F.col("g")).alias("edited_fingerprint"), likeness(F.col("f"), F.col("g")).alias("near_edited"),
         likeness(F.col("f"), F.col("h")).alias("near_next"),
     )
