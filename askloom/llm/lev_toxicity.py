@@ -27,9 +27,10 @@ from askloom.llm import textbytes as B
 from askloom.llm.components import stored
 
 SAMPLE_ROWS = 8000  # labelled documents the fit may see, both classes together
+SKETCH = 6  # smallest word hashes by which near copies in the sample are told
 TERMS = 20000  # most terms of a lexicon
 LEAST_DOCUMENTS = 4  # toxic documents a term must occur in
-LEAST_WEIGHT = 1.3  # cautious log odds from which a word is a term
+LEAST_WEIGHT = 2.0  # cautious log odds from which a word is a term
 LEAST_GAIN = 10.0  # log likelihood a term must win over chance; chance terms of 10 000 words stay rare
 CAUTION = 1.64  # standard errors taken off a term's log odds
 WINDOW = 24  # words of one context window
@@ -220,7 +221,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
     Term counts are made by Spark over the bounded sample; what reaches the driver is at most
     ``TERMS`` terms, the sample's clean words near them, and three numbers per sampled document.
     """
-    chosen = stored(labelled.sample(docs, labels, target, rows).select("text", "label"), "sample")
+    # near copies count once, else each rare word of a copied document would look like a term
+    sketch = F.slice(F.sort_array(F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.xxhash64(w)))), 1, SKETCH)
+    single = labelled.sample(docs, labels, target, rows).groupBy("label", sketch.alias("_s")).agg(F.min(F.struct("id", "text")).alias("d"))
+    chosen = stored(single.select("d.text", "label"), "sample")
     sizes = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
