@@ -320,7 +320,7 @@ def read_vocabulary(path: str) -> dict[bytes, int]:
 _HELD: dict = {}
 
 
-def _shared(df: DataFrame, tokens: dict[bytes, int]):
+def shared(df: DataFrame, tokens: dict[bytes, int]):
     """The vocabulary as a broadcast under a name of its own; it does not grow with the data."""
     return df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, tokens))
 
@@ -356,12 +356,8 @@ def encode_slice(batch: pa.RecordBatch, column: str, merges: Merges) -> tuple[np
     return ids, ends[np.searchsorted(starts, off)], merges.lengths[ids]
 
 
-def encode(docs: DataFrame, tokens: dict[bytes, int], key: str = "doc_id", text: str = "text", offsets: bool = True, last: int | None = None) -> DataFrame:
-    """(key, ids, ends) of every text: its ids and, with ``offsets``, where each id's bytes end.
-
-    ``last`` is an id to add after each text.
-    """
-    held = _shared(docs, tokens)
+def encoder(held, offsets: bool = True, last: int | None = None):
+    """Function of Arrow batches (key, text) that yields (key, ids, ends), slice by slice."""
 
     def run(batches):
         merges = _merges(held)
@@ -380,6 +376,15 @@ def encode(docs: DataFrame, tokens: dict[bytes, int], key: str = "doc_id", text:
                     columns.append(B.lists(ends.astype(np.int32), at, pa.int32()))
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "ids", "ends"][: len(columns)])
 
+    return run
+
+
+def encode(docs: DataFrame, tokens: dict[bytes, int], key: str = "doc_id", text: str = "text", offsets: bool = True, last: int | None = None) -> DataFrame:
+    """(key, ids, ends) of every text: its ids and, with ``offsets``, where each id's bytes end.
+
+    ``last`` is an id to add after each text.
+    """
+    run = encoder(shared(docs, tokens), offsets, last)
     kind = docs.schema[key].dataType.simpleString()
     got = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
         run, f"key {kind}, ids array<int>" + (", ends array<int>" if offsets else "")
@@ -389,7 +394,7 @@ def encode(docs: DataFrame, tokens: dict[bytes, int], key: str = "doc_id", text:
 
 def decode(encoded: DataFrame, tokens: dict[bytes, int], key: str = "doc_id") -> DataFrame:
     """(key, ids, bytes) of encoded rows (key, ids, ends): each id's bytes, laid at its offset."""
-    held = _shared(encoded, tokens)
+    held = shared(encoded, tokens)
 
     def run(batches):
         merges = _merges(held)

@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from askloom.llm import byte_bpe
+
 SIZE = 2048
 OPEN_BINS = 64
 
@@ -70,36 +72,53 @@ def cut(length: int, size: int = SIZE) -> list[tuple[int, int]]:
     return ([(0, head)] if head else []) + [(s, size) for s in range(head, length, size)]
 
 
-def pack(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", size: int = SIZE, open_bins: int = OPEN_BINS) -> DataFrame:
-    """(key, piece, start, length, ids_crc32, sequence_id, offset) of every piece of ``encoded``.
+PLACES = "piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+
+
+def packer(size: int = SIZE, open_bins: int = OPEN_BINS):
+    """Function of Arrow batches (key, ids) that yields the pieces' places, batch by batch.
 
     Sequences are numbered by task, so a task that runs again gives the same numbers.
     """
 
     def run(batches):
         context = TaskContext.get()
-        packer = Packer(size, open_bins, (context.partitionId() if context else 0) << 40)
+        bins = Packer(size, open_bins, (context.partitionId() if context else 0) << 40)
         for b in batches:
             lists = b.column("ids")
             off = np.asarray(lists.offsets).astype(np.int64)
-            flat = np.ascontiguousarray(np.asarray(lists.values).astype("<u4"))
-            keys, rows = [], []
+            flat = np.ascontiguousarray(np.asarray(lists.values).astype("<u4", copy=False))
+            owners, rows = [], []
             for i in range(len(lists)):
-                keys_i = 0
                 for piece, (start, length) in enumerate(cut(int(off[i + 1] - off[i]), size)):
-                    sequence, offset = packer.place(length)
+                    sequence, offset = bins.place(length)
                     at = off[i] + start
                     rows.append((piece, start, length, zlib.crc32(flat[at : at + length]), sequence, offset))
-                    keys_i += 1
-                keys += [i] * keys_i
+                    owners.append(i)
             columns = np.array(rows, np.int64).reshape(-1, 6).T
             yield pa.RecordBatch.from_arrays(
-                [b.column("key").take(pa.array(keys, pa.int64())), pa.array(columns[0].astype(np.int32)), *[pa.array(c) for c in columns[1:]]],
+                [b.column("key").take(pa.array(owners, pa.int64())), pa.array(columns[0].astype(np.int32)), *[pa.array(c) for c in columns[1:]]],
                 names=["key", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
+    return run
+
+
+def pack(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", size: int = SIZE, open_bins: int = OPEN_BINS) -> DataFrame:
+    """(key, piece, start, length, ids_crc32, sequence_id, offset) of every piece of ``encoded``."""
     kind = encoded.schema[key].dataType.simpleString()
     got = encoded.select(F.col(key).alias("key"), F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("ids")).mapInArrow(
-        run, f"key {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+        packer(size, open_bins), f"key {kind}, {PLACES}"
     )
     return got.withColumnRenamed("key", key)
+
+
+def pack_texts(docs: DataFrame, tokens: dict[bytes, int], last: int, key: str = "doc_id", text: str = "text", size: int = SIZE, open_bins: int = OPEN_BINS) -> DataFrame:
+    """``pack`` of the texts' ids, each text followed by the id ``last``.
+
+    Encoding and packing run in one pass of one worker, slice by slice, so no list of ids leaves it.
+    """
+    encoded, places = byte_bpe.encoder(byte_bpe.shared(docs, tokens), False, last), packer(size, open_bins)
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(lambda batches: places(encoded(batches)), f"key {kind}, {PLACES}").withColumnRenamed("key", key)

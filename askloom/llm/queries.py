@@ -205,7 +205,7 @@ def op8_best_fit_packing(spark, d):
 
 def packed_documents(docs: DataFrame) -> DataFrame:
     tokens = byte_bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
-    return packing.pack(byte_bpe.encode(docs, tokens, offsets=False, last=END_ID))
+    return packing.pack_texts(docs, tokens, END_ID)
 
 
 # ------------------------------------------------------------------------------ 3 nearest neighbours
