@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askloom.llm import textbytes as B
+from askloom.llm.byte_bpe import ranges
 from askloom.llm.components import components, stored
 from askloom.operators.sizes import broadcast_if
 
@@ -30,7 +31,7 @@ SLOTS = 128
 BANDS = 32  # of four slots: a pair at 0.75 shares none with probability 5e-6
 ALL_PAIRS = 24  # larger buckets are linked through two members first
 BLOCK = 2048  # members of a large bucket compared at once
-BEST = 8  # partners a stray may have in one block
+BLOCK_SHINGLES = 1 << 21  # and their shingles, 8 bytes each
 LEAST = 0.5  # estimated likeness under which a pair at 0.75 is out of reach (over 6 sigma)
 IDS_BROADCAST = 1_000_000  # 8 bytes each
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -233,47 +234,86 @@ def _pivot_pairs(members: DataFrame) -> DataFrame:
     )
 
 
-def _stray_pairs(members: DataFrame, groups: DataFrame) -> DataFrame | None:
-    """Likely pairs between a large bucket's components, where it still holds several.
+def _stray_links(members: DataFrame, groups: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Links (a, b) between a large bucket's components, where it still holds several.
 
     Members outside the bucket's largest component are its strays. Each block of members meets the
-    strays in one vectorised comparison and gives each stray's ``BEST`` likeliest partners of other
-    components; both sides are salted into blocks, so no group grows with the bucket.
+    strays with their full sets: every pair whose signatures agree in at least ``LEAST`` is checked in
+    full unless the block's own links already join its components. A pair that shares several bands
+    is checked in the first one's bucket. Both sides are salted into blocks of bounded rows and
+    bytes, so no group grows with the bucket, and a block gives fewer links than it has components.
     """
     told = stored(
         members.where(F.col("n") > ALL_PAIRS).join(groups.withColumnRenamed("node", "id"), "id", "left")
-        .select("key", "n", "id", "marks", F.coalesce("component", "id").alias("component")),
+        .join(classes.select("id", "n_shingles"), "id")
+        .select("key", "id", "n_shingles", "marks", F.coalesce("component", "id").alias("component")),
         "told",
     )
-    parts = told.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-    whole = parts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"))
-    mixed = stored(whole.where("top.m < all").select("key", F.col("top.component").alias("main"), (F.col("all") - F.col("top.m")).alias("strays")), "mixed")
+    parts = told.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"))
+    whole = parts.groupBy("key").agg(F.max(F.struct("m", "component", "s")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"))
+    blocks = lambda m, s: F.greatest(F.ceil(m / BLOCK), F.ceil(s / BLOCK_SHINGLES))
+    mixed = stored(
+        whole.where("top.m < m").select(
+            "key", F.col("top.component").alias("main"), blocks(F.col("m"), F.col("s")).alias("across"),
+            blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("down"),
+        ),
+        "mixed",
+    )
     if mixed.isEmpty():
         return None
-    held = stored(told.join(mixed, "key"), "held")
-    apart = stored(held.where("component <> main"), "strays")
-    across, down = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("strays") / BLOCK)
-    left = held.select(
-        "key", F.pmod(F.xxhash64("id"), across).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), down - 1)).alias("y"), "id", "marks", "component"
+    held = stored(told.join(mixed, "key").withColumn("stray", F.col("component") != F.col("main")), "held")
+    full = held.join(classes.select("id", "bands"), "id").join(sets, "id")
+    read = ["id", "n_shingles", "marks", "component", "stray", "bands", "shingles"]
+    left = full.select(
+        "key", F.pmod(F.xxhash64("id"), "across").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("y"), *read
     )
-    right = apart.select(
-        "key", F.explode(F.sequence(F.lit(0).cast("long"), across - 1)).alias("x"), F.pmod(F.xxhash64("id"), down).alias("y"), "id", "marks", "component"
+    again = [F.col(c).alias(c) for c in ["key", *read]]  # columns of their own, as both sides read the same tables
+    right = full.where("stray").select(
+        *again, F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("x"), F.pmod(F.xxhash64("id"), "down").alias("y")
     )
 
+    def columns(table):
+        ids, sizes, of, stray = (table.column(c).to_numpy() for c in ("id", "n_shingles", "component", "stray"))
+        bands = np.array(table.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
+        flat = np.frombuffer(b"".join(table.column("shingles").to_pylist()), np.uint64)
+        return ids, sizes, of.copy(), stray, _marks(table.column("marks")), bands, flat, np.concatenate(([0], np.cumsum(sizes)))
+
     def run(group, strays):
-        pairs = []
+        links = []
         if len(group) and len(strays):
-            u, ids, of = _marks(group.column("marks")), np.asarray(group.column("id")), np.asarray(group.column("component"))
-            for x, m, c in zip(strays.column("id").to_pylist(), _marks(strays.column("marks")), strays.column("component").to_pylist(), strict=True):
-                near = (u == m).mean(axis=1)
-                near[of == c] = 0
-                best = np.argsort(-near, kind="stable")[:BEST]
-                pairs += [(min(x, int(ids[i])), max(x, int(ids[i]))) for i in best if near[i] >= LEAST]
-        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+            key = group.column("key")[0].as_py()
+            ids, sizes, of, stray, marks, bands, flat, first = columns(group)
+            those, lengths, theirs, _, signs, keys, other, start = columns(strays)
+            known, codes = np.unique(flat, return_inverse=True)
+            own = np.zeros(len(known), bool)
+            for i, x in enumerate(those):
+                c, n = theirs[i], lengths[i]
+                # two strays meet twice; sets of too different sizes cannot reach 0.75
+                at = np.flatnonzero((of != c) & (100 * np.minimum(sizes, n) >= 75 * np.maximum(sizes, n)) & ~(stray & (ids >= x)))
+                at = at[bands[at, (bands[at] == keys[i]).argmax(axis=1)] == key]
+                near = (marks[at] == signs[i]).mean(axis=1)
+                at, near = at[near >= LEAST], near[near >= LEAST]
+                at = at[np.argsort(-near, kind="stable")]
+                own[:] = False
+                mine = other[start[i] : start[i + 1]]
+                place = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                own[place[known[place] == mine]] = True
+                take = 8  # the likeliest first: a link often spares the rest
+                while len(at):
+                    now, at = at[:take], at[take:]
+                    both = np.add.reduceat(own[codes[ranges(first[now], sizes[now])]], np.cumsum(sizes[now]) - sizes[now], dtype=np.int64)
+                    for j in now[100 * both >= 75 * (n + sizes[now] - both)]:
+                        if of[j] != c:
+                            links.append((min(int(x), int(ids[j])), max(int(x), int(ids[j]))))
+                            old = of[j]
+                            of[of == old] = c
+                            theirs[theirs == old] = c
+                    at, take = at[of[at] != c], 512
+        a, b = zip(*links, strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     by = ["key", "x", "y"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "a long, b long")
+    return stored(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "a long, b long"), "strays")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -282,7 +322,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Copies are grouped by their sets' 128-bit sums before any comparison. Buckets of up to
     ``ALL_PAIRS`` classes are compared in full. A larger bucket, nearly always one group of near
     copies, is first linked through two of its members; what that leaves in other components is
-    then compared with the whole bucket, block by block.
+    then compared with the whole bucket, block by block, every likely pair in full.
     """
     prints = stored(fingerprints(docs, key, text), "prints")
     same = ["set_a", "set_b", "n_shingles"]
@@ -303,11 +343,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     links = linked(_small_pairs(members).unionByName(_pivot_pairs(members)))
     groups = components(links)
-    more = _stray_pairs(members, groups)
-    if more is not None:
-        more = linked(more)
-        if not more.isEmpty():
-            groups = components(links.unionByName(more))
+    more = _stray_links(members, groups, classes, sets)
+    if more is not None and not more.isEmpty():
+        groups = components(links.unionByName(more))
     named = stored(
         classes.select(*same, "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
         .select(*same, F.coalesce("component", "id").alias("component_id")),

@@ -361,6 +361,21 @@ def test_superminhash(spark, monkeypatch, all_pairs):
     assert near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_superminhash_links_of_a_crowded_bucket(spark):
+    """600 documents of one template at 0.72; 30 pairs among them at 0.758 are found all the same."""
+    from askloom.llm import superminhash as S
+
+    rng = random.Random(12)
+    shared, rows = prose(rng, 144, [f"s{i}" for i in range(900)]), []
+    for i in range(600):
+        pair = [f"p{i // 2}x{j}" for j in range(4)] if i < 60 else [f"q{i}x{j}" for j in range(4)]
+        rows.append((i + 1, " ".join([shared, *pair, *[f"o{i}x{j}" for j in range(23)]])))
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(docs_of(spark, rows)).collect()}
+    want = {k: c for k, (_, c) in brute_components(rows).items()}
+    assert {want[i] for i in range(1, 61)} == set(range(1, 61, 2)) and len(set(want.values())) == 570
+    assert got == want
+
+
 def test_superminhash_signature_is_unbiased():
     from askloom.llm.superminhash import super_min_hash
 
