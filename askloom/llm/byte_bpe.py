@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import functools
 import json
+import re
 import unicodedata
 import uuid
 
@@ -317,6 +318,12 @@ def read_vocabulary(path: str) -> dict[bytes, int]:
     return {bytes(back[c] for c in t): i for t, i in held["model"]["vocab"].items() if t not in special}
 
 
+def read_added(path: str) -> dict[str, int]:
+    """Added tokens of a tokenizer's JSON file and their ids: found in a text, each is its one id."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+
+
 _HELD: dict = {}
 
 
@@ -356,14 +363,34 @@ def encode_slice(batch: pa.RecordBatch, column: str, merges: Merges) -> tuple[np
     return ids, ends[np.searchsorted(starts, off)], merges.lengths[ids]
 
 
-def encoder(held, offsets: bool = True, last: int | None = None):
+def encode_added(batch: pa.RecordBatch, column: str, merges: Merges, added: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``encode_slice`` of texts cut at the added tokens, with the tokens' own ids between the parts."""
+    raw = B.utf8(batch.column(column))[0].tobytes()
+    if not any(t.encode() in raw for t in added):
+        return encode_slice(batch, column, merges)
+    cuts = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")")
+    parts, after, rows = [], [], [0]
+    for text in batch.column(column).to_pylist():
+        split = cuts.split(text or "")
+        parts += split[::2]
+        after += [*split[1::2], None]  # the token behind each part
+        rows.append(len(parts))
+    ids, at, sizes = encode_slice(pa.RecordBatch.from_arrays([pa.array(parts, pa.string())], names=[column]), column, merges)
+    has = np.array([t is not None for t in after], bool)
+    found = [t for t in after if t is not None]
+    ids = np.insert(ids, at[1:][has], [added[t] for t in found])
+    sizes = np.insert(sizes, at[1:][has], [len(t.encode()) for t in found])
+    return ids, (at + np.concatenate(([0], np.cumsum(has))))[rows], sizes
+
+
+def encoder(held, offsets: bool = True, last: int | None = None, added: dict[str, int] | None = None):
     """Function of Arrow batches (key, text) that yields (key, ids, ends), slice by slice."""
 
     def run(batches):
         merges = _merges(held)
         for whole in batches:
             for batch in B.slices(whole, "text", SLICE_TEXT):
-                ids, at, sizes = encode_slice(batch, "text", merges)
+                ids, at, sizes = encode_added(batch, "text", merges, added or {})
                 n = len(at) - 1
                 if last is not None:
                     ids = np.insert(ids, at[1:], last)

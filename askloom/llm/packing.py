@@ -113,12 +113,12 @@ def pack(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", size: int =
     return got.withColumnRenamed("key", key)
 
 
-def pack_texts(docs: DataFrame, tokens: dict[bytes, int], last: int, key: str = "doc_id", text: str = "text", size: int = SIZE, open_bins: int = OPEN_BINS) -> DataFrame:
-    """``pack`` of the texts' ids, each text followed by the id ``last``.
+def pack_texts(docs: DataFrame, tokens: dict[bytes, int], last: int, key: str = "doc_id", text: str = "text", size: int = SIZE, open_bins: int = OPEN_BINS, added: dict[str, int] | None = None) -> DataFrame:
+    """``pack`` of the texts' ids, each text followed by the id ``last``; ``added`` tokens in a text are one id each.
 
     Encoding and packing run in one pass of one worker, slice by slice, so no list of ids leaves it.
     """
-    encoded, places = byte_bpe.encoder(byte_bpe.shared(docs, tokens), False, last), packer(size, open_bins)
+    encoded, places = byte_bpe.encoder(byte_bpe.shared(docs, tokens), False, last, added), packer(size, open_bins)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(lambda batches: places(encoded(batches)), f"key {kind}, {PLACES}").withColumnRenamed("key", key)

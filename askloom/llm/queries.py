@@ -204,8 +204,8 @@ def op8_best_fit_packing(spark, d):
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    tokens = byte_bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
-    return packing.pack_texts(docs, tokens, END_ID)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_texts(docs, byte_bpe.read_vocabulary(path), END_ID, added=byte_bpe.read_added(path))
 
 
 # ------------------------------------------------------------------------------ 3 nearest neighbours

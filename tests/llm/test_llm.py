@@ -310,6 +310,21 @@ def test_packing(spark):
     assert pack(df.limit(0)).count() == 0
 
 
+def test_packing_of_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from askloom.llm.queries import END_ID, packed_documents
+
+    known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    e = "<|endoftext|>"
+    rows = [(1, f"end {e} next"), (2, e), (3, f"{e}{e}'ll \n {e}"), (4, ""), (5, None), (6, f"é{e}é <|endoftext|"), (7, "plain text")]
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packed_documents(docs_of(spark, rows).coalesce(1)).collect()}
+    for k, t in rows:
+        ids = [*known.encode(t or "", add_special_tokens=False).ids, END_ID]
+        assert got[k] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 # ------------------------------------------------------------------------------ 9
 def brute_components(rows):
     sets = {}
