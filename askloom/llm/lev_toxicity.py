@@ -36,6 +36,7 @@ CAUTION = 1.64  # standard errors taken off a term's log odds
 WINDOW = 24  # words of one context window
 QUOTED = 0.25  # share of a hit's weight that counts inside a quotation
 REPORTING = 6  # words before a hit in which a reporting word makes it a quotation, if quotes follow
+LONGEST = 60  # most words of a quotation
 CACHE = 300_000  # words a worker remembers
 STEPS = 300_000  # transitions of the automaton a worker remembers
 
@@ -45,7 +46,7 @@ CLOSING = "\"”“»›"
 REPORTS = frozenset("said says say wrote writes called quote quoted quotes term word sagte schrieb nannte dit écrit dijo escribió".split())
 
 _WORD = re.compile(r"[^\W_]+")
-_PART = re.compile(r"[^\W_]+|[" + OPENING + CLOSING + "]")
+_PART = re.compile(r"[^\W_]+|[" + OPENING + CLOSING + "\n]")
 
 
 def edits(n: int) -> int:
@@ -148,21 +149,60 @@ class Lexicon:
         return w
 
 
+def _opens(text: str, m: re.Match) -> bool:
+    """Whether a mark opens: a straight one stands before a word and not right after one (no inch mark)."""
+    if m.group() != '"':
+        return m.group() in OPENING
+    before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+    return not before.isalnum() and bool(after) and not after.isspace()
+
+
+def _quotations(text: str, parts: list[re.Match]) -> dict[int, int]:
+    """Part of each opening mark and the part that closes it, on one line and within ``LONGEST`` words."""
+    found, first, words = {}, None, 0
+    for n, m in enumerate(parts):
+        mark = m.group()
+        if mark[0].isalnum():
+            words += 1
+            continue
+        if mark == "\n" or words > LONGEST:
+            first = None
+        if mark == "\n":
+            continue
+        straight = first is not None and parts[first].group() == '"'
+        closes = mark in CLOSING and first is not None and (mark == '"') == straight
+        if closes and not (straight and text[m.start() - 1].isspace()):
+            found[first], first = n, None
+        elif _opens(text, m):
+            first, words = n, 0
+    return found
+
+
 def evidence(text: str, lexicon: Lexicon) -> tuple[float, float, float]:
     """Weight of a text's strongest window, weight of its other terms, and log of its words.
 
-    Each term counts once in a window; hits inside a quotation or right after a reporting word count
-    ``QUOTED`` of their weight.
+    Each term counts once in a window. Hits inside a quotation that closes on its line within
+    ``LONGEST`` words count ``QUOTED`` of their weight; where the closing mark is lost, only hits
+    within ``REPORTING`` words of a reporting word before the opening mark do.
     """
-    hits, at, inside, report, held = [], 0, False, -REPORTING - 1, {}
-    for part in _PART.findall(text.lower()):
-        if part in OPENING or part in CLOSING:
-            inside = not inside if part == '"' else part in OPENING and not inside
+    hits, at, report, held = [], 0, -REPORTING - 1, {}
+    low = text.lower()
+    parts = list(_PART.finditer(low))
+    spans = _quotations(low, parts)
+    opened, until = -1, -1  # last opening mark's word, and the place where its quotation closes
+    for n, m in enumerate(parts):
+        part = m.group()
+        if not part[0].isalnum():
+            if n in spans:
+                until = max(until, spans[n])
+            elif _opens(low, m):
+                opened = at  # its closing mark is lost
             continue
         if part in REPORTS:
             report = at
         if w := lexicon.weight(part):
-            hits.append((at, w * (QUOTED if inside or at - report <= REPORTING else 1.0), part))
+            lost = report < opened <= at and at - report <= REPORTING
+            hits.append((at, w * (QUOTED if n < until or lost else 1.0), part))
         at += 1
     best, lo, total = 0.0, 0, 0.0
     for i, (_, w, term) in enumerate(hits):

@@ -183,6 +183,18 @@ def test_toxicity(spark):
     assert T.score(docs_of(spark, []), model).count() == 0
 
 
+def test_quotation_bounds():
+    from askloom.llm import lev_toxicity as T
+
+    lexicon = T.Lexicon({"nastyword": 4.0}, frozenset(), 0.5)
+    weight = lambda t: T.evidence(t, lexicon)[0]
+    for whole in ('a 5" screen you nastyword', 'lost "mark here ' + "w " * 90 + "nastyword", 'an "open line\nyou nastyword', "“lost you nastyword",
+                  "she said you nastyword", "in other word nastyword", '"one" and nastyword "two"', '"w ' + "w " * 90 + 'nastyword" end'):
+        assert weight(whole) == 4.0, whole
+    for part in ('he said "you nastyword" then', "“you nastyword”", "„you nastyword“", "«you nastyword»", 'she said "you nastyword', '5" and "nastyword" is'):
+        assert weight(part) == 1.0, part
+
+
 def test_levenshtein_automaton_against_table():
     from askloom.llm.lev_toxicity import Lexicon, edits
 
