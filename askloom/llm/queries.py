@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askloom.llm import (
-    byte_bpe, host_paths, labelled, lev_toxicity, order_minhash, packing, permutation_index, revisits, subword_quality,
-    superminhash, url_filters,
+    byte_bpe, host_paths, labelled, lev_toxicity, order_minhash, packing, permutation_index, prefix_trie, revisits,
+    secret_scan, subword_quality, superminhash, url_filters, whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,3 +232,74 @@ def op6_host_paths(spark, d):
 def op1_order_minhash(spark, d):
     """Fingerprints of every document and of its edited text, with their likeness."""
     return order_minhash.fingerprint_edits(table(spark, d, "documents"))
+
+
+# ------------------------------------------------------------------------------ 11 whitening
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark, d):
+    """Every vector on the first sixteen whitened components, each distinct vector once in the fit."""
+    return whitening.whiten(table(spark, d, "embeddings"))
+
+
+# ------------------------------------------------------------------------------ 12 secrets
+def _listed(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query("op12_entropy_secrets")
+def op12_entropy_secrets(spark, d):
+    """Spans of secrets in every document."""
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] != "entropy")
+    count = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return secret_scan.scan(table(spark, d, "documents")).select(
+        "doc_id", count("assign"), count("access"), count("hex"), count("entropy"),
+        F.sha2(_listed(base), 256).alias("base_sha256"), _listed(spans).alias("spans"),
+    )
+
+
+# ------------------------------------------------------------------------------ 13 prefix trie
+@query("op13_prefix_trie", """
+WITH RECURSIVE raw AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+lengths AS (SELECT c, max(p) AS n FROM raw GROUP BY c),
+crc AS (  -- CRC-32 of the decimal id, one character and one bit at a time
+  SELECT c, 0 AS i, 4294967295::BIGINT AS r FROM lengths
+  UNION ALL
+  SELECT c, i + 1, list_reduce(list_prepend(xor(r, ascii(substring(c::VARCHAR, i + 1, 1))), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+         lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)
+  FROM crc WHERE i < length(c::VARCHAR)),
+plan AS (
+  SELECT l.c, l.n, h, least(h, coalesce(b.n, 0)) AS m, l.c - l.c % 20 AS base
+  FROM lengths l JOIN (SELECT c, xor(r, 4294967295) % 4 AS h FROM crc WHERE i = length(c::VARCHAR)) USING (c)
+  LEFT JOIN lengths b ON b.c = l.c - l.c % 20),
+turns AS (
+  SELECT plan.c, p, role, text FROM plan JOIN raw ON raw.c = base AND p <= m
+  UNION ALL SELECT c, m + p - h, role, text FROM raw JOIN plan USING (c) WHERE p > h),
+keyed AS (SELECT c, p, text, md5(role || chr(0) || text) AS k FROM turns),
+paths AS (
+  SELECT c, 0 AS depth, '' AS key, NULL::VARCHAR AS parent, '' AS text FROM plan
+  UNION ALL
+  SELECT c, p, string_agg(k, '') OVER w, left(string_agg(k, '') OVER w, 32 * p - 32), text
+  FROM keyed WINDOW w AS (PARTITION BY c ORDER BY p)),
+nodes AS (
+  SELECT key, any_value(depth) AS depth, any_value(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^ \t-\r]+')) AS own
+  FROM paths GROUP BY key),
+spread AS (
+  SELECT a.key, n.own, NOT EXISTS (SELECT 1 FROM nodes x WHERE x.parent = n.key) AS leaf, n.depth = a.depth + 1 AS child
+  FROM nodes n JOIN nodes a ON a.depth <= n.depth AND left(n.key, 32 * a.depth) = a.key),
+sums AS (
+  SELECT key, count(*) FILTER (child) AS n_children, count(*) FILTER (leaf) AS n_leaves, sum(own)::BIGINT AS saved_tokens
+  FROM spread GROUP BY key),
+last AS (
+  SELECT key, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids
+  FROM (SELECT c, arg_max(key, depth) AS key FROM paths GROUP BY c) GROUP BY key)
+SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n JOIN sums USING (key) LEFT JOIN last USING (key) LEFT JOIN nodes up ON up.key = n.parent""")
+def op13_prefix_trie(spark, d):
+    """Every node of the trie of conversations that begin with the first turns of their twenty's first."""
+    return prefix_trie.shared_head_trie(table(spark, d, "conversations"))
