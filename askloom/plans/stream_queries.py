@@ -14,11 +14,16 @@ from askloom.session import scratch_path
 from askloom.sources import tables as S
 from askloom.streaming import jobs as J
 from askloom.streaming import stateful as SF
+from askloom.streaming import windows as W
+
+
+FILES_PER_BATCH = 64  # bounds a micro-batch, and with it what one key's rows can come to
 
 
 def stream(spark, d, name):
     schema = I.table(spark, d, name).schema
-    return spark.readStream.schema(schema).parquet(f"{d.rstrip('/')}/{name}*.parquet")
+    bounded = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
+    return bounded.parquet(f"{d.rstrip('/')}/{name}*.parquet")
 
 
 def requests(spark, d):
@@ -116,3 +121,84 @@ def _(spark, d):
     summary = m.agg(F.count("*").alias("questions"), F.avg("mrr").alias("mrr"))
     S.write_report(m, summary, path)
     return spark.read.schema("questions bigint").json(f"{path}/summary")
+
+
+@query("stream_expiring_cache", """SELECT g.user_id AS key, event_id AS command_id, CASE WHEN g.ts - s.ts < INTERVAL 6 HOUR THEN s.value END AS value
+FROM (SELECT * FROM events WHERE event_type <> 'purchase') g ASOF LEFT JOIN (SELECT user_id, ts, 'v' || event_id AS value FROM events WHERE event_type = 'purchase') s
+  ON g.user_id = s.user_id AND g.ts >= s.ts""")
+def _(spark, d):
+    """Purchases store a value under the user, other events look it up while it is under six hours old."""
+    commands = stream(spark, d, "events").select(
+        F.col("user_id").alias("key"), F.col("event_id").alias("command_id"), (F.col("event_type") == "purchase").alias("is_set"),
+        F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("value"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+    return J.run_to_table(SF.expiring_cache(commands, 6 * 3600), "expiring-cache").select("key", "command_id", "value")
+
+
+# ------------------------------------------------------------------------------ event-time windows
+# The event log reaches the stream in four arrivals of about ten days; one event in ten comes one
+# arrival late, one in fifty two. Late is what is over two days behind the newest of the arrivals before.
+ARRIVALS = 4
+DELAY_S = 2 * 86_400
+_ARRIVED = """
+a AS (SELECT event_id, user_id, event_type, value, ts, least(3, (ts::DATE - DATE '2024-01-01') // 10
+        + CASE WHEN event_id % 50 = 7 THEN 2 WHEN event_id % 10 = 3 THEN 1 ELSE 0 END) AS arrival FROM events),
+newest AS (SELECT arrival, max(ts) AS t FROM a GROUP BY arrival),
+judged AS (SELECT a.*, coalesce(ts < (SELECT max(t) FROM newest n WHERE n.arrival < a.arrival) - INTERVAL 2 DAY, false) AS late FROM a),
+kept AS (SELECT * FROM judged WHERE NOT late)"""
+
+
+def arrivals(spark, d):
+    """Deals the arrivals one by one, each a micro-batch of the same query, and closes the stream."""
+    e = I.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    delayed = F.when(F.col("event_id") % 50 == 7, 2).when(F.col("event_id") % 10 == 3, 1).otherwise(0)
+    arrival = F.least(F.lit(ARRIVALS - 1), F.floor(day / 10).cast("int") + delayed)
+    feed, folder, checkpoint = (scratch_path(spark, n) for n in ("feed", "dealt", "dealt-ckpt"))
+    for n in range(ARRIVALS):
+        e.where(arrival == n).write.mode("append").parquet(feed)
+        W.deal(spark.readStream.schema(e.schema).parquet(feed), folder, checkpoint, DELAY_S).awaitTermination()
+    W.close(spark, folder, e.schema, 30 * 86_400)
+    return folder, e.schema
+
+
+def windowed(spark, d, name, make):
+    folder, schema = arrivals(spark, d)
+    out = W.windows_to_table(spark, folder, schema, DELAY_S, make, name)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+def counted():
+    return [F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("value"), F.min("event_id").alias("first_event")]
+
+
+_COUNTED = "count(*) AS events, round(sum(value), 4) AS value, min(event_id) AS first_event"
+
+
+@query("stream_session_windows", f"""WITH {_ARRIVED},
+begun AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 4 HOUR THEN 0 ELSE 1 END AS first FROM kept),
+numbered AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM begun)
+SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 4 HOUR AS window_end, {_COUNTED} FROM numbered GROUP BY user_id, s""")
+def _(spark, d):
+    """Activity sessions of every user: events less than four hours apart."""
+    return windowed(spark, d, "sessions", lambda s: W.sessions(s, "4 hours", ["user_id"], counted()))
+
+
+@query("stream_tumbling_windows", f"""WITH {_ARRIVED}
+SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS window_start, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS window_end, {_COUNTED} FROM kept GROUP BY ALL""")
+def _(spark, d):
+    return windowed(spark, d, "tumbling", lambda s: W.tumbling(s, "1 day", ["event_type"], counted()))
+
+
+@query("stream_sliding_windows", f"""WITH {_ARRIVED}
+SELECT event_type, w AS window_start, w + INTERVAL 12 HOUR AS window_end, {_COUNTED} FROM (
+  SELECT *, time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS w FROM kept, range(2) r(k)) GROUP BY ALL""")
+def _(spark, d):
+    return windowed(spark, d, "sliding", lambda s: W.sliding(s, "12 hours", "6 hours", ["event_type"], counted()))
+
+
+@query("stream_late_events", f"WITH {_ARRIVED} SELECT event_id, user_id, ts, arrival::BIGINT AS batch FROM judged WHERE late")
+def _(spark, d):
+    """The side table of rows that came behind the watermark, with the batch they came in."""
+    folder, schema = arrivals(spark, d)
+    return W.late_rows(spark, folder, schema).select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "batch")

@@ -12,20 +12,37 @@ from askloom.operators.chunking import chunk_documents
 from askloom.operators.usage import count_questions, merge_counters
 from askloom.session import scratch_path
 from askloom.sources.tables import parent_rows
+from askloom.streaming.stateful import STORE
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Drain what is available into a table in the shared folder and read it back."""
     spark = stream.sparkSession
     out, ckpt = scratch_path(spark, name), scratch_path(spark, f"{name}-ckpt")
-    q = (
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-        .trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
+    append_to(stream, out, ckpt)
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def append_to(stream: DataFrame, out: str, checkpoint: str, idle_batches: bool = True) -> None:
+    """One run over what is available, with keyed state in a RocksDB store; later runs go on from the checkpoint.
+
+    ``idle_batches`` lets the run end with a batch without rows, in which event-time timers fire. State
+    on the machine's clock asks for such batches without end, so it has to go without.
+    """
+    spark = stream.sparkSession
+    wanted = dict([STORE, ("spark.sql.streaming.noDataMicroBatches.enabled", str(idle_batches).lower())])
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(
+            availableNow=True
+        ).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)

@@ -1,4 +1,12 @@
-"""Stateful operators over request and question streams."""
+"""Keyed state over request and question streams: rate limits, quotas, caches that expire.
+
+State lives in a RocksDB store as lists, maps and single values, and a batch writes only what it
+changes. Event-time timers drop what has expired, so an idle key leaves nothing behind once the
+watermark has passed. Each micro-batch of a key is read frame by frame into two or three number
+columns and put in time order; the source's ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bounds a
+micro-batch. Rows behind the watermark never reach an operator: deal them off first with
+``windows.deal``, which stores them in a side table, and read ``windows.in_time``.
+"""
 
 from __future__ import annotations
 
@@ -9,161 +17,286 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from askloom import constants as K
 
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+SECOND = 1_000_000
 
-def rate_limit(
-    requests: DataFrame, limit: int = K.RATE_LIMIT, window_s: int = K.RATE_WINDOW_S,
-    delay: str = "10 minutes", tick: str | None = None,
-) -> DataFrame:
-    """(client, request_id, ts, accepted, retry_after) under a sliding log of accepted requests.
 
-    Input (client, request_id, ts timestamp). Rejected requests do not count; an accepted one counts
-    while now - then < window. The state of a client is at most ``limit`` times and is dropped once the
-    watermark has passed its last one by the window.
-    """
-    window_us = window_s * 1_000_000
-
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = deque(state.get[0] if state.exists else ())
-        rows = pd.concat(list(batches)).sort_values(["us", "request_id"])
-        accepted, retry = [], []
-        for now in rows["us"].tolist():
-            while times and now - times[0] >= window_us:
+def _in_order(frames: Iterator[pd.DataFrame], columns: list[str], by: list[str]) -> dict[str, np.ndarray]:
+    """The named columns of a key's rows of one micro-batch, sorted by ``by``; frames are let go one by one."""
+    parts = {c: [] for c in columns}
+    for frame in frames:
+        for c in columns:
+            parts[c].append(frame[c].to_numpy())
+    held = {c: np.concatenate(p) for c, p in parts.items()}
+    order = np.lexsort([held[c] for c in reversed(by)])
+    return {c: v[order] for c, v in held.items()}
+
+
+def _keyed(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, delay: str) -> DataFrame:
+    """``processor`` over (keys, us, …) in event time; the output's ``us`` becomes ``ts``."""
+    timed = rows.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+    out = timed.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "eventTime")
+    return out.withColumn("ts", F.timestamp_micros("us")).drop("us")
+
+
+class _Timed(StatefulProcessor):
+    """What the processors share: the handle, and a timer that is always ahead of the watermark."""
+
+    def init(self, handle):
+        self.handle = handle
+
+    def wake(self, timer_values, us: int) -> None:
+        """A timer once the watermark has passed ``us``."""
+        self.handle.registerTimer(max(-(-us // 1000), timer_values.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.expire(key, expiredTimerInfo.getExpiryTimeInMs() * 1000, timerValues)
+        return iter([])
+
+    def expire(self, key, us: int, timer_values) -> None:
+        raise NotImplementedError
+
+    def close(self):
+        pass
+
+
+class _RateLimit(_Timed):
+    def __init__(self, limit: int, window_us: int):
+        self.limit, self.window_us = limit, window_us
+
+    def init(self, handle):
+        super().init(handle)
+        self.times = handle.getListState("times", "us bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = _in_order(rows, ["us", "request_id"], ["us", "request_id"])
+        times = deque(sorted(t for (t,) in self.times.get()) if self.times.exists() else ())
+        accepted, retry, new = [], [], []
+        for now in held["us"].tolist():
+            while times and now - times[0] >= self.window_us:
                 times.popleft()
-            if len(times) >= limit:
+            if len(times) >= self.limit:
                 accepted.append(False)
-                retry.append(int((window_us - (now - times[0])) / 1_000_000))
+                retry.append((self.window_us - (now - times[0])) // SECOND)
             else:
                 times.append(now)
+                new.append((now,))
                 accepted.append(True)
                 retry.append(None)
-        state.update((list(times),))
-        last_ms = int(rows["us"].iloc[-1]) // 1000
-        state.setTimeoutTimestamp(max(last_ms + window_s * 1000, state.getCurrentWatermarkMs() + 1))
+        if new:
+            self.times.appendList(new)  # what is older stays until a timer drops it
+            self.wake(timerValues, new[-1][0] + self.window_us)
         yield pd.DataFrame(
-            {
-                "client": key[0], "request_id": rows["request_id"].to_numpy(), "us": rows["us"].to_numpy(),
-                "accepted": accepted, "retry_after": pd.array(retry, dtype="Int64"),
-            }
+            {"client": key[0], "request_id": held["request_id"], "us": held["us"], "accepted": accepted, "retry_after": pd.array(retry, dtype="Int64")}
         )
 
-    kind = requests.schema["client"].dataType.simpleString()
-    rid = requests.schema["request_id"].dataType.simpleString()
-    return (
-        requests.withWatermark("ts", delay)
-        .withColumn("us", F.unix_micros("ts"))
-        .groupBy("client")
-        .applyInPandasWithState(
-            decide, f"client {kind}, request_id {rid}, us bigint, accepted boolean, retry_after bigint",
-            "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout,
-        )
-        .withColumn("ts", F.timestamp_micros("us"))
-        .drop("us")
+    def expire(self, key, us, timer_values):
+        left = [(t,) for (t,) in self.times.get() if t > us - self.window_us]
+        if left:
+            self.times.put(left)
+        else:
+            self.times.clear()
+
+
+def rate_limit(requests: DataFrame, limit: int = K.RATE_LIMIT, window_s: int = K.RATE_WINDOW_S, delay: str = "10 minutes") -> DataFrame:
+    """(client, request_id, ts, accepted, retry_after) under a sliding log of accepted requests.
+
+    Input (client, request_id, ts timestamp). Rejected requests do not count; an accepted one counts
+    while now - then < window. A client's state is a list of accepted times, appended to by each
+    batch and cut by a timer once the watermark has left them behind.
+    """
+    kind, rid = (requests.schema[c].dataType.simpleString() for c in ("client", "request_id"))
+    return _keyed(
+        requests, ["client"], _RateLimit(limit, window_s * SECOND),
+        f"client {kind}, request_id {rid}, us bigint, accepted boolean, retry_after bigint", delay,
     )
 
 
+class _Quota(_Timed):
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle):
+        super().init(handle)
+        self.used = handle.getValueState("used", "n bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = _in_order(rows, ["us", "request_id"], ["us", "request_id"])
+        used = self.used.get()[0] if self.used.exists() else 0
+        number = used + np.arange(1, len(held["us"]) + 1)
+        if used < self.limit:
+            self.used.update((int(min(self.limit, number[-1])),))
+        self.wake(timerValues, pd.Timestamp(key[1]).value // 1000 + 86_400 * SECOND)
+        yield pd.DataFrame({"user_id": key[0], "request_id": held["request_id"], "us": held["us"], "accepted": number <= self.limit})
+
+    def expire(self, key, us, timer_values):
+        self.used.clear()
+
+
 def daily_quota(requests: DataFrame, limit: int, delay: str = "1 day") -> DataFrame:
     """(user_id, request_id, ts, accepted): the first ``limit`` requests of each user's day pass.
 
     The key is (user, day), so a day's counter is a state of its own and is dropped when the
     watermark leaves the day; one busy user spreads over days.
     """
+    kind, rid = (requests.schema[c].dataType.simpleString() for c in ("user_id", "request_id"))
+    rows = requests.withColumn("day", F.to_date("ts"))
+    return _keyed(rows, ["user_id", "day"], _Quota(limit), f"user_id {kind}, request_id {rid}, us bigint, accepted boolean", delay)
 
-    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        used = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["us", "request_id"])
-        number = used + np.arange(1, len(rows) + 1)
-        state.update((int(min(limit, number[-1])),))
-        end_ms = (pd.Timestamp(key[1]).value // 1_000_000) + 86_400_000
-        state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            {"user_id": key[0], "request_id": rows["request_id"].to_numpy(), "us": rows["us"].to_numpy(), "accepted": number <= limit}
-        )
 
-    kind = requests.schema["user_id"].dataType.simpleString()
-    rid = requests.schema["request_id"].dataType.simpleString()
-    return (
-        requests.withWatermark("ts", delay)
-        .withColumns({"us": F.unix_micros("ts"), "day": F.to_date("ts")})
-        .groupBy("user_id", "day")
-        .applyInPandasWithState(
-            count, f"user_id {kind}, request_id {rid}, us bigint, accepted boolean", "used int", "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
-        .withColumn("ts", F.timestamp_micros("us"))
-        .drop("us")
-    )
+class _SemanticCache(_Timed):
+    def __init__(self, threshold: float, cap: int, ttl_us: int):
+        self.threshold, self.cap, self.ttl_us = threshold, cap, ttl_us
 
+    def init(self, handle):
+        super().init(handle)
+        self.entries = handle.getMapState("entries", "id bigint", "us bigint, number bigint, unit array<double>")
 
-def semantic_cache(
-    questions: DataFrame, threshold: float = K.SEMANTIC_CACHE_THRESHOLD, cap: int = K.SEMANTIC_CACHE_SIZE,
-    ttl_s: int = K.TTL_EMBEDDING_S, delay: str = "10 minutes",
-) -> DataFrame:
-    """(tenant, question_id, ts, hit_id, similarity): look up, and store what was not found.
-
-    Input (tenant, question_id, ts, embedding). The best live entry at or above the threshold
-    answers, the oldest on ties; a miss is stored and evicts the oldest entry at the cap. The state
-    of a tenant is bounded by the cap, and entries expire by their own age.
-    """
+    def _stored(self):
+        rows = [(n, i, t, u) for (i,), (t, n, u) in self.entries.iterator()] if self.entries.exists() else []
+        return sorted(rows, key=lambda r: r[:2])
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["us", "question_id"])
-        dim = len(rows["embedding"].iloc[0])
-        ids, at, flat = state.get if state.exists else ([], [], [])
-        ids, at = list(ids), list(at)
-        mat = np.asarray(flat, dtype=np.float64).reshape(-1, dim)
-        hit, sim = [], []
-        for qid, now, vec in zip(rows["question_id"], rows["us"], rows["embedding"]):
-            live = [i for i, t in enumerate(at) if now < t + ttl_s * 1_000_000]
+    def handleInputRows(self, key, rows, timerValues):
+        held = _in_order(rows, ["us", "question_id", "embedding"], ["us", "question_id"])
+        old = self._stored()
+        numbers, ids, at = ([r[i] for r in old] for i in range(3))
+        mat = np.array([r[3] for r in old], dtype=np.float64).reshape(len(old), len(held["embedding"][0]))
+        next_number = numbers[-1] + 1 if numbers else 0
+        fresh, hit, sim = {}, [], []
+        for qid, now, vec in zip(held["question_id"].tolist(), held["us"].tolist(), held["embedding"], strict=True):
+            live = [i for i, t in enumerate(at) if now < t + self.ttl_us]
             if len(live) < len(at):
+                self._forget([ids[i] for i in range(len(at)) if i not in set(live)], fresh)
                 ids, at, mat = [ids[i] for i in live], [at[i] for i in live], mat[live]
             v = np.asarray(vec, dtype=np.float64)
             n = np.sqrt((v * v).sum())
             unit = v / n if n > 0 else v
-            s = np.round(mat @ unit, 6) if len(ids) else np.empty(0)
-            if len(s) and s.max() >= threshold:
+            s = np.round(mat @ unit, 6) if ids else np.empty(0)
+            if len(s) and s.max() >= self.threshold:
                 i = int(np.argmax(s))
                 hit.append(ids[i])
                 sim.append(float(s[i]))
                 continue
             hit.append(None)
             sim.append(None)
-            if len(ids) >= cap:
+            if len(ids) >= self.cap:
+                self._forget(ids[:1], fresh)
                 ids, at, mat = ids[1:], at[1:], mat[1:]
-            ids.append(int(qid))
-            at.append(int(now))
+            fresh[qid] = (now, next_number, unit.tolist())
+            next_number += 1
+            ids.append(qid)
+            at.append(now)
             mat = np.vstack([mat, unit])
-        state.update((ids, at, mat.ravel().tolist()))
-        last_ms = int(rows["us"].iloc[-1]) // 1000
-        state.setTimeoutTimestamp(max(last_ms + ttl_s * 1000, state.getCurrentWatermarkMs() + 1))
+        for qid, entry in fresh.items():
+            self.entries.updateValue((qid,), entry)
+        if fresh:
+            self.wake(timerValues, max(e[0] for e in fresh.values()) + self.ttl_us)
         yield pd.DataFrame(
             {
-                "tenant": key[0], "question_id": rows["question_id"].to_numpy(), "us": rows["us"].to_numpy(),
-                "hit_id": pd.array(hit, dtype="Int64"), "similarity": pd.array(sim, dtype="Float64").to_numpy(dtype=float, na_value=np.nan),
+                "tenant": key[0], "question_id": held["question_id"], "us": held["us"], "hit_id": pd.array(hit, dtype="Int64"),
+                "similarity": pd.array(sim, dtype="Float64").to_numpy(dtype=float, na_value=np.nan),
             }
         )
 
+    def _forget(self, ids, fresh):
+        for i in ids:
+            if fresh.pop(i, None) is None:
+                self.entries.removeKey((i,))
+
+    def expire(self, key, us, timer_values):
+        for _, i, t, _ in self._stored():
+            if t + self.ttl_us <= us:
+                self.entries.removeKey((i,))
+
+
+def semantic_cache(
+    questions: DataFrame, threshold: float = K.SEMANTIC_CACHE_THRESHOLD, cap: int = K.SEMANTIC_CACHE_SIZE,
+    ttl_s: int = K.TTL_EMBEDDING_S, delay: str = "10 minutes",
+) -> DataFrame:
+    """(tenant, question_id, ts, hit_id, similarity): look up, and store what was not found.
+
+    Input (tenant, question_id, ts, embedding). The best live entry at or above the threshold
+    answers, the oldest on ties; a miss is stored and evicts the oldest entry at the cap. A tenant's
+    entries are a map bounded by the cap; each expires by its own age, and a batch writes only the
+    entries it adds or takes out.
+    """
     kind = questions.schema["tenant"].dataType.simpleString()
-    return (
-        questions.withWatermark("ts", delay)
-        .withColumn("us", F.unix_micros("ts"))
-        .groupBy("tenant")
-        .applyInPandasWithState(
-            run, f"tenant {kind}, question_id bigint, us bigint, hit_id bigint, similarity double",
-            "ids array<bigint>, at array<bigint>, mat array<double>", "append", GroupStateTimeout.EventTimeTimeout,
-        )
-        .withColumns({"ts": F.timestamp_micros("us"), "similarity": F.nanvl("similarity", F.lit(None).cast("double"))})
-        .drop("us")
+    out = _keyed(
+        questions, ["tenant"], _SemanticCache(threshold, cap, ttl_s * SECOND),
+        f"tenant {kind}, question_id bigint, us bigint, hit_id bigint, similarity double", delay,
     )
+    return out.withColumn("similarity", F.nanvl("similarity", F.lit(None).cast("double")))
+
+
+class _ExpiringValue(_Timed):
+    def __init__(self, ttl_us: int):
+        self.ttl_us = ttl_us
+
+    def init(self, handle):
+        super().init(handle)
+        self.value = handle.getValueState("value", "us bigint, value string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = _in_order(rows, ["us", "command_id", "is_set", "value"], ["us", "command_id"])
+        at, value = self.value.get() if self.value.exists() else (None, None)
+        stored, out = at, []
+        for now, is_set, new in zip(held["us"].tolist(), held["is_set"].tolist(), held["value"].tolist(), strict=True):
+            if is_set:
+                at, value = now, new
+                out.append(None)
+            else:
+                out.append(value if at is not None and now < at + self.ttl_us else None)
+        if at != stored:
+            self.value.update((at, value))
+            self.wake(timerValues, at + self.ttl_us)
+        asked = ~held["is_set"].astype(bool)
+        found = pd.array(np.array(out, dtype=object)[asked], dtype="string")
+        yield pd.DataFrame({"key": key[0], "command_id": held["command_id"][asked], "us": held["us"][asked], "value": found})
+
+    def expire(self, key, us, timer_values):
+        if self.value.exists() and self.value.get()[0] + self.ttl_us <= us:
+            self.value.clear()
+
+
+def expiring_cache(commands: DataFrame, ttl_s: int, delay: str = "10 minutes") -> DataFrame:
+    """(key, command_id, ts, value) of every look-up: the last value set under the key, while it is younger than the TTL.
+
+    Input (key, command_id, is_set, value, ts). Commands take effect in event time, ties by id; a
+    value read is null when none was set or it has expired. A key's value is dropped by a timer.
+    """
+    kind, cid = (commands.schema[c].dataType.simpleString() for c in ("key", "command_id"))
+    return _keyed(commands, ["key"], _ExpiringValue(ttl_s * SECOND), f"key {kind}, command_id {cid}, us bigint, value string", delay)
+
+
+class _LastSeen(StatefulProcessor):
+    def __init__(self, ttl_s: int):
+        self.ttl_ms = ttl_s * 1000
+
+    def init(self, handle):
+        self.seen = handle.getMapState("seen", "item string", "n bigint", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        for frame in rows:
+            out = []
+            for item in frame["item"]:
+                n = (self.seen.getValue((item,))[0] if self.seen.containsKey((item,)) else 0) + 1
+                self.seen.updateValue((item,), (n,))
+                out.append(n)
+            yield pd.DataFrame({"key": key[0], "item": frame["item"], "seen": out})
+
+    def close(self):
+        pass
+
+
+def recently_seen(rows: DataFrame, ttl_s: int) -> DataFrame:
+    """(key, item, seen): how often an item has come under its key, counted anew after ``ttl_s`` without it.
+
+    Input (key, item). The clock is the machine's: the store itself drops entries whose time to live
+    is over, key by key and item by item.
+    """
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.groupBy("key").transformWithStateInPandas(_LastSeen(ttl_s), f"key {kind}, item string, seen bigint", "append", "processingTime")
