@@ -28,11 +28,25 @@ def tokenized(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame
 
 
 def postings(docs: DataFrame, keys: list[str], text: str = "text", vocabulary: DataFrame | None = None):
-    """(keys, dl, term, tf). A vocabulary drops other terms before anything is shuffled."""
-    rows = tokenized(docs, keys, text).select(*keys, "dl", F.explode("toks").alias("term"))
-    if vocabulary is not None:
-        rows = rows.join(vocabulary, "term", "left_semi")
-    return rows.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
+    """(keys, dl, term, tf), counted inside each row's own tokens: nothing is shuffled."""
+    rows = tokenized(docs, keys, text).where(F.col("dl") > 0)
+    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            toks = b.column("toks")
+            coded = toks.flatten().dictionary_encode()
+            words = max(len(coded.dictionary), 1)
+            row = np.repeat(np.arange(b.num_rows), toks.value_lengths().to_numpy(zero_copy_only=False))
+            pair, tf = np.unique(row * words + np.asarray(coded.indices), return_counts=True)
+            at = pa.array(pair // words)
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(c).take(at) for c in (*keys, "dl")], coded.dictionary.take(pa.array(pair % words)), pa.array(tf, pa.int64())],
+                names=[*keys, "dl", "term", "tf"],
+            )
+
+    out = rows.mapInArrow(count, f"{fields}, dl bigint, term string, tf bigint")
+    return out if vocabulary is None else out.join(vocabulary, "term", "left_semi")
 
 
 def document_frequency(docs: DataFrame, keys: list[str], text: str = "text", vocabulary=None):

@@ -14,6 +14,7 @@ from askloom import constants as K
 from askloom.functions import text as X
 from askloom.functions import vector as V
 from askloom.operators import lexical as L
+from askloom.operators import postings as P
 from askloom.operators import questions as Q
 from askloom.operators import vectors as VS
 from askloom.session import settle
@@ -89,9 +90,14 @@ def within(rows: DataFrame, widths: DataFrame | None, factor: int = 1) -> DataFr
     return rows.join(widths, "query_id").where(F.col("rank") <= F.col("width") * factor).drop("width")
 
 
+def indexed(chunks: DataFrame, index: P.Index | None) -> P.Index:
+    """The index of the chunks, built here unless the caller holds one."""
+    return index or P.build_index(chunks, CHILD_KEY, "child_content")
+
+
 def multi_path(
     questions: DataFrame, chunks: DataFrame, k, embed=V.hashed_embedding, diversity_order: bool = False,
-    widths: DataFrame | None = None,
+    widths: DataFrame | None = None, index: P.Index | None = None,
 ) -> DataFrame:
     """Three paths (vector, expanded vector, BM25), fused, diversified, cut to k.
 
@@ -114,7 +120,7 @@ def multi_path(
             changed.select("query_id", embed(F.col("expanded")).alias("qvec")), chunks, wide, CHILD_KEY
         ), widths
     ))
-    lex = within(L.bm25_search(qs, chunks, wide, CHILD_KEY, "child_content"), widths)
+    lex = within(P.search(indexed(chunks, index), qs, wide), widths)
     fused = within(rrf([vec, vec2, lex], wide), widths)
     info = chunks.select(*CHILD_KEY, "child_content", "split_group_id")
     fused = fused.join(info, CHILD_KEY)
@@ -194,7 +200,8 @@ def normalized_by_parent(ranked: DataFrame, name: str) -> DataFrame:
 
 
 def hybrid_scores(
-    questions: DataFrame, hits: DataFrame, chunks: DataFrame, top_k: int, widths: DataFrame | None = None
+    questions: DataFrame, hits: DataFrame, chunks: DataFrame, top_k: int, widths: DataFrame | None = None,
+    index: P.Index | None = None,
 ) -> DataFrame:
     """vector, lexical and combined score of every hit.
 
@@ -202,7 +209,7 @@ def hybrid_scores(
     ``widths`` (query_id, width), none above ``top_k``, takes its place question by question.
     """
     full = normalized_by_parent(
-        within(L.bm25_search(questions, chunks, top_k * 3, CHILD_KEY, "child_content"), widths, 3), "full_bm25"
+        within(P.search(indexed(chunks, index), questions, top_k * 3), widths, 3), "full_bm25"
     )
     texts = hits.select(
         "query_id", *KEY,
@@ -236,7 +243,8 @@ def hybrid_scores(
 
 
 def keyword_rescue(
-    questions: DataFrame, hits: DataFrame, chunks: DataFrame, terms_used: int = 5, hits_per_term: int = 2, parents_added: int = 1
+    questions: DataFrame, hits: DataFrame, chunks: DataFrame, terms_used: int = 5, hits_per_term: int = 2, parents_added: int = 1,
+    index: P.Index | None = None,
 ) -> DataFrame:
     """Parents, ``parents_added`` per question, that strong single terms find and the hits lack.
 
@@ -250,9 +258,7 @@ def keyword_rescue(
     single = terms.select(
         F.col("term").alias("query_id"), F.col("term").alias("question")
     ).distinct()
-    found = L.bm25_search(single, chunks, hits_per_term, CHILD_KEY, "child_content").withColumnRenamed(
-        "query_id", "term"
-    )
+    found = P.search(indexed(chunks, index), single, hits_per_term).withColumnRenamed("query_id", "term")
     top = F.max("score").over(Window.partitionBy("term"))
     ns = found.select("term", *CHILD_KEY, "rank", (F.col("score") / top).alias("ns"))
     steps = (
@@ -406,16 +412,18 @@ def _texts(hits: DataFrame, parents: DataFrame) -> DataFrame:
 def retrieve(
     questions: DataFrame, chunks: DataFrame, parents: DataFrame, documents: DataFrame, k: int = 5,
     embed=V.hashed_embedding, expansion: bool = True, use_quality: bool = True, role: str | None = None,
+    index: P.Index | None = None,
 ) -> DataFrame:
     """Contexts for every question: recall, expansion, hybrid score, rerank, filters, final cut.
 
     Small talk is answered without retrieval and has no contexts. From five results on a question is
     searched along three paths, each as wide as three times its own k and 20 at least; below five
     along the vector path alone, four times its k wide and 30 at least. A hit whose parent is unknown
-    shows its child's text.
+    shows its child's text. All lexical searches read one index: ``index``, or one built of ``chunks`` here.
 
     ``questions`` is (query_id, question). The result keeps max(strategy k, k) rows per question.
     """
+    index = indexed(chunks, index)
     qs = settle(Q.classify(questions)).where(~F.col("direct_answer")).withColumn("k", F.greatest("strategy_top_k", F.lit(k)))
     if expansion:
         qs = qs.withColumn(
@@ -431,7 +439,7 @@ def retrieve(
     )
     # The hits of a stage are a few rows per question and feed several branches: settle them.
     hits = multi_path(
-        qs.where(many), chunks, max(widest * 3, 20), embed, widths=widths.where("_many").drop("_many")
+        qs.where(many), chunks, max(widest * 3, 20), embed, widths=widths.where("_many").drop("_many"), index=index
     )
     if k < MULTI_PATH_FROM:
         vectors = qs.where(~many).select("query_id", embed(F.col("question")).alias("qvec"))
@@ -447,8 +455,8 @@ def retrieve(
         F.greatest("k", F.lit(10))
     )
     limits = settle(qs.select("query_id", "k", wide.alias("wide")))
-    scored = hybrid_scores(qs, hits, chunks, max(widest, 15), limits.select("query_id", F.col("wide").alias("width")))
-    rescued = keyword_rescue(qs, hits, chunks)
+    scored = hybrid_scores(qs, hits, chunks, max(widest, 15), limits.select("query_id", F.col("wide").alias("width")), index)
+    rescued = keyword_rescue(qs, hits, chunks, index=index)
     cols = ["query_id", *CHILD_KEY, "score", "vector_score", "bm25_score"]
     both = scored.select(*cols).unionByName(rescued.select(*cols))
     info = chunks.select(*CHILD_KEY, "child_content", "split_group_id")

@@ -11,7 +11,7 @@ from askloom.operators import answers as A
 from askloom.operators import caches as CA
 from askloom.operators import evaluation as E
 from askloom.operators import history as H
-from askloom.operators import lexical as L
+from askloom.operators import postings as P
 from askloom.operators import questions as Q
 from askloom.operators import retrieval as R
 from askloom.plans import inputs as I
@@ -337,7 +337,7 @@ _JUDGE = dict(
 
 def judged(spark, d):
     g = golden(spark, d)
-    hits = L.bm25_search(g, I.children(spark, d), 5, CK, "child_content")
+    hits = P.search(I.lexical_index(spark, d), g, 5)
     text = hits.join(I.parents(spark, d), R.KEY).withColumnRenamed("parent_content", "text")
     return g, E.relevance(g, text)
 

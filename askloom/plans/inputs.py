@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from askloom.functions import text as X
 from askloom.functions import vector as V
+from askloom.operators import postings as P
 from askloom.sources.tables import read_table
 
 
@@ -69,6 +70,31 @@ def children(spark, d, embedded: bool = False) -> DataFrame:
     return out.withColumn("embedding", V.hashed_embedding(F.col("child_content"))) if embedded else out
 
 
+_INDEXES: dict = {}
+
+
+def lexical_index(spark, d) -> P.Index:
+    """The stored index of ``children``: built by the first query of an application that asks, then read by all.
+
+    It is built anew when the documents' files have changed.
+    """
+    key = (spark.sparkContext.applicationId, d, *_stamp(spark, f"{d.rstrip('/')}/documents.parquet"))
+    if key not in _INDEXES:
+        _INDEXES[key] = P.build_index(children(spark, d), ["document_id", "parent_id", "child_id"], "child_content")
+    return _INDEXES[key]
+
+
+def _stamp(spark, path: str) -> tuple[int, int, int]:
+    """Count, bytes and newest time of the files under a path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True)
+    n = size = newest = 0
+    while files.hasNext():
+        f = files.next()
+        n, size, newest = n + 1, size + f.getLen(), max(newest, f.getModificationTime())
+    return n, size, newest
+
+
 def parents(spark, d) -> DataFrame:
     return documents(spark, d).select(
         F.col("doc_id").alias("document_id"), F.lit("p0").alias("parent_id"),

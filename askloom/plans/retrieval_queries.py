@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from askloom.functions import text as X
 from askloom.functions import vector as V
 from askloom.operators import lexical as L
+from askloom.operators import postings as P
 from askloom.operators import questions as Q
 from askloom.operators import retrieval as R
 from askloom.operators import vectors as VS
@@ -50,7 +51,7 @@ def _(spark, d):
 @query("bm25_topk", I.with_parts("bm25_ranked") + """
 SELECT query_id, document_id, parent_id, child_id, score, rank FROM bm25_ranked WHERE rank <= 10""")
 def _(spark, d):
-    return L.bm25_search(I.questions(spark, d), I.children(spark, d), 10, CK, "child_content")
+    return P.search(I.lexical_index(spark, d), I.questions(spark, d), 10)
 
 
 @query("bm25_path_hits", I.with_parts("bm25_ranked") + """
@@ -59,7 +60,7 @@ SELECT query_id, document_id, parent_id, child_id, rank, score, child_content, s
 FROM bm25_ranked JOIN children USING (document_id, parent_id, child_id) WHERE rank <= 15""")
 def _(spark, d):
     chunks = I.children(spark, d)
-    hits = L.bm25_search(I.questions(spark, d), chunks, 15, CK, "child_content")
+    hits = P.search(I.lexical_index(spark, d), I.questions(spark, d), 15)
     return hits.join(chunks, CK).withColumns(
         {"source": F.concat(F.lit("BM25-"), F.col("parent_id")), "rerank_method": F.lit("bm25")}
     )
@@ -204,7 +205,7 @@ _DIVERSE = dict(
 
 
 def rrf_hits(spark, d):
-    lex = L.bm25_search(I.questions(spark, d), I.children(spark, d), 15, CK, "child_content")
+    lex = P.search(I.lexical_index(spark, d), I.questions(spark, d), 15)
     return R.rrf([vector_hits(spark, d), lex], 15)
 
 
@@ -227,7 +228,7 @@ SELECT query_id, document_id, parent_id, child_id, score, rrf_score, rank FROM (
   SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank FROM diverse)
 WHERE rank <= 10""")
 def _(spark, d):
-    return R.multi_path(I.questions(spark, d), I.children(spark, d, True), 10).select(
+    return R.multi_path(I.questions(spark, d), I.children(spark, d, True), 10, index=I.lexical_index(spark, d)).select(
         "query_id", "document_id", "parent_id", "child_id", "score", "rrf_score", "rank"
     )
 
@@ -355,13 +356,13 @@ def classified(spark, d):
 
 def hybrid_hits(spark, d):
     hits = R.backfill_parents(vector_hits(spark, d), I.parents(spark, d))
-    return R.hybrid_scores(classified(spark, d), hits, I.children(spark, d), 10)
+    return R.hybrid_scores(classified(spark, d), hits, I.children(spark, d), 10, index=I.lexical_index(spark, d))
 
 
 @query("bm25_full_corpus_by_parent", I.with_parts("bm25_ranked", **{"full_": _HYBRID["full_"]}) + """
 SELECT query_id, document_id, parent_id, round(fb, 6) AS full_bm25 FROM full_""")
 def _(spark, d):
-    ranked = L.bm25_search(I.questions(spark, d), I.children(spark, d), 30, CK, "child_content")
+    ranked = P.search(I.lexical_index(spark, d), I.questions(spark, d), 30)
     return R.normalized_by_parent(ranked, "f").select(
         "query_id", "document_id", "parent_id", F.round("f", 6).alias("full_bm25")
     )
@@ -411,7 +412,7 @@ def _(spark, d):
 ) + """SELECT query_id, document_id, parent_id, child_id, round((1 - wb) * 0.05 + wb * kw * 0.5, 4) AS score,
        0.0::DOUBLE AS vector_score, round(kw, 4) AS bm25_score FROM best JOIN wts USING (query_id) WHERE n = 1""")
 def _(spark, d):
-    return R.keyword_rescue(classified(spark, d), vector_hits(spark, d), I.children(spark, d))
+    return R.keyword_rescue(classified(spark, d), vector_hits(spark, d), I.children(spark, d), index=I.lexical_index(spark, d))
 
 
 _RERANK = dict(
@@ -529,7 +530,8 @@ def _(spark, d):
 @query("retrieve_contexts")
 def _(spark, d):
     return R.retrieve(
-        I.questions(spark, d), I.children(spark, d, True), I.parents(spark, d), I.document_info(spark, d), 5
+        I.questions(spark, d), I.children(spark, d, True), I.parents(spark, d), I.document_info(spark, d), 5,
+        index=I.lexical_index(spark, d),
     ).drop("content", "child_content")
 
 
@@ -538,5 +540,5 @@ def _(spark, d):
     """Evaluation variant: no question expansion, what a teacher may read."""
     return R.retrieve(
         I.questions(spark, d), I.children(spark, d, True), I.parents(spark, d),
-        I.document_info(spark, d), 5, expansion=False, role="teacher",
+        I.document_info(spark, d), 5, expansion=False, role="teacher", index=I.lexical_index(spark, d),
     ).drop("content", "child_content")
