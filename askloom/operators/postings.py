@@ -41,9 +41,15 @@ class Index:
     keys: tuple[str, ...]
     n_docs: int
     avg_dl: float
+    raw: StructType
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        """"postings", "terms" or "tiles"; the tiles stay where the scan has put them."""
+        if name != "tiles":
+            return self.spark.read.parquet(f"{self.folder}/{name}")
+        path = f"{self.folder}/raw/kind=tiles"
+        rows = self.spark.read.schema(self.raw).parquet(path) if _holds(self.spark, path) else self.spark.createDataFrame([], self.raw)
+        return rows.select("tile", "ids", "dl")
 
 
 def build_index(docs: DataFrame, keys: list[str], text: str = "text", folder: str | None = None) -> Index:
@@ -74,14 +80,12 @@ def build_index(docs: DataFrame, keys: list[str], text: str = "text", folder: st
     stored = spark.read.schema(raw.schema).parquet
     postings = stored(f"{folder}/raw/kind=postings").drop("ids", "dl") if _holds(spark, f"{folder}/raw/kind=postings") else raw.limit(0).drop("ids", "dl")
     postings.repartitionByRange(F.col("term"), F.col("tile")).sortWithinPartitions("term", "tile").write.parquet(f"{folder}/postings")
-    tiles = (stored(f"{folder}/raw/kind=tiles") if _holds(spark, f"{folder}/raw/kind=tiles") else raw.limit(0)).select("tile", "ids", "dl")
-    tiles.write.parquet(f"{folder}/tiles")
     spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.sum(F.size("at")).alias("df")).write.parquet(f"{folder}/terms")
-    told = spark.read.parquet(f"{folder}/tiles").agg(
+    told = Index(spark, folder, tuple(keys), 0, 0.0, raw.schema).table("tiles").agg(
         F.sum(F.size("dl")).alias("n"), F.sum(F.aggregate("dl", F.lit(0).cast("long"), lambda a, x: a + x)).alias("s")
     ).first()
     n = told["n"] or 0
-    return Index(spark, folder, tuple(keys), n, (told["s"] or 0) / max(n, 1))
+    return Index(spark, folder, tuple(keys), n, (told["s"] or 0) / max(n, 1), raw.schema)
 
 
 def _holds(spark: SparkSession, path: str) -> bool:
