@@ -238,3 +238,108 @@ def test_prefix_trie_of_special_tables(spark):
     assert [tuple(r[x] for x in FIELDS) for r in only] == [(c, 0, None, 1, 0, 1, 0, hashlib.sha256(str(c).encode()).hexdigest())]
     twice = P.prefix_trie(talks_of(spark, [(1, 0, "u", "same words")] * 2 + [(2, 0, "u", "same words")])).collect()
     assert sorted(tuple(r[x] for x in FIELDS[:7]) for r in twice) == [(1, 0, None, 2, 1, 1, 2), (1, 1, 1, 2, 1, 1, 2), (1, 2, 1, 1, 0, 1, 0)]
+
+
+# ------------------------------------------------------------------------------ 6, pages of all sorts
+PROSE = "A sentence of the article goes on for a while. " * 4
+
+
+@pytest.mark.parametrize(
+    "inside, want",
+    [
+        ('<p class="ad">buy</p><p>x</p>', "x"), ('<p class="cookie-notice">we use<p>x', "x"), ('<ul><li class="advert">buy<li>one<li>two</ul>', "one\ntwo"),
+        ('<h2 class="newsletter">join</h2>x', "x"), ('a <span class="ad">buy <span>now</span></span>b', "a b"), ('<div class="side-effects">x</div>', "x"),
+        ('<div class="notice-of-motion">x</div>', "x"), ('<div class="ad-slot-2">buy</div>x', "x"), ('<blockquote class="promo">buy</blockquote>x', "x"),
+        ('<p class="ad"><b>buy</b><div>x</div>', "x"), ('<div id="comments"><p>' + PROSE * 9 + "</p></div>x", "x"), ("<i <b>x</b>", "x"), ('<a title="1 > 0">x</a>', "x"),
+        ('<span class="ad">buy<p>x', "x"), ('<div class="w-1/2"><p>x</p></div>', "x"), ("a < b", "a < b"),
+    ],
+)
+def test_what_is_left_out_of_pages(inside, want):
+    from askloom.llm.host_paths import Page
+
+    page = Page(f"<body><nav>m</nav><div class=main><p>{PROSE}</p>{inside}</div>")
+    path = page.path(page.best())
+    assert path == "/body/div.main" and page.text([path]) == page.text(["/none", path]) == f"{PROSE.strip()}\n{want}"
+
+
+def test_named_box_that_is_the_article():
+    from askloom.llm.host_paths import Page
+
+    assert Page(f'<body><p>t</p><div class="notice"><p>{PROSE}</p></div>').text([]) == PROSE.strip()
+    assert Page(f'<body><p>t</p><div class="comments"><p>{PROSE}</p></div>').text([]) == "t"
+
+
+@pytest.mark.parametrize(
+    "source", ["<a " * 350_000, "<div>" * 50_000 + "x", '<a "' * 250_000 + ">", "<a '\"" * 200_000 + ">", "<" * 1_000_000, "<div>" * 50_000 + "</p></div x" * 50_000,
+               "<!" * 500_000, "<!-- " * 200_000, "<p class=ad>" * 80_000, "<div class=ad>x" * 50_000, "<a<b" * 250_000, "<script>" * 120_000, "<i " * 300_000 + '"'],
+)
+def test_pages_are_read_in_linear_time(source):
+    import time
+
+    from askloom.llm.host_paths import Page
+
+    began = time.process_time()
+    page = Page(source)
+    page.text([page.path(max(page.best(), 0))])
+    assert time.process_time() - began < 2
+
+
+def simple_text(source):
+    """Another way to the article of the given pages: the standard library's parser, and everything in <article>."""
+    from html.parser import HTMLParser
+
+    blocks, out = [[]], []
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            names = dict(attrs).get("class") or ""
+            if tag in ("p", "h1", "div", "article", "li", "ul", "section", "main"):
+                blocks.append([])
+            if tag == "br":
+                blocks[-1].append(" ")
+            if tag not in ("br", "meta", "link", "img", "hr", "input"):
+                out.append((tag, tag in ("nav", "header", "footer", "aside", "script", "style", "form", "title", "head") or names in ("ad", "sidebar", "cookie", "comments")))
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "div", "article", "li", "ul", "section", "main"):
+                blocks.append([])
+            if any(t == tag for t, _ in out):
+                while out.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            if not any(gone for _, gone in out) and any(t == "article" for t, _ in out):
+                blocks[-1].append(data)
+
+    reader = Reader()
+    reader.feed(source or "")
+    reader.close()
+    return "\n".join(t for b in blocks if (t := re.sub(r"\s+", " ", "".join(b)).strip()))
+
+
+def test_extraction_against_a_simple_reader(spark):
+    from askloom.llm.host_paths import extract
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in extract(pages).collect()}
+    rows = [(r.page_id, r.html) for r in pages.collect() if "<article" in (r.html or "")]
+    same = sum(got[k] == simple_text(h) for k, h in rows)
+    assert len(rows) > 100 and same / len(rows) > 0.97, (same, len(rows))
+
+
+# ------------------------------------------------------------------------------ 3, lengths and ties
+def test_permutation_index_lengths_and_scaled_copies(spark):
+    from askloom.llm.permutation_index import nearest
+
+    rng = np.random.default_rng(33)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(1, 39)] + [(0, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert nearest(df, df.where("vec_id = 0")).count() == 0  # of another length than the table's
+    v = rng.normal(size=8)
+    copies = [(i, [float(x) for x in v * s]) for i, s in enumerate((0.7, 3.1, 1.0, 0.3, 11.0, 1 / 3, 7.7))] + [(90, [float(x) for x in -v])]
+    df = spark.createDataFrame(copies, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, df.where("vec_id < 90")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+        assert r.score <= 1.0 and abs(r.score - 1) < 1e-12
+    assert got == {q: [i for i in range(7) if i != q][:5] for q in range(7)}
