@@ -8,7 +8,7 @@ each block is ranked again by exact cosine.
 
 Results for special input: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, as query or as candidate; equal vectors are searched once and
-come back by id, smallest first; rows that repeat an id and vector count once; an id with several
+come back by id, smallest first, and so do scaled copies, whose cosines agree to 13 digits; rows that repeat an id and vector count once; an id with several
 vectors is a candidate with each and asks with the smallest; with fewer candidates than asked for all
 are returned; an empty table gives no rows. Columns besides id and vector are not read.
 """
@@ -28,16 +28,19 @@ BLOCK_ROWS = 1024  # vectors of one block
 QUERY_ROWS = 4096  # queries that meet a block at once
 SHARE = 0.25  # of a block, best by footrule, is ranked by cosine: measured recall 0.96 to 1.0 (README)
 LEAST = 32  # but so many at least
+TIE_DIGITS = 13  # cosines alike so far are ties: those of scaled copies differ in the last bits alone
 
 
-def valid_vectors(table: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v) with finite, non-zero vectors of the most common length."""
+def valid_vectors(table: DataFrame, key: str, vector: str, length: int | None = None) -> DataFrame:
+    """(id, v) with finite, non-zero vectors of one length: the given one, or else the most common."""
     v = F.col(vector).cast("array<double>")
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     zero = ~F.exists(v, lambda x: x != 0)
     rows = table.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & v.isNotNull()).where(
         ~odd & ~zero
     )
+    if length is not None:
+        return rows.where(F.size("v") == length)
     common = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "n").first()
     return rows.where(F.size("v") == (common["n"] if common else 0))
 
@@ -96,11 +99,12 @@ def search_block(ids: list[list[int]], v: np.ndarray, ranks: np.ndarray, q_ids,
     for q, x, asked in zip(q_ids, q_v, q_ranks, strict=True):
         far = footrules(files, asked, OPENED)
         best = np.arange(len(v)) if len(v) <= count else np.argpartition(far, count - 1)[:count]
-        cosines = (v[best] @ x) / (norms[best] * np.linalg.norm(x))
+        cosines = np.clip((v[best] @ x) / (norms[best] * np.linalg.norm(x)), -1, 1)
+        near = np.round(cosines, TIE_DIGITS)
         found = []
-        for i in np.argsort(-cosines, kind="stable")[: k + 1]:
-            found += [(-float(cosines[i]), id_) for id_ in ids[best[i]] if id_ != q]
-        out += [(q, id_, -c) for c, id_ in sorted(found)[:k]]
+        for i in np.lexsort(([ids[b][0] for b in best], -near))[: k + 1]:
+            found += [(-near[i], id_, float(cosines[i])) for id_ in ids[best[i]] if id_ != q]
+        out += [(q, id_, c) for _, id_, c in sorted(found)[:k]]
     return out
 
 
@@ -118,7 +122,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
     pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
     index = stored(build(classes, pivots), "index")
     blocks = max(1, -(-index.count() // BLOCK_ROWS))
-    asks = valid_vectors(queries, key, vector).groupBy("id").agg(F.min("v").alias("v"))
+    asks = valid_vectors(queries, key, vector, pivots.shape[1]).groupBy("id").agg(F.min("v").alias("v"))
     asks = stored(build(asks.select(F.array("id").alias("ids"), "v"), pivots), "asks")
     sides = max(1, -(-asks.count() // QUERY_ROWS))
     left = index.select(
@@ -139,5 +143,5 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
         return pa.table({"query_id": pa.array(q, pa.int64()), "id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
 
     found = left.groupBy("block", "side").cogroup(right.groupBy("block", "side")).applyInArrow(run, "query_id long, id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", TIE_DIGITS)), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
