@@ -14,6 +14,7 @@ from askloom.operators import chunking as C
 from askloom.operators import dedup as D
 from askloom.operators import embedding as E
 from askloom.operators import pages as P
+from askloom.operators import similar as SIM
 from askloom.plans import inputs as I
 from askloom.plans.registry import query
 from askloom.sources import tables as S
@@ -659,6 +660,26 @@ def _(spark, d):
     return D.keep_first(I.lines(spark, d).drop("source"), ["doc_id"], "line_no", "line").select("doc_id", "line_no")
 
 
+@query("corpus_near_duplicates", """
+WITH ch AS (SELECT doc_id, string_split(text, '') AS l FROM documents),
+g AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(l) - 1, 1)), lambda i: l[i] || l[i + 1] || l[i + 2]))) AS g FROM ch),
+c AS (SELECT min(doc_id) AS doc_id, g, count(*) AS copies, len(g) AS n FROM g WHERE len(g) > 0 GROUP BY g),
+m AS (SELECT doc_id, bitstring_agg((hash(t) % 2048)::INT, 0, 2047) AS bits FROM (SELECT doc_id, unnest(g) AS t FROM c) GROUP BY doc_id),
+w AS (SELECT c.*, bits FROM c JOIN m USING (doc_id)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.g, b.g)) AS i, a.n + b.n AS s
+      FROM w a JOIN w b ON a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 95 * greatest(a.n, b.n)
+       AND 195 * bit_count(xor(a.bits, b.bits)) <= 5 * (a.n + b.n)),  -- bits that differ are elements that differ
+l AS (SELECT a, b, i / (s - i) AS j FROM p WHERE 100 * i >= 95 * (s - i)),
+d AS (SELECT a AS id, b AS other, j FROM l UNION ALL SELECT b, a, j FROM l),
+t AS (SELECT id, count(*) AS links, max(j) AS similarity FROM d GROUP BY id)
+SELECT doc_id, copies, coalesce(links, 0) AS links, (SELECT min(other) FROM d WHERE d.id = c.doc_id AND j = similarity) AS nearest, round(similarity, 9) AS similarity
+FROM c LEFT JOIN t ON t.id = c.doc_id""")
+def _(spark, d):
+    """Every distinct document of the corpus with the number of others at 0.95 and more, and the likest."""
+    found = SIM.similar_texts(I.documents(spark, d), "doc_id", "text")
+    return found.withColumn("similarity", F.round("similarity", 9))
+
+
 # ------------------------------------------------------------------------------ embedding bookkeeping
 def _cache(spark, d):
     """Stored vectors: model m1 has the documents of ``embeddings``, model m2 those of ``labels``."""
