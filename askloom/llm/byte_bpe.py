@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from askloom.llm import textbytes as B
 
-CACHE = 150_000  # pieces a worker remembers
+CACHE = 150_000  # pieces a worker remembers at least, once it has met them
+STORE = 4_000_000  # ids a worker holds before it lets go of the older pieces
+WIDTHS = (4, 8, 16, 48)  # pieces of up to so many bytes are merged in one matrix
 SLICE_TEXT = 1 << 20  # bytes of text encoded at once
 SLICE_IDS = 1 << 17  # ids decoded at once
-WIDEST = 48  # bytes of a piece merged in the matrix; longer ones are merged alone
+WIDEST = WIDTHS[-1]  # longer pieces are merged alone
 NONE = np.int32(2**31 - 1)
 
 # Classes of code points, the last four by what follows them.
@@ -172,7 +174,9 @@ class Merges:
             left_over = np.delete(left_over, chosen)
             slot[left_over] = (slot[left_over] + 1) & ((1 << self.bits) - 1)
             self.probes += 1
-        self.cache: dict[bytes, np.ndarray] = {}
+        self.cache: dict[bytes, int] = {}
+        self.store, self.used = np.zeros(0, np.int32), 0
+        self.starts_at, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         top = max(tokens.values()) + 1
         self.lengths = np.zeros(top, np.int64)
         for t, r in tokens.items():
@@ -188,38 +192,46 @@ class Merges:
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each adjacent pair's merge, or ``NONE``."""
-        keys = a.astype(np.int64) << 32 | b.astype(np.int64)
-        slot = self._slot(keys)
-        out = np.full(len(keys), NONE, np.int32)
+        out = np.full(len(a), NONE, np.int32)
         open_ = np.flatnonzero((a >= 0) & (b >= 0))
+        keys = a[open_].astype(np.int64) << 32 | b[open_]
+        slot = self._slot(keys)
         for _ in range(self.probes):
             if not len(open_):
                 break
-            at = slot[open_]
-            found = self.keys[at]
-            hit = found == keys[open_]
-            out[open_[hit]] = self.made[at[hit]]
-            open_ = open_[~hit & (found != -1)]
-            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[slot]
+            hit = found == keys
+            out[open_[hit]] = self.made[slot[hit]]
+            more = ~hit & (found != -1)
+            open_, keys = open_[more], keys[more]
+            slot = (slot[more] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def merged(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of distinct pieces: the lowest-ranked leftmost pair of each merges, step by step, together."""
-        out: list = [None] * len(pieces)
-        sizes = np.array([len(p) for p in pieces])
-        for lo, hi in ((2, 8), (9, 16), (17, WIDEST)):
-            rows = np.flatnonzero((sizes >= lo) & (sizes <= hi))
+    def merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, ids per piece): the lowest-ranked leftmost pair of each merges, step by step, together."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        parts, counts, order = [np.zeros(0, np.int32)], np.zeros(len(pieces), np.int64), []
+        low = 2
+        for high in WIDTHS:
+            rows = np.flatnonzero((sizes >= low) & (sizes <= high))
             if len(rows):
-                for i, ids in zip(rows, self._matrix([pieces[i] for i in rows], hi), strict=True):
-                    out[i] = ids
-        for i in np.flatnonzero(sizes > WIDEST):
-            out[i] = self._long(pieces[i])
-        return out
-
-    def _matrix(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
+                flat, counts[rows] = self._matrix([pieces[i] for i in rows], high)
+                parts.append(flat)
+                order.append(rows)
+            low = high + 1
+        rows = np.flatnonzero(sizes > WIDEST)
+        for i in rows:
+            parts.append(self._long(pieces[i]))
+            counts[i] = len(parts[-1])
+        order = np.concatenate([*order, rows]).astype(np.int64)
+        flat, ends = np.concatenate(parts), np.zeros(len(pieces), np.int64)
+        ends[order] = np.cumsum(counts[order])
+        return flat[ranges(ends - counts, counts)], counts
+
+    def _matrix(self, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(pieces)
-        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
-        held = np.array([len(p) for p in pieces])
+        raw = np.array(pieces, f"S{width}").view(np.uint8).reshape(n, width)
+        held = np.fromiter(map(len, pieces), np.int64, n)
         m = np.where(np.arange(width) < held[:, None], self.byte[raw], -1).astype(np.int32)
         ranks = self.pair(m[:, :-1].ravel(), m[:, 1:].ravel()).reshape(n, width - 1)
         live, columns = np.arange(n), np.arange(width)
@@ -243,8 +255,7 @@ class Merges:
             has = best > 0
             old[rows[has], best[has] - 1] = self.pair(part[rows[has], best[has] - 1], part[rows[has], best[has]])
             ranks[live] = old
-        count = (m >= 0).sum(axis=1)
-        return [m[i, : count[i]] for i in range(n)]
+        return m[m >= 0], (m >= 0).sum(axis=1)
 
     def _long(self, piece: bytes) -> np.ndarray:
         """One long piece: linked symbols, pairs taken from a heap by (rank, place)."""
@@ -271,28 +282,55 @@ class Merges:
                 heapq.heappush(heap, (q, before[i], text[before[i]], text[i]))
         return np.array([x for x, t in zip(ids, text, strict=True) if t is not None], np.int32)
 
-    def encode(self, pieces: list[bytes]) -> list[np.ndarray]:
-        out = [self.cache.get(p) for p in pieces]
-        missing = [i for i, x in enumerate(out) if x is None]
-        hard = []
-        for i in missing:
-            if (r := self.ids.get(pieces[i])) is not None:
-                out[i] = np.array([r], np.int32)
-            else:
-                hard.append(i)
-        for i, ids in zip(hard, self.merged([pieces[i] for i in hard]), strict=True):
-            out[i] = ids
-        if len(self.cache) + len(missing) > CACHE:
-            self.cache.clear()
-        for i in missing:
-            if len(pieces[i]) <= WIDEST:
-                self.cache[pieces[i]] = out[i].copy()
-        return out
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(store, starts, sizes): the ids of piece i are store[starts[i]:starts[i] + sizes[i]].
+
+        The store holds the ids of all pieces met, end to end; the dictionary has each piece's number in it.
+        """
+        if len(self.cache) > 2 * CACHE or self.used > STORE:
+            self._forget()
+        get, known = self.cache.get, self.ids.get
+        number = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        missing = np.flatnonzero(number < 0)
+        new = [pieces[i] for i in missing]
+        whole = np.fromiter((known(p, -1) for p in new), np.int64, len(new))
+        hard = np.flatnonzero(whole < 0)
+        flat, counts = self.merged([new[i] for i in hard])
+        sizes = np.ones(len(new), np.int64)
+        sizes[hard] = counts
+        starts = np.cumsum(sizes) - sizes
+        ids = np.empty(int(sizes.sum()), np.int32)
+        ids[starts[whole >= 0]] = whole[whole >= 0]
+        ids[ranges(starts[hard], counts)] = flat
+        first = len(self.sizes)
+        number[missing] = np.arange(first, first + len(new))
+        self.store = _grown(self.store, self.used, ids)
+        self.starts_at = np.concatenate((self.starts_at, self.used + starts))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.used += len(ids)
+        self.cache.update((p, first + i) for i, p in enumerate(new) if len(p) <= WIDEST)
+        return self.store, self.starts_at[number], self.sizes[number]
+
+    def _forget(self) -> None:
+        """Keeps the later half of the pieces held, and their ids alone."""
+        kept = list(self.cache.items())[-CACHE:]
+        number = np.fromiter((n for _, n in kept), np.int64, len(kept))
+        self.store, self.sizes = self.store[ranges(self.starts_at[number], self.sizes[number])], self.sizes[number]
+        self.starts_at, self.used = np.cumsum(self.sizes) - self.sizes, len(self.store)
+        self.cache = {p: i for i, (p, _) in enumerate(kept)}
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         return self.bytes[ranges(self.starts[ids], self.lengths[ids])]
 
 
+def _grown(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``held`` with ``more`` behind its first ``used`` places, in twice the room where it is too small."""
+    if used + len(more) > len(held):
+        held = np.concatenate((held[:used], np.empty(used + 2 * len(more), np.int32)))
+    held[used : used + len(more)] = more
+    return held
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenated index ranges starts[i] .. starts[i] + lengths[i] - 1."""
     ends = np.cumsum(lengths)
@@ -341,11 +379,11 @@ def _merges(held) -> Merges:
     return _HELD[name]
 
 
-def encode_slice(batch: pa.RecordBatch, column: str, merges: Merges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all texts of a slice, each text's offset into them, and each id's length in bytes."""
+def encode_slice(batch: pa.RecordBatch, column: str, merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts of a slice, and each text's offset into them."""
     data, off = B.utf8(batch.column(column))
     if not len(data):
-        return np.zeros(0, np.int32), np.zeros(len(off), np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
     points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
     at = np.flatnonzero((data & 0xC0) != 0x80)
     first = np.zeros(len(data) + 1, bool)
@@ -354,20 +392,18 @@ def encode_slice(batch: pa.RecordBatch, column: str, merges: Merges) -> tuple[np
     edges = np.append(starts, len(data)).astype(np.int32)
     pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
     codes = np.asarray(pieces.indices).astype(np.int64)
-    each = merges.encode(pieces.dictionary.to_pylist())
-    sizes = np.array([len(x) for x in each], np.int64)
-    places = np.concatenate(([0], np.cumsum(sizes)))
-    flat = np.concatenate(each)
+    flat, places, sizes = merges.encode(pieces.dictionary.to_pylist())
     ids = flat[ranges(places[codes], sizes[codes])]
     ends = np.concatenate(([0], np.cumsum(sizes[codes])))
-    return ids, ends[np.searchsorted(starts, off)], merges.lengths[ids]
+    return ids, ends[np.searchsorted(starts, off)]
 
 
-def encode_added(batch: pa.RecordBatch, column: str, merges: Merges, added: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``encode_slice`` of texts cut at the added tokens, with the tokens' own ids between the parts."""
+def encode_added(batch: pa.RecordBatch, column: str, merges: Merges, added: dict[str, int], lengths: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """``encode_slice`` of texts cut at the added tokens, their own ids between the parts; with ``lengths``, each id's bytes."""
     raw = B.utf8(batch.column(column))[0].tobytes()
     if not any(t.encode() in raw for t in added):
-        return encode_slice(batch, column, merges)
+        ids, at = encode_slice(batch, column, merges)
+        return ids, at, merges.lengths[ids] if lengths else None
     cuts = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")")
     parts, after, rows = [], [], [0]
     for text in batch.column(column).to_pylist():
@@ -375,11 +411,12 @@ def encode_added(batch: pa.RecordBatch, column: str, merges: Merges, added: dict
         parts += split[::2]
         after += [*split[1::2], None]  # the token behind each part
         rows.append(len(parts))
-    ids, at, sizes = encode_slice(pa.RecordBatch.from_arrays([pa.array(parts, pa.string())], names=[column]), column, merges)
+    ids, at = encode_slice(pa.RecordBatch.from_arrays([pa.array(parts, pa.string())], names=[column]), column, merges)
+    sizes = merges.lengths[ids] if lengths else None
     has = np.array([t is not None for t in after], bool)
     found = [t for t in after if t is not None]
     ids = np.insert(ids, at[1:][has], [added[t] for t in found])
-    sizes = np.insert(sizes, at[1:][has], [len(t.encode()) for t in found])
+    sizes = np.insert(sizes, at[1:][has], [len(t.encode()) for t in found]) if lengths else None
     return ids, (at + np.concatenate(([0], np.cumsum(has))))[rows], sizes
 
 
@@ -390,11 +427,11 @@ def encoder(held, offsets: bool = True, last: int | None = None, added: dict[str
         merges = _merges(held)
         for whole in batches:
             for batch in B.slices(whole, "text", SLICE_TEXT):
-                ids, at, sizes = encode_added(batch, "text", merges, added or {})
+                ids, at, sizes = encode_added(batch, "text", merges, added or {}, offsets)
                 n = len(at) - 1
                 if last is not None:
                     ids = np.insert(ids, at[1:], last)
-                    sizes = np.insert(sizes, at[1:], 0)
+                    sizes = np.insert(sizes, at[1:], 0) if offsets else None
                     at = at + np.arange(n + 1)
                 columns = [batch.column("key"), B.lists(ids, at, pa.int32())]
                 if offsets:

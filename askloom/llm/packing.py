@@ -5,8 +5,8 @@ space. A piece goes to the open bin with the least space that still holds it; wh
 bin opens, and when there are too many the fullest closes. Each task packs what it reads, so nothing
 is shuffled and memory is one batch plus the open bins.
 
-Results for special input: a row whose list is null or empty gives one piece of length 0, placed at
-offset 0 of a sequence of its own number; only lists longer than a sequence are cut, and then the
+Results for special input: a row whose list is null or empty gives one piece of length 0, placed
+at the end of what the fullest open bin holds (in a new one if none is open); only lists longer than a sequence are cut, and then the
 first piece takes the remainder; rows that repeat are each packed; an empty table gives no rows;
 columns besides key and ids are not returned.
 """

@@ -343,3 +343,65 @@ def test_permutation_index_lengths_and_scaled_copies(spark):
         got.setdefault(r.query_id, []).append(r.vec_id)
         assert r.score <= 1.0 and abs(r.score - 1) < 1e-12
     assert got == {q: [i for i in range(7) if i != q][:5] for q in range(7)}
+
+
+# ------------------------------------------------------------------------------ 8, places and ids; the pipeline's odd rows
+def naive_best_fit(lengths, size, bins):
+    """Places by looking at every open bin; the fullest closes when one more has to be opened."""
+    held, out, made = [], [], 0  # (free, sequence)
+    for n in lengths:
+        fit = min((free for free, _ in held if free >= n), default=None)
+        if fit is not None:
+            at = min(i for i, (free, _) in enumerate(held) if free == fit)  # the first to reach that free space
+            free, sequence = held.pop(at)
+        else:
+            if len(held) >= bins:
+                held.pop(min(i for i, (free, _) in enumerate(held) if free == min(f for f, _ in held)))
+            free, sequence, made = size, made, made + 1
+        out.append((sequence, size - free))
+        if free > n:
+            held.append((free - n, sequence))
+    return out
+
+
+def test_packer_against_naive_best_fit():
+    from askloom.llm.packing import Packer
+
+    rng = random.Random(8)
+    for _ in range(40):
+        size, bins = rng.choice([10, 64, 2048]), rng.choice([1, 2, 8, 64])
+        lengths = [rng.randint(1, size) for _ in range(300)]
+        packer = Packer(size, bins)
+        assert [packer.place(n) for n in lengths] == naive_best_fit(lengths, size, bins)
+
+
+def test_ids_of_documents_and_after_forgetting(spark, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from askloom.llm import byte_bpe as E
+
+    known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").toPandas()
+    monkeypatch.setattr(E, "CACHE", 300)
+    merges = E.Merges(E.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+    import pyarrow as pa
+
+    for lo in range(0, len(docs), 20):  # far more pieces than are kept
+        part = docs[lo : lo + 20]
+        ids, at = E.encode_slice(pa.RecordBatch.from_pydict({"text": pa.array(part["text"].tolist(), pa.string())}), "text", merges)
+        for i, text in enumerate(part["text"]):
+            assert ids[at[i] : at[i + 1]].tolist() == known.encode(text or "", add_special_tokens=False).ids
+    assert len(merges.cache) < 10_000 and len(merges.sizes) < 12_000
+
+
+def test_pipeline_duplicates_without_id(spark):
+    import corpus_pipeline as P
+
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(7, a), (None, a + " more"), (None, b), (None, b), (3, "x"), (3, "x"), (None, None), (None, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("k"))
+    got = P.near_duplicates(spark, docs, None)
+    assert got.columns == docs.columns
+    told = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert told == sorted([(7, a), (None, b), (3, "x"), (3, "x"), (None, None), (None, "alone here")], key=str)
