@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructType
 
 from askloom import constants as K
 from askloom.functions import text as X
 from askloom.operators import vectors as VS
 from askloom.operators.answers import cacheable
 from askloom.operators.runs import running
+from askloom.operators.sizes import broadcast_if
+from askloom.session import settle
 
 
 def _micros(c: str) -> Column:
@@ -50,24 +56,54 @@ def latest_before(
     return prev.withColumn("entry_id", F.when(ok, F.col(f"_p.{ident}"))).drop("_p", "_us")
 
 
+SIDE_ROWS = 4096  # asks, or entries, of one time bucket that meet as one block
+
+
 def reuse_similar(
     asked: DataFrame, stored: DataFrame, threshold: float = K.SEMANTIC_CACHE_THRESHOLD,
     ttl_s: int = K.TTL_EMBEDDING_S, vec: str = "embedding",
 ) -> DataFrame:
     """The most similar earlier question at or above the threshold, the first stored on ties.
 
-    ``asked`` is (ask_id, asked_at, vector), ``stored`` (entry_id, stored_at, vector). Scored block
-    by block with the time window applied inside, so only the best row per question leaves a
-    block.
+    ``asked`` is (ask_id, asked_at, vector), ``stored`` (entry_id, stored_at, vector). Time is cut into
+    buckets as wide as an entry's life: an ask can only be answered out of its own bucket and the one
+    before, so these are an equi-join key, and asks never meet entries of other times. Inside a
+    bucket, blocks of asks meet blocks of entries, and one row an ask leaves each pair of blocks.
     """
-    best = VS.vector_scores_topk(
-        asked.select(F.col("ask_id").alias("query_id"), _micros("asked_at").alias("at"), F.col(vec).alias("qvec")),
-        stored.select("entry_id", _micros("stored_at").alias("stored_us"), F.col(vec).alias("embedding")),
-        1, ["stored_us", "entry_id"], window=("at", "stored_us", ttl_s * 1_000_000), minimum=threshold,
-    )
-    return asked.join(
-        best.select(F.col("query_id").alias("ask_id"), "entry_id", F.col("score").alias("similarity")), "ask_id", "left"
-    )
+    life = ttl_s * 1_000_000
+    bucket = lambda us: F.floor(us / F.lit(life)).cast("bigint")
+    unit = lambda c: F.col(c).cast("array<double>").alias("v")
+    asks = asked.select("ask_id", _micros("asked_at").alias("us"), unit(vec)).where(F.size("v") > 0)
+    asks = asks.withColumn("bucket", F.explode(F.array(bucket(F.col("us")), bucket(F.col("us")) - 1)))
+    held = stored.select("entry_id", _micros("stored_at").alias("us"), unit(vec)).where(F.size("v") > 0).withColumn("bucket", bucket(F.col("us")))
+    count = lambda df, n: df.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / SIDE_ROWS).cast("bigint").alias(n))
+    both = settle(count(asks, "na").join(count(held, "ns"), "bucket"))
+    near = broadcast_if(both, both.count())
+    left = asks.join(near, "bucket").select("bucket", F.pmod(F.xxhash64("ask_id"), "na").alias("x"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ns") - 1)).alias("y"), "ask_id", "us", "v")
+    right = held.join(near, "bucket").select("bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("na") - 1)).alias("x"), F.pmod(F.xxhash64("entry_id"), "ns").alias("y"), "entry_id", "us", "v")
+    kinds = StructType([asked.schema["ask_id"], stored.schema["entry_id"]]).add("us", LongType()).add("similarity", DoubleType())
+    empty = to_arrow_schema(kinds).empty_table()
+
+    def run(a: pa.Table, s: pa.Table) -> pa.Table:
+        if not len(a) or not len(s):
+            return empty
+        first = np.lexsort((np.argsort(np.argsort(np.array(s.column("entry_id").to_pylist(), object))), s.column("us").to_numpy()))
+        s = s.take(pa.array(first))
+        at, stored_at = a.column("us").to_numpy(), s.column("us").to_numpy()
+        m, n = VS.unit_matrix(a.column("v")), VS.unit_matrix(s.column("v"))
+        if m.shape[1] != n.shape[1]:
+            return empty
+        near = np.round(m @ n.T, 6)
+        near[~((stored_at[None, :] < at[:, None]) & (at[:, None] < stored_at[None, :] + life)) | (near < threshold)] = -np.inf
+        best = near.argmax(axis=1)  # the first of equal ones: entries lie by time, then id
+        found = np.flatnonzero(near[np.arange(len(near)), best] > -np.inf)
+        s = s.take(pa.array(best[found]))
+        return pa.table([a.column("ask_id").take(pa.array(found)), s.column("entry_id"), s.column("us"), pa.array(near[found, best[found]])], schema=empty.schema)
+
+    keys = ["bucket", "x", "y"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, kinds)
+    best = met.groupBy("ask_id").agg(F.min_by(F.struct("entry_id", "similarity"), F.struct(-F.col("similarity"), "us", "entry_id")).alias("b"))
+    return asked.join(best.select("ask_id", "b.entry_id", "b.similarity"), "ask_id", "left")
 
 
 def newest_entries(entries: DataFrame, cap: int = K.SEMANTIC_CACHE_SIZE) -> DataFrame:

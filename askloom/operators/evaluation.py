@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askloom import constants as K
 from askloom.functions import text as X
 from askloom.functions.folds import let
+from askloom.session import settle
 
 
 # ------------------------------------------------------------------------------ retrieval
@@ -205,28 +211,58 @@ def multi_turn(turns: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------ golden set
-def fragments_in_corpus(fragments: DataFrame, docs: DataFrame, widths: tuple[int, ...] = (12, 5, 1)) -> DataFrame:
+AUTOMATON_CHARS = 4_000_000  # characters of fragments that one automaton, some fifty bytes each, is built of
+_BUILT: dict = {}
+
+
+def _automaton(name: str, words: list[str]):
+    """The worker's automaton for a broadcast list of fragments, built once."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        machine = ahocorasick.Automaton()
+        for i, word in enumerate(words):
+            machine.add_word(word, i)
+        machine.make_automaton()
+        _BUILT[name] = machine
+    return _BUILT[name]
+
+
+def fragments_in_corpus(fragments: DataFrame, docs: DataFrame, limit: int = AUTOMATON_CHARS) -> DataFrame:
     """Adds ``found``: the fragment occurs in some document, white space aside, case-folded.
 
-    ``fragments`` is (fragment_id, fragment). A fragment is anchored by its first characters, as many
-    as the largest width it reaches. Documents look up their character n-grams among the anchors
-    (an equi-join that carries no text), and only documents holding an anchor are compared in full.
+    ``fragments`` is (fragment_id, fragment). One Aho-Corasick automaton of all distinct fragments goes
+    to every worker, and each document is read once through it; only fragments that were found, once
+    a task, leave it. Fragments of more than ``limit`` characters in all take several automata, one pass
+    of the documents each.
     """
+    spark = docs.sparkSession
     squeeze = lambda c: F.lower(F.regexp_replace(c, r"(?U)\s+", ""))
     frag = fragments.select("fragment_id", squeeze(F.col("fragment")).alias("_f")).where(F.length("_f") > 0)
-    width = F.coalesce(*[F.when(F.length("_f") >= w, w) for w in widths])
-    anchors = frag.withColumn("_w", width).withColumn("_a", F.left("_f", F.col("_w")))
-    text = docs.select("doc_id", squeeze(F.col("text")).alias("_t"))
-    cand = None
-    for w in widths:
-        mine = anchors.where(F.col("_w") == w)
-        grams = text.select("doc_id", F.explode(X.shingles(F.col("_t"), w)).alias("_a"))
-        one = grams.join(mine.select("_a", "fragment_id", "_f"), "_a").select("doc_id", "fragment_id", "_f")
-        cand = one if cand is None else cand.unionByName(one)
-    hit = cand.join(text, "doc_id").where(F.col("_t").contains(F.col("_f"))).select("fragment_id").distinct()
-    return fragments.join(hit.withColumn("found", F.lit(True)), "fragment_id", "left").withColumn(
-        "found", F.coalesce("found", F.lit(False))
-    )
+    words = settle(frag.select("_f").distinct())
+    passes = max(1, -(-(words.agg(F.sum(F.length("_f"))).first()[0] or 0) // limit))
+    text = docs.select(squeeze(F.col("text")).alias("_t")).where(F.length("_t") > 0)
+    hit = None
+    for p in range(passes):
+        held = [r["_f"] for r in words.where(F.pmod(F.xxhash64("_f"), F.lit(passes)) == p).collect()]
+        if not held:
+            continue
+        told = spark.sparkContext.broadcast((uuid.uuid4().hex, held))
+
+        def find(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+            name, known = told.value
+            machine, seen = _automaton(name, known), set()
+            for b in batches:
+                for t in b.column("_t").to_pylist():
+                    if len(seen) < len(known):
+                        seen.update(i for _, i in machine.iter(t))
+            yield pa.RecordBatch.from_arrays([pa.array([known[i] for i in sorted(seen)], pa.string())], names=["_f"])
+
+        one = text.mapInArrow(find, "_f string")
+        hit = one if hit is None else hit.unionByName(one)
+    if hit is None:
+        return fragments.withColumn("found", F.lit(False))
+    good = frag.join(hit.distinct(), "_f").select("fragment_id").distinct()
+    return fragments.join(good.withColumn("found", F.lit(True)), "fragment_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def golden_stats(golden: DataFrame) -> DataFrame:

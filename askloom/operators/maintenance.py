@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.session import settle
-
 
 def delete_rows(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(gone.select(*keys).distinct(), keys, "left_anti")
@@ -59,18 +57,53 @@ def cascade_delete(users_gone: DataFrame, sessions: DataFrame, messages: DataFra
     )
 
 
+POINTER = "version string, documents bigint"
+
+
 def rebuild(documents: DataFrame, chunk, embed: Column, dim: int, path: str, version: str) -> DataFrame:
-    """Rebuild all vectors under a new version; one row saying whether to switch to it.
+    """Rebuild all vectors under a new version; one row saying how it went and which version is active.
 
-    ``chunk`` turns documents into chunks; ``embed`` is the vector expression. Vectors go to a
-    fresh versioned path in one pass; the pointer only moves when every document has right ones.
+    ``chunk`` turns documents (document_id, text) into chunks; ``embed`` is the vector expression. Chunks
+    with their vectors go to a folder of the version in one pass, the documents that have none or a
+    wrong one to a table beside it. Only while that table is empty is the pointer moved: a new row in
+    a folder numbered one higher, so that readers see the old version or the new one and nothing between.
     """
-    chunks = settle(chunk(documents))
-    target = f"{path}/version={version}"
-    chunks.withColumn("embedding", embed).write.mode("overwrite").parquet(target)
-    written = documents.sparkSession.read.parquet(target)
-    good = written.groupBy("document_id").agg(F.min(F.size("embedding") == dim).alias("ok"))
-    state = documents.select("document_id").join(good, "document_id", "left")
-    return state.agg(
-        F.count("*").alias("documents"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("failed")
-    ).select("*", F.when(F.col("failed") == 0, version).alias("active_version"))
+    spark = documents.sparkSession
+    target = f"{path}/vectors/version={version}"
+    chunk(documents).withColumn("embedding", embed).write.mode("overwrite").parquet(target)
+    good = spark.read.parquet(target).groupBy("document_id").agg(F.min(F.size("embedding") == dim).alias("ok"))
+    state = documents.select("document_id").distinct().join(good, "document_id", "left").select("document_id", F.coalesce("ok", F.lit(False)).alias("ok"))
+    failed = f"{path}/failed/version={version}"
+    state.where("not ok").select("document_id").write.mode("overwrite").parquet(failed)
+    lost, total = spark.read.parquet(failed).count(), documents.select("document_id").distinct().count()
+    if not lost:
+        number = len(_pointers(spark, path)) + 1
+        spark.createDataFrame([(version, total)], POINTER).coalesce(1).write.parquet(f"{path}/pointer/n={number}")
+    return spark.createDataFrame([(total, lost, active_version(spark, path))], "documents bigint, failed bigint, active_version string")
+
+
+def _pointers(spark: SparkSession, path: str) -> list:
+    """The pointer's rows, oldest first; one per completed rebuild."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/pointer")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return []
+    return spark.read.schema(POINTER + ", n int").parquet(f"{path}/pointer").orderBy("n").collect()
+
+
+def active_version(spark: SparkSession, path: str) -> str | None:
+    """The version the pointer names; none before the first complete rebuild."""
+    rows = _pointers(spark, path)
+    return rows[-1]["version"] if rows else None
+
+
+def active_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks and vectors of the active version."""
+    version = active_version(spark, path)
+    if version is None:
+        raise ValueError(f"no complete version in {path}")
+    return spark.read.parquet(f"{path}/vectors/version={version}").withColumn("version", F.lit(version))
+
+
+def failed_documents(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """The documents a rebuild could not complete."""
+    return spark.read.schema("document_id bigint").parquet(f"{path}/failed/version={version}")

@@ -54,6 +54,12 @@ def _pack_chunks(chunks: DataFrame, keys: list[str], vec: str) -> DataFrame:
     return rows.mapInArrow(pack, schema)
 
 
+def unit_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of a list column as unit vectors, zero ones as they are; lists of one length."""
+    lists = column.combine_chunks()
+    return _unit_rows(lists.flatten().to_numpy(zero_copy_only=False), len(lists[0]) if len(lists) else 1)
+
+
 def _unit_rows(flat: np.ndarray, dim: int) -> np.ndarray:
     m = flat.astype(np.float64).reshape(-1, dim)
     length = np.sqrt((m * m).sum(axis=1, keepdims=True))

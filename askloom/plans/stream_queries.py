@@ -106,11 +106,35 @@ def _(spark, d):
     return J.job_progress(e, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")).select("task_id", "stage", "percent")
 
 
-@query("index_rebuild", "SELECT count(*) AS documents, 0::BIGINT AS failed, 'v2' AS active_version FROM documents")
-def _(spark, d):
-    docs = I.documents(spark, d).select(F.col("doc_id").alias("document_id"), "text")
+def rebuilt(spark, d):
+    """Three rebuilds: lines as chunks, then whole texts of which one document has no vector, then whole texts."""
+    docs = I.documents(spark, d).select(F.col("doc_id").alias("document_id"), "text", "source")
+    path, embed = scratch_path(spark, "vectors"), V.hashed_embedding(F.col("child_content"))
+    lines = lambda x: x.select("document_id", F.posexplode(F.split("text", "\n")).alias("n", "child_content")).where(~X.is_blank(F.col("child_content"))).select(
+        "document_id", F.concat(F.lit("p0_c"), "n").alias("child_id"), "child_content"
+    )
     whole = lambda x: x.select("document_id", F.lit("p0_c0").alias("child_id"), F.col("text").alias("child_content"))
-    return M.rebuild(docs, whole, V.hashed_embedding(F.col("child_content")), 64, scratch_path(spark, "vectors"), "v2")
+    return path, [
+        M.rebuild(docs.where(~X.is_blank(F.col("text"))), lines, embed, 64, path, "v1"),
+        M.rebuild(docs, lambda x: whole(x.where("document_id > 0")), embed, 64, path, "v2"),
+    ]
+
+
+@query("index_rebuild", """SELECT count(*) FILTER (regexp_matches(text, '\\S')) AS documents, 0::BIGINT AS failed, 'v1' AS active_version, 1 AS run FROM documents
+UNION ALL SELECT count(*), 1, 'v1', 2 FROM documents""")
+def _(spark, d):
+    """A complete rebuild moves the pointer; one with a document that fails leaves the old version active."""
+    _, (first, second) = rebuilt(spark, d)
+    return first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2)))
+
+
+@query("index_rebuild_active_chunks", I.with_parts("children") + "SELECT document_id, child_id, md5(child_content) AS content_key, 64 AS dim, 'v1' AS version FROM children")
+def _(spark, d):
+    """What readers see after a rebuild that failed: the chunks of the version before, whole."""
+    path, _ = rebuilt(spark, d)
+    return M.active_vectors(spark, path).select(
+        "document_id", "child_id", F.md5("child_content").alias("content_key"), F.size("embedding").alias("dim"), "version"
+    )
 
 
 @query("evaluation_report_sink", "SELECT count(*) AS questions FROM benchmark")
