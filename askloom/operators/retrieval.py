@@ -95,9 +95,18 @@ def indexed(chunks: DataFrame, index: P.Index | None) -> P.Index:
     return index or P.build_index(chunks, CHILD_KEY, "child_content")
 
 
+def expanded_path(
+    questions: DataFrame, chunks: DataFrame, k: int, embed=V.hashed_embedding, widths: DataFrame | None = None
+) -> DataFrame:
+    """The second path: best child per parent for the ``expanded`` text of each question that expansion changed."""
+    changed = questions.where(F.col("expanded") != F.col("question"))
+    hits = VS.vector_scores_topk(changed.select("query_id", embed(F.col("expanded")).alias("qvec")), chunks, k, CHILD_KEY)
+    return VS.best_child_per_parent(within(hits, widths))
+
+
 def multi_path(
     questions: DataFrame, chunks: DataFrame, k, embed=V.hashed_embedding, diversity_order: bool = False,
-    widths: DataFrame | None = None, index: P.Index | None = None,
+    widths: DataFrame | None = None, index: P.Index | None = None, expand=Q.expand,
 ) -> DataFrame:
     """Three paths (vector, expanded vector, BM25), fused, diversified, cut to k.
 
@@ -107,19 +116,14 @@ def multi_path(
     """
     wide = max(k, K.MIN_CANDIDATES)
     qs = questions.select(
-        "query_id", "question", Q.expand(F.col("question")).alias("expanded")
+        "query_id", "question", expand(F.col("question")).alias("expanded")
     )
     vec = VS.best_child_per_parent(within(
         VS.vector_scores_topk(
             qs.select("query_id", embed(F.col("question")).alias("qvec")), chunks, wide, CHILD_KEY
         ), widths
     ))
-    changed = qs.where(F.col("expanded") != F.col("question"))
-    vec2 = VS.best_child_per_parent(within(
-        VS.vector_scores_topk(
-            changed.select("query_id", embed(F.col("expanded")).alias("qvec")), chunks, wide, CHILD_KEY
-        ), widths
-    ))
+    vec2 = expanded_path(qs, chunks, wide, embed, widths)
     lex = within(P.search(indexed(chunks, index), qs, wide), widths)
     fused = within(rrf([vec, vec2, lex], wide), widths)
     info = chunks.select(*CHILD_KEY, "child_content", "split_group_id")

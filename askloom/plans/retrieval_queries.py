@@ -223,27 +223,45 @@ def _(spark, d):
     )
 
 
-@query("multi_path_retrieval", I.with_parts("vec_hits", "bm25_ranked", **_RRF, **_DIVERSE) + """
+SYNONYMS = {"the": ["retition", "ntingth"]}  # stand for the fixed ones, which name other words than these texts have
+_EXPANDED = dict(
+    xq="""SELECT query_id, question || ' ' || array_to_string(list_filter(['retition', 'ntingth'], lambda w: NOT contains(question, w)), ' ') AS x
+      FROM questions WHERE contains(question, 'the') AND NOT (contains(question, 'retition') AND contains(question, 'ntingth'))""",
+    xvec=I.PARTS["qvec"].replace("FROM questions", "FROM (SELECT query_id, x AS question FROM xq)"),
+    xnorm="SELECT query_id, sqrt(sum(v * v)) AS qn FROM xvec GROUP BY query_id",
+    xpairs=I.PARTS["vec_pairs"].replace("qvec", "xvec"),
+    xall="""SELECT q.query_id, c.document_id, c.parent_id, c.child_id, coalesce(round(dp / nullif(qn * cn, 0), 6), 0.0) AS score
+      FROM xq q CROSS JOIN children c LEFT JOIN xpairs USING (query_id, document_id, parent_id, child_id)
+      LEFT JOIN xnorm USING (query_id) LEFT JOIN cnorm USING (document_id, parent_id, child_id)""",
+    xhits="""SELECT query_id, document_id, parent_id, child_id, score, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank
+      FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id, parent_id ORDER BY r) AS n
+            FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, parent_id, child_id) AS r FROM xall)
+            WHERE r <= 15) WHERE n = 1""",
+)
+_THREE = dict(_RRF) | dict(paths="""
+      SELECT query_id, document_id, parent_id, child_id, rank, 0 AS path FROM vec_hits
+      UNION ALL SELECT query_id, document_id, parent_id, child_id, rank, 1 FROM xhits
+      UNION ALL SELECT query_id, document_id, parent_id, child_id, rank, 2 FROM bm25_ranked WHERE rank <= 15""")
+
+
+@query("multi_path_retrieval", I.with_parts("vec_hits", "bm25_ranked", **_EXPANDED, **_THREE, **_DIVERSE) + """
 SELECT query_id, document_id, parent_id, child_id, score, rrf_score, rank FROM (
   SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank FROM diverse)
 WHERE rank <= 10""")
 def _(spark, d):
-    return R.multi_path(I.questions(spark, d), I.children(spark, d, True), 10, index=I.lexical_index(spark, d)).select(
-        "query_id", "document_id", "parent_id", "child_id", "score", "rrf_score", "rank"
-    )
+    """All three paths: the questions that a synonym fits are searched a second time."""
+    return R.multi_path(
+        I.questions(spark, d), I.children(spark, d, True), 10, index=I.lexical_index(spark, d),
+        expand=lambda q: Q.expand(q, SYNONYMS),
+    ).select("query_id", "document_id", "parent_id", "child_id", "score", "rrf_score", "rank")
 
 
-@query("expanded_question_path", I.with_parts(
-    "vec_ranked", short="""
-  SELECT query_id, question, question || ' ' || array_to_string(list_filter(['retition', 'ntingth'], lambda w: NOT contains(question, w)), ' ') AS x
-  FROM questions WHERE contains(question, 'the')""",
-) + "SELECT query_id, x AS expanded FROM short WHERE x <> question")
+@query("expanded_question_path", I.with_parts("vec_hits", **_EXPANDED) + "SELECT query_id, x AS expanded, document_id, parent_id, child_id, score, rank FROM xhits JOIN xq USING (query_id)")
 def _(spark, d):
-    synonyms = {"the": ["retition", "ntingth"]}
-    q = I.questions(spark, d)
-    return q.select("query_id", "question", Q.expand(F.col("question"), synonyms).alias("expanded")).where(
-        "expanded <> question"
-    ).select("query_id", "expanded")
+    """The second path's hits: expanded questions searched as vectors, unchanged ones skipped."""
+    q = I.questions(spark, d).withColumn("expanded", Q.expand(F.col("question"), SYNONYMS))
+    hits = R.expanded_path(q, I.children(spark, d, True), 15)
+    return hits.join(q.select("query_id", "expanded"), "query_id").select("query_id", "expanded", *CK, "score", "rank")
 
 
 # ------------------------------------------------------------------------------ expansion, merge, backfill

@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet into the
 shared folder and read again as the next stage's documents, so a lost executor costs no more than
-the stage at hand. Rows without id or text pass every filter that does not reject them; rows that
+the stage at hand. Rows without id or text pass every filter that does not reject them, those
+without id are near-duplicates like others and stay behind rows with one; rows that
 repeat an id count as one document; further columns of the documents are carried along; an empty
 table gives no rows.
 """
@@ -37,8 +38,20 @@ def toxicity(spark, docs, sf_dir):
 def near_duplicates(spark, docs, sf_dir):
     """One document of each group of near-duplicates: the one with the smallest id.
 
-    The ids of the others are taken out by an anti-join, broadcast only while their count is bounded.
+    Rows without id get numbers of their own above all ids, stored so that they stay the same, and
+    lose them again. The ids of the others are taken out by an anti-join, broadcast only while their
+    count is bounded.
     """
+    ids = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("top"), F.count_if(F.col("doc_id").isNull()).alias("n")).first()
+    if ids["n"]:
+        number = (F.lit(ids["top"] + 1) + F.monotonically_increasing_id()).cast(docs.schema["doc_id"].dataType)
+        unnamed = stored(docs.where("doc_id is null").withColumn("doc_id", number), "unnamed")
+        kept = _first_of_groups(docs.where("doc_id is not null").unionByName(unnamed))
+        return kept.withColumn("doc_id", F.when(F.col("doc_id") <= ids["top"], F.col("doc_id")))
+    return _first_of_groups(docs)
+
+
+def _first_of_groups(docs):
     gone = stored(superminhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "gone")
     return docs.join(broadcast_if(gone, gone.count(), superminhash.IDS_BROADCAST), "doc_id", "left_anti").select(*docs.columns)
 
