@@ -453,6 +453,18 @@ def file_index(files: DataFrame, group: str, pos: str) -> DataFrame:
     ).withColumn("file_index", F.col("file_index") - 1)
 
 
+def chunk_split_files(files: DataFrame, group: str, pos: str, chunk=chunk_documents) -> DataFrame:
+    """Chunks of files that were split from one source: parent ids carry the file's place, ``s{place}_``.
+
+    ``files`` is (group, pos, document_id, text). Blank files have no chunks and no place in the result,
+    but count in the numbering; ``chunk`` turns (document_id, text, prefix column) into chunks. Adds the
+    group and ``file_index``, by which the chunks of a source are in order.
+    """
+    placed = file_index(files, group, pos)
+    chunks = chunk(placed.where(~X.is_blank(F.col("text"))), prefix=F.concat(F.lit("s"), F.col("file_index").cast("string"), F.lit("_")))
+    return chunks.join(placed.select("document_id", group, "file_index"), "document_id")
+
+
 def split_group_from_name(docs: DataFrame) -> DataFrame:
     """Fills an empty split group from names like ``<base>_part<number>``."""
     base = F.regexp_extract("filename", r"^(.+)_part\d+", 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -269,3 +270,31 @@ def golden_stats(golden: DataFrame) -> DataFrame:
     return golden.groupingSets([[], [F.col("difficulty")], [F.col("category")]], "difficulty", "category").agg(
         F.count("*").alias("items")
     )
+
+
+# ------------------------------------------------------------------------------ layer checks
+def layer_checks(
+    documents: DataFrame, chunks: DataFrame, lexical: DataFrame, intents: DataFrame, expansions: DataFrame, retrieved: DataFrame,
+) -> DataFrame:
+    """(layer, metric, value, passed): six layers of the pipeline, each from its own table.
+
+    ``documents`` (status), ``chunks`` (document_id, parent_id, child_content), ``lexical`` (query_id, hits) of
+    every probe question, ``intents`` (intent, expected), ``expansions`` (question, expanded),
+    ``retrieved`` (query_id, results) of every question. A layer without rows fails.
+    """
+    one = lambda df, layer, metric, value, ok: df.agg(value.cast("double").alias("value")).select(
+        F.lit(layer).alias("layer"), F.lit(metric).alias("metric"), F.round("value", 6).alias("value"), F.coalesce(ok(F.col("value")), F.lit(False)).alias("passed")
+    )
+    share = lambda c: F.avg(c.cast("int"))
+    parents = chunks.select("document_id", "parent_id").distinct()
+    low, high = K.LAYER_PARENTS
+    rows = [
+        one(documents, "documents", "completed", F.count_if(F.col("status") == "completed"), lambda v: v > 0),
+        one(parents, "chunks", "parents", F.count(F.lit(1)), lambda v: v.between(low, high)),
+        one(chunks, "chunks", "mean child size", F.floor(F.avg(F.length("child_content"))), lambda v: v > 0),
+        one(lexical, "lexical", "mean hits", F.avg("hits"), lambda v: v > 0),
+        one(intents, "intent", "accuracy", share(F.col("intent") == F.col("expected")), lambda v: v >= 2 / 3),
+        one(expansions, "expansion", "changed share", share(F.col("expanded") != F.col("question")), lambda v: v >= 0.5),
+        one(retrieved, "retrieval", "answered share", share(F.col("results") > 0), lambda v: v >= 0.5),
+    ]
+    return reduce(DataFrame.unionByName, rows)

@@ -16,7 +16,7 @@ from askloom.operators import questions as Q
 from askloom.operators import retrieval as R
 from askloom.plans import inputs as I
 from askloom.plans.registry import query
-from askloom.plans.retrieval_queries import vector_hits
+from askloom.plans.retrieval_queries import SYNONYMS, vector_hits
 from askloom.sources import tables as S
 
 CK = R.CHILD_KEY
@@ -580,17 +580,35 @@ def _(spark, d):
 
 
 # ------------------------------------------------------------------------------ layer checks
-@query("layer_checks", f"""WITH i AS (SELECT count(*) AS n FROM documents WHERE regexp_matches(text, '\\S')), p AS (SELECT count(*) AS n, avg(length(l)) AS a FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) WHERE regexp_matches(l, '\\S')),
-{_INTENT}, x AS (SELECT avg((intent <> 'unknown')::INT) AS r FROM it)
-SELECT 'documents' AS layer, 'completed' AS metric, n::DOUBLE AS value, n > 0 AS passed FROM i UNION ALL SELECT 'chunks', 'parents', n::DOUBLE, n BETWEEN 20 AND 300 FROM i
-UNION ALL SELECT 'chunks', 'mean child size', round(a, 6), a > 0 FROM p UNION ALL SELECT 'intent', 'classified share', round(r, 6), r >= 2 / 3 FROM x""")
-def _(spark, d):
-    docs = I.documents(spark, d).where(~X.is_blank(F.col("text"))).agg(F.count("*").cast("double").alias("v"))
-    size = I.children(spark, d).agg(F.round(F.avg(F.length("child_content")), 6).alias("v"))
-    intent = Q.classify(turns_as_questions(spark, d)).agg(F.round(F.avg((F.col("intent") != "unknown").cast("int")), 6).alias("v"))
-    row = lambda df, layer, metric, ok: df.select(F.lit(layer).alias("layer"), F.lit(metric).alias("metric"), F.col("v").alias("value"), ok.alias("passed"))
-    v = F.col("v")
-    return (
-        row(docs, "documents", "completed", v > 0).unionByName(row(docs, "chunks", "parents", v.between(20, 300)))
-        .unionByName(row(size, "chunks", "mean child size", v > 0)).unionByName(row(intent, "intent", "classified share", v >= 2 / 3))
+# Questions of known intent: a word of each intent before the beginning of a turn's text.
+_CASES = ((K.FACT_KEYWORDS[0], "fact"), (K.PROCESS_KEYWORDS[0], "process"), (K.POLICY_KEYWORDS[0], "policy"))
+_LAYERS = dict(
+    cases="SELECT conv_id, turn * 3 + k AS turn, w || left(text, 5) AS text, expected FROM conversations, (VALUES "
+    + ", ".join(f"({i}, '{w}', '{e}')" for i, (w, e) in enumerate(_CASES)) + ") v(k, w, expected)",
+    hits10="SELECT query_id, count(rank) AS n FROM questions LEFT JOIN (SELECT * FROM bm25_ranked WHERE rank <= 10) USING (query_id) GROUP BY query_id",
+)
+
+
+@query("layer_checks", I.with_parts("bm25_ranked", "vec_hits", **_LAYERS).rstrip() + f""", {_INTENT.replace("FROM conversations", "FROM cases")},
+docs AS (SELECT count(*) AS v FROM documents WHERE doc_id % 4 <> 3), par AS (SELECT count(*) AS v FROM (SELECT DISTINCT document_id, parent_id FROM children)),
+size AS (SELECT floor(avg(length(child_content))) AS v FROM children), lex AS (SELECT avg(n) AS v FROM hits10),
+acc AS (SELECT avg((intent = expected)::INT) AS v FROM it JOIN cases USING (conv_id, turn)),
+ex AS (SELECT avg((contains(question, 'the') AND NOT (contains(question, 'retition') AND contains(question, 'ntingth')))::INT) AS v FROM questions),
+ret AS (SELECT avg((query_id IN (SELECT query_id FROM vec_hits))::INT) AS v FROM questions)
+SELECT 'documents' AS layer, 'completed' AS metric, round(v, 6)::DOUBLE AS value, v > 0 AS passed FROM docs
+UNION ALL SELECT 'chunks', 'parents', round(v, 6), v BETWEEN 20 AND 300 FROM par UNION ALL SELECT 'chunks', 'mean child size', round(v, 6), v > 0 FROM size
+UNION ALL SELECT 'lexical', 'mean hits', round(v, 6), v > 0 FROM lex UNION ALL SELECT 'intent', 'accuracy', round(v, 6), v >= 2 / 3 FROM acc
+UNION ALL SELECT 'expansion', 'changed share', round(v, 6), v >= 0.5 FROM ex UNION ALL SELECT 'retrieval', 'answered share', round(v, 6), v >= 0.5 FROM ret""")
+def _(spark, d):
+    """Six layers over the corpus: three of four documents completed, lines as chunks, benchmark texts as probes."""
+    q = I.questions(spark, d)
+    docs = I.documents(spark, d).select(F.when(F.col("doc_id") % 4 != 3, "completed").otherwise("pending").alias("status"))
+    count = lambda hits, n: q.join(hits.groupBy("query_id").agg(F.count(F.lit(1)).alias(n)), "query_id", "left").fillna(0, [n])
+    cases = conversations(spark, d).select(
+        F.explode(F.array(*[F.struct(F.concat(F.lit(w), F.left("text", F.lit(5))).alias("question"), F.lit(e).alias("expected")) for w, e in _CASES])).alias("c")
+    ).select("c.*")
+    expanded = q.select("question", Q.expand(F.col("question"), SYNONYMS).alias("expanded"))
+    return E.layer_checks(
+        docs, I.children(spark, d), count(P.search(I.lexical_index(spark, d), q, 10), "hits"), Q.classify(cases), expanded,
+        count(vector_hits(spark, d), "results"),
     )

@@ -585,15 +585,21 @@ def _(spark, d):
     return C.fixed_parts(paras, 5).groupBy("doc_id", "part_no").agg(F.count("*").alias("paragraphs"))
 
 
-@query("split_file_chunk_order", """
-WITH f AS (SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS idx, text FROM documents WHERE regexp_matches(text, '\\S'))
-SELECT source, doc_id AS document_id, idx AS file_index, 's' || idx || '_p0' AS parent_id FROM f""")
-def _(spark, d):
-    """Files of one source in parallel: parent ids carry the file's position in its source."""
-    x = docs(spark, d).where(~X.is_blank(F.col("text"))).drop("text")
-    return C.file_index(x, "source", "doc_id").select(
-        "source", "document_id", "file_index",
-        F.concat(F.lit("s"), F.col("file_index").cast("string"), F.lit("_p0")).alias("parent_id"),
+@query("split_file_chunk_order", I.with_parts("children", f="SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS idx FROM documents") + """
+SELECT source, document_id, idx AS file_index, 's' || idx || '_p0' AS parent_id, 's' || idx || '_' || child_id AS child_id, md5(child_content) AS content_key
+FROM children JOIN f ON doc_id = document_id""")
+def _(spark, d):
+    """Files of one source chunked apart, lines as chunks: every id carries the file's position in its source."""
+    def by_line(files, prefix):
+        rows = files.select("document_id", prefix.alias("_p"), F.posexplode(F.split("text", "\n")).alias("n", "child_content"))
+        parent = F.concat("_p", F.lit("p0"))
+        return rows.where(~X.is_blank(F.col("child_content"))).select(
+            "document_id", parent.alias("parent_id"), F.concat(parent, F.lit("_c"), F.col("n").cast("string")).alias("child_id"), "child_content"
+        )
+
+    files = I.documents(spark, d).select(F.col("doc_id").alias("document_id"), "source", "text")
+    return C.chunk_split_files(files, "source", "document_id", by_line).select(
+        "source", "document_id", "file_index", "parent_id", "child_id", F.md5("child_content").alias("content_key")
     )
 
 

@@ -9,7 +9,7 @@ from askloom.functions import vector as V
 from askloom.operators import maintenance as M
 from askloom.plans import inputs as I
 from askloom.plans.registry import query
-from askloom.plans.answer_queries import metrics
+from askloom.plans.answer_queries import _GOLD, _JUDGE, metrics
 from askloom.session import scratch_path
 from askloom.sources import tables as S
 from askloom.streaming import jobs as J
@@ -137,14 +137,20 @@ def _(spark, d):
     )
 
 
-@query("evaluation_report_sink", "SELECT count(*) AS questions FROM benchmark")
+@query("evaluation_report_sink", I.with_parts("bm25_ranked", "parents", **_GOLD, **_JUDGE) + """
+SELECT query_id, difficulty, passed, round(recall, 6) AS recall, round(precision, 6) AS precision, round(mrr, 6) AS mrr, missing,
+       count(*) OVER () AS questions, count(*) FILTER (passed) OVER () AS questions_passed, round(avg(mrr) OVER (), 6) AS mean_mrr FROM met""")
 def _(spark, d):
-    """Report written as JSON and read back."""
+    """Report written as JSON and read back: every question's detail beside the one-row summary."""
     m = metrics(spark, d)
     path = scratch_path(spark, "report")
-    summary = m.agg(F.count("*").alias("questions"), F.avg("mrr").alias("mrr"))
+    summary = m.agg(F.count("*").alias("questions"), F.count_if("passed").alias("questions_passed"), F.round(F.avg("mrr"), 6).alias("mean_mrr"))
     S.write_report(m, summary, path)
-    return spark.read.schema("questions bigint").json(f"{path}/summary")
+    detail = spark.read.schema(m.schema).json(f"{path}/details").select(
+        "query_id", "difficulty", "passed", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "mrr")], F.size("missing").cast("bigint").alias("missing")
+    )
+    told = spark.read.schema(summary.schema).json(f"{path}/summary").first()
+    return detail.select("*", *[F.lit(told[f.name]).cast(f.dataType).alias(f.name) for f in summary.schema])
 
 
 @query("stream_expiring_cache", """SELECT g.user_id AS key, event_id AS command_id, CASE WHEN g.ts - s.ts < INTERVAL 6 HOUR THEN s.value END AS value

@@ -87,3 +87,33 @@ def test_rebuilds_move_one_pointer(spark):
     assert {r.version for r in M.active_vectors(spark, path).collect()} == {"v1"} and M.active_vectors(spark, path).count() == 3
     assert run(lambda x: one(x).unionByName(one(x).withColumn("child_id", F.lit("c1"))), "v3") == (3, 0, "v3")
     assert M.active_vectors(spark, path).count() == 6
+
+
+# ------------------------------------------------------------------------------ layer checks, split files
+def test_layer_checks(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    docs = frame([("completed",), ("pending",), (None,)], "status string")
+    chunks = frame([(i, "p0", "abcd" + "x" * (i % 2)) for i in range(20)], "document_id long, parent_id string, child_content string")
+    hits = frame([(1, 0), (2, 3)], "query_id long, hits long")
+    intents = frame([("fact", "fact"), ("fact", "fact"), ("unknown", "policy")], "intent string, expected string")
+    changed = frame([("a", "a b"), ("c", "c")], "question string, expanded string")
+    found = frame([(1, 0), (2, 0), (3, 4)], "query_id long, results long")
+    got = {(r.layer, r.metric): (r.value, r.passed) for r in E.layer_checks(docs, chunks, hits, intents, changed, found).collect()}
+    assert got == {
+        ("documents", "completed"): (1.0, True), ("chunks", "parents"): (20.0, True), ("chunks", "mean child size"): (4.0, True), ("lexical", "mean hits"): (1.5, True),
+        ("intent", "accuracy"): (0.666667, True), ("expansion", "changed share"): (0.5, True), ("retrieval", "answered share"): (0.333333, False),
+    }
+    empty = E.layer_checks(*[df.limit(0) for df in (docs, chunks, hits, intents, changed, found)]).collect()
+    assert len(empty) == 7 and not any(r.passed for r in empty)
+
+
+def test_split_files_are_chunked_under_their_place(spark):
+    from askloom.operators import chunking as CH
+
+    rows = [(5, "a", "第一章 总则\n正文内容一。"), (7, "a", " "), (9, "a", "正文内容二。"), (6, "b", "正文内容三。")]
+    files = spark.createDataFrame(rows, "document_id long, source string, text string")
+    got = CH.chunk_split_files(files, "source", "document_id").collect()
+    assert {(r.source, r.document_id, r.file_index) for r in got} == {("a", 5, 0), ("a", 9, 2), ("b", 6, 0)}
+    assert all(r.parent_id.startswith(f"s{r.file_index}_p") and r.child_id.startswith(r.parent_id + "_c") for r in got)
+    plain = {(r.document_id, r.child_content) for r in CH.chunk_documents(files.where("document_id <> 7").select("document_id", "text")).collect()}
+    assert {(r.document_id, r.child_content) for r in got} == plain
