@@ -10,7 +10,7 @@ from askloom.functions import text as X
 from askloom.functions import vector as V
 from askloom.operators.chunking import chunk_documents
 from askloom.operators.usage import count_questions, merge_counters
-from askloom.session import scratch_path
+from askloom.session import scratch_path, settle
 from askloom.sources.tables import parent_rows
 from askloom.streaming.stateful import STORE
 
@@ -60,26 +60,56 @@ def _version(spark: SparkSession, folder: str, name: str, number: int, schema: s
 COUNTERS = "content string, count bigint, created_at timestamp, updated_at timestamp"
 
 
-def maintain_question_counts(asked: DataFrame, folder: str, checkpoint: str):
+MANIFEST = "bucket int, version bigint"
+COUNTER_BUCKETS = 64
+
+
+def maintain_question_counts(asked: DataFrame, folder: str, checkpoint: str, buckets: int = COUNTER_BUCKETS):
     """Merges each micro-batch of (content, asked_at) into the counter table.
 
-    Every batch writes a new version named by its id, built from the version before, so a
-    replayed batch rewrites the same version and counts nothing twice.
+    Counters lie in buckets by the hash of their text. A batch rewrites only the buckets it has
+    texts for, under its own id, and stores a manifest that names every bucket's version; a replayed batch
+    starts from the manifest before and counts nothing twice. Versions that no manifest a replay could
+    need names any more are removed. The number of buckets is fixed when the table is begun.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = _version(spark, folder, "version", batch_id - 1, COUNTERS)
-        merge_counters(old, count_questions(batch)).write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+        old = {r["bucket"]: r["version"] for r in _version(spark, f"{folder}/manifest", "batch", batch_id - 1, MANIFEST).collect()}
+        bucket = F.pmod(F.xxhash64("content"), F.lit(buckets)).cast("int").alias("bucket")
+        new = settle(count_questions(batch).select("*", bucket))
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+        held = _buckets(spark, folder, {b: old[b] for b in touched if b in old})
+        merged = merge_counters(held, new.drop("bucket")).select("*", bucket)
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/data/version={batch_id}")
+        now = old | {b: batch_id for b in touched}
+        spark.createDataFrame(list(now.items()), MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/batch={batch_id}")
+        if batch_id > 1:
+            before = {r["bucket"]: r["version"] for r in _version(spark, f"{folder}/manifest", "batch", batch_id - 2, MANIFEST).collect()}
+            for b, v in before.items():
+                if old[b] != v:  # replaced by the batch before this one, which cannot be replayed any more
+                    _delete(spark, f"{folder}/data/version={v}/bucket={b}")
 
     return asked.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _buckets(spark: SparkSession, folder: str, versions: dict[int, int]) -> DataFrame:
+    """The counters of the named buckets, each in its version."""
+    if not versions:
+        return spark.createDataFrame([], COUNTERS)
+    return spark.read.schema(COUNTERS).parquet(*[f"{folder}/data/version={v}/bucket={b}" for b, v in versions.items()])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def latest_version(spark: SparkSession, folder: str) -> DataFrame:
-    """Newest version below a folder; files of older versions are pruned by the partition filter."""
-    df = spark.read.parquet(folder)
-    newest = df.select(F.max("version").alias("v")).select("v").scalar()
-    return df.where(F.col("version") == newest).drop("version")
+    """The counters of the newest manifest."""
+    rows = spark.read.schema(MANIFEST + ", batch bigint").parquet(f"{folder}/manifest")
+    last = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return _buckets(spark, folder, {r["bucket"]: r["version"] for r in last.collect()})
 
 
 STATUS = "document_id bigint, status string, attempts int, chunks bigint"

@@ -218,3 +218,23 @@ def test_store_drops_entries_after_their_time(spark):
     run([("k", "p"), ("j", "r")])
     assert sorted((r.item, r.seen) for r in spark.read.parquet(out).collect())[:2] == [("p", 1), ("p", 1)]
     assert state_rows(spark, ckpt, "seen") == 2  # q is gone without having been asked for
+
+
+# ------------------------------------------------------------------------------ counters
+def test_counters_rewrite_only_their_buckets(spark):
+    from pathlib import Path
+
+    schema = "content string, asked_at timestamp"
+    feed, folder, ckpt = (scratch_path(spark, n) for n in ("feed", "counts", "ckpt"))
+    first = [(f"question {i}", at(i)) for i in range(200)]
+    batches = [first, [("question 7", at(500)), (" question 7 ", at(400))], [("question 7", at(600))], [("new", at(700)), ("question 9", at(1))]]
+    for n, rows in enumerate(batches):
+        put(spark, feed, rows, schema)
+        J.maintain_question_counts(spark.readStream.schema(schema).parquet(feed), folder, ckpt, 16).awaitTermination()
+        written = list(Path(folder, f"data/version={n}").glob("bucket=*"))
+        assert len(written) == (16, 1, 1, len({p.name for p in written}))[n] and len(written) in (1, 2, 16)
+    got = {r["content"]: (r["count"], r["created_at"], r["updated_at"]) for r in J.latest_version(spark, folder).collect()}
+    assert len(got) == 201 and got["question 7"] == (4, at(7), at(600)) and got["new"] == (1, at(700), at(700)) and got["question 9"] == (2, at(1), at(9))
+    held = {(p.parent.name, p.name) for p in Path(folder, "data").glob("version=*/bucket=*")}
+    seven = next(b for v, b in held if v == "version=2")
+    assert ("version=0", seven) not in held and ("version=1", seven) not in held  # no replay needs them any more
