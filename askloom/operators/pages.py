@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,45 +77,63 @@ def valid_pages(pages: DataFrame, remove_copyright: bool = False) -> DataFrame:
     return classify_pages(pages, remove_copyright).where("page_class is null").drop("page_class")
 
 
-_FLAGS = "struct<toc:boolean,ref:boolean,app:boolean,keep:array<bigint>>"
+# What a paragraph can say about the section it stands in, one bit each.
+SKIPPED, CONTENTS_WORD, CONTENTS_LIKE, REFERENCE_WORD, REFERENCE_LIKE, APPENDIX_HEAD, APPENDIX_END, NOTICE = (1 << i for i in range(8))
+
+
+def _kept(codes: Iterable[int]) -> list[int]:
+    """Numbers of the paragraphs that stay, by the section each is in: contents, references or appendix."""
+    toc = ref = app = False
+    keep = []
+    for i, c in enumerate(codes):
+        if c & SKIPPED:
+            continue
+        if c & CONTENTS_WORD:
+            toc = True
+        elif toc and c & CONTENTS_LIKE:
+            pass
+        elif c & REFERENCE_WORD:
+            toc, ref = False, True
+        elif ref and c & REFERENCE_LIKE:
+            toc = False
+        elif c & APPENDIX_HEAD or app and not c & APPENDIX_END:
+            toc, ref, app = False, False, True
+        else:
+            toc = ref = app = False
+            if not c & NOTICE:
+                keep.append(i)
+    return keep
 
 
 def paragraph_fold(paras: DataFrame) -> DataFrame:
     """(doc_id, keep): kept paragraph numbers of each document text given as an ordered array.
 
     Input (doc_id, paragraphs array<string>), the paragraphs of one document in its own row. The
-    section state (contents, references, appendix) depends on every earlier paragraph.
+    section state (contents, references, appendix) depends on every earlier paragraph. What a paragraph
+    says is one small number, made of expressions; one pass over a document's numbers decides, in
+    time that grows with them. A document without paragraphs keeps none; a null one counts as blank.
     """
-    def state(toc, ref, app, keep):
-        return F.struct(toc.alias("toc"), ref.alias("ref"), app.alias("app"), keep.alias("keep")).cast(_FLAGS)
+    def code(t: Column, i: Column) -> Column:
+        n = F.length(t)
+        app_word = _has(t, K.APPENDIX_KEYWORDS)
+        said = {
+            SKIPPED: (n == 0) | ((i < 20) & _has(t, K.COVER_KEYWORDS) & (n < 100)),
+            CONTENTS_WORD: _has(t, K.TOC_KEYWORDS), CONTENTS_LIKE: X.looks_like_toc(t) | (n < 80),
+            REFERENCE_WORD: _has(t, K.REFERENCE_KEYWORDS), REFERENCE_LIKE: X.looks_like_references(t),
+            APPENDIX_HEAD: app_word & (n < 300), APPENDIX_END: (n > 500) & ~app_word,
+            NOTICE: _has(t, K.COPYRIGHT_KEYWORDS) & (n < 200),
+        }
+        return reduce(lambda a, b: a + b, [F.when(c, bit).otherwise(0) for bit, c in said.items()])
 
-    yes, no = F.lit(True), F.lit(False)
+    stripped = F.transform(F.coalesce("paragraphs", F.array().cast("array<string>")), lambda t: X.strip(F.coalesce(t, F.lit(""))))
+    codes = paras.select("doc_id", F.transform(stripped, code).alias("codes"))
 
-    def step(acc: Column, e: Column) -> Column:
-        t, i = e["t"], e["i"]
-        n = F.length(t)
-        cover = (i < 20) & _has(t, K.COVER_KEYWORDS) & (n < 100)
-        toc_word, ref_word, app_word = _has(t, K.TOC_KEYWORDS), _has(t, K.REFERENCE_KEYWORDS), _has(t, K.APPENDIX_KEYWORDS)
-        toc, ref, app, keep = acc["toc"], acc["ref"], acc["app"], acc["keep"]
-        in_toc = toc & (X.looks_like_toc(t) | (n < 80))
-        in_ref = ref & X.looks_like_references(t)
-        leaves_app = app & (n > 500) & ~app_word
-        notice = _has(t, K.COPYRIGHT_KEYWORDS) & (n < 200)
-        return (
-            F.when((n == 0) | cover, acc)
-            .when(toc_word, state(yes, ref, app, keep))
-            .when(in_toc, acc)
-            .when(ref_word, state(no, yes, app, keep))
-            .when(in_ref, state(no, ref, app, keep))
-            .when(app_word & (n < 300), state(no, no, yes, keep))
-            .when(app & ~leaves_app, state(no, no, yes, keep))
-            .when(notice, state(no, no, no, keep))
-            .otherwise(state(no, no, no, F.concat(keep, F.array(i))))
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [_kept(c) for c in b.column("codes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keep, pa.list_(pa.int64()))], names=["doc_id", "keep"])
 
-    items = F.transform("paragraphs", lambda t, i: F.struct(X.strip(t).alias("t"), i.cast("bigint").alias("i")))
-    start = state(no, no, no, F.array().cast("array<bigint>"))
-    return paras.select("doc_id", F.aggregate(items, start, step)["keep"].alias("keep"))
+    return codes.mapInArrow(run, f"doc_id {paras.schema['doc_id'].dataType.simpleString()}, keep array<bigint>")
 
 
 def document_route(pages: DataFrame) -> DataFrame:

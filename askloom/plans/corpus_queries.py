@@ -238,9 +238,38 @@ def _(spark, d):
     )
 
 
-@query("paragraph_state_filter")
-def _(spark, d):
-    paras = I.documents(spark, d).select("doc_id", F.split("text", "\n").alias("paragraphs"))
+def _any(words, t="x.t"):
+    return "(" + " OR ".join(f"contains(lower({t}), '{w.lower()}')" for w in words) + ")"
+
+
+def _section(toc, ref, app, keep=False):
+    n, last = ("acc.n + 1", "x.i") if keep else ("acc.n", "acc.last")
+    return f"{{'i': 0::BIGINT, 't': '', 'toc': {toc}, 'ref': {ref}, 'app': {app}, 'n': {n}, 'last': {last}}}"
+
+
+# Every eleventh paragraph and its neighbours begin with the heading of a section that is not text.
+_HEADED = {1: "CONTENTS", 4: "References", 6: "Appendix", 9: "Copyright"}
+
+
+@query("paragraph_state_filter", f"""
+WITH p AS (SELECT doc_id, i - 1 AS i, CASE (doc_id + i - 1) % 11 {" ".join(f"WHEN {k} THEN '{w} '" for k, w in _HEADED.items())} ELSE '' END || ls[i] AS t
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) u(i)),
+l AS (SELECT doc_id, list_prepend({{'i': -1::BIGINT, 't': '', 'toc': false, 'ref': false, 'app': false, 'n': 0::BIGINT, 'last': -1::BIGINT}},
+  list({{'i': i, 't': regexp_replace(t, '^\s+|\s+$', '', 'g'), 'toc': false, 'ref': false, 'app': false, 'n': 0::BIGINT, 'last': -1::BIGINT}} ORDER BY i)) AS f FROM p GROUP BY doc_id),
+r AS (SELECT doc_id, list_reduce(f, lambda acc, x: CASE
+  WHEN length(x.t) = 0 OR (x.i < 20 AND {_any(K.COVER_KEYWORDS)} AND length(x.t) < 100) THEN acc
+  WHEN {_any(K.TOC_KEYWORDS)} THEN {_section("true", "acc.ref", "acc.app")}
+  WHEN acc.toc AND length(x.t) < 80 THEN acc
+  WHEN {_any(K.REFERENCE_KEYWORDS)} THEN {_section("false", "true", "acc.app")}
+  WHEN {_any(K.APPENDIX_KEYWORDS)} AND length(x.t) < 300 THEN {_section("false", "false", "true")}
+  WHEN acc.app AND NOT (length(x.t) > 500 AND NOT {_any(K.APPENDIX_KEYWORDS)}) THEN {_section("false", "false", "true")}
+  WHEN {_any(K.COPYRIGHT_KEYWORDS)} AND length(x.t) < 200 THEN {_section("false", "false", "false")}
+  ELSE {_section("false", "false", "false", True)} END) AS s FROM l)
+SELECT doc_id, s.n AS kept, s.last AS last_kept FROM r""")
+def _(spark, d):
+    """Lines as paragraphs under headings of contents, references, appendix and notice."""
+    head = lambda i: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, w in _HEADED.items() for x in (k, f"{w} ")]), ((F.col("doc_id") + i) % 11).cast("int")), F.lit(""))
+    paras = I.documents(spark, d).select("doc_id", F.transform(F.split("text", "\n"), lambda t, i: F.concat(head(i), t)).alias("paragraphs"))
     return P.paragraph_fold(paras).select(
         "doc_id", long(F.size("keep")).alias("kept"),
         F.coalesce(F.array_max("keep"), F.lit(-1).cast("bigint")).alias("last_kept"),
