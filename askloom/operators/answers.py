@@ -119,38 +119,36 @@ def prompts(questions: DataFrame, contexts: DataFrame, history: DataFrame, model
     """
     summary = F.col("role").isin("summary", "system")
     recent = Window.partitionBy("query_id").orderBy(F.desc("turn"))
-    last_six = history.where(~summary).withColumn("_r", F.row_number().over(recent)).where("_r <= 6").drop("_r")
+    last_six = history.where(~summary).withColumn("_r", F.row_number().over(recent)).where(F.col("_r") <= K.PROMPT_TURNS).drop("_r")
     hist = last_six.unionByName(history.where(summary)).withColumn("_s", summary)
     ordered = lambda cond, text: F.array_join(
         F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("turn", text.alias("t"))))), lambda s: s["t"]), "\n"
     )
-    spoken = F.concat(F.when(F.col("role") == "user", "用户: ").otherwise("助手: "), F.col("content"))
+    spoken = F.concat(F.when(F.col("role") == "user", K.PROMPT_USER).otherwise(K.PROMPT_ASSISTANT), F.col("content"))
     hist = hist.groupBy("query_id").agg(
         ordered(F.col("_s"), F.col("content")).alias("_sum"), ordered(~F.col("_s"), spoken).alias("_turns"),
         F.count_if("_s").alias("_ns"), F.count_if(~F.col("_s")).alias("_nt"),
     )
     one = F.concat(
-        F.lit("[来源 "), F.col("rank").cast("string"), F.lit("] "), F.coalesce("source", F.lit("未知文档")),
-        F.lit(" (相关度："), F.format_string("%.2f", F.col("score")), F.lit(")\n"), F.col("content"), F.lit("\n" + "-" * 30),
+        F.lit("[来源 "), F.col("rank").cast("string"), F.lit("] "), F.coalesce("source", F.lit(K.PROMPT_UNKNOWN_SOURCE)),
+        F.lit(" (相关度："), F.format_string("%.2f", F.col("score")), F.lit(")\n"), F.col("content"), F.lit(K.PROMPT_CONTEXT_END),
     )
     ctx = contexts.groupBy("query_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", one.alias("t")))), lambda s: s["t"]), "\n").alias("_ctx")
     )
     q = F.col("question")
-    rules = "回答要求：\n1. 直接回答问题，不要在回答中包含来源标注或置信度信息\n2. 回答要准确、简洁、专业"
+    rules = K.PROMPT_RULES
     if model:
-        rules += f"\n3. 在回答的最后一行，另起一行标注当前使用的模型名称，格式为：【模型：{model}】"
+        rules += K.PROMPT_MODEL_RULE.format(model=model)
     with_ctx = F.concat(
-        F.lit("以下是从校园知识库中检索到的相关信息：\n" + "=" * 50 + "\n"), F.col("_ctx"),
-        F.lit("\n" + "=" * 50 + "\n\n请基于以上提供的上下文信息，回答以下问题：\n问题："), q, F.lit("\n\n" + rules),
+        F.lit(K.PROMPT_CONTEXT_HEAD), F.col("_ctx"), F.lit(K.PROMPT_TASK), q, F.lit("\n\n" + rules),
     )
     without = F.concat(
-        F.lit("用户问题："), q,
-        F.lit("\n\n注意：校园知识库中没有检索到相关信息。请基于你的通用知识尽量回答用户的问题。\n如果问题与校园无关或你无法回答，请礼貌告知。\n\n回答:"),
+        F.lit(K.PROMPT_NO_CONTEXT_HEAD), q, F.lit(K.PROMPT_NO_CONTEXT_TASK),
     )
     head = F.concat(
-        F.when(F.coalesce("_ns", F.lit(0)) > 0, F.concat(F.lit("对话历史摘要：\n"), F.col("_sum"), F.lit("\n\n"))).otherwise(""),
-        F.when(F.coalesce("_nt", F.lit(0)) > 0, F.concat(F.lit("最近对话：\n"), F.col("_turns"), F.lit("\n\n"))).otherwise(""),
+        F.when(F.coalesce("_ns", F.lit(0)) > 0, F.concat(F.lit(K.PROMPT_SUMMARY_HEAD), F.col("_sum"), F.lit("\n\n"))).otherwise(""),
+        F.when(F.coalesce("_nt", F.lit(0)) > 0, F.concat(F.lit(K.PROMPT_TURNS_HEAD), F.col("_turns"), F.lit("\n\n"))).otherwise(""),
     )
     return questions.join(hist, "query_id", "left").join(ctx, "query_id", "left").select(
         "query_id", F.concat(head, F.when(F.col("_ctx").isNotNull(), with_ctx).otherwise(without)).alias("prompt")

@@ -156,10 +156,22 @@ def _(spark, d):
     return A.distinct_sources(contexts(spark, d)).select("query_id", F.array_join("sources", "|").alias("sources"))
 
 
-@query("prompt_rows")
-def _(spark, d):
+@query("prompt_rows", I.with_parts("vec_hits", "parents", **_CTX,
+  hist="SELECT conv_id AS query_id, turn, role, text AS content FROM conversations",
+  sums="SELECT query_id, string_agg(content, chr(10) ORDER BY turn, content) AS s FROM hist WHERE role IN ('summary', 'system') GROUP BY query_id",
+  turns=f"""SELECT query_id, string_agg(CASE WHEN role = 'user' THEN '{K.PROMPT_USER}' ELSE '{K.PROMPT_ASSISTANT}' END || content, chr(10) ORDER BY turn) AS t
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY turn DESC) AS r FROM hist WHERE role NOT IN ('summary', 'system')) WHERE r <= {K.PROMPT_TURNS} GROUP BY query_id""",
+  told=f"""SELECT query_id, string_agg('[来源 ' || rank || '] ' || coalesce(source, '{K.PROMPT_UNKNOWN_SOURCE}') || ' (相关度：' || score::DECIMAL(18, 6)::DECIMAL(10, 2)::VARCHAR
+    || ')' || chr(10) || parent_content || '{K.PROMPT_CONTEXT_END}', chr(10) ORDER BY rank) AS c FROM ctx WHERE query_id % 3 <> 0 GROUP BY query_id""",
+  made=f"""SELECT query_id, coalesce('{K.PROMPT_SUMMARY_HEAD}' || s || chr(10) || chr(10), '') || coalesce('{K.PROMPT_TURNS_HEAD}' || t || chr(10) || chr(10), '')
+    || CASE WHEN c IS NULL THEN '{K.PROMPT_NO_CONTEXT_HEAD}' || question || '{K.PROMPT_NO_CONTEXT_TASK}'
+       ELSE '{K.PROMPT_CONTEXT_HEAD}' || c || '{K.PROMPT_TASK}' || question || chr(10) || chr(10) || '{K.PROMPT_RULES}{K.PROMPT_MODEL_RULE.format(model="m1")}' END AS p
+    FROM questions LEFT JOIN sums USING (query_id) LEFT JOIN turns USING (query_id) LEFT JOIN told USING (query_id)""",
+) + "SELECT query_id, length(p) AS chars, md5(p) AS prompt_key FROM made")
+def _(spark, d):
+    """Prompts with a history of the same number; every third question has no contexts."""
     hist = conversations(spark, d).select(F.col("conv_id").alias("query_id"), "turn", "role", F.col("text").alias("content"))
-    p = A.prompts(I.questions(spark, d), contexts(spark, d), hist)
+    p = A.prompts(I.questions(spark, d), contexts(spark, d).where("query_id % 3 <> 0"), hist, "m1")
     return p.select("query_id", long(F.length("prompt")).alias("chars"), F.md5("prompt").alias("prompt_key"))
 
 
