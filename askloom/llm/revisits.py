@@ -9,7 +9,8 @@ tags (or, where either tag is missing, dates) differ is ``mismatch``; one with n
 validator is ``unchecked``; otherwise ``resolved``. Captures at the same instant are not earlier.
 Of responses at one instant the largest record id counts. A null URL matches nothing, a null
 capture time is unresolved, repeated revisits are each returned, empty tables give no rows.
-Columns besides those named are not read.
+Header names are taken and given back in lower case; entity tags are compared weakly (``W/"x"`` is ``"x"``);
+a canonical URL has http for https. Columns besides those named are not read.
 """
 
 from __future__ import annotations
@@ -68,7 +69,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     fresh = F.col("status") == 304
     rows = records.select(
         "record_id", canonical_url(F.col("url")).alias("canonical_url"), "captured_at", "status",
-        F.array_sort(F.coalesce("headers", F.array().cast("array<struct<name:string,value:string>>"))).alias("headers"),
+        F.array_sort(F.transform(
+            F.coalesce("headers", F.array().cast("array<struct<name:string,value:string>>")),
+            lambda h: F.struct(F.lower(h["name"]).alias("name"), h["value"].alias("value")),
+        )).alias("headers"),
     ).where(fresh | (F.col("status") == 200))
     line = rows.where(F.col("canonical_url").isNotNull() & F.col("captured_at").isNotNull()).select(
         "*", F.unix_micros("captured_at").alias("_at"), F.when(fresh, 0).otherwise(1).alias("_kind")
@@ -85,7 +89,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     both = carried.unionByName(outside)
     stored = F.col("_full.headers")
     mine = F.col("headers")
-    tags = (header(mine, "etag"), header(stored, "etag"))
+    tags = [F.regexp_replace(header(h, "etag"), "^W/", "") for h in (mine, stored)]  # weak comparison
     dates = (header(mine, "last-modified"), header(stored, "last-modified"))
     state = (
         F.when(F.col("_full").isNull(), "unresolved")

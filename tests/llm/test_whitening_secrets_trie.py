@@ -405,3 +405,17 @@ def test_pipeline_duplicates_without_id(spark):
     assert got.columns == docs.columns
     told = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
     assert told == sorted([(7, a), (None, b), (3, "x"), (3, "x"), (None, None), (None, "alone here")], key=str)
+
+
+# ------------------------------------------------------------------------------ 2, names and tags as they come
+def test_revisit_headers_of_any_case(spark):
+    from askloom.llm.revisits import resolve_revisits
+
+    h = lambda *pairs: [tuple(p) for p in pairs]
+    rows = [
+        (1, "http://a.net/", 10, 200, h(("ETag", '"x"'), ("Server", "s"), ("DATE", "d1"))), (2, "https://a.net/", 20, 304, h(("etag", 'W/"x"'), ("Date", "d2"))),
+        (3, "http://a.net", 30, 304, h(("eTAG", '"y"'))), (4, "http://a.net", 40, 304, h((None, "v"), ("etag", None))),
+    ]
+    df = spark.createDataFrame(rows, "record_id long, url string, t long, status int, headers array<struct<name:string,value:string>>")
+    got = {r.record_id: (r.state, {x.name: x.value for x in r.headers or []}) for r in resolve_revisits(df.withColumn("captured_at", F.timestamp_seconds("t"))).collect()}
+    assert got[2] == ("resolved", {"etag": 'W/"x"', "server": "s", "date": "d2"}) and got[3][0] == "mismatch" and got[4][0] == "unchecked"
