@@ -255,7 +255,7 @@ _HEADED = {1: "CONTENTS", 4: "References", 6: "Appendix", 9: "Copyright"}
 WITH p AS (SELECT doc_id, i - 1 AS i, CASE (doc_id + i - 1) % 11 {" ".join(f"WHEN {k} THEN '{w} '" for k, w in _HEADED.items())} ELSE '' END || ls[i] AS t
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) u(i)),
 l AS (SELECT doc_id, list_prepend({{'i': -1::BIGINT, 't': '', 'toc': false, 'ref': false, 'app': false, 'n': 0::BIGINT, 'last': -1::BIGINT}},
-  list({{'i': i, 't': regexp_replace(t, '^\s+|\s+$', '', 'g'), 'toc': false, 'ref': false, 'app': false, 'n': 0::BIGINT, 'last': -1::BIGINT}} ORDER BY i)) AS f FROM p GROUP BY doc_id),
+  list({{'i': i, 't': regexp_replace(t, '^\\s+|\\s+$', '', 'g'), 'toc': false, 'ref': false, 'app': false, 'n': 0::BIGINT, 'last': -1::BIGINT}} ORDER BY i)) AS f FROM p GROUP BY doc_id),
 r AS (SELECT doc_id, list_reduce(f, lambda acc, x: CASE
   WHEN length(x.t) = 0 OR (x.i < 20 AND {_any(K.COVER_KEYWORDS)} AND length(x.t) < 100) THEN acc
   WHEN {_any(K.TOC_KEYWORDS)} THEN {_section("true", "acc.ref", "acc.app")}
