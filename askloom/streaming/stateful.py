@@ -116,22 +116,36 @@ def rate_limit(requests: DataFrame, limit: int = K.RATE_LIMIT, window_s: int = K
     )
 
 
+QUOTA_SLOTS = 128  # keys that a day's users share
+
+
 class _Quota(_Timed):
-    def __init__(self, limit: int):
-        self.limit = limit
+    def __init__(self, limit: int, kind: str):
+        self.limit, self.kind = limit, kind
 
     def init(self, handle):
         super().init(handle)
-        self.used = handle.getValueState("used", "n bigint")
+        self.used = handle.getListState("used", f"user_id {self.kind}, n bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        held = _in_order(rows, ["us", "request_id"], ["us", "request_id"])
-        used = self.used.get()[0] if self.used.exists() else 0
-        number = used + np.arange(1, len(held["us"]) + 1)
-        if used < self.limit:
-            self.used.update((int(min(self.limit, number[-1])),))
-        self.wake(timerValues, pd.Timestamp(key[1]).value // 1000 + 86_400 * SECOND)
-        yield pd.DataFrame({"user_id": key[0], "request_id": held["request_id"], "us": held["us"], "accepted": number <= self.limit})
+        held = _in_order(rows, ["user_id", "us", "request_id"], ["us", "request_id"])
+        old = list(self.used.get()) if self.used.exists() else []
+        before = pd.Series([u for u, _ in old], dtype=held["user_id"].dtype)
+        code, names = pd.factorize(pd.concat([before, pd.Series(held["user_id"])]))
+        used = np.zeros(len(names), dtype=np.int64)
+        used[code[: len(old)]] = [n for _, n in old]
+        code = code[len(old):]
+        by_user = np.argsort(code, kind="stable")  # rows of one user stay in time order
+        count = np.bincount(code, minlength=len(names))
+        number = np.empty(len(code), dtype=np.int64)
+        number[by_user] = np.arange(len(code)) - np.repeat(np.cumsum(count) - count, count) + 1
+        number += used[code]
+        now = np.minimum(self.limit, used + count)
+        if (now != used).any() or len(names) > len(old):
+            self.used.put(list(zip(names.tolist(), now.tolist(), strict=True)))
+        self.wake(timerValues, pd.Timestamp(key[0]).value // 1000 + 86_400 * SECOND)
+        users = held["user_id"] if key[1] >= 0 else None
+        yield pd.DataFrame({"user_id": users, "request_id": held["request_id"], "us": held["us"], "accepted": number <= self.limit})
 
     def expire(self, key, us, timer_values):
         self.used.clear()
@@ -140,12 +154,15 @@ class _Quota(_Timed):
 def daily_quota(requests: DataFrame, limit: int, delay: str = "1 day") -> DataFrame:
     """(user_id, request_id, ts, accepted): the first ``limit`` requests of each user's day pass.
 
-    The key is (user, day), so a day's counter is a state of its own and is dropped when the
-    watermark leaves the day; one busy user spreads over days.
+    The key is (day, slot of the user), so that a task meets a few thousand keys however many users there
+    are, and decides all of a key's rows at once. A day's counters are lists of their own and are dropped when the
+    watermark leaves the day; one busy user spreads over days. Users that are null count as one.
     """
     kind, rid = (requests.schema[c].dataType.simpleString() for c in ("user_id", "request_id"))
-    rows = requests.withColumn("day", F.to_date("ts"))
-    return _keyed(rows, ["user_id", "day"], _Quota(limit), f"user_id {kind}, request_id {rid}, us bigint, accepted boolean", delay)
+    slot = F.when(F.col("user_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("user_id"), F.lit(QUOTA_SLOTS)).cast("int"))
+    known = F.coalesce("user_id", F.lit("0").cast(kind))  # a null would turn its batch's numbers into floats; it has a slot of its own
+    rows = requests.withColumns({"day": F.to_date("ts"), "slot": slot, "user_id": known})
+    return _keyed(rows, ["day", "slot"], _Quota(limit, kind), f"user_id {kind}, request_id {rid}, us bigint, accepted boolean", delay)
 
 
 class _SemanticCache(_Timed):

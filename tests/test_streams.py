@@ -187,6 +187,33 @@ def test_semantic_cache_over_batches(spark):
     assert state_rows(spark, ckpt, "entries") <= 2  # tenant 9's alone
 
 
+def test_daily_quota_against_a_loop(spark):
+    """Users that share a key, null users and two micro-batches: same decisions as a loop, in few keys."""
+    rng = random.Random(8)
+    schema = "user_id long, request_id long, ts timestamp"
+    batches = [[(None if rng.random() < 0.1 else rng.randrange(300) + 2**60, 10_000 * b + i, at(40_000 * b + rng.randrange(100_000))) for i in range(2500)] for b in range(2)]
+    feed, out, ckpt = (scratch_path(spark, n) for n in ("feed", "out", "ckpt"))
+    want, used = {}, {}
+    for rows in batches:
+        put(spark, feed, rows, schema)
+        J.append_to(SF.daily_quota(spark.readStream.schema(schema).parquet(feed), 4, "3 days"), out, ckpt)
+        for u, i, t in sorted(rows, key=lambda r: r[2:0:-1]):
+            used[u, t.date()] = n = used.get((u, t.date()), 0) + 1
+            want[i] = (u, n <= 4)
+    got = {r.request_id: (r.user_id, r.accepted) for r in spark.read.parquet(out).collect()}
+    assert got == want and 200 < sum(not ok for _, ok in want.values())
+    assert state_rows(spark, ckpt, "used") == len(used)
+
+
+def test_daily_quota_meets_few_keys(spark, monkeypatch):
+    """Thousands of users of one day are decided key by key of at most ``QUOTA_SLOTS``."""
+    keyed = []
+    monkeypatch.setattr(SF, "_keyed", lambda rows, keys, *_: keyed.append(rows.select(*keys)) or rows)
+    rows = spark.createDataFrame([(i, i, at(1)) for i in range(3000)], "user_id long, request_id long, ts timestamp")
+    SF.daily_quota(rows, 4)
+    assert keyed[0].distinct().count() <= 128
+
+
 def test_expiring_cache_over_batches(spark):
     schema = "key string, command_id long, is_set boolean, value string, ts timestamp"
     batches = [
