@@ -166,7 +166,7 @@ def daily_quota(requests: DataFrame, limit: int, delay: str = "1 day") -> DataFr
 
 
 class _SemanticCache(_Timed):
-    def __init__(self, threshold: float, cap: int, ttl_us: int):
+    def __init__(self, threshold: float, cap: int | None, ttl_us: int | None):
         self.threshold, self.cap, self.ttl_us = threshold, cap, ttl_us
 
     def init(self, handle):
@@ -180,37 +180,44 @@ class _SemanticCache(_Timed):
     def handleInputRows(self, key, rows, timerValues):
         held = _in_order(rows, ["us", "question_id", "embedding"], ["us", "question_id"])
         old = self._stored()
-        numbers, ids, at = ([r[i] for r in old] for i in range(3))
+        ids = [r[1] for r in old]
+        at = np.array([r[2] for r in old], dtype=np.int64)
         mat = np.array([r[3] for r in old], dtype=np.float64).reshape(len(old), len(held["embedding"][0]))
-        next_number = numbers[-1] + 1 if numbers else 0
+        next_number = old[-1][0] + 1 if old else 0
         fresh, hit, sim = {}, [], []
         for qid, now, vec in zip(held["question_id"].tolist(), held["us"].tolist(), held["embedding"], strict=True):
-            live = [i for i, t in enumerate(at) if now < t + self.ttl_us]
-            if len(live) < len(at):
-                self._forget([ids[i] for i in range(len(at)) if i not in set(live)], fresh)
-                ids, at, mat = [ids[i] for i in live], [at[i] for i in live], mat[live]
+            n = len(ids)  # rows of ``at`` and ``mat`` beyond are spare
+            if self.ttl_us is not None and n:
+                live = now < at[:n] + self.ttl_us
+                if not live.all():
+                    self._forget([i for i, keep in zip(ids, live.tolist(), strict=True) if not keep], fresh)
+                    ids, at, mat = [i for i, keep in zip(ids, live.tolist(), strict=True) if keep], at[:n][live], mat[:n][live]
+                    n = len(ids)
             v = np.asarray(vec, dtype=np.float64)
-            n = np.sqrt((v * v).sum())
-            unit = v / n if n > 0 else v
-            s = np.round(mat @ unit, 6) if ids else np.empty(0)
-            if len(s) and s.max() >= self.threshold:
+            length = np.sqrt((v * v).sum())
+            unit = v / length if length > 0 else v
+            s = np.round(mat[:n] @ unit, 6) if n else np.empty(0)
+            if n and s.max() >= self.threshold:
                 i = int(np.argmax(s))
                 hit.append(ids[i])
                 sim.append(float(s[i]))
                 continue
             hit.append(None)
             sim.append(None)
-            if len(ids) >= self.cap:
+            if self.cap is not None and n >= self.cap:
                 self._forget(ids[:1], fresh)
                 ids, at, mat = ids[1:], at[1:], mat[1:]
+                n -= 1
             fresh[qid] = (now, next_number, unit.tolist())
             next_number += 1
+            if n == len(at):
+                at = np.concatenate([at, np.empty(n + 16, dtype=np.int64)])
+                mat = np.concatenate([mat, np.empty((n + 16, len(unit)))])
             ids.append(qid)
-            at.append(now)
-            mat = np.vstack([mat, unit])
+            at[n], mat[n] = now, unit
         for qid, entry in fresh.items():
             self.entries.updateValue((qid,), entry)
-        if fresh:
+        if fresh and self.ttl_us is not None:
             self.wake(timerValues, max(e[0] for e in fresh.values()) + self.ttl_us)
         yield pd.DataFrame(
             {
@@ -231,19 +238,20 @@ class _SemanticCache(_Timed):
 
 
 def semantic_cache(
-    questions: DataFrame, threshold: float = K.SEMANTIC_CACHE_THRESHOLD, cap: int = K.SEMANTIC_CACHE_SIZE,
-    ttl_s: int = K.TTL_EMBEDDING_S, delay: str = "10 minutes",
+    questions: DataFrame, threshold: float = K.SEMANTIC_CACHE_THRESHOLD, cap: int | None = K.SEMANTIC_CACHE_SIZE,
+    ttl_s: int | None = K.TTL_EMBEDDING_S, delay: str = "10 minutes",
 ) -> DataFrame:
     """(tenant, question_id, ts, hit_id, similarity): look up, and store what was not found.
 
     Input (tenant, question_id, ts, embedding). The best live entry at or above the threshold
     answers, the oldest on ties; a miss is stored and evicts the oldest entry at the cap. A tenant's
     entries are a map bounded by the cap; each expires by its own age, and a batch writes only the
-    entries it adds or takes out.
+    entries it adds or takes out. Without a cap nothing is evicted, and without a time to live
+    nothing expires.
     """
     kind = questions.schema["tenant"].dataType.simpleString()
     out = _keyed(
-        questions, ["tenant"], _SemanticCache(threshold, cap, ttl_s * SECOND),
+        questions, ["tenant"], _SemanticCache(threshold, cap, None if ttl_s is None else ttl_s * SECOND),
         f"tenant {kind}, question_id bigint, us bigint, hit_id bigint, similarity double", delay,
     )
     return out.withColumn("similarity", F.nanvl("similarity", F.lit(None).cast("double")))

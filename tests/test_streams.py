@@ -187,6 +187,18 @@ def test_semantic_cache_over_batches(spark):
     assert state_rows(spark, ckpt, "entries") <= 2  # tenant 9's alone
 
 
+def test_semantic_cache_without_cap_and_expiry_keeps_every_entry(spark):
+    """1500 unlike questions over 25 hours a day apart from their repeats: each repeat hits the first of its kind."""
+    schema = "tenant long, question_id long, ts timestamp, embedding array<float>"
+    unit = lambda i: [float(np.cos(i / 300)), float(np.sin(i / 300)), 0.0]
+    rows = [(1, i, at(60 * i), unit(i)) for i in range(1500)] + [(1, 5000 + i, at(60 * (20_000 + i)), unit(i)) for i in range(0, 1500, 50)]
+    feed = scratch_path(spark, "feed")
+    put(spark, feed, rows, schema)
+    out = J.run_to_table(SF.semantic_cache(spark.readStream.schema(schema).parquet(feed), 0.999999, None, None), "kept")
+    got = {r.question_id: r.hit_id for r in out.collect()}
+    assert all(got[5000 + i] == i for i in range(0, 1500, 50)) and all(got[i] is None for i in range(1500))
+
+
 def test_daily_quota_against_a_loop(spark):
     """Users that share a key, null users and two micro-batches: same decisions as a loop, in few keys."""
     rng = random.Random(8)
