@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from askloom.operators.lexical import best_rows, top_k
-from askloom.operators.sizes import broadcast_if
+from askloom.operators.sizes import BROADCAST_ROWS, broadcast_if
 
 QUESTION_BLOCK = 1024
 GROUP_ROWS = 8192  # vectors of a split group scored at once
+SCAN_ROWS = 4096  # vectors scored at once where the questions are broadcast
 
 
 def _packed_questions(questions: DataFrame, vec: str, blocks: int, at: str | None) -> DataFrame:
@@ -73,15 +74,17 @@ def vector_scores_topk(
 ) -> DataFrame:
     """(query_id, keys, score, rank): exact cosine top-k, ties by key, scores to 6 decimals.
 
-    A block nested loop: each batch of vectors meets each block of questions once, is scored by one
-    matrix product and leaves at most k rows per question behind, so the shuffle carries
-    k rows per (batch, question) and no pair table is ever built. Question blocks have a bounded
-    size; they are broadcast when the counted questions are few and shuffled by block when not.
+    A block nested loop: vectors are scored by matrix products of bounded size and no pair table is ever
+    built. Few questions, as counted, are broadcast to one scan of the vectors (``_scanned``). Beyond that
+    each batch of vectors is shuffled to each block of questions, and leaves at most k rows per question.
 
     ``window`` = (question time, key time, length) keeps vectors with time < question time < time
     + length; ``minimum`` drops lower scores.
     """
     n_questions = questions.count()
+    if n_questions <= BROADCAST_ROWS:
+        scored = _scanned(questions, chunks, k, keys, qvec, vec, block, window, minimum)
+        return top_k(scored, k, [F.desc("score"), *keys])
     blocks = max(1, -(-n_questions // block))
     packed = broadcast_if(
         _packed_questions(questions, qvec, blocks, window[0] if window else None), n_questions,
@@ -113,6 +116,51 @@ def vector_scores_topk(
     return top_k(scored, k, [F.desc("score"), *keys])
 
 
+def _scanned(questions, chunks, k, keys, qvec, vec, block, window, minimum) -> DataFrame:
+    """(query_id, keys, score): rows of each task that may be among a question's k best, by one scan.
+
+    A task scores a slice of vectors with a block of questions at a time and keeps nothing but each
+    question's k best scores so far; a row below the k-th of them is not given on.
+    """
+    at = F.col(window[0]) if window else F.lit(0)
+    table = questions.where(F.size(qvec) > 0).select("query_id", F.col(qvec).alias("v"), at.cast("bigint").alias("at")).toArrow()
+    qids = table.column("query_id").combine_chunks()
+    told = questions.sparkSession.sparkContext.broadcast(
+        (qids.to_numpy(zero_copy_only=False), unit_matrix(table.column("v")), table.column("at").to_numpy())
+    )
+    qtype = questions.schema["query_id"].dataType.simpleString()
+    fields = ",".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in keys)
+    kind = qids.type
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix, asked = told.value
+        if not len(names):
+            return
+        best = np.full((len(names), k), -np.inf)
+        for whole in batches:
+            for start in range(0, whole.num_rows, SCAN_ROWS):
+                b = whole.slice(start, SCAN_ROWS)
+                c = unit_matrix(pa.chunked_array([b.column("v")]))
+                since = b.column(window[1]).to_numpy(zero_copy_only=False) if window else None
+                for lo in range(0, len(names), block):
+                    q = slice(lo, lo + block)
+                    sims = np.round(matrix[q] @ c.T, 6) + 0.0
+                    ok = np.ones(sims.shape, dtype=bool) if minimum is None else sims >= minimum
+                    if window:
+                        ok &= (since < asked[q, None]) & (asked[q, None] < since + window[2])
+                    held = np.concatenate([best[q], np.where(ok, sims, -np.inf)], axis=1)
+                    best[q] = np.partition(held, held.shape[1] - k, axis=1)[:, -k:]
+                    ok &= sims >= best[q].min(axis=1, keepdims=True)
+                    rows, columns = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+                    if len(rows):
+                        part = b.take(pa.array(columns))
+                        ids = pa.StructArray.from_arrays([part.column(x) for x in keys], names=keys)
+                        yield from best_rows(names[q][rows], sims[np.ix_(rows, columns)], ok[np.ix_(rows, columns)], ids, keys, k, kind)
+
+    vectors = chunks.where(F.size(vec) > 0).select(*keys, F.col(vec).cast("array<float>").alias("v"))
+    return vectors.mapInArrow(scan, f"query_id {qtype}, {fields}, score double")
+
+
 def best_child_per_parent(hits: DataFrame) -> DataFrame:
     """After the limit: the best-ranked child of each (document, parent) stays."""
     w = Window.partitionBy("query_id", "document_id", "parent_id").orderBy("rank")

@@ -16,7 +16,7 @@ from askloom.operators import questions as Q
 from askloom.operators import retrieval as R
 from askloom.plans import inputs as I
 from askloom.plans.registry import query
-from askloom.plans.retrieval_queries import SYNONYMS, vector_hits
+from askloom.plans.retrieval_queries import SYNONYMS, few, filled, vector_hits
 from askloom.sources import tables as S
 
 CK = R.CHILD_KEY
@@ -116,9 +116,9 @@ _CTX = dict(ctx="""SELECT h.query_id, h.document_id, h.parent_id, h.rank, h.scor
 
 
 def contexts(spark, d):
-    hits = vector_hits(spark, d).join(I.children(spark, d).select(*CK, "child_content", "split_group_id"), CK)
-    filled = R.backfill_parents(hits, I.parents(spark, d))
-    return R.with_source_names(filled, I.document_info(spark, d).select("document_id", "filename"))
+    hits = few(vector_hits(spark, d).join(I.children(spark, d).select(*CK, "child_content", "split_group_id"), CK))
+    texts = filled(spark, d, hits)
+    return R.with_source_names(texts, I.document_info(spark, d).select("document_id", "filename"))
 
 
 @query("merged_group_contexts", I.with_parts("vec_hits", "parents", **_CTX, many="SELECT query_id, count(DISTINCT split_group_id) > 1 AS many FROM ctx GROUP BY query_id",
@@ -349,7 +349,7 @@ _JUDGE = dict(
 
 def judged(spark, d):
     g = golden(spark, d)
-    hits = P.search(I.lexical_index(spark, d), g, 5)
+    hits = few(P.search(I.lexical_index(spark, d), g, 5))
     text = hits.join(I.parents(spark, d), R.KEY).withColumnRenamed("parent_content", "text")
     return g, E.relevance(g, text)
 

@@ -11,17 +11,31 @@ from askloom.operators import postings as P
 from askloom.operators import questions as Q
 from askloom.operators import retrieval as R
 from askloom.operators import vectors as VS
+from askloom.operators.sizes import broadcast_if
 from askloom.plans import inputs as I
 from askloom.plans.registry import query
+from askloom.session import settle
 
 CK = R.CHILD_KEY
 
 
+def few(hits):
+    """Hits settled, since several branches read them, and broadcast to what they join unless they are very many."""
+    hits = settle(hits)
+    return broadcast_if(hits, hits.count())
+
+
+def filled(spark, d, hits):
+    """Settled hits with their parents' texts; texts that no hit names stay out of the shuffle."""
+    named = broadcast_if(hits.select(*R.KEY).distinct(), hits.count())
+    return R.backfill_parents(hits, I.parents(spark, d).join(named, R.KEY, "left_semi"))
+
+
 def vector_hits(spark, d, k=15):
     """Best 15 children of every question, one per parent, with text and group."""
     chunks = I.children(spark, d, embedded=True)
     qv = I.questions(spark, d).select("query_id", V.hashed_embedding(F.col("question")).alias("qvec"))
-    return VS.best_child_per_parent(VS.vector_scores_topk(qv, chunks, k, CK))
+    return few(VS.best_child_per_parent(VS.vector_scores_topk(qv, chunks, k, CK)))
 
 
 # ------------------------------------------------------------------------------ lexical
@@ -60,7 +74,7 @@ SELECT query_id, document_id, parent_id, child_id, rank, score, child_content, s
 FROM bm25_ranked JOIN children USING (document_id, parent_id, child_id) WHERE rank <= 15""")
 def _(spark, d):
     chunks = I.children(spark, d)
-    hits = P.search(I.lexical_index(spark, d), I.questions(spark, d), 15)
+    hits = few(P.search(I.lexical_index(spark, d), I.questions(spark, d), 15))
     return hits.join(chunks, CK).withColumns(
         {"source": F.concat(F.lit("BM25-"), F.col("parent_id")), "rerank_method": F.lit("bm25")}
     )
@@ -217,7 +231,7 @@ def _(spark, d):
 @query("group_diversity", I.with_parts("vec_hits", "bm25_ranked", **_RRF, **_DIVERSE) + """
 SELECT query_id, document_id, parent_id, score, split_group_id, rank FROM diverse""")
 def _(spark, d):
-    hits = rrf_hits(spark, d).join(I.children(spark, d).select(*CK, "split_group_id"), CK)
+    hits = few(rrf_hits(spark, d)).join(I.children(spark, d).select(*CK, "split_group_id"), CK)
     return R.diversify(hits).select(
         "query_id", "document_id", "parent_id", "score", "split_group_id", "rank"
     )
@@ -283,7 +297,7 @@ _SLOTS = dict(
 
 def five_hits(spark, d):
     chunks = I.children(spark, d)
-    return (
+    return few(
         vector_hits(spark, d).where("rank <= 5")
         .join(chunks.select(*CK, "split_group_id", "child_content"), CK)
     )
@@ -319,7 +333,7 @@ def _(spark, d):
 SELECT query_id, document_id, parent_id, rank, length(parent_content) AS parent_chars, md5(parent_content) AS content_key
 FROM vec_hits LEFT JOIN parents USING (document_id, parent_id)""")
 def _(spark, d):
-    return R.backfill_parents(vector_hits(spark, d), I.parents(spark, d)).select(
+    return filled(spark, d, vector_hits(spark, d)).select(
         "query_id", "document_id", "parent_id", "rank",
         F.length("content").cast("bigint").alias("parent_chars"), F.md5("content").alias("content_key"),
     )
@@ -373,7 +387,7 @@ def classified(spark, d):
 
 
 def hybrid_hits(spark, d):
-    hits = R.backfill_parents(vector_hits(spark, d), I.parents(spark, d))
+    hits = filled(spark, d, vector_hits(spark, d))
     return R.hybrid_scores(classified(spark, d), hits, I.children(spark, d), 10, index=I.lexical_index(spark, d))
 
 
@@ -389,7 +403,7 @@ def _(spark, d):
 @query("bm25_within_candidates", I.with_parts("vec_hits", "parents", "bm25_ranked", **_HYBRID) + """
 SELECT query_id, document_id, parent_id, score, rank FROM hrank WHERE rank <= 20""")
 def _(spark, d):
-    hits = R.backfill_parents(vector_hits(spark, d), I.parents(spark, d)).select(
+    hits = filled(spark, d, vector_hits(spark, d)).select(
         "query_id", "document_id", "parent_id", F.col("content").alias("text")
     )
     return L.bm25_within(I.questions(spark, d), hits, 20, R.KEY)
@@ -463,7 +477,7 @@ SELECT query_id, document_id, parent_id, rerank_score, rank FROM (
   FROM (SELECT h.*, round(length(parent_content) % 97 / 97.0, 6) AS rerank_score
         FROM vec_hits h JOIN parents USING (document_id, parent_id) WHERE h.rank % 4 <> 0)) WHERE rank <= 5""")
 def _(spark, d):
-    hits = R.backfill_parents(vector_hits(spark, d), I.parents(spark, d))
+    hits = filled(spark, d, vector_hits(spark, d))
     # stands for the stored reply of a rerank model, which skips every fourth position
     scores = hits.select(
         "query_id", F.col("rank").alias("position"),
@@ -523,7 +537,7 @@ SELECT query_id, coalesce(round(0.6 * avg(score) + 0.4 * least(avg(length(parent
        count(rank) AS result_count, count(rank) > 0 AS has_results
 FROM questions LEFT JOIN (SELECT * FROM vec_hits JOIN parents USING (document_id, parent_id) WHERE score > 0.5) USING (query_id) GROUP BY query_id""")
 def _(spark, d):
-    hits = R.backfill_parents(vector_hits(spark, d).where("score > 0.5"), I.parents(spark, d))
+    hits = filled(spark, d, vector_hits(spark, d).where("score > 0.5"))
     return R.result_quality(I.questions(spark, d), hits)
 
 

@@ -70,6 +70,30 @@ def test_vector_topk_equals_cosine_and_ties(spark):
         assert sorted(got.select("query_id", "id", "rank").collect()) == sorted(want.select("query_id", "id", "rank").collect())
 
 
+def test_few_questions_scan_vectors_without_packed_tiles(spark, monkeypatch):
+    """Small slices against a loop, with ties, a window and a minimum; no tile of a whole batch is built, and late slices give on little."""
+    rng = random.Random(6)
+    vecs = [(i, i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)] + [(300 + i, i, [1.0, 1.0, 0.0, 0.0]) for i in range(40)]
+    chunks = spark.createDataFrame(vecs, "id int, at long, embedding array<float>").coalesce(1)
+    qs = spark.createDataFrame([(i, 100 + 10 * i, vecs[i][2]) for i in range(9)], "query_id int, asked long, qvec array<float>")
+    pairs = qs.join(chunks).select("query_id", "id", "at", "asked", V.cosine(F.col("qvec"), F.col("embedding")).alias("score"))
+
+    def packed(*_):
+        raise AssertionError("packed")
+
+    monkeypatch.setattr(VS, "_pack_chunks", packed)
+    monkeypatch.setattr(VS, "SCAN_ROWS", 7)
+    want = L.top_k(pairs, 5, [F.desc("score"), "id"])
+    got = VS.vector_scores_topk(qs, chunks, 5, ["id"], block=4)
+    assert sorted(got.select("query_id", "id", "rank").collect()) == sorted(want.select("query_id", "id", "rank").collect())
+    within = pairs.where("at < asked and asked < at + 50 and score >= 0.2")
+    want = L.top_k(within, 5, [F.desc("score"), "id"])
+    got = VS.vector_scores_topk(qs, chunks, 5, ["id", "at"], block=4, window=("asked", "at", 50), minimum=0.2)
+    assert sorted(got.select("query_id", "id", "rank").collect()) == sorted(want.select("query_id", "id", "rank").collect())
+    given = VS._scanned(qs, chunks, 5, ["id"], "qvec", "embedding", 4, None, None).count()
+    assert 9 * 5 <= given < 9 * 5 * 49 / 2  # 49 slices of at most 7 rows
+
+
 def hits(spark, rows):
     return spark.createDataFrame(rows, "query_id int, document_id bigint, parent_id string, child_id string, split_group_id string, score double, rank bigint")
 
