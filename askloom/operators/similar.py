@@ -10,7 +10,11 @@ are left are confirmed on their full sets, which are fetched by id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askloom import constants as K
@@ -19,7 +23,9 @@ from askloom.operators.sizes import broadcast_if
 from askloom.session import settle
 
 BLOCK = 256  # rows of a prefix bucket that meet as one block
-GRAMS_BROADCAST = 2_000_000  # counted trigrams, twelve bytes each, that are broadcast to the texts
+GRAMS_BROADCAST = 2_000_000  # counted trigrams, sixteen bytes each, that are broadcast to the texts
+IDS_BROADCAST = 1_000_000  # 8 bytes each
+SORT_ROWS = 512  # texts whose trigrams are sorted at once
 
 
 def ranked_sets(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -34,12 +40,34 @@ def ranked_sets(texts: DataFrame, key: str, text: str) -> DataFrame:
     sets = settle(same.select("f.id", "f.g", "copies"))
     parts = sets.select("id", F.explode("g").alias("t"))
     often = settle(parts.groupBy("t").agg(F.count(F.lit(1)).alias("c")))
-    # the trigrams of a text meet again in its own row, so a frequent trigram is a join key only where it is broadcast or split
-    counted = parts.join(broadcast_if(often, often.count(), GRAMS_BROADCAST), "t")
+    if often.count() <= GRAMS_BROADCAST:
+        return _ordered(sets, often)
+    # the trigrams of a text meet again in its own row, so only a corpus of very many trigrams moves them
+    counted = parts.join(often, "t")
     order = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("s"))
     return sets.select("id", "copies").join(order, "id").select("id", "copies", F.size("s").alias("n"), F.transform("s", lambda x: x["t"]).alias("s"))
 
 
+def _ordered(sets: DataFrame, often: DataFrame) -> DataFrame:
+    """(id, copies, n, s): each row's trigrams put in order of their broadcast counts; nothing is shuffled."""
+    table = often.orderBy("t").toArrow()
+    told = sets.sparkSession.sparkContext.broadcast((table.column("t").to_numpy(), table.column("c").to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = told.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, SORT_ROWS):
+                b = whole.slice(start, SORT_ROWS)
+                n = b.column("g").value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+                grams = b.column("g").flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort([grams, counts[np.searchsorted(known, grams)], row])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(grams[order]))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("copies"), pa.array(n), lists], names=["id", "copies", "n", "s"])
+
+    return sets.select("id", "copies", "g").mapInArrow(run, f"id {sets.schema['id'].dataType.simpleString()}, copies bigint, n int, s array<bigint>")
+
+
 def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b) with a < b that share a prefix element and pass the length and position filters.
 
@@ -69,9 +97,11 @@ def similar_pairs(texts: DataFrame, key: str, text: str, threshold: float = K.DU
     not pairs of their own.
     """
     sets = settle(ranked_sets(texts, key, text))
-    pairs = candidates(sets, threshold)
-    one = sets.select(F.col("id").alias("a"), F.col("s").alias("left"))
-    two = sets.select(F.col("id").alias("b"), F.col("s").alias("right"))
+    pairs = settle(candidates(sets, threshold))
+    named = settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    held = sets.join(broadcast_if(named, named.count(), IDS_BROADCAST), "id", "left_semi")  # only these sets are moved
+    one = held.select(F.col("id").alias("a"), F.col("s").alias("left"))
+    two = held.select(F.col("id").alias("b"), F.col("s").alias("right"))
     told = pairs.join(one, "a").join(two, "b").select("a", "b", X.jaccard_of_sets(F.col("left"), F.col("right")).alias("similarity"))
     return told.where(F.col("similarity") >= threshold - 1e-12), sets.select("id", "copies")
 

@@ -60,3 +60,16 @@ def test_a_bucket_of_many_rows_is_dealt_in_blocks(spark, monkeypatch):
     assert got.count() == 95 * 94 // 2
     seen = {(r.a, r.b) for r in got.collect()}
     assert len(seen) == 95 * 94 // 2 and all(a < b for a, b in seen)
+
+
+def test_few_trigrams_are_ordered_without_a_shuffle(spark, monkeypatch):
+    """Rarest first, ties by hash, as by the join that serves corpora of very many trigrams."""
+    rows = [(i, " ".join(f"word{(i * j) % 17}" for j in range(i % 9))) for i in range(200)] + [(900, "abc"), (901, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = S.ranked_sets(df, "doc_id", "text")
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
+    monkeypatch.setattr(S, "GRAMS_BROADCAST", 0)
+    joined = S.ranked_sets(df, "doc_id", "text")
+    assert "Exchange" in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, sets.collect())) == sorted(map(tuple, joined.collect())) and sets.count() > 50
