@@ -7,8 +7,10 @@ the length of the text: character n-grams come from one look-ahead regex pass, b
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ _CJK = r"[一-鿿]"
 
 def strip(text: Column) -> Column:
     """Trim every kind of Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(K.WHITE_SPACE))
 
 
 def is_blank(text: Column) -> Column:
@@ -182,6 +184,15 @@ def is_clause_start(line: Column) -> Column:
     return strip(line).rlike(any_of(K.CLAUSE_PATTERNS))
 
 
+def may_start(text: Column, patterns: Sequence[str]) -> Column:
+    """Whether any line of a text may begin like one of the patterns: never false where one does.
+
+    One pass over the text, by which texts without such lines are spared the work line by line.
+    """
+    begins = [re.sub(r"\.\{[\d,]+\}\$$", "", p.removeprefix("^")) for p in patterns]
+    return text.rlike(r"(?U:(?:\A|\n)\s*)(?:%s)" % any_of(begins))
+
+
 def is_list_item(line: Column) -> Column:
     return strip(line).rlike(any_of(K.LIST_PATTERNS))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,17 +42,15 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     Bit 0 of the code is the sign, the remaining bits pick the slot.
     """
 
-    @F.pandas_udf("array<float>")
-    def count_slots(codes: pd.Series) -> pd.Series:
-        sizes = codes.map(len).to_numpy()
-        out = np.zeros((len(codes), dim))
-        if sizes.sum():
-            flat = np.concatenate([np.asarray(c, dtype=np.int64) for c in codes])
-            rows = np.repeat(np.arange(len(codes)), sizes)
-            slot = (flat >> 1) % dim
-            sign = np.where(flat % 2 == 0, 1.0, -1.0)
-            out = np.bincount(rows * dim + slot, weights=sign, minlength=len(codes) * dim)
-            out = out.reshape(len(codes), dim)
-        return pd.Series(list(out.astype(np.float32)))
-
-    return count_slots(F.coalesce(token_codes(text), F.array().cast("array<bigint>")))
+    @F.arrow_udf("array<float>")
+    def count_slots(tokens: pa.Array) -> pa.Array:
+        # a word's digest is taken once a batch
+        words = tokens.flatten().dictionary_encode()
+        codes = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in words.dictionary.to_pylist()], dtype=np.int64)
+        code = codes[np.asarray(words.indices)]
+        rows = np.repeat(np.arange(len(tokens)), tokens.value_lengths().to_numpy(zero_copy_only=False))
+        sums = np.bincount(rows * dim + (code >> 1) % dim, weights=np.where(code % 2 == 0, 1.0, -1.0), minlength=len(tokens) * dim)
+        ends = pa.array(np.arange(len(tokens) + 1) * dim, pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(sums.astype(np.float32)))
+
+    return count_slots(F.coalesce(X.tokens(text), F.array().cast("array<string>")))

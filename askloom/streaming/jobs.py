@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from askloom.functions import text as X
 from askloom.functions import vector as V
-from askloom.operators.chunking import chunk_documents
+from askloom.operators.chunking import child_table, parent_table
 from askloom.operators.usage import count_questions, merge_counters
 from askloom.session import scratch_path, settle
-from askloom.sources.tables import parent_rows
 from askloom.streaming.stateful import STORE
 
 
@@ -139,14 +138,20 @@ def ingest_batch(
     )
     waiting = queue.join(arrived.select("document_id"), "document_id", "left_anti")
     docs = arrived.unionByName(waiting).withColumn("attempts", (F.coalesce("attempts", F.lit(0)) + 1).cast("int"))
-    chunks = chunk_documents(docs.select("document_id", "text"), dedup=dedup)
+    docs = settle(docs)
     groups = docs.select("document_id", F.coalesce("split_group_id", F.lit("")).alias("split_group_id"))
-    rows = chunks.join(groups, "document_id").withColumn("embedding", embed(F.col("child_content")))
+    # cut and compared once; children and stored parents both come from what is settled here
+    parents = settle(parent_table(docs.select("document_id", "text"), dedup=dedup).join(groups, "document_id").select(
+        "document_id", F.concat(F.lit("p"), F.col("parent_no").cast("string")).alias("parent_id"), "parent_content", "split_group_id"
+    ))
+    rows = child_table(parents).withColumn("embedding", embed(F.col("child_content")))
     part = f"batch={batch_id}"
     rows.where(F.size("embedding") == dim).drop("parent_content").write.mode("overwrite").parquet(f"{folder}/chunks/{part}")
     done = spark.read.parquet(f"{folder}/chunks/{part}")
     counts = done.groupBy("document_id").agg(F.count("*").alias("chunks"))
-    parent_rows(rows.join(counts.select("document_id"), "document_id", "left_semi")).write.mode("overwrite").parquet(f"{folder}/parents/{part}")
+    parents.where(~X.is_blank(F.col("parent_content"))).join(counts.select("document_id"), "document_id", "left_semi").write.mode("overwrite").parquet(
+        f"{folder}/parents/{part}"
+    )
     judged = docs.join(counts, "document_id", "left").withColumn(
         "status",
         F.when(F.col("chunks") > 0, "completed").when(F.col("attempts") >= max_attempts, "failed").otherwise("pending"),
