@@ -477,9 +477,8 @@ def _(spark, d):
 @query("distinct_parents", """
 SELECT doc_id AS document_id, 'p0' AS parent_id, md5(text) AS content_key FROM documents WHERE regexp_matches(text, '\\S')""")
 def _(spark, d):
-    chunks = I.children(spark, d).select("document_id", "parent_id", F.regexp_extract("child_id", r"(\d+)$", 1).cast("int").alias("child_no"))
-    withp = chunks.join(I.parents(spark, d), ["document_id", "parent_id"])
-    return C.distinct_parents(withp).select("document_id", "parent_id", F.md5("parent_content").alias("content_key"))
+    keyed = I.parents(spark, d).select("document_id", "parent_id", F.md5("parent_content").alias("content_key"))
+    return C.distinct_parents(I.children(spark, d), keyed)
 
 
 # ------------------------------------------------------------------------------ file splitting

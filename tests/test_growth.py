@@ -25,3 +25,10 @@ def test_strip_and_hints_know_every_white_space(one, white):
     assert one(f"{white}a{white}b{white}", X.strip) == f"a{white}b"
     assert one(f"x\n{white}（一）y", lambda c: X.may_start(c, ["^[（(][一二]+[）)]\\s*"]))
     assert not one("x （一）y", lambda c: X.may_start(c, ["^[（(][一二]+[）)]\\s*"]))
+
+
+def test_distinct_parents_take_texts_once(spark):
+    chunks = spark.createDataFrame([(1, "p0"), (1, "p0"), (2, "p0")], "document_id bigint, parent_id string")
+    parents = spark.createDataFrame([(1, "p0", "a"), (2, "p0", "b"), (3, "p0", "c")], "document_id bigint, parent_id string, parent_content string")
+    got = C.distinct_parents(chunks, parents)
+    assert sorted(map(tuple, got.collect())) == [(1, "p0", "a"), (2, "p0", "b")]
