@@ -1,16 +1,18 @@
 """Column expressions over text: tokens, shingles, cleaning steps, estimates.
 
-Every function maps Columns to Columns and stays in JVM expressions. All of them are linear in
-the length of the text: character n-grams come from one look-ahead regex pass, because
+Every function maps Columns to Columns and stays in JVM expressions, but for the counts of
+``quality_score``. All of them are linear in the length of the text: character n-grams come from one look-ahead regex pass, because
 ``substring`` walks the string from its start on every call.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Sequence
 
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -141,26 +143,51 @@ def fine_clean(text: Column) -> Column:
     return F.when(~is_blank(text), t)
 
 
+_KINDS = ("cjk", "punct", "digits", "letters", "spaces")
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """The kinds of every code point, one bit each in the order of ``_KINDS``."""
+    table = np.zeros(0x110000, np.uint8)
+    for lo, hi in ((0x4E00, 0x9FFF), (0x3000, 0x303F), (0xFF00, 0xFFEF)):
+        table[lo : hi + 1] |= 1
+    table[[ord(c) for c in '，。！？；：、"（）《》【】—…']] |= 2
+    table[[i for i in range(0x110000) if chr(i).isdecimal()]] |= 4
+    table[[*range(65, 91), *range(97, 123)]] |= 8
+    table[[ord(c) for c in K.WHITE_SPACE]] |= 16
+    return table
+
+
+_ISOLATED = re.compile(rf"(?:\A|[{K.WHITE_SPACE}])\d+(?:[{K.WHITE_SPACE}]|\Z)")
+
+
+def _character_counts(texts: pa.Array) -> pa.Array:
+    """Characters of each kind, numbers that stand alone, and the mean length of lines where there is CJK text."""
+    table, rows = _kinds(), []
+    for t in texts.to_pylist():
+        t = t or ""
+        seen = np.bincount(table[np.frombuffer(t.encode("utf-32-le"), np.uint32)], minlength=32)
+        row = {k: int(seen[np.arange(32) >> bit & 1 == 1].sum()) for bit, k in enumerate(_KINDS)}
+        lines = [len(s) for s in (x.strip(K.WHITE_SPACE) for x in t.split("\n")) if s] if row["cjk"] else []
+        rows.append(row | {"isolated": len(_ISOLATED.findall(t)) if row["digits"] else 0, "mean_line": sum(lines) / len(lines) if lines else None})
+    ints = [pa.array([r[k] for r in rows], pa.int32()) for k in (*_KINDS, "isolated")]
+    return pa.StructArray.from_arrays([*ints, pa.array([r["mean_line"] for r in rows], pa.float64())], names=[*_KINDS, "isolated", "mean_line"])
+
+
 def quality_score(text: Column) -> Column:
-    """0..1 share of meaningful text; low for digits, fragments and junk."""
-    n = F.length(text)
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    cjk = count(r"[一-鿿　-〿＀-￯]")
-    punct = count('[，。！？；：、"（）《》【】—…]')
-    digits, letters, spaces = count(r"(?U)\d"), count("[a-zA-Z]"), count(r"(?U)\s")
-    isolated = count(r"(?U)(?:^|\s)\d+(?:\s|$)")
-    lines = F.filter(F.transform(_lines(text), strip), lambda l: F.length(l) > 0)
-    mean_line = F.aggregate(lines, F.lit(0).cast("long"), lambda a, l: a + F.length(l)) / F.size(lines)
-    weighted = cjk / n * 0.6 + punct / n * 0.25 + letters / n * 0.15
-    score = F.least(
-        F.lit(1.0), F.greatest(F.lit(0.0), weighted - F.least(F.lit(0.5), isolated * 0.05))
-    )
-    fragments = (F.size(lines) > 0) & (mean_line < 2.0) & (cjk > 0)
+    """0..1 share of meaningful text; low for digits, fragments and junk.
+
+    Characters are counted in Arrow batches, all kinds in one look at a text.
+    """
+    kinds = ", ".join(f"{k}: int" for k in (*_KINDS, "isolated"))
+    n, c = F.length(text), F.arrow_udf(_character_counts, f"struct<{kinds}, mean_line: double>")(text)
+    weighted = c["cjk"] / n * 0.6 + c["punct"] / n * 0.25 + c["letters"] / n * 0.15
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), weighted - F.least(F.lit(0.5), c["isolated"] * 0.05)))
     return (
         F.when(text.isNull() | (n < 10), 0.0)
-        .when((digits + spaces) / n > 0.7, 0.05)
-        .when(fragments & (cjk > 100) & (cjk / n > 0.30), 0.25)
-        .when(fragments, 0.08)
+        .when((c["digits"] + c["spaces"]) / n > 0.7, 0.05)
+        .when(c["mean_line"] < 2.0, F.when((c["cjk"] > 100) & (c["cjk"] / n > 0.30), 0.25).otherwise(0.08))
         .otherwise(score)
     )
 

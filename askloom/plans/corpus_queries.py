@@ -300,15 +300,10 @@ WITH c AS (SELECT doc_id, 0 AS p, regexp_replace(text, '[a-z]', '7', 'g') AS t F
 g AS (SELECT *, length({strip_('t')}) > 50 AND {_QS.replace('(s,', '(t,').replace(' n ', ' length(t) ').replace('/ n', '/ length(t)')} >= 0.15 AS good FROM c)
 SELECT doc_id, md5(coalesce(arg_min(t, p) FILTER (good), arg_max(t, length(t) * 10 - p))) AS content_key FROM g GROUP BY doc_id""")
 def _(spark, d):
-    x = I.documents(spark, d)
     t = F.col("text")
-    forms = F.array(
-        F.struct(F.lit(0).alias("priority"), F.regexp_replace(t, "[a-z]", "7").alias("text")),
-        F.struct(F.lit(1).alias("priority"), t.alias("text")),
-        F.struct(F.lit(2).alias("priority"), F.concat(t, F.lit(" "), t).alias("text")),
-    )
-    cand = x.select("doc_id", F.inline(forms))
-    return P.pick_extraction(cand, ["doc_id"]).select("doc_id", F.md5("text").alias("content_key"))
+    low = "abcdefghijklmnopqrstuvwxyz"
+    forms = I.documents(spark, d).select("doc_id", "text", F.translate(t, low, "7" * len(low)).alias("digits"), F.concat(t, F.lit(" "), t).alias("twice"))
+    return forms.select("doc_id", F.md5(P.pick_extraction([F.col("digits"), t, F.col("twice")])).alias("content_key"))
 
 
 @query("recognition_confidence", """

@@ -1,9 +1,11 @@
 """Work that must not grow faster than the tables: what is left out, not moved twice, or done in the row."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from askloom.functions import text as X
 from askloom.operators import chunking as C
+from askloom.operators import pages as P
 
 
 def test_only_documents_of_several_parents_are_compared(spark, monkeypatch):
@@ -32,3 +34,11 @@ def test_distinct_parents_take_texts_once(spark):
     parents = spark.createDataFrame([(1, "p0", "a"), (2, "p0", "b"), (3, "p0", "c")], "document_id bigint, parent_id string, parent_content string")
     got = C.distinct_parents(chunks, parents)
     assert sorted(map(tuple, got.collect())) == [(1, "p0", "a"), (2, "p0", "b")]
+
+
+def test_extraction_is_chosen_in_the_row(spark):
+    good, long = "学" * 60, "x1 " * 40
+    rows = [(1, "短", good, long), (2, "短", "1", long), (3, None, None, None), (4, good, good + "习", long)]
+    df = spark.createDataFrame(rows, "id int, a string, b string, c string").select("id", P.pick_extraction([F.col("a"), F.col("b"), F.col("c")]).alias("t"))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.t for r in df.collect()} == {1: good, 2: long, 3: None, 4: good}
