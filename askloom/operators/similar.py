@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 
 from askloom import constants as K
 from askloom.functions import text as X
+from askloom.operators.runs import running
 from askloom.operators.sizes import broadcast_if
 from askloom.session import settle
 
 BLOCK = 256  # rows of a prefix bucket that meet as one block
 GRAMS_BROADCAST = 2_000_000  # counted trigrams, sixteen bytes each, that are broadcast to the texts
 IDS_BROADCAST = 1_000_000  # 8 bytes each
+NEIGHBOURS = 64  # keys of a block whose texts are compared in order
 SORT_ROWS = 512  # texts whose trigrams are sorted at once
 
 
@@ -123,3 +125,45 @@ def similar_texts(texts: DataFrame, key: str, text: str, threshold: float = K.DU
         F.col("id").alias(key), "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"),
         (-F.col("m.o")).alias("nearest"), F.col("m.similarity").alias("similarity"),
     )
+
+
+def _trigrams(text: str) -> np.ndarray:
+    """The distinct trigrams of a text in ascending order, three code points of 21 bits in a number."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+
+
+def similarity_to_previous(texts: DataFrame, key: str, text: str, block: int = NEIGHBOURS) -> DataFrame:
+    """(key, similarity): Jaccard similarity of each text's trigrams to those of the text before it in key order.
+
+    Texts meet in blocks of keys, each with the last text before the block, so a text is moved once or twice and
+    its trigrams are made as often. Keys may have gaps. The first text, and those after a null text, have no
+    row; a null text's similarity is null.
+    """
+    rows = texts.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    at = F.floor(F.col("id") / block).alias("block")
+    last = rows.select("id", at).groupBy("block").agg(F.max("id").alias("last"))
+    # ids alone: the last one before each block
+    before = settle(running(last, [], "block", {"id": ("max", F.col("last"))}, include_current=False).where("id is not null").select("id", "block"))
+    lent = rows.join(broadcast_if(before, before.count(), IDS_BROADCAST), "id").select("id", "text", "block")
+    dealt = rows.select("id", "text", at).unionByName(lent)
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, held = group.column("id").to_numpy(), group.column("text").to_pylist()
+        first = group.column("block")[0].as_py() * block
+        out, previous = [], None
+        for i in np.argsort(ids):
+            grams = None if held[i] is None else _trigrams(held[i])
+            if previous is not None and ids[i] >= first:
+                both = None
+                if grams is not None:
+                    # two ascending runs: a stable sort merges them, and what they share stands twice
+                    merged = np.sort(np.concatenate([previous, grams]), kind="stable")
+                    shared = int((merged[1:] == merged[:-1]).sum())
+                    both = shared / (len(merged) - shared) if len(previous) and len(grams) else 0.0
+                out.append((ids[i], both))
+            previous = grams
+        return pa.table({"id": pa.array([x for x, _ in out], pa.int64()), "similarity": pa.array([s for _, s in out], pa.float64())})
+
+    found = dealt.groupBy("block").applyInArrow(compare, "id bigint, similarity double")
+    return found.select(F.col("id").alias(key), "similarity")

@@ -671,11 +671,7 @@ WITH p AS (SELECT doc_id, {_G3.format('text')} AS g FROM documents), q AS (SELEC
 SELECT doc_id, CASE WHEN len(g) = 0 OR len(h) = 0 THEN 0 ELSE round(len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))), 6) END::DOUBLE AS similarity FROM q WHERE h IS NOT NULL""")
 def _(spark, d):
     """Each document against the one before it."""
-    x = I.documents(spark, d).select("doc_id", "text")
-    before = x.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("previous"))
-    return x.join(before, "doc_id").select(
-        "doc_id", F.round(X.text_similarity(F.col("text"), F.col("previous")), 6).alias("similarity")
-    )
+    return SIM.similarity_to_previous(I.documents(spark, d), "doc_id", "text").withColumn("similarity", F.round("similarity", 6))
 
 
 @query("near_duplicate_lines", f"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from askloom.functions import text as X
 from askloom.operators import chunking as C
 from askloom.operators import pages as P
+from askloom.operators import similar as S
 
 
 def test_only_documents_of_several_parents_are_compared(spark, monkeypatch):
@@ -42,3 +43,11 @@ def test_extraction_is_chosen_in_the_row(spark):
     df = spark.createDataFrame(rows, "id int, a string, b string, c string").select("id", P.pick_extraction([F.col("a"), F.col("b"), F.col("c")]).alias("t"))
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
     assert {r.id: r.t for r in df.collect()} == {1: good, 2: long, 3: None, 4: good}
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_similarity_to_previous_with_gaps(spark, block):
+    rows = [(1, "abcd"), (2, "abcd"), (5, "bcd"), (300, None), (301, "abc"), (900, "😀😀😀x"), (901, "😀😀x"), (902, "ab")]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.similarity for r in S.similarity_to_previous(texts, "doc_id", "text", block).collect()}
+    assert got == {2: 1.0, 5: 0.5, 300: None, 900: 0.0, 901: 0.5, 902: 0.0}
