@@ -17,6 +17,7 @@ from askloom.operators import lexical as L
 from askloom.operators import postings as P
 from askloom.operators import questions as Q
 from askloom.operators import vectors as VS
+from askloom.operators.sizes import broadcast_if
 from askloom.session import settle
 
 KEY = ["document_id", "parent_id"]
@@ -90,6 +91,12 @@ def within(rows: DataFrame, widths: DataFrame | None, factor: int = 1) -> DataFr
     return rows.join(widths, "query_id").where(F.col("rank") <= F.col("width") * factor).drop("width")
 
 
+def with_children(hits: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
+    """Hits with columns of their children; hits, few as counted, go to the scan of the chunks, not the chunks to them."""
+    hits = settle(hits)
+    return broadcast_if(hits, hits.count()).join(chunks.select(*CHILD_KEY, *columns), CHILD_KEY)
+
+
 def indexed(chunks: DataFrame, index: P.Index | None) -> P.Index:
     """The index of the chunks, built here unless the caller holds one."""
     return index or P.build_index(chunks, CHILD_KEY, "child_content")
@@ -125,9 +132,7 @@ def multi_path(
     ))
     vec2 = expanded_path(qs, chunks, wide, embed, widths)
     lex = within(P.search(indexed(chunks, index), qs, wide), widths)
-    fused = within(rrf([vec, vec2, lex], wide), widths)
-    info = chunks.select(*CHILD_KEY, "child_content", "split_group_id")
-    fused = fused.join(info, CHILD_KEY)
+    fused = with_children(within(rrf([vec, vec2, lex], wide), widths), chunks, "child_content", "split_group_id")
     diverse = diversify(fused)
     if not diversity_order:
         diverse = rerank_rows(diverse, [F.desc("score"), "rank"])
@@ -160,7 +165,7 @@ def expand_split_groups(
     best = cut.withColumn("_p", F.row_number().over(parent)).where("_p = 1")
     used = Window.partitionBy("query_id").orderBy("split_group_id", "_r")
     chosen = best.withColumn("_u", F.row_number().over(used)).where(F.col("_u") <= F.col("slots"))
-    return chosen.drop("_r", "_p", "_u", "slots").join(chunks.select(*CHILD_KEY, "child_content"), CHILD_KEY)
+    return with_children(chosen.drop("_r", "_p", "_u", "slots"), chunks, "child_content")
 
 
 def merge_hits(originals: DataFrame, extra: DataFrame, k: Column | None = None, discount: float = 1.0):
@@ -409,8 +414,10 @@ MULTI_PATH_FROM = 5  # results from which on a question is searched along three
 
 
 def _texts(hits: DataFrame, parents: DataFrame) -> DataFrame:
-    """Parent texts; the child's own where the parent is unknown."""
-    return backfill_parents(hits, parents).withColumn("content", F.coalesce("content", "child_content"))
+    """Parent texts of settled hits; the child's own where the parent is unknown. Texts no hit names stay out of the shuffle."""
+    named = broadcast_if(hits.select(*KEY).distinct(), hits.count())
+    filled = backfill_parents(hits, parents.join(named, KEY, "left_semi"))
+    return settle(filled.withColumn("content", F.coalesce("content", "child_content")))
 
 
 def retrieve(
@@ -448,7 +455,7 @@ def retrieve(
     if k < MULTI_PATH_FROM:
         vectors = qs.where(~many).select("query_id", embed(F.col("question")).alias("qvec"))
         alone = within(VS.vector_scores_topk(vectors, chunks, max(4 * MULTI_PATH_FROM, 30), CHILD_KEY), widths.drop("_many"))
-        alone = VS.best_child_per_parent(alone).join(chunks.select(*CHILD_KEY, "child_content", "split_group_id"), CHILD_KEY)
+        alone = with_children(VS.best_child_per_parent(alone), chunks, "child_content", "split_group_id")
         hits = hits.select(*[c for c in hits.columns if c in alone.columns]).unionByName(alone, allowMissingColumns=True)
     hits = settle(hits.join(qs.select("query_id", "k"), "query_id"))
     vecs = qs.select("query_id", embed(F.col("question")).alias("qvec"))
@@ -463,8 +470,7 @@ def retrieve(
     rescued = keyword_rescue(qs, hits, chunks, index=index)
     cols = ["query_id", *CHILD_KEY, "score", "vector_score", "bm25_score"]
     both = scored.select(*cols).unionByName(rescued.select(*cols))
-    info = chunks.select(*CHILD_KEY, "child_content", "split_group_id")
-    both = settle(_texts(both.join(info, CHILD_KEY), parents))
+    both = _texts(settle(with_children(both, chunks, "child_content", "split_group_id")), parents)
     ranked = heuristic_rerank(qs, both.join(limits, "query_id"), F.col("wide"))
     if use_quality:
         ranked = quality_filter(ranked)

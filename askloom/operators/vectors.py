@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from askloom.operators.lexical import best_rows, top_k
 from askloom.operators.sizes import BROADCAST_ROWS, broadcast_if
+from askloom.session import settle
 
 QUESTION_BLOCK = 1024
 GROUP_ROWS = 8192  # vectors of a split group scored at once
@@ -82,6 +83,9 @@ def vector_scores_topk(
     + length; ``minimum`` drops lower scores.
     """
     n_questions = questions.count()
+    if not n_questions:  # no scan for nothing
+        kinds = [f"query_id {questions.schema['query_id'].dataType.simpleString()}", *[f"{c} {chunks.schema[c].dataType.simpleString()}" for c in keys]]
+        return questions.sparkSession.createDataFrame([], ", ".join([*kinds, "score double", "rank bigint"]))
     if n_questions <= BROADCAST_ROWS:
         scored = _scanned(questions, chunks, k, keys, qvec, vec, block, window, minimum)
         return top_k(scored, k, [F.desc("score"), *keys])
@@ -180,14 +184,18 @@ def search_groups(
     """Top-k per (question, group) inside given split groups, leaving out documents already hit.
 
     ``wanted`` is (query_id, split_group_id, qvec); without ``qvec`` every score is 0 and the first rows
-    by key are returned. Vectors meet only the questions that want their own group: both sides are
-    dealt by group, large groups and groups wanted by very many questions in several parts.
+    by key are returned. Vectors meet only the questions that want their own group. Few wants, as counted, are
+    broadcast to one scan of the vectors; beyond that both sides are dealt by group, large groups and
+    groups wanted by very many questions in several parts.
     """
     out = hit_documents.groupBy("query_id").agg(F.collect_set("document_id").alias("_out"))
     asked = wanted.join(out, "query_id", "left").withColumn("_out", F.coalesce("_out", F.array().cast("array<bigint>")))
-    scored = (
-        _scored_groups(asked, chunks, k, keys, qvec, vec) if qvec in wanted.columns else _first_of_groups(asked, chunks, k, keys)
-    )
+    if qvec not in wanted.columns:
+        scored = _first_of_groups(asked, chunks, k, keys)
+    else:
+        asked = settle(asked)
+        by = _scanned_groups if asked.count() <= BROADCAST_ROWS else _scored_groups
+        scored = by(asked, chunks, k, keys, qvec, vec)
     both = F.concat_ws("\u0001", "query_id", "split_group_id")
     return top_k(scored.withColumn("_q", both), k, [F.desc("score"), *keys], "_q").drop("_q")
 
@@ -210,6 +218,57 @@ def _first_of_groups(asked: DataFrame, chunks: DataFrame, k: int, keys: list[str
     )
 
 
+def _scanned_groups(asked: DataFrame, chunks: DataFrame, k: int, keys: list[str], qvec: str, vec: str) -> DataFrame:
+    """Rows of each task that may be among the k best of a wanted group, by one scan that moves no vector."""
+    table = asked.where(F.size(qvec) > 0).select("query_id", "split_group_id", F.col(qvec).alias("v"), "_out").toArrow()
+    names, matrix = table.column("query_id").combine_chunks(), unit_matrix(table.column("v"))
+    groups, left_out = {}, {}
+    for i, g in enumerate(table.column("split_group_id").to_pylist()):
+        groups.setdefault(g, []).append(i)
+    for i, out in enumerate(table.column("_out").to_pylist()):
+        for x in out:
+            left_out.setdefault(x, []).append(i)
+    told = asked.sparkSession.sparkContext.broadcast((names.to_numpy(zero_copy_only=False), matrix, groups, left_out))
+    fields = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in keys)
+    kind = names.type
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix, groups, left_out = told.value
+        best = np.full((len(names), k), -np.inf)
+        for whole in batches:
+            for start in range(0, whole.num_rows, SCAN_ROWS):
+                slice_ = whole.slice(start, SCAN_ROWS)
+                coded = slice_.column("split_group_id").dictionary_encode()
+                for code, group in enumerate(coded.dictionary.to_pylist()):
+                    if group not in groups:
+                        continue
+                    b = slice_.take(pa.array(np.flatnonzero(np.asarray(coded.indices.fill_null(-1)) == code)))
+                    c, documents = unit_matrix(pa.chunked_array([b.column("v")])), b.column("document_id").to_pylist()
+                    for lo in range(0, len(groups[group]), QUESTION_BLOCK):
+                        q = np.array(groups[group][lo : lo + QUESTION_BLOCK])
+                        place = {x: i for i, x in enumerate(q.tolist())}
+                        sims = np.round(matrix[q] @ c.T, 6) + 0.0
+                        ok = np.ones(sims.shape, dtype=bool)
+                        for column, x in enumerate(documents):
+                            for i in left_out.get(x, ()):
+                                if i in place:
+                                    ok[place[i], column] = False
+                        held = np.concatenate([best[q], np.where(ok, sims, -np.inf)], axis=1)
+                        best[q] = np.partition(held, held.shape[1] - k, axis=1)[:, -k:]
+                        ok &= sims >= best[q].min(axis=1, keepdims=True)
+                        rows, columns = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+                        if len(rows):
+                            part = b.take(pa.array(columns))
+                            ids = pa.StructArray.from_arrays([part.column(x) for x in keys], names=keys)
+                            for found in best_rows(names[q][rows], sims[np.ix_(rows, columns)], ok[np.ix_(rows, columns)], ids, keys, k, kind):
+                                same = pa.array([group] * found.num_rows, pa.string())
+                                yield pa.RecordBatch.from_arrays([found.column(0), same, *found.columns[1:]], names=["query_id", "split_group_id", *found.schema.names[1:]])
+
+    qtype = asked.schema["query_id"].dataType.simpleString()
+    vectors = chunks.where(F.size(vec) > 0).select("split_group_id", *keys, F.col(vec).cast("array<float>").alias("v"))
+    return vectors.mapInArrow(scan, f"query_id {qtype}, split_group_id string, {fields}, score double")
+
+
 def _scored_groups(asked: DataFrame, chunks: DataFrame, k: int, keys: list[str], qvec: str, vec: str) -> DataFrame:
     """The k best rows of each part of each wanted group, one matrix product per part."""
     sides = asked.groupBy("split_group_id").agg(F.ceil(F.count("*") / QUESTION_BLOCK).alias("_sides"))

@@ -1,5 +1,6 @@
 """Work that must not grow faster than the tables: what is left out, not moved twice, or done in the row."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from askloom.functions import text as X
 from askloom.operators import chunking as C
 from askloom.operators import pages as P
 from askloom.operators import similar as S
+from askloom.operators import vectors as VS
 
 
 def test_only_documents_of_several_parents_are_compared(spark, monkeypatch):
@@ -51,3 +53,20 @@ def test_similarity_to_previous_with_gaps(spark, block):
     texts = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: r.similarity for r in S.similarity_to_previous(texts, "doc_id", "text", block).collect()}
     assert got == {2: 1.0, 5: 0.5, 300: None, 900: 0.0, 901: 0.5, 902: 0.0}
+
+
+def test_few_wants_of_groups_move_no_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    kinds = "document_id bigint, parent_id string, child_id string, split_group_id string, embedding array<float>"
+    rows = [(i, "p0", f"c{i}", ("a", "b", None)[i % 3], [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(200)]
+    chunks = spark.createDataFrame(rows, kinds)
+    wants = [(q, g, [float(x) for x in rng.integers(-2, 3, 4)]) for q in range(6) for g in "ab"]
+    wanted = spark.createDataFrame(wants, "query_id bigint, split_group_id string, qvec array<float>")
+    hits = spark.createDataFrame([(q, d) for q in range(5) for d in range(q, 200, 7)], "query_id bigint, document_id bigint")
+    keys = ["document_id", "parent_id", "child_id"]
+    run = lambda: sorted(map(tuple, VS.search_groups(wanted, chunks, hits, 4, keys).select("query_id", "split_group_id", *keys, "score", "rank").collect()))
+    monkeypatch.setattr(VS, "BROADCAST_ROWS", 0)
+    dealt = run()
+    monkeypatch.undo()
+    monkeypatch.setattr(VS, "_scored_groups", None)  # not called
+    assert run() == dealt and len(dealt) == 48
