@@ -73,3 +73,64 @@ def test_few_trigrams_are_ordered_without_a_shuffle(spark, monkeypatch):
     joined = S.ranked_sets(df, "doc_id", "text")
     assert "Exchange" in joined._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, sets.collect())) == sorted(map(tuple, joined.collect())) and sets.count() > 50
+
+
+def test_sets_of_trigrams_are_not_stored(spark, monkeypatch, tmp_path):
+    """What is settled on the way to the answer is smaller than the texts, and the answer is that of a loop."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(600))) for i in range(60)]
+    for i in range(60, 90):
+        copy = rows[i % 20][1].split(" ")
+        for _ in range(rng.randint(0, 12)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    kept, settle = [], S.settle
+    monkeypatch.setattr(S, "settle", lambda df: kept.append(done := settle(df)) or done)
+    got = {r.doc_id: (r.copies, r.links, r.nearest) for r in S.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == {k: v[:3] for k, v in brute(rows, 0.95).items()} and sum(v[1] for v in got.values()) > 20
+    wide = lambda v: len(v) if isinstance(v, (bytes, bytearray, str)) else sum(map(wide, v)) if isinstance(v, (list, tuple)) else 8
+    assert sum(wide(tuple(r)) for df in kept for r in df.collect()) < sum(len(t) for _, t in rows)
+
+
+def test_every_pair_at_the_threshold_shares_a_part():
+    """Sets of many sizes that just reach the threshold, with all their differences on one side or on both."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    met = 0
+    for threshold in (0.6, 0.8, 0.95):
+        for n in [*range(1, 60), 100, 333, 1000, 4097]:
+            a = rng.integers(0, 2**63, n).astype(np.uint64)
+            for lost in range(int(n * (1 - threshold)) + 2):
+                for added in {0, lost, int(n / threshold) - n}:
+                    b = np.concatenate([a[lost:], rng.integers(0, 2**63, added).astype(np.uint64)])
+                    if len(b) and lost + added and n - lost >= threshold * (n + added) - 1e-9:
+                        met += 1
+                        assert len(np.intersect1d(S._parts(a, threshold), S._parts(b, threshold)))
+    assert met > 500
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_links_are_gathered_to_components(spark, monkeypatch, limit):
+    monkeypatch.setattr(S, "LINKS_LOCAL", limit)
+    links = [(i, i - 1) for i in range(1, 200) if i % 40] + [(500 + i, 500) for i in range(1, 30)] + [(900, 199)]
+    got = S._components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+    want = {i: i // 40 * 40 for i in range(200)} | {500 + i: 500 for i in range(30)} | {900: 160}
+    assert len(got) == len(want) and {r.id: r.root for r in got} == want
+
+
+def test_large_parts_and_components_are_compared_in_blocks(spark, monkeypatch):
+    """No group of texts holds more than about two blocks, and other alphabets and wide characters count as they are."""
+    monkeypatch.setattr(S, "BLOCK", 8)
+    rng = random.Random(9)
+    base = ["".join(rng.choice("的一是了我abc😀é") for _ in range(5)) for _ in range(80)]
+    rows = []
+    for i in range(70):
+        copy = list(base)
+        copy[rng.randrange(80)] = f"{i:05d}"
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.copies, r.links, r.nearest) for r in S.similar_texts(df, "doc_id", "text").collect()}
+    want = brute(rows, 0.95)
+    assert got == {k: v[:3] for k, v in want.items()} and max(v[1] for v in want.values()) > 30
