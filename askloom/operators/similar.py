@@ -295,8 +295,8 @@ def similar_texts(texts: DataFrame, key: str, text: str, threshold: float = K.DU
     """
     sets = settle(sketches(texts, key, text, threshold))
     roots = _components(links_of(sets, threshold))
-    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
-    named = settle(roots.join(sizes, "root"))
+    sizes = settle(roots.groupBy("root").agg(F.count(F.lit(1)).alias("c")))
+    named = settle(roots.join(broadcast_if(sizes, sizes.count(), IDS_BROADCAST), "root"))
     held = texts.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).join(broadcast_if(named, named.count(), IDS_BROADCAST), "id")
 
     def compare(group: pa.Table) -> pa.Table:
