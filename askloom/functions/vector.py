@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from askloom.functions import text as X
+from askloom.functions import words as W
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,6 +38,11 @@ def token_codes(text: Column) -> Column:
     )
 
 
+@functools.lru_cache(maxsize=500_000)
+def _word_code(word: str) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+
+
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """Stand-in for a hosted embedding model: signed feature hashing of tokens.
 
@@ -43,14 +50,12 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     """
 
     @F.arrow_udf("array<float>")
-    def count_slots(tokens: pa.Array) -> pa.Array:
-        # a word's digest is taken once a batch
-        words = tokens.flatten().dictionary_encode()
-        codes = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in words.dictionary.to_pylist()], dtype=np.int64)
-        code = codes[np.asarray(words.indices)]
-        rows = np.repeat(np.arange(len(tokens)), tokens.value_lengths().to_numpy(zero_copy_only=False))
-        sums = np.bincount(rows * dim + (code >> 1) % dim, weights=np.where(code % 2 == 0, 1.0, -1.0), minlength=len(tokens) * dim)
-        ends = pa.array(np.arange(len(tokens) + 1) * dim, pa.int32())
-        return pa.ListArray.from_arrays(ends, pa.array(sums.astype(np.float32)))
-
-    return count_slots(F.coalesce(X.tokens(text), F.array().cast("array<string>")))
+    def count_slots(texts: pa.Array, spared: pa.Array) -> pa.Array:
+        sums = []
+        for rows, row, code, words in W.coded(texts, spared):
+            codes = np.array([_word_code(w) for w in words.to_pylist()], dtype=np.int64)[code]
+            sums.append(np.bincount(row * dim + (codes >> 1) % dim, weights=np.where(codes % 2 == 0, 1.0, -1.0), minlength=(rows.stop - rows.start) * dim))
+        ends = pa.array(np.arange(len(texts) + 1) * dim, pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sums).astype(np.float32) if sums else [], pa.float32()))
+
+    return count_slots(text, W.spare(text))

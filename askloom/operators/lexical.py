@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from askloom import constants as K
 from askloom.functions import text as X
+from askloom.functions import words as W
 from askloom.operators.sizes import broadcast_if
 
 BROADCAST_TERMS = 1_000_000
@@ -183,6 +184,90 @@ def bm25_search(
     return top_k(scored, k, [F.desc("score"), *keys])
 
 
+def _counted(docs: DataFrame, text: str, asked: list[str]) -> tuple[int, float, dict[str, int]]:
+    """(number of texts, mean length, texts that hold each of the asked terms), by one scan."""
+    told = docs.sparkSession.sparkContext.broadcast(pa.array(asked, pa.string()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(len(asked), np.int64), 0, 0
+        for b in batches:
+            n += b.num_rows
+            for rows, row, code, words in W.coded(b.column("text"), b.column("spared")):
+                total += len(code)
+                place = pc.fill_null(pc.index_in(words, value_set=told.value), -1).to_numpy(zero_copy_only=False)[code]
+                df += np.bincount(np.unique(row[place >= 0] * len(asked) + place[place >= 0]) % max(len(asked), 1), minlength=len(asked))
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *held], pa.int64()), pa.array([n, total, *df[held]], pa.int64())], names=["at", "n"])
+
+    rows = docs.select(F.col(text).alias("text"), W.spare(F.col(text)).alias("spared")).mapInArrow(count, "at bigint, n bigint")
+    sums = {r["at"]: r["n"] for r in rows.groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    n = sums.get(-2, 0)
+    return n, sums.get(-1, 0) / max(n, 1), {t: sums[i] for i, t in enumerate(asked) if i in sums}
+
+
+def bm25_scan(questions: DataFrame, docs: DataFrame, k: int, keys: list[str], text: str = "text", question: str = "question") -> DataFrame:
+    """(query_id, keys, score, rank) as ``bm25_search``, for at most ``BROADCAST_TERMS`` terms of questions and without an index.
+
+    One scan counts the texts that hold the questions' terms, a second one scores. Terms and weights are
+    broadcast; of a slice of texts only the postings of asked terms are added up, and each task keeps but each
+    question's k best scores so far: a row below the k-th of them is not given on.
+    """
+    qtype = questions.schema["query_id"].dataType.simpleString()
+    fields = ",".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keys)
+    schema = f"query_id {qtype}, {fields}, score double"
+    terms = question_terms(questions, question).toArrow()
+    coded = terms.column("term").combine_chunks().dictionary_encode()
+    if not len(terms):
+        return questions.sparkSession.createDataFrame([], f"{schema}, rank bigint")
+    asked = coded.dictionary
+    n_docs, avg_dl, df = _counted(docs, text, asked.to_pylist())
+    held = np.array([df.get(t, 0) for t in asked.to_pylist()], np.float64)
+    who = terms.column("query_id").combine_chunks().dictionary_encode()
+    term, number = np.asarray(coded.indices), np.asarray(who.indices)
+    weight = terms.column("qtf").to_numpy() * np.log((n_docs - held + 0.5) / (held + 0.5) + 1)[term]
+    names, kind = who.dictionary.to_numpy(zero_copy_only=False), who.dictionary.type
+    blocks = []
+    for lo in range(0, len(names), QUESTION_BLOCK):
+        mine = np.flatnonzero((number >= lo) & (number < lo + QUESTION_BLOCK))
+        mine = mine[np.argsort(term[mine], kind="stable")]
+        ends = np.concatenate(([0], np.cumsum(np.bincount(term[mine], minlength=len(asked)))))
+        blocks.append((names[lo : lo + QUESTION_BLOCK], ends, number[mine] - lo, weight[mine]))
+    told = docs.sparkSession.sparkContext.broadcast((asked, blocks))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, blocks = told.value
+        best = [np.full((len(b[0]), k), 0.0) for b in blocks]
+        for whole in batches:
+            for start in range(0, whole.num_rows, TILE_ROWS):
+                b = whole.slice(start, TILE_ROWS)
+                for rows, row, code, words in W.coded(b.column("text"), b.column("spared")):
+                    size = rows.stop - rows.start
+                    dl = np.bincount(row, minlength=size).astype(np.float64)
+                    place = pc.fill_null(pc.index_in(words, value_set=asked), -1).to_numpy(zero_copy_only=False)[code]
+                    pair, tf = np.unique(place[place >= 0].astype(np.int64) * size + row[place >= 0], return_counts=True)
+                    t, at = pair // size, pair % size
+                    part = term_weight(tf, dl[at], avg_dl)
+                    for i, (qids, ends, to, w) in enumerate(blocks):
+                        times = ends[t + 1] - ends[t]
+                        mine = np.repeat(ends[t] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                        sums = np.bincount(to[mine] * size + np.repeat(at, times), weights=w[mine] * np.repeat(part, times), minlength=len(qids) * size)
+                        sums = np.round(sums, 4).reshape(len(qids), size)
+                        ok = (sums > 0) & (sums >= best[i].min(axis=1, keepdims=True))
+                        live = np.flatnonzero(ok.any(axis=1))
+                        if len(live):
+                            both = np.concatenate([best[i][live], sums[live]], axis=1)
+                            best[i][live] = np.partition(both, size, axis=1)[:, -k:]
+                            ok = ok[live] & (sums[live] >= best[i][live].min(axis=1, keepdims=True))
+                            columns = np.flatnonzero(ok.any(axis=0))
+                            if len(columns):
+                                found = b.slice(rows.start, size).take(pa.array(columns))
+                                ids = pa.StructArray.from_arrays([found.column(c) for c in keys], names=keys)
+                                yield from best_rows(qids[live], sums[np.ix_(live, columns)], ok[:, columns], ids, keys, k, kind)
+
+    rows = docs.select(*keys, F.col(text).alias("text"), W.spare(F.col(text)).alias("spared"))
+    return top_k(rows.mapInArrow(score, schema), k, [F.desc("score"), *keys])
+
+
 def best_rows(qids, scores, allowed, ids, keys, k, qtype) -> Iterator[pa.RecordBatch]:
     """The k best allowed columns of each score row as (query_id, keys, score) batches, ties by key."""
     key_cols = ids.flatten()

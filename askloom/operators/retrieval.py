@@ -102,6 +102,13 @@ def indexed(chunks: DataFrame, index: P.Index | None) -> P.Index:
     return index or P.build_index(chunks, CHILD_KEY, "child_content")
 
 
+def _lexical(questions: DataFrame, chunks: DataFrame, k: int, index: P.Index | None) -> DataFrame:
+    """BM25 by the index, if the caller holds one; without it by scans, or by an index made here for very many terms."""
+    if index is None and (questions.agg(F.sum(F.size(X.tokens(F.col("question"))))).first()[0] or 0) <= L.BROADCAST_TERMS:
+        return L.bm25_scan(questions, chunks, k, CHILD_KEY, "child_content")
+    return P.search(indexed(chunks, index), questions, k)
+
+
 def expanded_path(
     questions: DataFrame, chunks: DataFrame, k: int, embed=V.hashed_embedding, widths: DataFrame | None = None
 ) -> DataFrame:
@@ -125,13 +132,14 @@ def multi_path(
     qs = questions.select(
         "query_id", "question", expand(F.col("question")).alias("expanded")
     )
-    vec = VS.best_child_per_parent(within(
-        VS.vector_scores_topk(
-            qs.select("query_id", embed(F.col("question")).alias("qvec")), chunks, wide, CHILD_KEY
-        ), widths
-    ))
-    vec2 = expanded_path(qs, chunks, wide, embed, widths)
-    lex = within(P.search(indexed(chunks, index), qs, wide), widths)
+    # both vector paths in one scan: a question and its expansion are two questions of it
+    asked = qs.select(F.concat(F.lit("1:"), F.col("query_id").cast("string")).alias("query_id"), embed(F.col("question")).alias("qvec")).unionByName(
+        qs.where(F.col("expanded") != F.col("question")).select(F.concat(F.lit("2:"), F.col("query_id").cast("string")).alias("query_id"), embed(F.col("expanded")).alias("qvec"))
+    )
+    found = settle(VS.vector_scores_topk(asked, chunks, wide, CHILD_KEY))
+    own = F.expr("substring(query_id, 3)").cast(qs.schema["query_id"].dataType)
+    vec, vec2 = (VS.best_child_per_parent(within(found.where(F.col("query_id").startswith(p)).withColumn("query_id", own), widths)) for p in ("1:", "2:"))
+    lex = within(_lexical(qs, chunks, wide, index), widths)
     fused = with_children(within(rrf([vec, vec2, lex], wide), widths), chunks, "child_content", "split_group_id")
     diverse = diversify(fused)
     if not diversity_order:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,6 +143,8 @@ def _scanned(questions, chunks, k, keys, qvec, vec, block, window, minimum) -> D
             return
         best = np.full((len(names), k), -np.inf)
         for whole in batches:
+            held = pc.fill_null(pc.greater(pc.list_value_length(whole.column("v")), 0), False)
+            whole = whole.filter(held) if held.false_count else whole
             for start in range(0, whole.num_rows, SCAN_ROWS):
                 b = whole.slice(start, SCAN_ROWS)
                 c = unit_matrix(pa.chunked_array([b.column("v")]))
@@ -161,7 +164,8 @@ def _scanned(questions, chunks, k, keys, qvec, vec, block, window, minimum) -> D
                         ids = pa.StructArray.from_arrays([part.column(x) for x in keys], names=keys)
                         yield from best_rows(names[q][rows], sims[np.ix_(rows, columns)], ok[np.ix_(rows, columns)], ids, keys, k, kind)
 
-    vectors = chunks.where(F.size(vec) > 0).select(*keys, F.col(vec).cast("array<float>").alias("v"))
+    # a filter here would make a computed vector twice, so empty ones are left out in the scan
+    vectors = chunks.select(*keys, F.col(vec).cast("array<float>").alias("v"))
     return vectors.mapInArrow(scan, f"query_id {qtype}, {fields}, score double")
 
 

@@ -265,8 +265,7 @@ WHERE rank <= 10""")
 def _(spark, d):
     """All three paths: the questions that a synonym fits are searched a second time."""
     return R.multi_path(
-        I.questions(spark, d), I.children(spark, d, True), 10, index=I.lexical_index(spark, d),
-        expand=lambda q: Q.expand(q, SYNONYMS),
+        I.questions(spark, d), I.children(spark, d, True), 10, expand=lambda q: Q.expand(q, SYNONYMS),
     ).select("query_id", "document_id", "parent_id", "child_id", "score", "rrf_score", "rank")
 
 
