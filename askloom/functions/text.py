@@ -118,7 +118,9 @@ def drop_page_number_lines(text: Column) -> Column:
 
 def coarse_clean(text: Column) -> Column:
     """Whole-text cleaning; blank or null input gives an empty string."""
-    t = F.regexp_replace(text, K.SPECIAL_WHITESPACE, " ")
+    # the class of many ranges is slow, so Latin texts are told by one range and two characters
+    special = text.rlike("[^\\x00-\u024f]") | text.contains("\u00a0") | text.contains("\u00ad")
+    t = F.when(special, F.regexp_replace(text, K.SPECIAL_WHITESPACE, " ")).otherwise(text)
     t = F.regexp_replace(t, K.CONTROL_CHARS, "")
     t = F.regexp_replace(t, " {2,}", " ")
     t = F.regexp_replace(t, r"(?md)^[ \t]+|[ \t]+$", "")

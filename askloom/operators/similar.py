@@ -333,6 +333,13 @@ def _trigrams(text: str) -> np.ndarray:
     return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
 
 
+hashed_parts, trigram_codes = _parts, _trigrams  # for parents of one document
+
+
+def hashed(codes: np.ndarray) -> np.ndarray:
+    return _mixed(codes.astype(np.uint64))
+
+
 def similarity_to_previous(texts: DataFrame, key: str, text: str, block: int = NEIGHBOURS) -> DataFrame:
     """(key, similarity): Jaccard similarity of each text's trigrams to those of the text before it in key order.
 
