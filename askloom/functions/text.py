@@ -17,6 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from askloom import constants as K
+from askloom.functions.folds import let
 
 _WORD = r"(?U)\w{2,}+"
 # A word run that holds no CJK, or any two neighbouring CJK characters (overlapping).
@@ -37,8 +38,13 @@ def is_blank(text: Column) -> Column:
 
 
 def any_of(patterns: Sequence[str]) -> str:
-    """One alternation out of several patterns (inline flags stay local to each branch)."""
-    return "|".join(f"(?:{p})" for p in patterns)
+    """One alternation out of several patterns (inline flags stay local to each branch).
+
+    Where all begin at the start of the text, that is asked once, before the branches: else each of them is tried
+    at every place of a text.
+    """
+    bodies = [f"(?i:{p[5:]})" if p.startswith("(?i)^") else f"(?:{p[1:]})" if p.startswith("^") else None for p in patterns]
+    return "|".join(f"(?:{p})" for p in patterns) if None in bodies else f"^(?:{'|'.join(bodies)})"
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
@@ -108,7 +114,7 @@ def drop_decorative_lines(text: Column) -> Column:
     return _drop_lines(
         text,
         lambda s: s.rlike(K.DECORATIVE_LINE)
-        | (s.rlike(K.PURE_SYMBOL_LINE) & (F.length(s) < K.PURE_SYMBOL_MAX)),
+        | ((F.length(s) < K.PURE_SYMBOL_MAX) & s.rlike(K.PURE_SYMBOL_LINE)),
     )
 
 
@@ -118,8 +124,9 @@ def drop_page_number_lines(text: Column) -> Column:
 
 def coarse_clean(text: Column) -> Column:
     """Whole-text cleaning; blank or null input gives an empty string."""
-    # the class of many ranges is slow, so Latin texts are told by one range and two characters
-    special = text.rlike("[^\\x00-\u024f]") | text.contains("\u00a0") | text.contains("\u00ad")
+    # classes of many ranges are slow, so Latin texts are told by one range, and spared what matches no Latin text
+    wide = text.rlike("[^\\x00-\u024f]")
+    special = wide | text.contains("\u00a0") | text.contains("\u00ad")
     t = F.when(special, F.regexp_replace(text, K.SPECIAL_WHITESPACE, " ")).otherwise(text)
     t = F.regexp_replace(t, K.CONTROL_CHARS, "")
     t = F.regexp_replace(t, " {2,}", " ")
@@ -127,12 +134,17 @@ def coarse_clean(text: Column) -> Column:
     t = F.regexp_replace(t, r"\n{4,}", "\n\n\n")
     t = drop_decorative_lines(t)
     t = drop_page_number_lines(t)
-    for pattern in K.BOILERPLATE_PATTERNS:
-        t = F.regexp_replace(t, pattern, "")
-    t = F.regexp_replace(t, K.BROKEN_LINE, "$1$2")
-    t = F.regexp_replace(t, K.CJK_GAP, "$1$2")
-    t = F.regexp_replace(t, K.REVISION_MARKS, "")
-    t = F.regexp_replace(t, K.STRIKETHROUGH, "")
+    steps = [
+        *[(p, "", p.startswith("(?i)")) for p in K.BOILERPLATE_PATTERNS], (K.BROKEN_LINE, "$1$2", False), (K.CJK_GAP, "$1$2", False),
+        (K.REVISION_MARKS, "", True), (K.STRIKETHROUGH, "", False),
+    ]
+
+    def run(t: Column, all_: bool) -> Column:
+        for pattern, by, latin in steps:
+            t = F.regexp_replace(t, pattern, by) if all_ or latin else t
+        return t
+
+    t = let(t, lambda t: F.when(wide, run(t, True)).otherwise(run(t, False)))
     t = F.regexp_replace(t, K.HIDDEN_FORMAT, "")
     t = strip(F.regexp_replace(t, r"\n{4,}", "\n\n"))
     return F.when(is_blank(text), F.lit("")).otherwise(t)

@@ -70,3 +70,14 @@ def test_very_many_parents_are_not_compared_all_with_all():
 def test_special_white_space_of_latin_and_other_texts(one):
     for given, want in {"a b": "a b", "a­b": "a b", "é x": "é x", "中　x": "中 x", "plain": "plain", "a​b c": "a b c", " ": ""}.items():
         assert one(given, X.coarse_clean) == want
+
+
+def test_an_alternation_of_beginnings_matches_as_its_branches(spark):
+    from askloom import constants as K
+
+    texts = ["第3页", "第 三 页 / 共 9 页", "page 3 of 9", "x Page 3 of 9", "- 4 -", "12 / 40", "1234", "12345", "(7)", "第一章 总则", "a 第一章", "二、要点", "3. Point", "\n3. Point", "## T", "(2) x", "b、y", "* z", "", "1.2 Title"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for patterns in (K.PAGE_NUMBER_PATTERNS, K.HEADING_PATTERNS, K.CLAUSE_PATTERNS, K.LIST_PATTERNS):
+        plain = "|".join(f"(?:{p})" for p in patterns)
+        rows = df.select("t", F.col("t").rlike(X.any_of(patterns)).alias("a"), F.col("t").rlike(plain).alias("b")).collect()
+        assert X.any_of(patterns).startswith("^(?:") and all(r.a == r.b for r in rows) and any(r.b for r in rows)
